@@ -12,6 +12,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_dedup import dedup_lines
 
@@ -32,10 +56,22 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_topk_search": op4_topk_search,
     "op5_line_dedup": op5_line_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op8_license_scan": op8_license_scan,
+    "op9_bpe_coding": op9_bpe_coding,
 }
 
 ORACLE: dict[str, str] = {}
