@@ -12,6 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm._fit import remainder
+    from tessera.llm.toxicity import fit_lexicon, score_toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    part = remainder(F.col("doc_id"), 5)
+    scored = score_toxicity(docs, fit_lexicon(docs, labels, usable=part != 0), least=0.5)
+    return scored.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted", "hits")
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -49,6 +59,16 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm._fit import remainder
+    from tessera.llm.quality_crf import fit_quality, score_quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    part = remainder(F.col("doc_id"), 4)
+    scored = score_quality(docs, fit_quality(docs, labels, usable=part != 2), least=0.7)
+    return scored.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.license_scan import scan_licenses
 
@@ -64,14 +84,27 @@ def op9_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, rendered as tones since no table holds audio; conversations divisible by 20 are the queries."""
+    from tessera.llm.chroma import align, fingerprints, spoken
+
+    turns = _table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    number = F.col("conv_id") * 10_000 + F.col("turn")
+    prints = fingerprints(turns, number, F.col("text"), spoken)
+    return align(prints, F.floor(F.col("id") / 10_000) % 20 == 0, k=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_topk_search": op4_topk_search,
     "op5_line_dedup": op5_line_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_quality_crf": op7_quality_crf,
     "op8_license_scan": op8_license_scan,
     "op9_bpe_coding": op9_bpe_coding,
+    "op10_chroma_align": op10_chroma_align,
 }
 
 ORACLE: dict[str, str] = {}
