@@ -3,8 +3,8 @@
 Texts are folded: lower case, homoglyphs of other scripts and full width forms
 to Latin letters, digits and signs that stand for letters to those letters (i,
 l, 1 and | are one letter here), everything else that is no letter to a blank.
-Lexicon entries are whole words or beginnings of words with a weight; a match
-inside an exception phrase doesn't count.  The weights of a text's matches,
+Lexicon entries are whole words, or beginnings of words that go on, with a
+weight; a match inside an exception phrase doesn't count.  The weights of a text's matches,
 alone and normalised by its number of words, give a score by a logistic curve.
 
 Entries and weights are learnt from labelled documents: the log odds of a word
@@ -107,6 +107,8 @@ class Matcher:
             return 0.0, 0, words
         hits, spared = [], []
         for end, (size, weight) in self.automaton.iter(folded):
+            if folded[end] != " " and folded[end + 1] == " ":
+                continue  # the word doesn't go on
             (spared if weight is None else hits).append((end - size + 1, end, weight))
         if spared:
             hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
@@ -127,7 +129,7 @@ def _features_of(text: str) -> set[str]:
     words = set(fold(text).split())
     found = {f" {w} " for w in words}
     for n in PREFIXES:
-        found.update(" " + w[:n] for w in words if len(w) >= n)
+        found.update(" " + w[:n] for w in words if len(w) > n)
     return found
 
 
