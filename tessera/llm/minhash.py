@@ -5,15 +5,20 @@
    packed signature of the low 4 bits of every minimum.
 2. Texts with one and the same set form a class; all further work is on
    classes, so copies cost nothing.
-3. Band buckets name candidates.  Every member of a bucket is paired with the
-   bucket's smallest and its largest class (never with all others), pairs are
+3. Band buckets name candidates.  Every member of a bucket is paired with two
+   members that a hash draws for the bucket (never with all others), pairs are
    filtered by the similarity estimated from the signatures, corrected for
-   chance agreement of low bits, and confirmed on the full sets.
+   chance agreement of low bits, and by parity bitmaps, and confirmed on the
+   full sets.
 4. Links are contracted to components.  Buckets whose members now lie in one
    component need no more pairs.  In each of the rest the members outside the
-   bucket's largest component are paired with every member of another
-   component, unless private shingles rule a link out: so each pair of classes
-   that share a bucket is linked, in one component, or tested.
+   bucket's largest component are compared with every member of another
+   component, and the pairs that pass both filters are confirmed: so each pair
+   of classes that share a bucket is linked, in one component, or tested.
+
+A parity bitmap has a bit for each of 1024 cells: whether the set has an odd
+number of hashes there.  Sets differ in at least as many hashes as their
+bitmaps in bits, which is an upper bound of their similarity.
 
 The number of bands makes a pair at the threshold share no bucket with
 probability ``MISS`` at most; the estimate's margin is 5.5 deviations.
@@ -41,6 +46,7 @@ MISS = 1e-6
 SIGNATURE = 128  # minima kept with LOW_BITS bits each
 LOW_BITS = 4
 LONGS = SIGNATURE * LOW_BITS // 64
+CELLS = 1024
 SLICE_BYTES = 1 << 20
 MINIMA_AT_ONCE = 2048
 
@@ -162,11 +168,15 @@ def _signatures(words: int, bands: int, rows: int):
                 keys = shingler.mixed((low[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64) * weight).sum(2, dtype=np.uint64) + salt)
                 few = low[:, :SIGNATURE].astype(np.uint64) & np.uint64((1 << LOW_BITS) - 1)
                 packed = np.bitwise_or.reduce(few.reshape(-1, LONGS, 64 // LOW_BITS) << shift, axis=2)
+                odd = np.zeros((b - a, CELLS), np.uint8)
+                for i, x in enumerate(sets):
+                    odd[i] = np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+                parity = np.packbits(odd, axis=1).view(np.uint64)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.view(np.int64).ravel()))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()), lists(keys), lists(packed)],
-                    names=["doc_id", "row_key", "n_shingles", "cls", "bands", "sig"],
+                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()), lists(keys), lists(packed), lists(parity)],
+                    names=["doc_id", "row_key", "n_shingles", "cls", "bands", "sig", "parity"],
                 )
 
     return run
@@ -217,6 +227,13 @@ def estimated(x: Column, y: Column) -> Column:
     return ((1.0 - unequal / F.lit(float(SIGNATURE))) - chance) / (1.0 - chance)
 
 
+def possible(percent: int) -> Column:
+    """Whether pair (a, b) can be a link: by the estimate, and for certain by the parity bitmaps."""
+    unequal = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(1, CELLS // 64)), F.bit_count(F.col("parity_a")[0].bitwiseXOR(F.col("parity_b")[0])))
+    near = unequal * (100 + percent) <= (F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - percent)
+    return near & (estimated(F.col("sig_a"), F.col("sig_b")) >= least_estimate(percent))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links to (nid, root), for every nid that isn't a root itself.
 
@@ -251,24 +268,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     bands = band_count(percent)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    signed = scratch.cut(keyed.mapInArrow(_signatures(words, bands, ROWS), f"doc_id {id_type}, row_key bigint, n_shingles bigint, cls binary, bands array<bigint>, sig array<bigint>"))
-    first = F.min(F.struct("doc_id", "row_key", "n_shingles", "bands", "sig")).alias("m")
+    signed = scratch.cut(keyed.mapInArrow(_signatures(words, bands, ROWS), f"doc_id {id_type}, row_key bigint, n_shingles bigint, cls binary, bands array<bigint>, sig array<bigint>, parity array<bigint>"))
+    first = F.min(F.struct("doc_id", "row_key", "n_shingles", "bands", "sig", "parity")).alias("m")
     classes = scratch.cut(
         signed.filter("cls is not null").groupBy("cls").agg(first, F.min("doc_id").alias("low"))
-        .select(F.monotonically_increasing_id().alias("nid"), "cls", "low", "m.doc_id", "m.row_key", "m.n_shingles", "m.bands", "m.sig")
+        .select(F.monotonically_increasing_id().alias("nid"), "cls", "low", "m.doc_id", "m.row_key", "m.n_shingles", "m.bands", "m.sig", "m.parity")
     )
     member = classes.select("nid", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("lo"), F.max("nid").alias("hi")).filter("n > 1")
+    drawn = F.struct(F.xxhash64("bucket", "nid").alias("h"), "nid")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).filter("n > 1").select("bucket", "n", F.col("lo.nid").alias("lo"), F.col("hi.nid").alias("hi"))
     member = scratch.cut(member.join(shared, "bucket"))
-    pairs = member.select(F.col("lo").alias("a"), F.col("nid").alias("b")).unionByName(member.select(F.col("nid").alias("a"), F.col("hi").alias("b"))).filter("a != b").distinct()
+    pairs = member.select("nid", F.explode(F.array("lo", "hi")).alias("p")).filter("nid != p").select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b")).distinct()
 
     wanted = scratch.cut(member.select("nid").distinct().join(classes.select("nid", "doc_id", "row_key"), "nid").withColumnsRenamed({"doc_id": "w_doc", "row_key": "w_row"}))
     few = wanted.count() <= broadcast_ids
     texts = keyed.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("row_key") == F.col("w_row")))
     sets = scratch.cut(texts.select("nid", "text").mapInArrow(_full_sets(words), "nid bigint, shingles array<bigint>").dropDuplicates(["nid"]))
 
-    signature = classes.select("nid", "sig")
-    enough = least_estimate(percent)
+    signature = classes.select("nid", "n_shingles", "sig", "parity")
 
     def side(table: DataFrame, name: str) -> DataFrame:
         return table.withColumnsRenamed({"nid": name} | {c: f"{c}_{name}" for c in table.columns if c != "nid"})
@@ -277,7 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
         full = pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "shingles_a", "shingles_b")
         return scratch.cut(full.mapInArrow(_confirmed(percent), "a bigint, b bigint"))
 
-    likely = pairs.join(side(signature, "a"), "a").join(side(signature, "b"), "b").filter(estimated(F.col("sig_a"), F.col("sig_b")) >= enough).select("a", "b")
+    likely = pairs.join(side(signature, "a"), "a").join(side(signature, "b"), "b").filter(possible(percent)).select("a", "b")
     links = confirm(likely)
     roots = components(links, scratch)
 
@@ -287,25 +304,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     divided = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most")).filter("parts > 1").select("bucket", F.col("most.root").alias("most"))
     unsettled = scratch.cut(rooted.join(divided, "bucket"))
     if not unsettled.isEmpty():
-        nodes = unsettled.select("nid").distinct()
-        alone = (
-            sets.join(nodes, "nid").select("nid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
-            .filter("n = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("own"))
-        )
-        facts = nodes.join(classes.select("nid", "n_shingles", "sig"), "nid").join(alone, "nid", "left")
-        facts = facts.select("nid", "n_shingles", "sig", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
-        facts = scratch.cut(facts.filter(F.col("common") * 100 >= F.col("n_shingles") * percent))
-        open_ = scratch.cut(unsettled.join(facts, "nid"))
-        x = open_.filter("root != most").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("nid", "root", "most", "n_shingles", "common", "sig")])
-        y = open_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("nid", "root", "n_shingles", "common", "sig")])
-        most = F.least("common_a", "common_b")
-        can = (
-            (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most_a")) | (F.col("nid_a") < F.col("nid_b")))
-            & (most * 100 >= (F.col("n_shingles_a") + F.col("n_shingles_b") - most) * percent)
-            & (estimated(F.col("sig_a"), F.col("sig_b")) >= enough)
-        )
-        x, y = x.withColumnRenamed("bucket", "bucket_a"), y.withColumnRenamed("bucket", "bucket_b")
-        more = x.join(y, (F.col("bucket_a") == F.col("bucket_b")) & can).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
+        facts = unsettled.join(signature, "nid")
+        x = facts.filter("root != most").select("bucket", "most", *[F.col(c).alias(f"{c}_a") for c in ("nid", "root", "n_shingles", "sig", "parity")])
+        y = facts.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("nid", "root", "n_shingles", "sig", "parity")])
+        untested = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("nid_a") < F.col("nid_b")))
+        more = x.join(y, (F.col("bucket") == F.col("bucket_b")) & untested & possible(percent)).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
         found = confirm(more)
         if not found.isEmpty():
             roots = components(links.unionByName(found), scratch)
