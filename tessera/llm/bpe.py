@@ -11,7 +11,9 @@ and every step merges once in each of them.
 Texts are cut at single blanks between two characters that are no white space.
 There the pretokenizer always has a boundary: what precedes is a run that
 cannot hold a blank, and a pretoken that begins with a blank takes the next
-character along.  The pieces repeat, so a bounded memo keeps their ids.
+character along.  The pieces repeat, so a bounded memo keeps their ids; each
+is decoded when it is learnt, and pieces that don't decode to themselves are
+noted, so a text is decoded by joining what its pieces decode to.
 
 Cases.  Null text counts as empty and has no ids.  Strings of added tokens
 inside texts become their ids, as the library does by default.  Very long
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-MEMO_ENTRIES = 300_000
-DOCS_AT_ONCE = 256
+MEMO_ENTRIES = 600_000
+DOCS_AT_ONCE = 1024
 PRETOKENS_AT_ONCE = 50_000
 
 
@@ -170,10 +172,13 @@ class PieceCoder:
         self.bpe, self.entries = bpe, entries
         self.id_text = {i: str(i).encode() for i in bpe.token_bytes}
         self.ids: dict[bytes, bytes | None] = {}
-        self.bytes: dict[bytes, bytes] = {}
+        self.other: dict[bytes, bytes] = {}  # what pieces decode to that don't decode to themselves
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Memorise pieces that follow a blank; None for those next to white space."""
+    def _learn(self, pieces: set[bytes], heads: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Memorise pieces that follow a blank; None for those next to white space.
+
+        Returns what begins a text, coded; without what ends in white space.
+        """
         todo: list[bytes] = []
         counts: list[int] = []
         plain: list[bytes] = []
@@ -190,8 +195,20 @@ class PieceCoder:
                 found = self.bpe.find(" " + text)
                 todo += [x.encode("utf-8", "surrogatepass") for x in found]
                 counts.append(len(found))
-        for piece, (ids, back) in zip(plain, self._coded(todo, counts), strict=True):
-            self.ids[piece], self.bytes[piece] = ids, back
+        begin: list[bytes] = []
+        for head in heads:
+            text = head.decode("utf-8", "surrogatepass")
+            if text and text[-1] not in SPACE:
+                found = self.bpe.find(text)
+                todo += [x.encode("utf-8", "surrogatepass") for x in found]
+                counts.append(len(found))
+                begin.append(head)
+        coded = self._coded(todo, counts)
+        for piece in plain:
+            self.ids[piece], back = next(coded)
+            if back != b" " + piece:
+                self.other[piece] = back
+        return dict(zip(begin, coded, strict=True))
 
     def _coded(self, pretokens: list[bytes], counts: list[int]) -> Iterator[tuple[bytes, bytes]]:
         """For each run of ``counts`` pretokens: its ids as text, and its ids decoded."""
@@ -215,12 +232,13 @@ class PieceCoder:
         """(ids joined by commas, decoded bytes) of each text."""
         parts = [t.split(b" ") for t in texts]
         if len(self.ids) > self.entries:
-            self.ids, self.bytes = {}, {}
-        self._learn(set().union(*parts).difference(self.ids))
-        for text, pieces in zip(texts, parts, strict=True):
-            yield self._code(text, pieces)
+            self.ids, self.other = {}, {}
+        tails = [p[1:] for p in parts]
+        heads = self._learn(set().union(*tails).difference(self.ids), {p[0] for p in parts if len(p) > 1})
+        for text, pieces, tail in zip(texts, parts, tails, strict=True):
+            yield self._code(text, heads.get(pieces[0]), tail)
 
-    def _code(self, text: bytes, pieces: list[bytes]) -> tuple[bytes, bytes]:
+    def _code(self, text: bytes, head: tuple[bytes, bytes] | None, tail: list[bytes]) -> tuple[bytes, bytes]:
         if any(a in text for a in self.bpe.added_bytes):
             ids, back = [], []
             for segment in self.bpe.added_split.split(text.decode("utf-8", "surrogatepass")):
@@ -232,15 +250,14 @@ class PieceCoder:
                     ids.append(a)
                     back.append(b)
             return b",".join(ids), b"".join(back)
-        if len(pieces) < 2:
+        if not head or not tail:
             return self._segment(text)
-        head = pieces[0]
-        tail = pieces[1:]
-        coded = list(map(self.ids.__getitem__, tail))
-        if None in coded or not head or head[-1:].isspace() or head.decode("utf-8", "surrogatepass")[-1] in SPACE:
+        ids = list(map(self.ids.__getitem__, tail))
+        if None in ids:  # white space meets a blank, so no boundary is certain there
             return self._segment(text)
-        a, b = self._segment(head)
-        return b",".join([a, *coded]), b"".join([b, *map(self.bytes.__getitem__, tail)])
+        ids.insert(0, head[0])
+        back = b" ".join([head[1], *tail]) if not self.other else b"".join([head[1], *(self.other.get(p, b" " + p) for p in tail)])
+        return b",".join(ids), back
 
 
 _CODERS: dict[int, PieceCoder] = {}
