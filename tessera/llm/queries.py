@@ -107,4 +107,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chroma_align": op10_chroma_align,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _license_sql() -> str:
+    from tessera.llm.license_scan import BASE, TEMPLATES
+
+    rows = []
+    for number, (phrase, label, base) in enumerate([(p, v, "true") for p, v in BASE.items()] + [(p, v, "false") for p, v in TEMPLATES.items()]):
+        words = phrase.split()
+        rows += [f"('{a} {b}', {number}, {i}, {len(words) - 1}, '{label}', {base})" for i, (a, b) in enumerate(zip(words, words[1:]))]
+    return f"""WITH t(pair, template, t_pos, n_pairs, label, is_base) AS (VALUES {", ".join(rows)}),
+      w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+      g AS (SELECT r, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM w),
+      h AS (SELECT r, i - 1 AS pos, t.* FROM g JOIN t ON t.pair = ws[i] || ' ' || ws[i + 1]),
+      v AS (SELECT DISTINCT r, template, is_base, pos - t_pos AS diagonal FROM h),
+      o AS (SELECT *, CASE WHEN is_base OR lag(diagonal) OVER q IS NULL OR diagonal - lag(diagonal) OVER q > 2 THEN 1 ELSE 0 END AS opens FROM v WINDOW q AS (PARTITION BY r, template ORDER BY diagonal)),
+      s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM o),
+      m AS (SELECT h.r, h.template, span, min(h.pos - h.t_pos) AS start, any_value(h.label) AS label, any_value(h.is_base) AS is_base, count(DISTINCT h.t_pos)::DOUBLE / any_value(n_pairs) AS coverage FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.pos - h.t_pos = s.diagonal GROUP BY ALL),
+      f AS (SELECT * FROM m WHERE CASE WHEN is_base THEN coverage = 1 ELSE coverage >= 0.8 END)
+      SELECT doc_id, len(any_value(ws))::BIGINT AS n_words, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
+      coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0)::DOUBLE AS score
+      FROM w LEFT JOIN f USING (r) GROUP BY r, doc_id"""
+
+
+ORACLE: dict[str, str] = {
+    "op3_minhash_dedup": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+      u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+      l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+      r(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+      c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+      SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON doc_id = id""",
+    "op4_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id != c.vec_id),
+      r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20""",
+    "op5_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+      k AS (SELECT *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+      f AS (SELECT k, max(doc_id) AS top FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+      m AS (SELECT doc_id, i, line, top IS NOT NULL AND doc_id != top AS gone FROM k LEFT JOIN f USING (k))
+      SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op6_source_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+      s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
+      w AS (SELECT *, [5, 2, 1][n % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s), f AS (SELECT *, cap / w AS "full" FROM w),
+      b AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS rest_w FROM f WINDOW o AS (ORDER BY "full", source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      v AS (SELECT *, max(CASE WHEN rest / rest_w <= "full" THEN rest / rest_w END) OVER () AS level FROM b),
+      t AS (SELECT source, source_size, CASE WHEN level IS NULL OR "full" <= level THEN cap ELSE level * w END AS target FROM v),
+      r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      SELECT doc_id, size, source_size, target, ((floor(rate) + (draw < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM r""",
+    "op8_license_scan": _license_sql(),
+}
