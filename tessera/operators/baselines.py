@@ -88,7 +88,12 @@ def predict_by_rules(rows: DataFrame, text: str, rules: Sequence[Rule] = RULES)
 def edge_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """M1: character n-grams inside words, each word with a blank at both ends; with repeats."""
     words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = [F.flatten(F.transform(words, lambda w, n=n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))) for n in range(low, high + 1)]
+
+    def of_size(n: int) -> Column:
+        none = F.array().cast("array<string>")
+        return F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(none)))
+
+    grams = [of_size(n) for n in range(low, high + 1)]
     return F.concat(*grams)
 
 
@@ -103,44 +108,38 @@ def tfidf_model(rows: DataFrame, terms: str, label: str, features: int = 15_000,
     """M1, M2: sublinear tf, smooth idf, unit length, multinomial logistic regression with strength C.
 
     Returns a function that adds ``label_scores`` (map of class to probability).
-    The tables must come from files or plans: over a local table the optimizer
-    folds the vector function, which it can't.
     """
-    import numpy as np
+    import math
+
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, Normalizer, StringIndexer
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.linalg import Vectors
 
     n = rows.count()
     counter = CountVectorizer(inputCol=terms, outputCol="__tf", vocabSize=features).fit(rows)
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(rows)
-    df = {r.i: r.n for r in counter.transform(rows).select(F.explode(vector_indices("__tf")).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = [float(np.log((1 + n) / (1 + df.get(i, 0))) + 1) for i in range(len(counter.vocabulary))]
+    used = rows.select(F.explode(F.array_distinct(F.col(terms))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    known = rows.sparkSession.createDataFrame([(t, i) for i, t in enumerate(counter.vocabulary)], "t string, i int")
+    df = {r.i: r.n for r in used.join(F.broadcast(known), "t").collect()}
+    idf = [math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(counter.vocabulary))]
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__s", outputCol="__w")
+    unit = Normalizer(inputCol="__w", outputCol="features", p=2.0)
 
-    @F.udf(VectorUDT())
-    def weighed(v):
-        return Vectors.sparse(v.size, v.indices, [(1 + float(np.log(x))) * idf[i] for i, x in zip(v.indices, v.values)])
+    def prepared(d: DataFrame) -> DataFrame:
+        sublinear = F.transform(vector_to_array("__tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
+        return unit.transform(scaled.transform(counter.transform(d).withColumn("__s", array_to_vector(sublinear))))
 
-    unit = Normalizer(inputCol="__w", outputCol="features", p=2.0)
-    prepared = lambda d: unit.transform(counter.transform(d).withColumn("__w", weighed("__tf")))
     fitted = LogisticRegression(featuresCol="features", labelCol="__y", predictionCol="__c", probabilityCol="__p", rawPredictionCol="__r", maxIter=iterations, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, family="multinomial").fit(index.transform(prepared(rows)))
     labels = F.array(*[F.lit(x) for x in index.labels])
 
     def predict(d: DataFrame) -> DataFrame:
         out = fitted.transform(prepared(d)).withColumn("label_scores", F.map_from_arrays(labels, vector_to_array("__p")))
-        return out.drop("__tf", "__w", "features", "__c", "__p", "__r")
+        return out.drop("__tf", "__s", "__w", "features", "__c", "__p", "__r")
 
     return predict
 
 
-def vector_indices(column: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    dense = vector_to_array(column)
-    return F.filter(F.transform(dense, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
-
-
 def soft_vote(a: Column, b: Column) -> Column:
     """M3: the label of the largest mean of two maps of class to probability; the first alone if the classes differ."""
     same = F.array_sort(F.map_keys(a)) == F.array_sort(F.map_keys(b))
