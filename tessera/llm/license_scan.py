@@ -4,8 +4,8 @@ Every rolling pair of words of every text is hashed and joined with the pairs
 of the templates.  A match at word p of the text and word t of the template
 votes for the diagonal p - t of (row, template).  Diagonals at most ``slack``
 apart are merged, so that a few inserted or missing words don't break a match,
-and the spans are verified: equal word pairs, and the share of the template's
-pairs that a merged diagonal holds.
+and the spans are verified: equal word pairs, the share of the template's pairs
+that a merged diagonal holds, and its last pair, which tells versions apart.
 
 The templates are a parameter of fixed size; they are broadcast only while
 they have at most ``MAX_PAIRS`` pairs.
@@ -62,7 +62,7 @@ def _pair_table(spark, base: Mapping[str, str], templates: Mapping[str, str]) ->
     return table.withColumn("t_hash", F.xxhash64("t_pair"))
 
 
-def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Mapping[str, str] = TEMPLATES, slack: int = 2, least: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Mapping[str, str] = TEMPLATES, slack: int = 2, least: float = 0.85) -> DataFrame:
     """One row for each document.
 
     doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score,
@@ -86,12 +86,12 @@ def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Ma
         votes.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(along))
         .groupBy("doc_id", "row", "template", "span")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n_seen"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("start"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n_seen"), F.max(F.array_max("seen")).alias("last_seen"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("start"),
             F.max("n_pairs").alias("n_pairs"), F.max("label").alias("label"), F.max("is_base").alias("is_base"),
         )
         .withColumn("coverage", F.when(F.col("template") < 0, 0.0).otherwise(F.col("n_seen") / F.greatest("n_pairs", F.lit(1))))
     )
-    found = (F.col("template") >= 0) & F.when(F.col("is_base"), F.col("coverage") == 1.0).otherwise(F.col("coverage") >= least)
+    found = (F.col("template") >= 0) & F.when(F.col("is_base"), F.col("coverage") == 1.0).otherwise((F.col("coverage") >= least) & (F.col("last_seen") == F.col("n_pairs") - 1))
     is_place = found & F.col("is_base")
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(F.collect_set(c)), ","), F.lit(""))
     return merged.groupBy("doc_id", "row").agg(

@@ -125,8 +125,8 @@ def _license_sql() -> str:
       v AS (SELECT DISTINCT r, template, is_base, pos - t_pos AS diagonal FROM h),
       o AS (SELECT *, CASE WHEN is_base OR lag(diagonal) OVER q IS NULL OR diagonal - lag(diagonal) OVER q > 2 THEN 1 ELSE 0 END AS opens FROM v WINDOW q AS (PARTITION BY r, template ORDER BY diagonal)),
       s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM o),
-      m AS (SELECT h.r, h.template, span, min(h.pos - h.t_pos) AS start, any_value(h.label) AS label, any_value(h.is_base) AS is_base, count(DISTINCT h.t_pos)::DOUBLE / any_value(n_pairs) AS coverage FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.pos - h.t_pos = s.diagonal GROUP BY ALL),
-      f AS (SELECT * FROM m WHERE CASE WHEN is_base THEN coverage = 1 ELSE coverage >= 0.8 END)
+      m AS (SELECT h.r, h.template, span, min(h.pos - h.t_pos) AS start, any_value(h.label) AS label, any_value(h.is_base) AS is_base, count(DISTINCT h.t_pos)::DOUBLE / any_value(n_pairs) AS coverage, max(h.t_pos) = any_value(n_pairs) - 1 AS ends FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.pos - h.t_pos = s.diagonal GROUP BY ALL),
+      f AS (SELECT * FROM m WHERE CASE WHEN is_base THEN coverage = 1 ELSE coverage >= 0.85 AND ends END)
       SELECT doc_id, len(any_value(ws))::BIGINT AS n_words, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0)::DOUBLE AS score
       FROM w LEFT JOIN f USING (r) GROUP BY r, doc_id"""

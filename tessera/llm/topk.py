@@ -14,7 +14,7 @@ Queries are broadcast in blocks of at most ``query_block`` rows, taken by
 ranges of their ids; each block is searched in one pass over the candidates,
 and every task returns at most k rows a query.
 
-Cases.  Vectors that are null, or hold null or non-finite components, take no
+Cases.  Vectors that are null or empty, or hold null or non-finite components, take no
 part.  Vectors of another length than the query's take no part for it.  Ties go
 to the smaller id.  A query sees every row but those with its own id.  Repeated
 ids are searched as rows of their own.  Scores are exact while they and their
@@ -35,9 +35,9 @@ SEED_ROWS = 2048
 
 
 def whole(vector: Column) -> Column:
-    """Not null, and no component null or not finite."""
+    """Not null or empty, and no component null or not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
+    return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
 def _matrix(column, np):

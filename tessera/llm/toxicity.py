@@ -148,16 +148,21 @@ def _counted(only: Sequence[str] | None):
     return run
 
 
-def select_entries(found: Iterable[tuple[str, int, int]], toxic: int, other: int, least_odds: float = 2.5) -> list[tuple[str, float]]:
-    """(feature, toxic documents, other documents) to entries that don't overlap, by log-likelihood ratio."""
+def select_entries(found: Iterable[tuple[str, int, int]], toxic: int, other: int, tested: int, least_odds: float = 2.5) -> list[tuple[str, float]]:
+    """(feature, toxic documents, other documents) to entries that don't overlap, by log-likelihood ratio.
+
+    The ratio must be larger than chance gives for the best of ``tested`` features.
+    """
     ranked = []
+    chance = math.log(tested + 1)
     for feature, t, c in found:
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (other + 1))
         if odds < least_odds:
             continue
         share = (t + c) / (toxic + other)
         ratio = t * math.log(t / (toxic * share)) + (c * math.log(c / (other * share)) if c else 0.0)
-        ranked.append((ratio, len(feature), feature, odds))
+        if ratio > chance:
+            ranked.append((ratio, len(feature), feature, odds))
     chosen: list[tuple[str, float]] = []
     taken: set[str] = set()
     inner: set[str] = set()
@@ -180,12 +185,14 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, label: str =
         return Lexicon(seeds)
     least = max(4, math.ceil(toxic / 150))
     texts = sample.filter("y = 1").select("text")
-    counted = texts.mapInArrow(_counted(None), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("t")).filter(F.col("t") >= least)
-    seen = {r.feature: r.t for r in counted.orderBy(F.col("t").desc(), "feature").limit(50 * ENTRIES).collect()}
+    scratch = Scratch(docs.sparkSession, "toxicity-features")
+    counted = scratch.cut(texts.mapInArrow(_counted(None), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("t")))
+    tested = counted.count()
+    seen = {r.feature: r.t for r in counted.filter(F.col("t") >= least).orderBy(F.col("t").desc(), "feature").limit(50 * ENTRIES).collect()}
     texts = sample.filter("y != 1").select("text")
     counted = texts.mapInArrow(_counted(list(seen)), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("c"))
     clean = {r.feature: r.c for r in counted.collect()}
-    entries = select_entries(((f, t, clean.get(f, 0)) for f, t in seen.items()), toxic, other)[:ENTRIES]
+    entries = select_entries(((f, t, clean.get(f, 0)) for f, t in seen.items()), toxic, other, tested)[:ENTRIES]
     has = {e for e, _ in entries}
     lexicon = Lexicon(tuple(entries) + tuple(s for s in seeds if not any(s[0].startswith(e) for e in has)))
     weighed = np.array([tuple(r) for r in sample.mapInArrow(_weighed(lexicon), "weight double, words bigint, y int").collect()], float)
