@@ -25,6 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Let Python see fewer texts at a time, unless the session says itself how many."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, str(rows))
+
+
 class Scratch:
     """Tables of one operator call, each in a folder of its own name."""
 

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._store import bound_batches
+
 # The pretokenizer's pattern and the white space it knows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 DOCS_AT_ONCE = 1024
 PRETOKENS_AT_ONCE = 50_000
 
@@ -276,6 +278,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     ``path`` names the vocabulary's JSON file; its text is sent to the workers.
     """
+    bound_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 

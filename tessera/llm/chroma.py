@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch
+from tessera.llm._store import Scratch, bound_batches
 
 RATE, FRAME, HOP = 4000, 512, 256
 CLASSES = 12
@@ -125,6 +125,7 @@ def fingerprints(media: DataFrame, id_col: Column, value_col: Column, decode: Ca
                 found = [None if v is None else fingerprint(chroma(decode(v))).view(np.int32) for v in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "frames"])
 
+    bound_batches(media.sparkSession)
     rows = media.select(id_col.alias("id"), value_col.alias("value"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, frames array<int>")
 

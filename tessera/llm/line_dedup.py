@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch
+from tessera.llm._store import Scratch, bound_batches
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -119,6 +119,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     shuffled.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.drop("n_lines", "n_dropped")
     row_key = F.xxhash64("text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, line int, h1 bigint, h2 bigint"

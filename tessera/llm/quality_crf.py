@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tessera.llm._fit import labelled_sample, logistic, sigmoid
+from tessera.llm._store import bound_batches
 
 SAMPLE = 6_000
 LINES = 256
@@ -190,6 +191,7 @@ def _shares(field: Field, features: Sequence[np.ndarray], lengths: Sequence[np.n
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", most: int = SAMPLE) -> QualityModel:
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, usable, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,4 +230,5 @@ def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.7) -> D
                 scores = model.scores([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= least).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")

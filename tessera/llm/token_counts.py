@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._store import bound_batches
 from tessera.llm.bpe import SPACE
 
 CHUNK = 32_768
 OVERLAP = 512
 CHARS_AT_ONCE = 1 << 21
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 
 
 class ChunkedCounter:
@@ -156,6 +157,7 @@ class ChunkedCounter:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; ``path`` names the tokenizer's JSON file."""
+    bound_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import labelled_sample, logistic, sigmoid
-from tessera.llm._store import Scratch
+from tessera.llm._store import Scratch, bound_batches
 
 # What stands for which letter.
 HOMOGLYPHS = {
@@ -177,6 +177,7 @@ def select_entries(found: Iterable[tuple[str, int, int]], toxic: int, other: int
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most: int = SAMPLE) -> Lexicon:
+    bound_batches(docs.sparkSession)
     sample = Scratch(docs.sparkSession, "toxicity").cut(labelled_sample(docs, labels, label, usable, most).dropDuplicates(["text"]))
     sizes = dict(sample.groupBy("y").count().collect())
     toxic, other = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
@@ -220,6 +221,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> Dat
             columns = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "row_key", "score", "hits", "n_words"])
 
+    bound_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, score double, hits bigint, n_words bigint"
     found = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(run, schema)
     return found.select("doc_id", "row_key", "score", (F.col("score") >= least).cast("int").alias("predicted"), "hits", "n_words")
@@ -234,4 +236,5 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([matcher.score(t or "")[0] < least for t in batch.column(at).to_pylist()], pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
