@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch
+from tessera.llm._store import Scratch, bound_batches
 
 ROWS = 5
 MISS = 1e-6
@@ -234,6 +234,12 @@ def possible(percent: int) -> Column:
     return near & (estimated(F.col("sig_a"), F.col("sig_b")) >= least_estimate(percent))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node with an edge down has one, to a node without."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links to (nid, root), for every nid that isn't a root itself.
 
@@ -241,9 +247,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     smallest one, then its smaller ones, until the edges are stars.
     """
     edges = scratch.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    stars = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    state = stars(edges)
-    while state[0]:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -252,9 +256,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = near.select("u", F.col("m").alias("v")).unionByName(near.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
         new = scratch.cut(small)
         scratch.drop(edges)
-        edges, before, state = new, state, stars(new)
-        if state == before:
-            break
+        edges = new
     return edges.select(F.col("u").alias("nid"), F.col("v").alias("root"))
 
 
@@ -264,6 +266,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     ``row_key`` is xxhash64(text).  Links: 100 * |intersection| >= percent * |union|.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "minhash")
     bands = band_count(percent)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -275,8 +278,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
         .select(F.monotonically_increasing_id().alias("nid"), "cls", "low", "m.doc_id", "m.row_key", "m.n_shingles", "m.bands", "m.sig", "m.parity")
     )
     member = classes.select("nid", F.explode("bands").alias("bucket"))
-    drawn = F.struct(F.xxhash64("bucket", "nid").alias("h"), "nid")
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).filter("n > 1").select("bucket", "n", F.col("lo.nid").alias("lo"), F.col("hi.nid").alias("hi"))
+    drawn = F.col("nid").bitwiseXOR(F.col("bucket"))  # in an order of its own in each bucket, and nid can be had back
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).filter("n > 1")
+    # A table, so that the join below shuffles both sides and a large bucket can be split.
+    shared = scratch.cut(shared.select("bucket", "n", *[F.col(c).bitwiseXOR(F.col("bucket")).alias(c) for c in ("lo", "hi")]))
     member = scratch.cut(member.join(shared, "bucket"))
     pairs = member.select("nid", F.explode(F.array("lo", "hi")).alias("p")).filter("nid != p").select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b")).distinct()
 
@@ -302,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     rooted = member.filter("n > 3").select("bucket", "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     counted = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     divided = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most")).filter("parts > 1").select("bucket", F.col("most.root").alias("most"))
-    unsettled = scratch.cut(rooted.join(divided, "bucket"))
+    unsettled = scratch.cut(rooted.join(scratch.cut(divided), "bucket"))  # a table, as above
     if not unsettled.isEmpty():
         facts = unsettled.join(signature, "nid")
         x = facts.filter("root != most").select("bucket", "most", *[F.col(c).alias(f"{c}_a") for c in ("nid", "root", "n_shingles", "sig", "parity")])
@@ -311,7 +316,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
         more = x.join(y, (F.col("bucket") == F.col("bucket_b")) & untested & possible(percent)).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
         found = confirm(more)
         if not found.isEmpty():
-            roots = components(links.unionByName(found), scratch)
+            # Links between roots; the stars are known already.
+            over = found.join(side(roots, "a"), "a", "left").join(side(roots, "b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+            above = components(over, scratch).select(F.col("nid").alias("root"), F.col("root").alias("top"))
+            below = roots.join(above, "root", "left").select("nid", F.coalesce("top", "root").alias("root"))
+            roots = scratch.cut(below.unionByName(above.select(F.col("root").alias("nid"), F.col("top").alias("root"))))
 
     of_class = classes.select("nid", "cls", "low").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     lowest = of_class.groupBy("root").agg(F.min("low").alias("component_id"))
