@@ -155,47 +155,205 @@ def sequence_pairs(pairs: DataFrame, left: Column, right: Column, least: float)
     return close.withColumn("ratio", seq_ratio(F.col("__l"), F.col("__r"))).filter(F.col("ratio") >= least).drop("__l", "__r")
 
 
+class _Sequences:
+    """A block of texts as first argument of Ratcliff-Obershelp ratios.
+
+    ``bounds`` is never below a ratio.  Matched letters are common letters.  In
+    texts of 200 letters or more difflib starts a match at rare letters only
+    (its autojunk), apart from a match at the beginning of both; so there the
+    longest runs through the rare letters, summed, bound the matched letters too.
+    """
+
+    def __init__(self, texts: Sequence[str]):
+        import numpy as np
+
+        self.np, self.texts = np, texts
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.counts = np.array([self._counts(self._codes(t)) for t in texts]).reshape(len(texts), 64)
+        edge = np.array([0xFFFFFFFE], np.uint32)  # no letter; on both sides of each text
+        self.all = np.concatenate([edge, *(x for t in texts for x in (self._codes(t), edge))])
+        self.start = 1 + np.concatenate([[0], np.cumsum(self.size + 1)[:-1]]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(texts) + 1), np.concatenate([[1], self.size + 1])) - 1
+        self.order = np.argsort(self.all, kind="stable")
+        self.values = self.all[self.order]
+
+        self.wide = [n // 8 + 1 for n in self.size.tolist()]  # bytes; a bit at least is left for the carry
+        self.masks: list[dict[str, bytes]] = []
+        for t, w in zip(texts, self.wide):
+            at: dict[str, int] = {}
+            for i, c in enumerate(t):
+                at[c] = at.get(c, 0) | 1 << i
+            self.masks.append({c: m.to_bytes(w, "little") for c, m in at.items()})
+
+    def _codes(self, text: str):
+        return self.np.frombuffer(text.encode("utf-32-le"), self.np.uint32)
+
+    def _counts(self, codes):
+        return self.np.bincount(codes & 63, minlength=64)
+
+    def bounds(self, text: str, least):
+        """For each text of the block; exact enough to tell which can reach ``least`` (an array)."""
+        np, codes = self.np, self._codes(text)
+        total = self.size + len(codes)
+        scale = lambda m: np.where(total > 0, 2.0 * m / np.maximum(total, 1), 1.0)
+        live = scale(np.minimum(self.size, len(codes))) >= least
+        if not live.any():
+            return np.where(live, 1.0, -1.0)
+        most = np.where(live, np.minimum(self.counts, self._counts(codes)).sum(1), -1)
+        live &= scale(most) >= least
+        if len(codes) >= 200 and live.any():
+            most = np.where(live, np.minimum(most, self._anchored(codes, live)), -1)
+        return np.where(live, scale(most), -1.0)
+
+    def _anchored(self, codes, live):
+        np = self.np
+        found, back, n = np.unique(codes, return_inverse=True, return_counts=True)
+        at = np.flatnonzero((n <= len(codes) // 100 + 1)[back])
+        a, b = np.searchsorted(self.values, codes[at], "left"), np.searchsorted(self.values, codes[at], "right")
+        n = b - a
+        i = self.order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(at) else np.zeros(0, np.int64)
+        j = np.repeat(at, n)
+        mine = live[self.owner[i]]
+        i, j = i[mine], j[mine] + 1
+        padded = np.concatenate([[0xFFFFFFFF], codes, [0xFFFFFFFF]]).astype(np.uint32)
+        run = np.ones(len(i), np.int64)
+        for step in (1, -1):
+            who, x, y = np.arange(len(i)), i, j
+            while len(who):
+                x, y = x + step, y + step
+                same = self.all[x] == padded[y]
+                who, x, y = who[same], x[same], y[same]
+                run[who] += 1
+        longest = np.zeros(len(self.all), np.int64)
+        np.maximum.at(longest, i, run)
+        most = np.bincount(np.maximum(self.owner, 0), longest, len(self.texts)).astype(np.int64)
+        for k in np.flatnonzero(live):
+            p = self.all[self.start[k] : self.start[k] + min(self.size[k], len(codes))] == codes[: self.size[k]]
+            most[k] += len(p) if p.all() else int(p.argmin())
+        return most
+
+    def common(self, text: str, which: list[int]) -> list[int]:
+        """Lengths of the longest common subsequences with some texts, by bits side by side; matching blocks have no more letters."""
+        lay = lambda parts: int.from_bytes(b"".join(parts), "little")
+        none = [bytes(self.wide[k]) for k in which]
+        free = full = lay(((1 << len(self.texts[k])) - 1).to_bytes(self.wide[k], "little") for k in which)
+        masks = {c: lay(self.masks[k].get(c, z) for k, z in zip(which, none)) for c in set(text)}
+        for c in text:
+            m = masks[c] & free
+            free = ((free + m) | (free - m)) & full
+        left, out, a = free.to_bytes(sum(self.wide[k] for k in which), "little"), [], 0
+        for k in which:
+            out.append(len(self.texts[k]) - int.from_bytes(left[a : a + self.wide[k]], "little").bit_count())
+            a += self.wide[k]
+        return out
+
+
+def _text_blocks(texts: DataFrame, block: int) -> Iterator[list[tuple]]:
+    mine: list[tuple] = []
+    for r in texts.toLocalIterator():
+        mine.append(tuple(r))
+        if len(mine) >= block:
+            yield mine
+            mine = []
+    if mine:
+        yield mine
+
+
+def sequence_matches(rows: DataFrame, refs: DataFrame, least: float, block: int = BLOCK_ROWS) -> DataFrame:
+    """All (ref, id, ratio) with the ratio of ref's text (ref, text) to the row's (id, text) at least ``least``.
+
+    References are a stated set, taken block by block; every row meets every
+    reference.  Only pairs that an upper bound rules out aren't computed.
+    """
+    spark = rows.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = to_arrow_type(refs.schema["ref"].dataType), to_arrow_type(rows.schema["id"].dataType), pa.float64()
+    schema = f"ref {refs.schema['ref'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, ratio double"
+    out = None
+    for mine in _text_blocks(refs.filter("text is not null").select("ref", "text"), block):
+        held = spark.sparkContext.broadcast(mine)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            from difflib import SequenceMatcher
+
+            import numpy as np
+
+            known = _Sequences([t for _, t in held.value])
+            floor = np.full(len(known.texts), least)
+            for batch in batches:
+                found = []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    match = None
+                    live = np.flatnonzero(known.bounds(text, floor) >= least).tolist()
+                    for k, most in zip(live, known.common(text, live)):
+                        ref, other = held.value[k]
+                        if other and text and 2.0 * most / (len(other) + len(text)) < least:
+                            continue
+                        match = match or SequenceMatcher(None, "", text)
+                        match.set_seq1(other)
+                        if (ratio := match.ratio()) >= least:
+                            found.append((ref, row, ratio))
+                columns = zip(*found) if found else ((),) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["ref", "id", "ratio"])
+
+        dealt = rows.filter("text is not null").select("id", "text").repartition(4 * spark.sparkContext.defaultParallelism)  # a small file would be one long task
+        part = dealt.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
 def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: float = 0.9, gram_least: float = 0.7, block: int = BLOCK_ROWS) -> DataFrame:
-    """For each row (id, text) its best reference (ref, text) by sequence ratio, then trigram Jaccard.
+    """For each row (id, text) its best reference (ref, text) by sequence ratio, then trigram Jaccard, then the smallest.
 
     Only the row's best reference is tested against the n-gram threshold.
-    References are a stated set, taken block by block.
+    Rows are the fresh set, broadcast block by block; references may be a whole
+    corpus.  A reference that an upper bound puts below the row's best so far
+    isn't computed; each task returns one reference a row.
     """
-    import pandas as pd
-
     spark = rows.sparkSession
-    plain = rows.select("id", F.coalesce(normalize(F.col("text"), kind), F.lit("")).alias("t"))
-    asked = refs.select("ref", F.coalesce(normalize(F.col("text"), kind), F.lit("")).alias("t"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, ref {refs.schema['ref'].dataType.simpleString()}, ratio double, gram double"
-    out, mine = None, []
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def laid(mine):
+    plain = lambda c: F.coalesce(normalize(F.col(c), kind), F.lit(""))
+    fresh, asked = rows.select("id", plain("text").alias("t")), refs.select("ref", plain("text").alias("t"))
+    kinds = to_arrow_type(rows.schema["id"].dataType), to_arrow_type(refs.schema["ref"].dataType), pa.float64(), pa.float64()
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ref {refs.schema['ref'].dataType.simpleString()}, ratio double, gram double"
+    out = None
+    for mine in _text_blocks(fresh, block):
         held = spark.sparkContext.broadcast(mine)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             from difflib import SequenceMatcher
 
+            import numpy as np
+
             grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))}
-            known = [(ref, t, grams(t)) for ref, t in held.value]
-            for pdf in batches:
-                rows = []
-                for row, t in zip(pdf["id"], pdf["t"]):
-                    mine = grams(t)
-                    scored = ((SequenceMatcher(None, t, r).ratio(), len(mine & g) / len(mine | g), ref) for ref, r, g in known)
-                    ratio, gram, ref = max(scored, key=lambda s: (s[0], s[1]))
-                    rows.append((row, ref, ratio, gram))
-                yield pd.DataFrame(rows, columns=["id", "ref", "ratio", "gram"])
-
-        return plain.mapInPandas(run, schema)
-
-    for r in asked.toLocalIterator():
-        mine.append((r.ref, r.t))
-        if len(mine) >= block:
-            out = laid(mine) if out is None else out.unionByName(laid(mine))
-            mine = []
-    if mine:
-        out = laid(mine) if out is None else out.unionByName(laid(mine))
+            known = _Sequences([t for _, t in held.value])
+            sets = [grams(t) for t in known.texts]
+            least, best = np.full(len(sets), -0.5), [None] * len(sets)
+            for batch in batches:
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for ref, text in sorted(pairs, key=lambda p: len(p[1])):  # short ones are the most alike
+                    live = np.flatnonzero(known.bounds(text, least) >= least).tolist()
+                    if not live:
+                        continue
+                    match, theirs = SequenceMatcher(None, "", text), grams(text)
+                    for k, most in zip(live, known.common(text, live)):
+                        if text and 2.0 * most / (known.size[k] + len(text)) < least[k]:
+                            continue
+                        match.set_seq1(known.texts[k])
+                        if (ratio := match.ratio()) >= least[k]:
+                            now = (-ratio, -len(sets[k] & theirs) / len(sets[k] | theirs), ref)
+                            if best[k] is None or now < best[k]:
+                                best[k], least[k] = now, ratio
+            found = [(held.value[k][0], b[2], -b[0], -b[1]) for k, b in enumerate(best) if b]
+            columns = zip(*found) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "ref", "ratio", "gram"])
+
+        part = asked.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], schema + ", leaks boolean")
-    best = out.groupBy("id").agg(F.max(F.struct("ratio", "gram", "ref")).alias("m")).select("id", "m.ref", "m.ratio", "m.gram")
+    first = F.struct((-F.col("ratio")).alias("r"), (-F.col("gram")).alias("g"), "ref")
+    best = out.groupBy("id").agg(F.min(first).alias("m")).select("id", "m.ref", (-F.col("m.r")).alias("ratio"), (-F.col("m.g")).alias("gram"))
     return best.withColumn("leaks", (F.col("ratio") >= seq_least) | (F.col("gram") >= gram_least))

@@ -60,11 +60,10 @@ def leak_peer_self(spark, sf_dir):
 
 
 def leak_seq_ratio(spark, sf_dir):
-    """Ratcliff-Obershelp between part types, which are few; names only they can tell apart."""
-    types = table(spark, sf_dir, "part").select(F.col("p_type").alias("t")).distinct()
-    a, b = types.select(F.col("t").alias("left")), types.select(F.col("t").alias("right"), F.substring("t", 1, 1).alias("k"))
-    pairs = a.withColumn("k", F.substring("left", 1, 1)).join(b, "k").filter("left < right").select("left", "right")
-    return L.sequence_pairs(pairs, F.lower("left"), F.lower("right"), 0.8).select("left", "right", F.round("ratio", 6).alias("ratio"))
+    """Benchmark items against every turn of the conversations by Ratcliff-Obershelp ratio, all pairs that reach 0.8."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), normalize(F.col("text"), "leak").alias("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref"), normalize(F.col("text"), "leak").alias("text"))
+    return L.sequence_matches(turns, items, 0.8).select("ref", "id", F.round("ratio", 6).alias("ratio"))
 
 
 def leak_audit(spark, sf_dir):
