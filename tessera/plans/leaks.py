@@ -67,10 +67,10 @@ def leak_seq_ratio(spark, sf_dir):
 
 
 def leak_audit(spark, sf_dir):
-    """Each nation's best match among part brands by sequence ratio, then trigrams."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text"))
-    refs = table(spark, sf_dir, "part").select(F.col("p_type").alias("text")).distinct().withColumn("ref", F.col("text"))
-    return L.audit(rows, refs).select("id", F.round("ratio", 6).alias("ratio"), F.round("gram", 6).alias("gram"), "leaks")
+    """Each benchmark item's best match among the texts of all documents by sequence ratio, then trigrams."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), "text")
+    return L.audit(items, docs).select("id", "ref", F.round("ratio", 6).alias("ratio"), F.round("gram", 6).alias("gram"), "leaks")
 
 
 def split_lag_leak(spark, sf_dir):

@@ -50,3 +50,27 @@ def test_seq_ratio_meets_every_turn(spark, tmp_path):
     want = {(i, f"{j // 4}/{j % 4}"): round(s, 6) for i, a in enumerate(items) for j, b in enumerate(turns) if (s := SequenceMatcher(None, a, b).ratio()) >= 0.8}
     assert got == want and len(got) >= 5
     assert (3, f"{89 // 4}/{89 % 4}") in got  # they differ in the first letter
+
+
+def test_audit_meets_every_document(spark, tmp_path):
+    rng = random.Random(8)
+    items = _texts(12, 9, low=30)
+    docs = _texts(90, 10, high=900) + [_near(items[i], rng) for i in range(4)] + [items[5], items[5], ""]
+    where = _save(
+        spark, tmp_path,
+        benchmark=spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"),
+        documents=spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3),
+    )
+    grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))}
+    want = {}
+    for i, a in enumerate(items):
+        scored = []
+        for j, b in enumerate(docs):
+            g, h = grams(a), grams(b)
+            scored.append((-SequenceMatcher(None, a, b).ratio(), -len(g & h) / len(g | h), j))
+        r, g, j = min(scored)
+        want[i] = (j, round(-r, 6), round(-g, 6), -r >= 0.9 or -g >= 0.7)
+    got = {r.id: (r.ref, r.ratio, r.gram, r.leaks) for r in leaks.leak_audit(spark, where).collect()}
+    assert got == want
+    assert got[5] == (94, 1.0, 1.0, True) and sum(x[3] for x in got.values()) >= 3
+
