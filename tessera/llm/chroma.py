@@ -4,16 +4,20 @@ A recording is cut into overlapping frames; each frame's spectrum is folded
 into 12 pitch classes.  Sixteen filters are laid over the image of pitch class
 by time; each compares sums of rectangles, read off the integral image, and
 gives two bits, so every frame has a 32-bit integer.  Two recordings are
-aligned by the histogram of the offsets at which their integers agree, and the
-bit errors of the overlap at the fullest offset tell how good the match is.
+aligned by the histogram of the offsets at which their integers agree; every
+offset with enough votes is tested.  Bit errors of the overlap tell how good the
+match is; where they are too many, those of the segment that matches best do, so
+a clip that two different recordings share is found, behind whole matches.
 
 ``decode`` turns the values of a column into samples: 16-bit PCM bytes, WAV
 files, or what the caller passes in.  Recordings with one and the same
 fingerprint are one class in the search.  Queries are broadcast in blocks of
 about ``FRAMES`` integers, and every task returns at most k rows a query.
 
-Cases.  Null or empty media, and recordings shorter than a frame, have no
-fingerprint and match nothing.  Ties go to the smaller id.  A query doesn't
+Cases.  An integer needs SPAN frames.  Null or empty media, and recordings
+shorter than ``FRAME + (SPAN - 1) * HOP`` samples, have no fingerprint and match
+nothing, copies neither.  Recordings of fewer integers than ``least_votes``, or
+pairs with one such, must agree in all integers of the shorter one.  Ties go to the smaller id.  A query doesn't
 match the row with its own id.  Long recordings are transformed a block of
 frames at a time.  Only the named columns are read.
 """
@@ -142,25 +146,42 @@ class Aligner:
         self.query = np.repeat(np.arange(len(queries)), self.size)[order]
         self.time = np.concatenate([np.arange(n) for n in self.size])[order] if queries else np.zeros(0, np.int64)
 
-    def align(self, frames: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(query, offset, votes, bit error) for every query with enough votes at one offset."""
+    def align(self, frames: np.ndarray, most_errors: float) -> Iterator[tuple[int, int, int, float, bool]]:
+        """(query, offset, votes, bit error, whether of a segment only): the best offset of every query with enough votes there."""
         a, b = np.searchsorted(self.values, frames, "left"), np.searchsorted(self.values, frames, "right")
         n = b - a
-        if n.sum() < self.least:
+        if not n.sum():
             return
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         offset = np.repeat(np.arange(len(frames)), n) - self.time[at]
         keys, votes = np.unique((self.query[at].astype(np.int64) << 32) + (offset + (1 << 31)), return_counts=True)
-        full = votes >= self.least
-        keys, votes = keys[full], votes[full]
-        order = np.lexsort((keys, -votes, keys >> 32))  # of each query the fullest, then the smallest offset
-        keys, votes = keys[order], votes[order]
-        first = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
-        for key, vote in zip(keys[first].tolist(), votes[first].tolist()):
+        need = np.minimum(np.minimum(self.least, len(frames)), self.size)[keys >> 32]
+        full = votes >= need
+        best: dict[int, tuple] = {}
+        for key, vote, least in zip(keys[full].tolist(), votes[full].tolist(), need[full].tolist()):
             q, d = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
             start, end = max(0, d), min(len(frames), d + int(self.size[q]))
-            errors = np.bitwise_count((frames[start:end] ^ self.queries[q][start - d : end - d]).view(np.uint32)).sum()
-            yield q, d, vote, float(errors) / (32.0 * (end - start))
+            wrong = np.bitwise_count((frames[start:end] ^ self.queries[q][start - d : end - d]).view(np.uint32)).astype(np.int64)
+            errors, clip = float(wrong.sum()) / (32.0 * len(wrong)), False
+            if errors > most_errors:
+                wrong = wrong[_segment(32 * most_errors - wrong)]
+                vote, clip = int((wrong == 0).sum()), True
+                if vote < least:
+                    continue
+                errors = float(wrong.sum()) / (32.0 * len(wrong))
+            mine = (clip, errors, -vote, d)
+            if q not in best or mine < best[q]:
+                best[q] = mine
+        for q, (clip, errors, vote, d) in best.items():
+            yield q, d, -vote, errors, clip
+
+
+def _segment(gain: np.ndarray) -> slice:
+    """The run of values with the largest sum."""
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    lowest = np.minimum.accumulate(total)
+    end = int(np.argmax(total[1:] - lowest[:-1])) + 1
+    return slice(int(np.argmin(total[:end])), end)
 
 
 def _aligner(block, k: int, least_votes: int, most_errors: float):
@@ -172,17 +193,17 @@ def _aligner(block, k: int, least_votes: int, most_errors: float):
             lows, highs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high, frames in zip(lows, highs, batch.column(2), strict=True):
                 frames = frames.values.to_numpy(zero_copy_only=False)
-                for q, offset, votes, errors in aligner.align(frames):
+                for q, offset, votes, errors, clip in aligner.align(frames, most_errors):
                     other = low if low != ids[q] else high  # a class of one is the query itself
                     if errors <= most_errors and other != ids[q]:
                         mine = best.setdefault(q, [])
-                        mine.append((errors, -votes, other, offset))
+                        mine.append((clip, errors, -votes, other, offset))
                         if len(mine) > 8 * k:
                             best[q] = sorted(mine)[:k]
-        rows = [(ids[q], other, offset, -votes, errors) for q, mine in best.items() for errors, votes, other, offset in sorted(mine)[:k]]
-        columns = zip(*rows) if rows else ((),) * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "match_id", "shift", "votes", "bit_error"])
+        rows = [(ids[q], other, offset, -votes, errors, clip) for q, mine in best.items() for clip, errors, votes, other, offset in sorted(mine)[:k]]
+        columns = zip(*rows) if rows else ((),) * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "match_id", "shift", "votes", "bit_error", "clip"])
 
     return run
 
@@ -190,8 +211,8 @@ def _aligner(block, k: int, least_votes: int, most_errors: float):
 def align(prints: DataFrame, is_query: Column, k: int = 1, least_votes: int = 4, most_errors: float = 0.25) -> DataFrame:
     """``prints``: id bigint, frames.  query_id, n_frames, rank, match_id, shift, votes, bit_error.
 
-    At most k rows a query, of rising bit error; one row with nulls for a query
-    that matches nothing.  ``shift``: frames by which the query starts later.
+    At most k rows a query, whole matches first, then matched segments, each of
+    rising bit error; one row with nulls for a query that matches nothing.  ``shift``: frames by which the query starts later.
     """
     spark = prints.sparkSession
     prints = Scratch(spark, "chroma").cut(prints.select("id", "frames", is_query.alias("is_query")))
@@ -206,9 +227,9 @@ def align(prints: DataFrame, is_query: Column, k: int = 1, least_votes: int = 4,
     for low, high in zip(edges, edges[1:]):
         mine = queries.filter(((F.col("id") > low) if low is not None else F.lit(True)) & ((F.col("id") <= high) if high is not None else F.lit(True))).toArrow()
         block = spark.sparkContext.broadcast((mine.column(0).to_pylist(), [np.array(x.values.to_numpy(zero_copy_only=False)) for x in mine.column(1)]))
-        part = classes.mapInArrow(_aligner(block, k, least_votes, most_errors), "query_id bigint, match_id bigint, shift bigint, votes bigint, bit_error double")
+        part = classes.mapInArrow(_aligner(block, k, least_votes, most_errors), "query_id bigint, match_id bigint, shift bigint, votes bigint, bit_error double, clip boolean")
         found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy("bit_error", F.col("votes").desc(), "match_id", "shift")
+    best = Window.partitionBy("query_id").orderBy("clip", "bit_error", F.col("votes").desc(), "match_id", "shift")
     found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     asked = prints.filter("is_query").select(F.col("id").alias("query_id"), F.coalesce(F.size("frames"), F.lit(0)).alias("n_frames"))
     return asked.join(found, "query_id", "left").select("query_id", "n_frames", "rank", "match_id", "shift", "votes", "bit_error")

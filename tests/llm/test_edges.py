@@ -300,3 +300,22 @@ def test_chroma(spark):
     a, b = C.fingerprint(image), C.fingerprint(np.concatenate([image[5:], image[:5]]))
     assert (a[5:] == b[: len(a) - 5]).all()  # integers depend on their own frames alone
     assert len(C.fingerprint(image[: C.SPAN - 1])) == 0
+
+
+def test_chroma_short_and_shared(spark):
+    from tessera.llm import chroma as C
+
+    rng = random.Random(11)
+    draw = lambda n: [str(rng.random()) for _ in range(n)]
+    eight, clip = draw(8), draw(40)
+    texts = [eight, eight, [*draw(50), *eight, *draw(50)], [*draw(150), *clip, *draw(150)], [*draw(60), *clip, *draw(200)], draw(5)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, texts[5]])], "id bigint, t string")
+    prints = C.fingerprints(rows, F.col("id"), F.col("t"), C.spoken)
+    got = {}
+    for r in C.align(prints, F.lit(True), k=3).collect():
+        got.setdefault(r.query_id, {})[r.match_id] = r
+    assert 0 < got[0][1].n_frames < 4
+    assert got[0][1].bit_error == 0 == got[1][0].bit_error and got[2][0].votes == got[0][1].n_frames  # fewer integers than votes
+    assert got[0][2].shift == 50
+    assert got[3][4].shift == -90 and got[4][3].shift == 90 and got[3][4].bit_error <= 0.25 and got[3][4].votes >= 30  # a clip of two recordings
+    assert set(got[5]) == set(got[6]) == {None} and got[5][None].n_frames == 0
