@@ -52,7 +52,7 @@ def quotas(sizes: DataFrame, total: int, share: float = 0.2) -> DataFrame:
 
 
 def take_least_similar(rows: DataFrame, group: str, quota: Column, order: Sequence[Column]) -> DataFrame:
-    """Adds ``held_out`` to the first ``quota`` rows of each group in the order."""
+    """Adds ``held_out`` to the first ``quota`` rows of each group in the order; B3's similarities and near-duplicate flag must be in the order given."""
     return rows.withColumn("held_out", F.row_number().over(Window.partitionBy(group).orderBy(*order)) <= quota)
 
 

@@ -1,4 +1,4 @@
-"""Leakage audits: which rows resemble which reference rows.
+"""Leakage audits: which rows resemble which reference rows.
 
 The reference side is a stated set (a benchmark, a test split).  It is taken in
 blocks of a fixed number of rows; each block's sets become an incidence matrix

@@ -53,7 +53,7 @@ def leak_pairs(spark, sf_dir):
 
 
 def leak_peer_self(spark, sf_dir):
-    """Customers whose name's trigrams are those of another: equal sets, so an equi-join does."""
+    """Documents whose normalised text another document has too; exact copies only, not J9."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(normalize(F.col("text"), "leak")).alias("key"))
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     return rows.join(groups.filter("n > 1"), "key").select("doc_id", "n", "first")
