@@ -116,9 +116,16 @@ def write_jsonl(rows: DataFrame, path: str, single: bool = False, append: bool =
     (rows.coalesce(1) if single else rows).write.mode("append" if append else "errorifexists").option("ignoreNullFields", False).json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """K3: a small aggregate as one indented JSON document."""
-    text = json.dumps([r.asDict(recursive=True) for r in report.limit(10_000).collect()], ensure_ascii=False, indent=2, default=str)
+def _whole(rows: DataFrame, most: int) -> list:
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows; a report is written whole or not at all")
+    return found
+
+
+def write_report(report: DataFrame, path: str, most: int = 10_000) -> None:
+    """K3: a small aggregate as one indented JSON document; an error beyond ``most`` rows."""
+    text = json.dumps([r.asDict(recursive=True) for r in _whole(report, most)], ensure_ascii=False, indent=2, default=str)
     report.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
@@ -148,9 +155,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def markdown(table: DataFrame, title: str, columns: Sequence[str] | None = None, most: int = 1000) -> str:
-    """K6: a small table as Markdown, bars escaped."""
+    """K6: a small table as Markdown, bars escaped; an error beyond ``most`` rows."""
     columns = list(columns or table.columns)
-    rows = table.select(*columns).limit(most).collect()
+    rows = _whole(table.select(*columns), most)
     if not rows:
         return f"## {title}\n\nNo rows.\n"
     cell = lambda v: ("" if v is None else str(v)).replace("|", "\\|").replace("\n", " ")

@@ -141,3 +141,15 @@ def test_windows(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 00:20:00", 2.0), ("a", "2024-01-01 02:00:00", 4.0)], "k string, t string, v double").withColumn("t", F.col("t").cast("timestamp"))
     assert sorted((r.n, r.total) for r in windows.tumbling(rows, "t", "1 hour", ["k"], "v").collect()) == [(1, 4.0), (2, 3.0)]
     assert sorted(r.n for r in windows.sessions(rows, "t", "30 minutes", ["k"]).collect()) == [1, 2]
+
+
+def test_reports_are_whole_or_an_error(spark, tmp_path):
+    import pytest
+
+    from tessera.sources import io
+
+    with pytest.raises(ValueError, match="10000 rows"):
+        io.write_report(spark.range(10_001), f"file://{tmp_path}/long")
+    with pytest.raises(ValueError, match="1000 rows"):
+        io.markdown(spark.range(1_001), "t")
+    assert io.markdown(spark.range(1_000), "t").count("\n") >= 1_000
