@@ -9,19 +9,23 @@ alone and normalised by its number of words, give a score by a logistic curve.
 
 Entries and weights are learnt from labelled documents: the log odds of a word
 or beginning of a word in toxic against other documents.  The sample is bounded
-by ``most`` rows; counting runs on the executors.
+by ``most`` rows; counting and testing run on the executors, and what passes the
+test is the lexicon, however much that is.
 
 Cases.  Null, empty and blank texts have no match and get the curve's lowest
-value.  Repeated rows are scored alike.  Without labels a seed lexicon of fixed
-values is used.  Only doc_id and text are read.
+value.  Repeated rows are scored alike; equal texts with different labels count
+as toxic once.  Without labels a seed lexicon of fixed values is used.  Only
+doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +48,6 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "circus clown", "clown fish
 
 PREFIXES = range(3, 9)
 SAMPLE = 10_000
-ENTRIES = 4_000
 
 _BETWEEN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])").sub
 
@@ -109,9 +112,11 @@ class Matcher:
         for end, (size, weight) in self.automaton.iter(folded):
             if folded[end] != " " and folded[end + 1] == " ":
                 continue  # the word doesn't go on
-            (spared if weight is None else hits).append((end - size + 1, end, weight))
-        if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+            (spared if weight is None else hits).append((end - size + 1, end, weight or 0.0))
+        if spared and hits:
+            spared.sort()
+            begins, reach = [a for a, *_ in spared], list(accumulate((b for _, b, _ in spared), max))
+            hits = [h for h in hits if h[0] < begins[0] or reach[bisect_right(begins, h[0]) - 1] < h[1]]
         return sum(h[2] for h in hits), len(hits), words
 
     @staticmethod
@@ -133,40 +138,36 @@ def _features_of(text: str) -> set[str]:
     return found
 
 
-def _counted(only: Sequence[str] | None):
-    """Document frequencies of features within each task; ``only``: of these."""
-    chosen = None if only is None else frozenset(only)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) to the features' document frequencies in each batch: t in toxic, c in other documents."""
+    for batch in batches:
+        counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts[y == 1].update(_features_of(text))
+        other, toxic = counts
+        names = list(other.keys() | toxic.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([other[f] for f in names], pa.int64())], names=["feature", "t", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                found = _features_of(text)
-                counts.update(found if chosen is None else found & chosen)
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["feature", "n"])
 
-    return run
+def tested(counts: DataFrame, toxic: int, other: int, features: int, least_odds: float = 2.5) -> DataFrame:
+    """(feature, t, c) to (feature, odds, ratio) of those that tell toxic texts.
 
+    Their log-likelihood ratio must be larger than chance gives for the best of ``features``.
+    """
+    t, c = F.col("t"), F.col("c")
+    share = (t + c) / F.lit(float(toxic + other))
+    odds = F.log((t + 0.5) / F.lit(toxic + 1.0)) - F.log((c + 0.5) / F.lit(other + 1.0))
+    ratio = t * F.log(t / (share * float(toxic))) + F.when(c > 0, c * F.log(c / (share * float(other)))).otherwise(0.0)
+    least = max(4, math.ceil(toxic / 150))
+    return counts.filter(t >= least).select("feature", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("odds") >= least_odds) & (F.col("ratio") > math.log(features + 1)))
 
-def select_entries(found: Iterable[tuple[str, int, int]], toxic: int, other: int, tested: int, least_odds: float = 2.5) -> list[tuple[str, float]]:
-    """(feature, toxic documents, other documents) to entries that don't overlap, by log-likelihood ratio.
 
-    The ratio must be larger than chance gives for the best of ``tested`` features.
-    """
-    ranked = []
-    chance = math.log(tested + 1)
-    for feature, t, c in found:
-        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (other + 1))
-        if odds < least_odds:
-            continue
-        share = (t + c) / (toxic + other)
-        ratio = t * math.log(t / (toxic * share)) + (c * math.log(c / (other * share)) if c else 0.0)
-        if ratio > chance:
-            ranked.append((ratio, len(feature), feature, odds))
+def select_entries(found: Iterable[tuple[str, float, float]]) -> list[tuple[str, float]]:
+    """(feature, odds, ratio) to entries that don't overlap, the best first."""
     chosen: list[tuple[str, float]] = []
     taken: set[str] = set()
     inner: set[str] = set()
-    for _, _, feature, odds in sorted(ranked, reverse=True):
+    for _, _, feature, odds in sorted(((ratio, len(feature), feature, odds) for feature, odds, ratio in found), reverse=True):
         heads = {feature[:n] for n in range(2, len(feature) + 1)}
         if feature in inner or heads & taken:
             continue  # a beginning of an entry, or begun by one
@@ -178,24 +179,18 @@ def select_entries(found: Iterable[tuple[str, int, int]], toxic: int, other: int
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most: int = SAMPLE) -> Lexicon:
     bound_batches(docs.sparkSession)
-    sample = Scratch(docs.sparkSession, "toxicity").cut(labelled_sample(docs, labels, label, usable, most).dropDuplicates(["text"]))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.cut(labelled_sample(docs, labels, label, usable, most).groupBy("text").agg(F.max("y").alias("y")))
     sizes = dict(sample.groupBy("y").count().collect())
     toxic, other = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
     seeds = tuple((fold(w), 3.0) for w in SEED_WORDS)
     if not toxic or not other:
         return Lexicon(seeds)
-    least = max(4, math.ceil(toxic / 150))
-    texts = sample.filter("y = 1").select("text")
-    scratch = Scratch(docs.sparkSession, "toxicity-features")
-    counted = scratch.cut(texts.mapInArrow(_counted(None), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("t")))
-    tested = counted.count()
-    seen = {r.feature: r.t for r in counted.filter(F.col("t") >= least).orderBy(F.col("t").desc(), "feature").limit(50 * ENTRIES).collect()}
-    texts = sample.filter("y != 1").select("text")
-    counted = texts.mapInArrow(_counted(list(seen)), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("c"))
-    clean = {r.feature: r.c for r in counted.collect()}
-    entries = select_entries(((f, t, clean.get(f, 0)) for f, t in seen.items()), toxic, other, tested)[:ENTRIES]
+    counts = sample.mapInArrow(_counted, "feature string, t bigint, c bigint").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = scratch.cut(counts.filter("t > 0"))
+    entries = select_entries(tuple(r) for r in tested(counts, toxic, other, counts.count()).collect())
     has = {e for e, _ in entries}
-    lexicon = Lexicon(tuple(entries) + tuple(s for s in seeds if not any(s[0].startswith(e) for e in has)))
+    lexicon = Lexicon(tuple(entries) + tuple(s for s in seeds if not any(s[0][:n] in has for n in range(2, len(s[0]) + 1))))
     weighed = np.array([tuple(r) for r in sample.mapInArrow(_weighed(lexicon), "weight double, words bigint, y int").collect()], float)
     curve = logistic(Matcher.features(weighed[:, 0], weighed[:, 1]), weighed[:, 2])
     return Lexicon(lexicon.entries, lexicon.exceptions, tuple(map(float, curve)))
