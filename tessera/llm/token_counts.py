@@ -1,11 +1,8 @@
-"""Token counts with overlap resynchronisation for huge documents.
+"""Token counts with overlap resynchronisation.
 
-Documents of up to ``chunk`` characters need no chunks.  Where the tokenizer
-pretokenizes at byte level, they are cut at single blanks between characters
-that are no white space, which are boundaries for certain, and a bounded memo
-keeps the counts of the pieces; else they are encoded whole.  Longer documents
-are encoded in overlapping chunks with offsets.  Two neighbouring chunks are
-spliced at a word boundary that both show and that is proven stable:
+Every text is encoded in chunks of at most ``chunk`` characters with offsets;
+a text that fits into one chunk needs no splice.  Neighbouring chunks overlap
+and are spliced at a word boundary that both show and that is proven stable:
 
 * Added tokens are cut out from left to right first.  A boundary at least one
   added token's length before the left chunk's end can't lie inside one.
@@ -20,12 +17,13 @@ If an overlap shows no such boundary, it is widened by the factor 4, in the
 worst case until the chunk begins where the left one began and takes its place.
 
 Cases.  Null text counts as empty: no tokens.  Repeated rows give repeated
-rows.  Only doc_id and text are read.
+rows.  Only doc_id and text are read.  Memory is that of ``AT_ONCE`` characters'
+tokens, or of the longest stretch of a text without a boundary.
 """
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._store import bound_batches
-from tessera.llm.bpe import SPACE
 
-CHUNK = 32_768
-OVERLAP = 512
-CHARS_AT_ONCE = 1 << 21
-MEMO_ENTRIES = 400_000
+CHUNK = 4096
+OVERLAP = 128
+AT_ONCE = 1 << 18
 
 
 class ChunkedCounter:
@@ -55,48 +51,49 @@ class ChunkedCounter:
         self.margin = max([1, *(len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.solid = regex.compile(r"\S").search
         self.widened = 0
-        form = json.loads(definition)
-        cut = form.get("pre_tokenizer") or {}
-        self.by_piece = form.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, int | None] = {}
+        self.lookahead = max(1, AT_ONCE // self.chunk)
 
-    def _encode(self, text: str):
-        return self.tokenizer.encode(text, add_special_tokens=False)
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
     @staticmethod
-    def _boundaries(encoding, at: int) -> dict[int, int]:
-        """Position in the text of each word's first token to the token's number.
+    def _boundaries(encoding, at: int, low: int, high: int) -> dict[int, int]:
+        """Position in the text of each word's first token to the token's number, from ``low`` on and before ``high``.
 
         Offsets are trimmed or not alike in both chunks.  The first word of a
         chunk may have lost its beginning, so it is left out.
         """
         out: dict[int, int] = {}
         words, offsets = encoding.word_ids, encoding.offsets
-        for i in range(1, len(words)):
+        for i in range(max(1, bisect_left(offsets, (low - at, 0))), len(words)):
+            p = at + offsets[i][0]
+            if p >= high:
+                break
             if words[i] != words[i - 1] and words[i - 1] is not None and words[i] is not None:
-                out[at + offsets[i][0]] = i
+                out[p] = i
         return out
 
     def _splice(self, text: str, left, left_at: int, left_end: int, right, right_at: int) -> tuple[int, int] | None:
         """Numbers of the first token after the splice, in the left and in the right chunk."""
-        mine, theirs = self._boundaries(left, left_at), self._boundaries(right, right_at)
+        mine, theirs = (self._boundaries(e, at, right_at, left_end) for e, at in ((left, left_at), (right, right_at)))
         for p in sorted(mine.keys() & theirs.keys(), reverse=True):
             if p + self.margin <= left_end and p > right_at + self.margin and self.solid(text, p, left_end - 1):
                 return mine[p], theirs[p]
         return None
 
-    def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return len(self._encode(text))
-        total, at, end = 0, 0, self.chunk
-        left, begin = self._encode(text[:end]), 0  # begin: the first token of the left chunk that isn't counted yet
+    def count(self, text: str, first=None) -> int:
+        """``first``: the encoding of the first chunk, if it is there already."""
+        left = first or self._encode([text[: self.chunk]])[0]
+        total, at, end, begin = 0, 0, min(self.chunk, len(text)), 0  # begin: the left chunk's first token that isn't counted yet
+        ready: dict[tuple[int, int], object] = {}
         while end < len(text):
             overlap = self.overlap
             while True:
                 right_at = max(at, end - overlap)
-                right_end = min(len(text), right_at + max(self.chunk, 2 * overlap))
-                right = self._encode(text[right_at:right_end])
+                right_end = min(len(text), max(end - self.overlap + self.chunk, right_at + 2 * overlap))
+                if (right_at, right_end) not in ready:
+                    ready = self._chunks(text, right_at, right_end, 1 if overlap > self.overlap else self.lookahead)
+                right = ready[right_at, right_end]
                 if right_at == at:  # it begins as the left chunk does, so what was spliced there stays valid
                     found = begin, begin
                     break
@@ -109,52 +106,33 @@ class ChunkedCounter:
             left, begin, at, end = right, found[1], right_at, right_end
         return total + len(left) - begin
 
-    def _lengths(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _by_pieces(self, texts: list[str]) -> list[int]:
-        parts = [t.split(" ") for t in texts]
-        tails = [p[1:] for p in parts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
-        memo = self.memo
-        new = [p for p in set().union(*tails).difference(memo)]
-        sure = [p for p in new if p and p[0] not in SPACE and p[-1] not in SPACE]
-        memo.update(dict.fromkeys(new))
-        memo.update(zip(sure, self._lengths([" " + p for p in sure])))
-        out: list[int | None] = []
-        for text, part, tail in zip(texts, parts, tails, strict=True):
-            counts = list(map(memo.__getitem__, tail))
-            sound = part[0] and part[0][-1] not in SPACE and None not in counts and not any(a in text for a in self.added)
-            out.append(sum(counts) if sound else None)
-        # What begins the text, or all of it where a boundary isn't certain.
-        rest = self._lengths([p[0] if n is not None else t for t, p, n in zip(texts, parts, out)])
-        return [(n or 0) + m for n, m in zip(out, rest)]
+    def _chunks(self, text: str, at: int, end: int, most: int) -> dict[tuple[int, int], object]:
+        """The chunk from ``at`` to ``end`` and those that follow it if no overlap is widened."""
+        spans = [(at, end)]
+        while len(spans) < most and spans[-1][1] < len(text):
+            at = max(spans[-1][0], spans[-1][1] - self.overlap)
+            spans.append((at, min(len(text), max(at + self.chunk, at + 2 * self.overlap))))
+        return dict(zip(spans, self._encode([text[a:b] for a, b in spans]), strict=True))
 
     def counts(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        group: list[int] = []
-        size = 0
-        count = self._by_pieces if self.by_piece else self._lengths
-
-        def flush() -> None:
-            for i, n in zip(group, count([texts[i] for i in group]), strict=True):
-                out[i] = n
-            group.clear()
-
-        for i, t in enumerate(texts):
-            if len(t) > self.chunk:
-                out[i] = self.count(t)
-            elif t:
-                group.append(i)
-                size += len(t)
-                if size > CHARS_AT_ONCE:
-                    flush()
-                    size = 0
-        flush()
+        out: list[int] = []
+        for k in range(0, len(texts), self.lookahead):
+            group = texts[k : k + self.lookahead]
+            out += map(self.count, group, self._encode([t[: self.chunk] for t in group]))
         return out
 
 
+_COUNTERS: dict[tuple, ChunkedCounter] = {}
+
+
+def _counter(definition: str, chunk: int, overlap: int) -> ChunkedCounter:
+    """One counter for each worker and vocabulary."""
+    key = hash(definition), chunk, overlap
+    if key not in _COUNTERS:
+        _COUNTERS[key] = ChunkedCounter(definition, chunk, overlap)
+    return _COUNTERS[key]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; ``path`` names the tokenizer's JSON file."""
     bound_batches(docs.sparkSession)
@@ -165,7 +143,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = ChunkedCounter(definition.value, chunk, overlap)
+        counter = _counter(definition.value, chunk, overlap)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counter.counts(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
