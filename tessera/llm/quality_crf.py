@@ -8,7 +8,8 @@ document's score.
 Labels exist for documents only.  A first field learns from lines that carry
 their document's label.  In bad documents the lines that it finds good, but
 never the worst one, are then relabelled, and the field is learnt again.  The
-sample is bounded: ``most`` documents, of at most ``LINES`` lines each.
+sample is bounded by two parameters: ``most`` documents, and of these, in the
+order of a hash, whole documents until they have ``most_lines`` lines.
 
 Cases.  Null or empty text is one empty line.  Very long lines and texts need
 memory in proportion to their length.  Without labels of both kinds all scores
@@ -25,13 +26,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from tessera.llm._fit import labelled_sample, logistic, sigmoid
-from tessera.llm._store import bound_batches
+from tessera.llm._store import Scratch, bound_batches
 
 SAMPLE = 6_000
-LINES = 256
+SAMPLE_LINES = 400_000
 BATCH = 256
 
 _UPPER = bytes(range(65, 91))
@@ -138,7 +140,7 @@ def _groups(sizes: Sequence[int], cells: int = 1 << 16) -> Iterator[list[int]]:
 
 def _pad(features: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(f) for f in features])
-    x = np.zeros((len(features), n.max(), WIDTH))
+    x = np.zeros((len(features), n.max(), WIDTH), features[0].dtype)
     for i, f in enumerate(features):
         x[i, : len(f)] = f
     return x, n
@@ -149,7 +151,7 @@ def fit_field(features: Sequence[np.ndarray], lines: Sequence[np.ndarray], steps
     groups = []
     for group in _groups([len(f) for f in features]):
         x, n = _pad([features[i] for i in group])
-        y = np.zeros(x.shape[:2], int)
+        y = np.zeros(x.shape[:2], np.int8)
         for k, i in enumerate(group):
             y[k, : n[k]] = lines[i]
         inside = np.arange(x.shape[1])[None, :] < n[:, None]
@@ -190,30 +192,37 @@ def _shares(field: Field, features: Sequence[np.ndarray], lengths: Sequence[np.n
     return np.stack([np.log(near / (1 - near)), mean], -1) if len(mean) else np.zeros((0, 2))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", most: int = SAMPLE) -> QualityModel:
+def _bounded(sample: DataFrame, scratch: Scratch, most_lines: int) -> DataFrame:
+    """Whole texts in the order of a hash, up to the one that reaches ``most_lines`` lines; only numbers are ordered."""
+    sample = scratch.cut(sample.withColumn("n", F.regexp_count("text", F.lit("\n")) + 1).withColumn("row", F.monotonically_increasing_id()))
+    if (sample.agg(F.sum("n")).first()[0] or 0) <= most_lines:
+        return sample
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("row", F.lit(5)), "row").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = sample.select("row", "n").withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most_lines)
+    return sample.join(F.broadcast(chosen.select("row")), "row")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", most: int = SAMPLE, most_lines: int = SAMPLE_LINES) -> QualityModel:
     bound_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, usable, most)
+    sample = _bounded(labelled_sample(docs, labels, label, usable, most), Scratch(docs.sparkSession, "quality"), most_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [line_features(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            fits = [len(n) <= LINES for _, n in made]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f.tobytes() for f, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary()), batch.column(1)], names=["features", "lengths", "y"]
-            ).filter(pa.array(fits, pa.bool_()))
-
-    rows = sample.mapInArrow(run, "features binary, lengths binary, y int").collect()
-    features = [np.frombuffer(r.features, np.float32).reshape(-1, WIDTH).astype(float) for r in rows]
-    lengths = [np.frombuffer(r.lengths, float) for r in rows]
-    y = np.array([r.y for r in rows], int)
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary()), batch.column(1)], names=["features", "lengths", "y"])
+
+    rows = sample.select("text", "y").mapInArrow(run, "features binary, lengths binary, y int").toArrow()
+    features = [np.frombuffer(f.as_buffer(), np.float32).reshape(-1, WIDTH) for f in rows.column("features")]
+    lengths = [np.frombuffer(n.as_buffer(), float) for n in rows.column("lengths")]
+    y = rows.column("y").to_numpy().astype(int)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1.0) / (len(y) + 2.0)
         return QualityModel((0.0,) * WIDTH, ((0.0, 0.0), (0.0, 0.0)), (float(np.log(share / (1 - share))), 0.0, 0.0))
-    lines = [np.full(len(f), v) for f, v in zip(features, y, strict=True)]
+    lines = [np.full(len(f), v, np.int8) for f, v in zip(features, y, strict=True)]
     field = fit_field(features, lines)
     for i, p in enumerate(field.marginals(features)):
         if not y[i]:
-            lines[i] = (p > 0.5).astype(int)
+            lines[i] = (p > 0.5).astype(np.int8)
             lines[i][np.argmin(p)] = 0
     field = fit_field(features, lines)
     curve = logistic(_shares(field, features, lengths), y)
