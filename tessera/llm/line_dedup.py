@@ -1,12 +1,15 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n_docs, top_doc, fresh) sorted by the 128-bit line
-hash: how many documents of one batch hold the line and the largest of their
-ids.  ``LineRuns.add`` merge-anti-joins a new batch against the runs that exist
-(``fresh`` marks keys none of them has) and adds the batch as a run of level 0;
-``fanout`` runs of a level are compacted into one run of the next.  Totals per
-line are sums over the runs, so no step ever holds the lines of one key
-together: counts and maxima combine before every shuffle.
+A run is a table (h1, h2, n_docs, top_doc) in buckets of the 128-bit line hash,
+each sorted by it: how many documents hold the line and the largest of their
+ids.  ``LineRuns.add`` merge-anti-joins the lines of a new batch with the runs
+one after another; joins read the runs in their order, without shuffling or
+sorting them.  What the anti-joins leave is new and becomes a run of level 0;
+lines that a run has go to a table of updates.  So a line is in one run only,
+and when ``fanout`` runs of a level are compacted into one of the next, no two
+rows meet.  Totals are the runs' counts and those of the updates.  Counts and
+maxima combine before every shuffle, so no step holds the lines of one key
+together.
 
 Cases.  Null or empty text is one empty line.  Repeated rows with one doc_id
 count as one document, and each of them keeps or loses a line alike.  Null
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch, bound_batches
+from tessera.llm._store import Scratch, bound_batches, planned_bytes, spread
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -66,61 +69,72 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.scratch = Scratch(spark, "line-runs")
         self.levels: list[list[DataFrame]] = []
+        self.updates: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _union(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out
-
     def unseen(self, keyed: DataFrame) -> DataFrame:
         """The rows of ``keyed`` whose line no run has."""
-        return keyed.join(self._union(self.runs()).select(*KEY), KEY, "left_anti") if self.runs() else keyed
+        for run in self.runs():
+            keyed = keyed.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        return keyed
 
     def add(self, keyed: DataFrame) -> None:
         """``keyed``: (doc_id, h1, h2) of a batch; a document belongs to one batch."""
-        run = keyed.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc"))
-        fresh = F.lit(True)
+        self._compact()
+        batch = self._sorted(keyed.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc")))
+        new = batch
         if self.runs():
-            known = self._union(self.runs()).select(*KEY).distinct().withColumn("known", F.lit(True))
-            run, fresh = run.join(known, KEY, "left"), F.col("known").isNull()
-        self._put(0, run.select(*KEY, "n_docs", "top_doc", fresh.alias("fresh")))
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
+            new = self._sorted(self.unseen(batch))
+            self.updates.append(self.scratch.cut(batch.join(new.select(*KEY).hint("merge"), KEY, "left_anti")))
+            self.scratch.drop(batch)
+        if not self.levels:
             self.levels.append([])
-        self.levels[level].append(self.scratch.cut(run.sortWithinPartitions(*KEY)))
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merge(old))
-            for table in old:
-                self.scratch.drop(table)
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        return self._union(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"), F.max("fresh").alias("fresh"))
+        self.levels[0].append(new)
+
+    def _sorted(self, run: DataFrame) -> DataFrame:
+        return self.scratch.cut_sorted(run.select(*KEY, "n_docs", "top_doc"), KEY, self.buckets)
+
+    def _compact(self) -> None:
+        """``fanout`` runs of a level become one of the next."""
+        for level, old in enumerate(self.levels):
+            if len(old) >= self.fanout:
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(self._sorted(_merged(old)))
+                self.levels[level] = []
+                for table in old:
+                    self.scratch.drop(table)
 
     def totals(self) -> DataFrame:
         """One row for each line: n_docs, top_doc."""
-        runs = self.runs()
-        return (runs[0] if len(runs) == 1 else self._merge(runs)).select(*KEY, "n_docs", "top_doc")
+        return _merged([*self.runs(), *self.updates])
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    return out.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fanout: int = 4, broadcast_bytes: int = 32 << 20, batch_bytes: int = 64 << 30) -> DataFrame:
     """Drop long lines that many documents repeat, except in the largest doc_id.
 
     ``text`` is rewritten; ``n_lines`` (before) and ``n_dropped`` are added.
     The line numbers to drop are joined back by document.  They are broadcast
     if their measured size is at most ``broadcast_bytes``, else both sides are
-    shuffled.
+    shuffled.  ``batches``: by default 4 to 64, as many as the planned size of
+    ``docs`` has ``batch_bytes``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = spread(docs.drop("n_lines", "n_dropped"))
+    batches = batches or min(64, max(4, (planned_bytes(docs) or 0) // batch_bytes))
     row_key = F.xxhash64("text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, line int, h1 bigint, h2 bigint"
     scratch = Scratch(spark, "line-keys")
@@ -138,8 +152,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         lost = F.broadcast(lost)
     both = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(f"{_SAME}id")) & (row_key == F.col(f"{_SAME}row")), "left")
     text, gone = F.coalesce(F.col("text"), F.lit("")), F.col(f"{_SAME}lines")
-    lines = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    # Bound to a variable of a lambda, the lines are split off once for each text.
+    without = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
+    kept = F.transform(F.array(F.split(text, "\n", -1)), without)[0]
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return both.select(
         *[F.when(gone.isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
