@@ -10,25 +10,27 @@ dimensions is accumulated for them alone.  The bound is the k-th best exact
 score the task has seen for the query, and from the start the k-th best of a
 seed sample, so nothing that belongs to the result is ever dropped.
 
-Queries are broadcast in blocks of at most ``query_block`` rows, taken by
-ranges of their ids; each block is searched in one pass over the candidates,
-and every task returns at most k rows a query.
+Queries lie in tiles of at most about ``query_block`` rows, made by the
+executors (``_tiles``); no query passes through the driver's Python, and every
+task returns at most k rows a query.
 
 Cases.  Vectors that are null or empty, or hold null or non-finite components, take no
 part.  Vectors of another length than the query's take no part for it.  Ties go
-to the smaller id.  A query sees every row but those with its own id.  Repeated
-ids are searched as rows of their own.  Scores are exact while they and their
+to the smaller id.  A query sees every row but those with its own id.  Rows of
+a repeated id are queries and candidates of their own, each query with ranks
+from 1; equal rows of candidates take a rank each.  Scores are exact while they and their
 parts stay below 2**63.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import _tiles
+from tessera.llm._store import Scratch, bound_batches
+
 DIMS_AT_ONCE = 16
 CANDIDATES_AT_ONCE = 8192
 SEED_ROWS = 2048
@@ -122,59 +124,60 @@ class Search:
             self.floor[q] = max(self.floor[q], self.best_score[q, m - 1])
 
 
-def _searcher(queries, k: int):
-    """queries: broadcast of {dims: (ids, matrix, floors)}."""
+class _Tile:
+    """A tile's queries, by the length of their vectors, against packs of candidates."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, queries: pa.Table, k: int):
         import numpy as np
 
-        search = {d: Search(ids, matrix, k, floors) for d, (ids, matrix, floors) in queries.value.items()}
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for d, (rows, matrix) in _matrix(batch.column(1), np).items():
-                for a in range(0, len(rows), CANDIDATES_AT_ONCE) if d in search else ():
-                    search[d].offer(ids[rows[a : a + CANDIDATES_AT_ONCE]], matrix[a : a + CANDIDATES_AT_ONCE])
-        for s in search.values():
-            n = s.has.sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.ids, n)), pa.array(s.best_id[s.has]), pa.array(s.best_score[s.has])], names=["query_id", "vec_id", "score"])
+        self.np = np
+        ids, rows, floors = (queries.column(c).to_numpy() for c in ("vec_id", "row", "floor"))
+        self.search = {d: (rows[at], Search(ids[at], m, k, floors[at])) for d, (at, m) in _matrix(_list(queries.column("v")), np).items()}
 
-    return run
+    def offer(self, pack: pa.Table) -> None:
+        ids = pack.column("vec_id").to_numpy()
+        for d, (rows, matrix) in _matrix(_list(pack.column("v")), self.np).items():
+            for a in range(0, len(rows), CANDIDATES_AT_ONCE) if d in self.search else ():
+                self.search[d][1].offer(ids[rows[a : a + CANDIDATES_AT_ONCE]], matrix[a : a + CANDIDATES_AT_ONCE])
 
+    def found(self) -> pa.RecordBatch:
+        parts = [(rows, s, s.has.sum(1)) for rows, s in self.search.values()]
+        both = lambda arrays: pa.array(self.np.concatenate([self.np.zeros(0, self.np.int64), *arrays]))
+        columns = [both(self.np.repeat(s.ids, n) for _, s, n in parts), both(self.np.repeat(rows, n) for rows, _, n in parts), both(s.best_id[s.has] for _, s, _ in parts), both(s.best_score[s.has] for _, s, _ in parts)]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "row", "vec_id", "score"])
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k largest inner products."""
-    import numpy as np
 
+class _Seeded(_Tile):
+    """The tile with its queries' floors after a sample of candidates."""
+
+    def __init__(self, number: int, queries: pa.Table, k: int):
+        super().__init__(queries, k)
+        self.number, self.queries = number, queries
+
+    def found(self) -> pa.RecordBatch:
+        floor = dict(zip(self.np.concatenate([r for r, _ in self.search.values()]).tolist(), self.np.concatenate([s.floor for _, s in self.search.values()]).tolist()))
+        floors = pa.array([floor[r] for r in self.queries.column("row").to_pylist()], pa.int64())
+        data = _tiles.packed_bytes(self.queries.drop_columns("floor").append_column("floor", floors))
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int32()), pa.array([data], pa.binary())], names=["tile", "data"])
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, broadcast_bytes: int = _tiles.BROADCAST_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k largest inner products."""
     spark = vectors.sparkSession
+    bound_batches(spark)
+    scratch = Scratch(spark, "topk")
     ints = F.transform(vector_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
     rows = vectors.filter(F.col(id_col).isNotNull() & whole(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"), is_query.alias("q"))
-    queries = rows.filter("q").select("vec_id", "v")
-    total = queries.count()
-    blocks = max(1, -(-total // query_block))
-    cuts = queries.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
-    edges = [None, *sorted(set(map(int, cuts))), None]
-    seed = {d: (ids, m) for d, (ids, m) in _local(rows.select("vec_id", "v").limit(SEED_ROWS).toArrow(), np).items()}
-    found = None
-    for low, high in zip(edges, edges[1:]):
-        mine = queries.filter(((F.col("vec_id") > low) if low is not None else F.lit(True)) & ((F.col("vec_id") <= high) if high is not None else F.lit(True)))
-        block = {}
-        for d, (ids, m) in _local(mine.toArrow(), np).items():
-            floors = np.full(len(ids), np.iinfo(np.int64).min)
-            if d in seed and len(seed[d][0]) > k:
-                first = Search(ids, m, k, floors)
-                first.offer(*seed[d])
-                floors = first.floor
-            block[d] = ids, m, floors
-        part = rows.select("vec_id", "v").mapInArrow(_searcher(spark.sparkContext.broadcast(block), k), "query_id bigint, vec_id bigint, score bigint")
-        found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    candidates = rows.select("vec_id", "v")
+    # Rows are numbered in a table, so that they are the same in every attempt of a task.
+    queries = scratch.cut(rows.filter("q").select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()).withColumn("floor", F.lit(-(1 << 63))))
+    tiles = max(1, -(-queries.count() // query_block))
+    asked = _tiles.shown(_tiles.tiled(queries, tiles, scratch), candidates.limit(SEED_ROWS), lambda n, t: _Seeded(n, t, k), "tile int, data binary")
+    found = _tiles.met(scratch.cut(asked), tiles, candidates, lambda _, t: _Tile(t, k), "query_id bigint, row bigint, vec_id bigint, score bigint", broadcast_bytes)
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _local(table: pa.Table, np):
-    if not table.num_rows:
-        return {}
-    column = table.column(1).combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    ids = table.column(0).to_numpy()
-    return {d: (ids[rows], m) for d, (rows, m) in _matrix(column, np).items()}
+def _list(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column

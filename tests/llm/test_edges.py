@@ -166,22 +166,24 @@ def test_estimate_is_corrected_for_chance(spark):
     assert [r.e for r in row.select(estimated(F.col("x"), F.col("y")).alias("e")).collect()] == [1.0, pytest.approx(-1 / 15)]
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_topk(spark, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(4096, 16 << 20), (3, 16 << 20), (3, 0)])
+def test_topk(spark, block, broadcast):
+    """One tile, several broadcast, several shuffled; repeated query ids with different vectors."""
     from tessera.llm.topk import top_k
 
     rng = np.random.default_rng(3)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 0.2, (150, 20)))]
     rows += [(200 + i, rows[40][1]) for i in range(30)] + [(300, None), (301, [float("nan")] * 20), (302, [None] * 20), (303, [float("inf")] * 20), (320, [1.0]), (340, []), (None, rows[0][1]), (40, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id bigint, embedding array<float>, rank int, score double")
     sound = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    got = collections.defaultdict(list)
-    for r in top_k(df, F.col("vec_id") % 20 == 0, k=5, query_block=block).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, F.col("vec_id") % 20 == 0, k=5, query_block=block, broadcast_bytes=broadcast).collect()]
+    want = []
     for q, v in sound:
-        if q % 20 == 0 and q != 40:
+        if q % 20 == 0:
             best = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in sound if i != q and len(c) == len(v))[:5]
-            assert got[q] == [(i, -s) for s, i in best]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert collections.Counter(got) == collections.Counter(want)
+    assert sum(g[0] == 40 for g in got) == 10
     assert top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
