@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import labelled_sample, logistic, sigmoid
-from tessera.llm._store import Scratch, bound_batches
+from tessera.llm._store import Scratch, bound_batches, spread
 
 SAMPLE = 6_000
 SAMPLE_LINES = 400_000
@@ -240,4 +240,4 @@ def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.7) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= least).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return spread(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")

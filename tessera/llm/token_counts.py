@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import bound_batches
+from tessera.llm._store import bound_batches, spread
 
 CHUNK = 4096
 OVERLAP = 128
@@ -149,6 +149,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counter.counts(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), "text")
+    rows = spread(docs).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
     return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

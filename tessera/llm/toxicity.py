@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import labelled_sample, logistic, sigmoid
-from tessera.llm._store import Scratch, bound_batches
+from tessera.llm._store import Scratch, bound_batches, spread
 
 # What stands for which letter.
 HOMOGLYPHS = {
@@ -218,7 +218,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> Dat
 
     bound_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, score double, hits bigint, n_words bigint"
-    found = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(run, schema)
+    found = spread(docs).select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(run, schema)
     return found.select("doc_id", "row_key", "score", (F.col("score") >= least).cast("int").alias("predicted"), "hits", "n_words")
 
 
@@ -232,4 +232,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFra
             yield batch.filter(pa.array([matcher.score(t or "")[0] < least for t in batch.column(at).to_pylist()], pa.bool_()))
 
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
