@@ -112,21 +112,23 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _license_sql() -> str:
-    from tessera.llm.license_scan import BASE, TEMPLATES
+    from tessera.llm.license_scan import BASE, TEMPLATES, needed, words_of
 
     rows = []
     for number, (phrase, label, base) in enumerate([(p, v, "true") for p, v in BASE.items()] + [(p, v, "false") for p, v in TEMPLATES.items()]):
-        words = phrase.split()
-        rows += [f"('{a} {b}', {number}, {i}, {len(words) - 1}, '{label}', {base})" for i, (a, b) in enumerate(zip(words, words[1:]))]
-    return f"""WITH t(pair, template, t_pos, n_pairs, label, is_base) AS (VALUES {", ".join(rows)}),
+        words = words_of(phrase)
+        n = len(words) - 1
+        rows += [f"('{a} {b}', {number}, {i}, {n}, {n if base == 'true' else needed(n, 0.85)}, '{label}', {base})" for i, (a, b) in enumerate(zip(words, words[1:]))]
+    return f"""WITH t(pair, template, t_pos, n_pairs, needed, label, is_base) AS (VALUES {", ".join(rows)}),
       w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
       g AS (SELECT r, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM w),
       h AS (SELECT r, i - 1 AS pos, t.* FROM g JOIN t ON t.pair = ws[i] || ' ' || ws[i + 1]),
       v AS (SELECT DISTINCT r, template, is_base, pos - t_pos AS diagonal FROM h),
       o AS (SELECT *, CASE WHEN is_base OR lag(diagonal) OVER q IS NULL OR diagonal - lag(diagonal) OVER q > 2 THEN 1 ELSE 0 END AS opens FROM v WINDOW q AS (PARTITION BY r, template ORDER BY diagonal)),
       s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM o),
-      m AS (SELECT h.r, h.template, span, min(h.pos - h.t_pos) AS start, any_value(h.label) AS label, any_value(h.is_base) AS is_base, count(DISTINCT h.t_pos)::DOUBLE / any_value(n_pairs) AS coverage, max(h.t_pos) = any_value(n_pairs) - 1 AS ends FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.pos - h.t_pos = s.diagonal GROUP BY ALL),
-      f AS (SELECT * FROM m WHERE CASE WHEN is_base THEN coverage = 1 ELSE coverage >= 0.85 AND ends END)
+      m AS (SELECT h.r, h.template, span, min(h.pos - h.t_pos) AS start, any_value(h.label) AS label, any_value(h.is_base) AS is_base, count(DISTINCT h.t_pos) AS n_seen, any_value(needed) AS needed, count(DISTINCT h.t_pos)::DOUBLE / any_value(n_pairs) AS coverage,
+        bool_or(h.t_pos = n_pairs - 1) AND bool_or(h.t_pos = greatest(n_pairs - 2, 0)) AS ends FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.pos - h.t_pos = s.diagonal GROUP BY ALL),
+      f AS (SELECT * FROM m WHERE n_seen >= needed AND ends)
       SELECT doc_id, len(any_value(ws))::BIGINT AS n_words, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0)::DOUBLE AS score
       FROM w LEFT JOIN f USING (r) GROUP BY r, doc_id"""
