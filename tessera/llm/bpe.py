@@ -6,7 +6,9 @@ the leftmost pair of the lowest rank.  Merging it changes three leaves, so each
 merge costs a logarithmic number of node updates, until the root says that no
 pair can merge.  ``SegmentTreeBpe.encode_many`` does this for many pretokens at
 once: the trees of pretokens of one size class lie side by side in one array,
-and every step merges once in each of them.
+and every step merges once in each of them, until only a few still can; these
+are finished one by one, so a pretoken of any length costs a logarithmic number
+of plain steps a merge.
 
 Texts are cut at single blanks between two characters that are no white space.
 There the pretokenizer always has a boundary: what precedes is a run that
@@ -18,7 +20,8 @@ noted, so a text is decoded by joining what its pieces decode to.
 Cases.  Null text counts as empty and has no ids.  Strings of added tokens
 inside texts become their ids, as the library does by default.  Very long
 texts and pretokens need memory in proportion to their length.  Repeated rows
-give repeated rows.  Only doc_id and text are read.
+give repeated rows.  Only doc_id and text are read.  A vocabulary of another
+form than byte-level BPE with the pretokenizer below is an error.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import bound_batches
+from tessera.llm._store import bound_batches, spread
 
 # The pretokenizer's pattern and the white space it knows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-MEMO_ENTRIES = 400_000
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 200  # what an entry costs beside its texts
+FEW = 24  # trees; fewer are finished one by one
 DOCS_AT_ONCE = 1024
 PRETOKENS_AT_ONCE = 50_000
 
@@ -49,6 +54,19 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def check_form(data: dict) -> None:
+    """Raises unless the file describes what this module computes."""
+    model, cut, back = data.get("model") or {}, data.get("pre_tokenizer") or {}, data.get("decoder") or {}
+    wrong = [f"{k} of the model" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["model"] if model.get("type", "BPE") != "BPE" else []
+    wrong += ["normalizer"] if data.get("normalizer") else []
+    wrong += ["pre_tokenizer"] if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space", True) or not cut.get("use_regex", True) else []
+    wrong += ["decoder"] if back.get("type") != "ByteLevel" else []
+    wrong += [f"added token {t['content']}" for t in data.get("added_tokens") or [] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if wrong:
+        raise ValueError("unsupported in this vocabulary: " + ", ".join(wrong))
+
+
 class SegmentTreeBpe:
     """A byte-level BPE vocabulary; ``definition`` is the text of its JSON file."""
 
@@ -56,6 +74,7 @@ class SegmentTreeBpe:
         import regex
 
         data = json.loads(definition)
+        check_form(data)
         vocab: dict[str, int] = data["model"]["vocab"]
         symbols = byte_symbols()
         byte_of = {s: b for b, s in symbols.items()}
@@ -65,6 +84,8 @@ class SegmentTreeBpe:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks = pairs[order], order.astype(np.int64)
+        self.merged_list = self.merged.tolist()
+        self.rank_by_pair = dict(zip(pairs.tolist(), range(len(pairs))))
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.added_split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.added_bytes = [t.encode() for t in self.added]
@@ -133,7 +154,9 @@ class SegmentTreeBpe:
             root = flat[live * (2 * width) + 1]
             more = root != none
             live, root = live[more], root[more]
-            if not len(live):
+            if len(live) < FEW:
+                for r in live.tolist():
+                    self._finish(tree[r], ids[r], after[r], before[r], alive[r], bits, int(none))
                 break
             left = (root & low).astype(np.int64)
             new = self.merged[(root >> kind(bits)).astype(np.int64)]
@@ -167,11 +190,46 @@ class SegmentTreeBpe:
         return ids[:, :width][alive], alive.sum(1)
 
 
+    def _finish(self, tree, ids, after, before, alive, bits: int, none: int) -> None:
+        """The remaining merges of one pretoken; the rows of ``_merge`` are changed in place."""
+        width, low, merged, rank_of = len(alive), (1 << bits) - 1, self.merged_list, self.rank_by_pair.get
+        nodes, mine, following, previous, gone = tree.tolist(), ids.tolist(), after.tolist(), before.tolist(), []
+
+        def put(at: int, value: int) -> None:
+            at += width
+            nodes[at] = value
+            while at > 1:
+                least = min(nodes[at], nodes[at ^ 1])
+                at >>= 1
+                if nodes[at] == least:
+                    return
+                nodes[at] = least
+
+        def leaf(left: int, right: int) -> int:
+            rank = rank_of((mine[left] << 20) | mine[right])
+            return none if rank is None else rank << bits | left
+
+        while (root := nodes[1]) != none:
+            left = root & low
+            right = following[left]
+            third, first = following[right], previous[left]
+            mine[left] = merged[root >> bits]
+            following[left] = third
+            previous[third] = left
+            gone.append(right)
+            put(right, none)
+            put(left, leaf(left, third) if third < width else none)
+            if first >= 0:
+                put(first, leaf(first, left))
+        ids[:] = mine
+        alive[gone] = False
+
+
 class PieceCoder:
-    """Encodes and decodes texts by their pieces; ids as decimal text."""
+    """Encodes and decodes texts by their pieces; ids as decimal text.  The memo is emptied beyond ``most`` bytes."""
 
-    def __init__(self, bpe: SegmentTreeBpe, entries: int = MEMO_ENTRIES):
-        self.bpe, self.entries = bpe, entries
+    def __init__(self, bpe: SegmentTreeBpe, most: int = MEMO_BYTES):
+        self.bpe, self.most, self.held = bpe, most, 0
         self.id_text = {i: str(i).encode() for i in bpe.token_bytes}
         self.ids: dict[bytes, bytes | None] = {}
         self.other: dict[bytes, bytes] = {}  # what pieces decode to that don't decode to themselves
@@ -207,9 +265,11 @@ class PieceCoder:
                 begin.append(head)
         coded = self._coded(todo, counts)
         for piece in plain:
-            self.ids[piece], back = next(coded)
+            self.ids[piece], back = ids, _ = next(coded)
+            self.held += len(piece) + len(ids) + ENTRY_BYTES
             if back != b" " + piece:
                 self.other[piece] = back
+                self.held += len(back) + ENTRY_BYTES
         return dict(zip(begin, coded, strict=True))
 
     def _coded(self, pretokens: list[bytes], counts: list[int]) -> Iterator[tuple[bytes, bytes]]:
@@ -233,8 +293,8 @@ class PieceCoder:
     def code(self, texts: Sequence[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids joined by commas, decoded bytes) of each text."""
         parts = [t.split(b" ") for t in texts]
-        if len(self.ids) > self.entries:
-            self.ids, self.other = {}, {}
+        if self.held > self.most:
+            self.ids, self.other, self.held = {}, {}, 0
         tails = [p[1:] for p in parts]
         heads = self._learn(set().union(*tails).difference(self.ids), {p[0] for p in parts if len(p) > 1})
         for text, pieces, tail in zip(texts, parts, tails, strict=True):
@@ -307,7 +367,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return spread(docs).select("doc_id", "text").mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
 
 
 def decode_ids(ids: Sequence[int], bpe: SegmentTreeBpe) -> str:

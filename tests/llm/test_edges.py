@@ -99,6 +99,27 @@ def test_licenses(spark):
     assert scan_licenses(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_short_templates_and_folding(spark):
+    """One inserted word hides no short template; versions stay apart; only A-Z are folded; a naive scan finds the same places."""
+    from tessera.llm.license_scan import BASE, scan_licenses, words_of
+
+    rows = [
+        (1, "licensed under the CC BY 4.0", "a"), (2, "licensed under CC BY-SA 4.0", "a"), (3, "licensed under a CC BY-SA 4.0", "a"), (4, "rights reserved", "a"), (5, "all rights reserved", "a"),
+        (6, "This worK is licensed under the GNU General Public License version 3", "a"), (7, "released under MIT license", "a"), (8, "licensed under CC BY NC", "a"),
+        (9, "MIT license " * 300 + "x mit the license general public apache license mit license", "a"),
+    ]
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, rows)).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4, 5, 8)] == ["cc-by-4.0", "cc-by-sa-4.0", "cc-by-sa-4.0", "", "all-rights-reserved", ""]
+    assert got[6].labels == "gpl" and got[7].labels == "mit"
+    words = words_of(rows[-1][1])
+    places = [i for p in BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    assert (got[9].n_base, got[9].first_word, got[9].last_word, got[9].base_labels) == (len(places), min(places), max(places), "apache,mit")
+    own = scan_licenses(docs(spark, rows), templates={"Released UNDER, mit": "own"})
+    assert "own" in next(r.labels for r in own.collect() if r.doc_id == 7)
+    with pytest.raises(ValueError, match="no pair"):
+        scan_licenses(docs(spark, rows), templates={"unlicense": "x"})
+
+
 def exact_components(rows, k, percent):
     sets = {}
     for i, t in rows:
@@ -213,7 +234,7 @@ def test_coders_on_random_texts(path):
     from tessera.llm.token_counts import ChunkedCounter
 
     definition = open(path, encoding="utf-8").read()
-    library, coder = Tokenizer.from_file(path), PieceCoder(SegmentTreeBpe(definition), entries=50)
+    library, coder = Tokenizer.from_file(path), PieceCoder(SegmentTreeBpe(definition), most=5000)
     counters = [ChunkedCounter(definition, c, o) for c, o in ((40, 8), (100, 16), (64, 2))]
     rng = random.Random(5)
     made = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 50))) for _ in range(600)]
@@ -225,6 +246,34 @@ def test_coders_on_random_texts(path):
     assert any(c.widened for c in counters)
 
 
+def test_long_pretokens(path):
+    """Unbroken letters, as many as no text should have."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    from tessera.llm.bpe import PieceCoder, SegmentTreeBpe
+
+    coder, library, rng = PieceCoder(SegmentTreeBpe(open(path, encoding="utf-8").read())), Tokenizer.from_file(path), random.Random(2)
+    made = ["".join(rng.choice("abcdeinorst") for _ in range(200_000)), "a" * 50_000, "x " + "é" * 30_000, "1" * 20_000 + " b"]
+    start = time.perf_counter()
+    got = [ids for ids, _ in coder.code([t.encode() for t in made])]
+    assert time.perf_counter() - start < 20
+    assert got == [",".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode() for t in made]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": None}, {"model": {"type": "BPE", "byte_fallback": True}}, {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}])
+def test_other_vocabularies_are_errors(path, change):
+    import json
+
+    from tessera.llm.bpe import check_form
+
+    data = json.load(open(path, encoding="utf-8"))
+    check_form(data)
+    with pytest.raises(ValueError, match="unsupported"):
+        check_form(data | change)
+
+
 def test_toxicity(spark):
     from tessera.llm.toxicity import EXCEPTIONS, Lexicon, drop_toxic, fit_lexicon, fold, score_toxicity
 
