@@ -331,28 +331,71 @@ def test_quality(spark):
     assert Q.score_quality(docs(spark, ODD).limit(0), model).count() == 0
 
 
-def test_chroma(spark):
+def pairs(prints, is_query, k=1, **more):
+    from tessera.llm import chroma as C
+
+    return C.align(prints.filter(is_query), prints, k=k, **more).collect()
+
+
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
+def test_chroma(spark, broadcast):
     from tessera.llm import chroma as C
 
     rng = random.Random(4)
     words = [str(rng.random()) for _ in range(120)]
     whole, part, other = " ".join(words), " ".join(words[30:80]), " ".join(str(rng.random()) for _ in range(60))
-    rows = spark.createDataFrame([(0, whole), (1, part), (2, other), (3, None), (4, ""), (5, "one"), (6, part), (7, whole)], "id bigint, t string")
-    prints = C.fingerprints(rows, F.col("id"), F.col("t"), C.spoken)
-    got = {r.query_id: r for r in C.align(prints, F.lit(True)).collect()}
-    assert len(got) == 8
+    rows = spark.createDataFrame([(0, whole, 1, 2), (1, part, 1, 2), (2, other, 1, 2), (3, None, 1, 2), (4, "", 1, 2), (5, "one", 1, 2), (6, part, 1, 2), (7, whole, 1, 2), (None, whole, 1, 2)], "id bigint, t string, rank int, votes int")
+    prints = C.fingerprints(rows, F.col("t"), C.spoken)
+    found = pairs(prints, F.lit(True), broadcast_bytes=broadcast)
+    got = {r.id: r for r in found}
+    assert len(found) == 9
     assert (got[1].match_id, got[1].shift) == (0, 30) == (got[6].match_id, got[6].shift)  # as good as its copy, and smaller
     assert got[0].match_id == 7 and got[7].match_id == 0 and got[0].bit_error == 0
-    assert got[2].match_id is None and got[3].match_id is None and got[4].n_frames == 0
-    second = {(r.query_id, r.match_id): r.shift for r in C.align(prints.filter("id < 2"), F.col("id") == 1, k=2).collect()}
+    assert got[2].match_id is None and got[3].match_id is None and got[4].n_frames == 0 and got[None].match_id is None
+    second = {(r.id, r.match_id): r.shift for r in pairs(prints.filter("id < 2"), F.col("id") == 1, k=2)}
     assert second == {(1, 0): 30}
-    assert C.align(prints.limit(0), F.lit(True)).count() == 0
+    assert pairs(prints.limit(0), F.lit(True)) == []
     image = np.random.default_rng(0).random((20, 12)).astype(np.float32)
     a, b = C.fingerprint(image), C.fingerprint(np.concatenate([image[5:], image[:5]]))
     assert (a[5:] == b[: len(a) - 5]).all()  # integers depend on their own frames alone
     assert len(C.fingerprint(image[: C.SPAN - 1])) == 0
 
 
+def test_chroma_copies(spark):
+    """Every member of a class of copies can be a match, the smallest first; own keys only if asked for; keys of two columns."""
+    from tessera.llm import chroma as C
+
+    rng = random.Random(9)
+    text = " ".join(str(rng.random()) for _ in range(40))
+    rows = spark.createDataFrame([(a, b, text) for a, b in ((0, 0), (0, 12_345), (1, 2_345), (7, 1), (8, 0))] + [(20, i, " ".join(str(rng.random()) for _ in range(30))) for i in range(4)], "a bigint, b bigint, t string")
+    prints = C.fingerprints(rows, F.col("t"), C.spoken, ("a", "b"))
+    asked = prints.filter("a = 8 or a = 0 and b = 0")
+    for k in (1, 2, 3, 9):
+        got = collections.defaultdict(list)
+        for r in C.align(asked, prints, ("a", "b"), k=k).orderBy("rank").collect():
+            got[r.a, r.b].append((r.match_a, r.match_b))
+        assert got[8, 0] == [(0, 0), (0, 12_345), (1, 2_345), (7, 1)][:k] and got[0, 0] == [(0, 12_345), (1, 2_345), (7, 1), (8, 0)][:k]
+    own = C.align(asked, prints, ("a", "b"), k=1, own=True).collect()
+    assert {(r.a, r.match_a, r.match_b) for r in own} == {(8, 0, 0), (0, 0, 0)}
+
+
+def test_chroma_silence():
+    """Frequent integers are counted by convolution: the same votes as pair by pair, in time that doesn't grow with the square."""
+    import time
+
+    from tessera.llm import chroma as C
+
+    rng = np.random.default_rng(6)
+    queries = [rng.choice([5, 5, 5, 5, 9, 11, 70], n).astype(np.int32) for n in (900, 40, 1500)] + [np.full(700, 5, np.int32)]
+    frames = rng.choice([5, 5, 5, 9, 12, 70], 1100).astype(np.int32)
+    want = collections.Counter(((q << 32) + j - i + (1 << 31)) for q, x in enumerate(queries) for i in range(len(x)) for j in np.flatnonzero(frames == x[i]).tolist())
+    assert dict(zip(*(x.tolist() for x in C.Aligner(queries, 4)._votes(frames)))) == want
+    hour = np.full(56_000, 5, np.int32)
+    start = time.perf_counter()
+    assert list(C.Aligner([hour, hour], 4).align(hour, 0.25)) == [(q, 0, 56_000, 0.0, False) for q in (0, 1)]
+    assert time.perf_counter() - start < 10
+
+
 def test_chroma_short_and_shared(spark):
     from tessera.llm import chroma as C
 
@@ -361,12 +404,35 @@ def test_chroma_short_and_shared(spark):
     eight, clip = draw(8), draw(40)
     texts = [eight, eight, [*draw(50), *eight, *draw(50)], [*draw(150), *clip, *draw(150)], [*draw(60), *clip, *draw(200)], draw(5)]
     rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, texts[5]])], "id bigint, t string")
-    prints = C.fingerprints(rows, F.col("id"), F.col("t"), C.spoken)
+    prints = C.fingerprints(rows, F.col("t"), C.spoken)
     got = {}
-    for r in C.align(prints, F.lit(True), k=3).collect():
-        got.setdefault(r.query_id, {})[r.match_id] = r
+    for r in pairs(prints, F.lit(True), k=3):
+        got.setdefault(r.id, {})[r.match_id] = r
     assert 0 < got[0][1].n_frames < 4
     assert got[0][1].bit_error == 0 == got[1][0].bit_error and got[2][0].votes == got[0][1].n_frames  # fewer integers than votes
     assert got[0][2].shift == 50
-    assert got[3][4].shift == -90 and got[4][3].shift == 90 and got[3][4].bit_error <= 0.25 and got[3][4].votes >= 30  # a clip of two recordings
+    assert got[3][4].shift == -90 and got[4][3].shift == 90 and got[3][4].clip and got[3][4].bit_error <= 0.25 and got[3][4].votes >= 30  # a clip of two recordings
     assert set(got[5]) == set(got[6]) == {None} and got[5][None].n_frames == 0
+
+
+def test_align_against_every_offset():
+    """Offset, votes and bit error of the best match, against a plain test of all offsets."""
+    from tessera.llm import chroma as C
+
+    rng = np.random.default_rng(12)
+    frames = rng.integers(0, 1 << 31, 300).astype(np.int32)
+    queries = []
+    for start, size in ((20, 60), (0, 300), (250, 50), (100, 12)):
+        x = frames[start : start + size].copy()
+        x[::3] ^= 1 << 7
+        queries.append(x)
+    got = {q: (d, votes, errors) for q, d, votes, errors, _ in C.Aligner(queries, 4).align(frames, 0.25)}
+    for q, x in enumerate(queries):
+        tested = []
+        for d in range(-len(x) + 1, len(frames)):
+            a, b = max(0, d), min(len(frames), d + len(x))
+            same = frames[a:b] ^ x[a - d : b - d]
+            if (same == 0).sum() >= 4:
+                tested.append((float(np.bitwise_count(same.view(np.uint32)).sum()) / (32 * (b - a)), -int((same == 0).sum()), d))
+        errors, votes, d = min(tested)
+        assert got[q] == (d, -votes, errors)
