@@ -12,9 +12,13 @@
    full sets.
 4. Links are contracted to components.  Buckets whose members now lie in one
    component need no more pairs.  In each of the rest the members outside the
-   bucket's largest component are compared with every member of another
-   component, and the pairs that pass both filters are confirmed: so each pair
-   of classes that share a bucket is linked, in one component, or tested.
+   bucket's largest component meet every member of another component, and the
+   pairs that pass both filters are confirmed: so each pair of classes that
+   share a bucket is linked, in one component, or tested.  Buckets in which that
+   would be more than ``COMPARED`` comparisons are searched by prefixes instead:
+   shingles are ordered by how many sets of such buckets have them, the rarest
+   first, and only sets that share one of their first n - ceil(t n) + 1 shingles
+   can have similarity t, so nothing is lost and common shingles pair no one.
 
 A parity bitmap has a bit for each of 1024 cells: whether the set has an odd
 number of hashes there.  Sets differ in at least as many hashes as their
@@ -25,7 +29,9 @@ probability ``MISS`` at most; the estimate's margin is 5.5 deviations.
 
 Cases.  Null, empty or blank text has an empty set and is linked with nothing.
 Texts with fewer words than a shingle have their whole sequence as one.  Rows
-of one doc_id count as one; a component's id is its smallest non-null doc_id.
+that repeat a doc_id are texts of their own: each gets the component of its
+text, and equal rows are kept or not alike; a component's id is its smallest
+non-null doc_id.
 A row with null doc_id gets its component's id and is never kept unless it has
 no other.  An empty table gives an empty result.
 """
@@ -39,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch, bound_batches
+from tessera.llm._store import Scratch, bound_batches, spread
 
 ROWS = 5
 MISS = 1e-6
@@ -49,6 +55,9 @@ LONGS = SIGNATURE * LOW_BITS // 64
 CELLS = 1024
 SLICE_BYTES = 1 << 20
 MINIMA_AT_ONCE = 2048
+COMPARED = 1 << 14
+BROADCAST_BYTES = 48 << 20
+ID_BYTES = 40  # of a row with two hashes, beside its id
 
 
 def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -260,17 +269,30 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("u").alias("nid"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_ids: int = 1_000_000) -> DataFrame:
+def _share_prefix(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(nid, root) to the pairs (a, b) of other roots that share a shingle among their rarest."""
+    placed = scratch.cut(members.join(sets, "nid").select("nid", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    used = scratch.cut(placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses")))
+    ranked = placed.join(used, "shingle").groupBy("nid", "root", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "shingle"))).alias("rarest"))
+    prefix = F.slice("rarest", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    shown = scratch.cut(ranked.select("nid", "root", "n", F.explode(F.filter(prefix, lambda s: s["uses"] > 1)).alias("s")).select("nid", "root", "n", F.col("s.shingle").alias("shingle")))
+    x, y = (shown.select(F.col("shingle").alias(f"shingle_{c}"), F.col("nid").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b"))
+    return x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & alike).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_bytes: int = BROADCAST_BYTES, compared: int = COMPARED) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row_key, n_shingles, component_id, kept.
 
-    ``row_key`` is xxhash64(text).  Links: 100 * |intersection| >= percent * |union|.
+    Ids of texts whose full sets are needed are broadcast if they have at most
+    ``broadcast_bytes``, else shuffled.  ``row_key`` is xxhash64(text).  Links: 100 * |intersection| >= percent * |union|.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "minhash")
     bands = band_count(percent)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    keyed = spread(docs).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     signed = scratch.cut(keyed.mapInArrow(_signatures(words, bands, ROWS), f"doc_id {id_type}, row_key bigint, n_shingles bigint, cls binary, bands array<bigint>, sig array<bigint>, parity array<bigint>"))
     first = F.min(F.struct("doc_id", "row_key", "n_shingles", "bands", "sig", "parity")).alias("m")
     classes = scratch.cut(
@@ -286,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     pairs = member.select("nid", F.explode(F.array("lo", "hi")).alias("p")).filter("nid != p").select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b")).distinct()
 
     wanted = scratch.cut(member.select("nid").distinct().join(classes.select("nid", "doc_id", "row_key"), "nid").withColumnsRenamed({"doc_id": "w_doc", "row_key": "w_row"}))
-    few = wanted.count() <= broadcast_ids
+    few = (wanted.agg(F.sum(F.coalesce(F.octet_length(F.col("w_doc").cast("string")), F.lit(0)) + ID_BYTES)).first()[0] or 0) <= broadcast_bytes
     texts = keyed.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("row_key") == F.col("w_row")))
     sets = scratch.cut(texts.select("nid", "text").mapInArrow(_full_sets(words), "nid bigint, shingles array<bigint>").dropDuplicates(["nid"]))
 
@@ -306,14 +328,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     # Buckets of two or three are done: all their pairs have been tested.
     rooted = member.filter("n > 3").select("bucket", "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     counted = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    divided = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most")).filter("parts > 1").select("bucket", F.col("most.root").alias("most"))
+    divided = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).filter("parts > 1")
+    divided = divided.select("bucket", F.col("most.root").alias("most"), ((F.col("n") - F.col("most.n")) * F.col("n") > compared).alias("large"))
     unsettled = scratch.cut(rooted.join(scratch.cut(divided), "bucket"))  # a table, as above
     if not unsettled.isEmpty():
-        facts = unsettled.join(signature, "nid")
+        facts = unsettled.filter("not large").join(signature, "nid")
         x = facts.filter("root != most").select("bucket", "most", *[F.col(c).alias(f"{c}_a") for c in ("nid", "root", "n_shingles", "sig", "parity")])
         y = facts.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("nid", "root", "n_shingles", "sig", "parity")])
         untested = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("nid_a") < F.col("nid_b")))
-        more = x.join(y, (F.col("bucket") == F.col("bucket_b")) & untested & possible(percent)).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
+        more = x.join(y, (F.col("bucket") == F.col("bucket_b")) & untested & possible(percent)).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b"))
+        large = scratch.cut(unsettled.filter("large").select("nid", "root").distinct())
+        if not large.isEmpty():
+            met = _share_prefix(large, sets, percent, scratch)
+            near = met.join(side(signature, "a"), "a").join(side(signature, "b"), "b").filter(possible(percent)).select("a", "b")
+            more = more.unionByName(near)
+        more = more.distinct()
         found = confirm(more)
         if not found.isEmpty():
             # Links between roots; the stars are known already.

@@ -162,9 +162,9 @@ def test_minhash_against_all_pairs(spark, k, percent):
         rows.append((n, " ".join(chain)))
         n += 1
     df = docs(spark, [(i, t, "a") for i, t in rows])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, k, percent).collect()}
     want = exact_components(rows, k, percent)
-    assert got == want
+    for more in ({}, {"compared": 0, "broadcast_bytes": 0}):  # unsettled buckets pair by pair, and by prefixes
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, k, percent, **more).collect()} == want
     left = keep_representatives(df, k, percent)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in want.values()})
 
@@ -178,6 +178,10 @@ def test_minhash_odd_rows(spark):
     assert got[1, 0] == (1, True) and got[2, 0] == (2, True) and got[4, 1] == (4, True)
     assert {got[i, n] for i, n in got if i in (7, 9)} == {(7, True), (7, False)}
     assert near_duplicates(docs(spark, ODD).limit(0), 3, 85).count() == 0
+    twice = [(5, "one two three four five"), (5, LONG), (3, "one two three four five"), (7, LONG), (7, LONG)]  # an id of two texts: each is judged by its own
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs(spark, [(i, t, "a") for i, t in twice]), 3, 85).collect())
+    n = len(LONG.split()) - 2
+    assert got == {(5, 3, 3, False): 1, (3, 3, 3, True): 1, (5, n, 5, True): 1, (7, n, 5, False): 2}
 
 
 def test_estimate_is_corrected_for_chance(spark):
