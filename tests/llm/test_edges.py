@@ -317,6 +317,58 @@ def test_learnt_lexicon(spark):
     assert sum(got[i] != (i % 5 == 0) for i in range(300)) <= 3
 
 
+def test_lexicon_has_no_cap(spark):
+    """Far more features that pass the test than the lexicon once could hold; equal texts of both labels count as toxic once."""
+    from tessera.llm.toxicity import fit_lexicon, select_entries, tested
+
+    counts = spark.range(300_000).select(F.concat(F.lit(" w"), F.col("id"), F.lit(" ")).alias("feature"), F.lit(50).alias("t"), F.when(F.col("id") < 260_000, 0).otherwise(50).alias("c"))
+    assert tested(counts, 100, 1000, 300_000).count() == 260_000
+    found = [tuple(r) for r in tested(counts.filter("id % 50 = 0"), 100, 1000, 300_000).collect()]
+    assert len(select_entries(found)) == len(found) == 5200
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(4))
+    rows = [(i, f"zorgan {word(i)}" if i % 2 else word(i), "a") for i in range(60)] + [(100 + i, f"zorgan {word(i)}", "a") for i in range(1, 60, 2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100 + i, 0) for i in range(1, 60, 2)], "doc_id bigint, toxic int")
+    first = [fit_lexicon(docs(spark, rows), labels, F.lit(True)) for _ in range(2)]
+    assert first[0] == first[1] and any(" zorgan ".startswith(e) for e, _ in first[0].entries)
+
+
+def test_many_exceptions():
+    """Hits inside exception phrases, as a plain test of all against all finds them, in time that grows with the text."""
+    import time
+
+    from tessera.llm.toxicity import Lexicon, fold
+
+    lexicon = Lexicon(((fold("trash"), 2.0), (" clo", 1.0)), tuple(fold(e) for e in ("trash can", "big trash can lid", "circus clown")))
+    matcher, rng = lexicon.matcher(), random.Random(8)
+    for _ in range(50):
+        text = " ".join(rng.choice(["trash", "can", "big", "lid", "clown", "circus", "x"]) for _ in range(40))
+        folded = fold(text)
+        spans = [(i, i + len(e)) for e in lexicon.exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+        hits = [(i, i + len(e)) for e in (" trash ",) for i in range(len(folded)) if folded.startswith(e, i)] + [(i, i + 4) for i in range(len(folded)) if folded.startswith(" clo", i)]
+        assert matcher.weigh(text)[1] == sum(not any(a <= x and y <= b for a, b in spans) for x, y in hits)
+    start = time.perf_counter()
+    assert matcher.weigh("trash can trash " * 100_000)[1] == 100_000
+    assert time.perf_counter() - start < 10
+
+
+def test_quality_learns_from_long_texts(spark):
+    """One kind of documents has very many lines; the fit sees them, and its sample is bounded by lines as by documents."""
+    from tessera.llm import quality_crf as Q
+    from tessera.llm._store import Scratch
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    good = lambda n: "\n".join(" ".join(word() for _ in range(9)) + "." for _ in range(n))
+    bad = lambda n: "\n".join("%$#@ 12 || 99 &&" for _ in range(n))
+    rows = [(i, bad(600) if i % 2 else good(5), "a") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    model = Q.fit_quality(docs(spark, rows), labels, F.col("doc_id") < 40)
+    assert {r.doc_id: r.predicted for r in Q.score_quality(docs(spark, rows), model, 0.5).collect()} == {i: 1 - i % 2 for i in range(60)}
+    sample = docs(spark, rows).select("text", F.lit(1).alias("y"))
+    some = Q._bounded(sample, Scratch(spark, "t"), 3000)
+    assert 3000 <= some.agg(F.sum("n")).first()[0] < 3600 and {len(r.text.split("\n")) for r in some.collect()} <= {5, 600}
+
+
 def test_quality(spark):
     from tessera.llm import quality_crf as Q
 
