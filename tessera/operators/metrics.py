@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stats import mcnemar_exact, mcnemar_z, ratio, wilson, wilson_text
 from tessera.functions.text import contact_name, normalize, phone_digits
-from tessera.operators.validate import kind_of, validate_calls
+from tessera.operators.validate import kind_of, small, validate_calls
 
 
 def last_wins(rows: DataFrame, key: str = "id", order: str = "line_no") -> DataFrame:
@@ -34,7 +34,7 @@ def _number(value: Column) -> Column:
     return F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean").cast("double")).when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double"))
 
 
-def values_match(name: Column, expected: Column, actual: Column, depth: int = 2) -> Column:
+def values_match(name: Column, expected: Column, actual: Column, depth: int = 4) -> Column:
     """A1: the comparison of one argument; objects to ``depth`` levels, deeper ones by their JSON text."""
     kind = kind_of(expected)
     exp_map, act_map = (F.try_variant_get(v, "$", "map<string,variant>") for v in (expected, actual))
@@ -66,7 +66,8 @@ def score_examples(examples: DataFrame, predictions: DataFrame, catalog: DataFra
     gold = last_wins(examples.select("id", "line_no", "group", "expected"))
     guess = last_wins(predictions.select("id", "line_no", "prediction")).select("id", "prediction")
     rows = gold.join(guess, "id", "left").withColumn("prediction", F.coalesce("prediction", F.parse_json(F.lit("{}"))))
-    rows = validate_calls(rows, catalog)
+    needs = catalog.select(F.col("name").alias("__tool"), F.filter("args", lambda a: a["required"]).getField("name").alias("required"))
+    rows = validate_calls(rows, catalog).join(small(needs), F.try_variant_get("expected", "$.tool", "string") == F.col("__tool"), "left").drop("__tool")
     get = lambda v, f, t="string": F.try_variant_get(v, f"$.{f}", t)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
     exp, act = (F.coalesce(get(v, "arguments", "map<string,variant>"), none) for v in ("expected", "prediction"))
@@ -87,22 +88,118 @@ def score_examples(examples: DataFrame, predictions: DataFrame, catalog: DataFra
 
 
 
+def _lenient(expected: Column, actual: Column) -> Column:
+    """Equal as values, texts without their case."""
+    both = lambda kinds: kind_of(expected).isin(*kinds) & kind_of(actual).isin(*kinds)
+    equal = (
+        F.when(both(["string"]), F.lower(_text(expected)) == F.lower(_text(actual)))
+        .when(both(["boolean", "integer", "number"]), _number(expected) == _number(actual))
+        .otherwise(F.to_json(expected) == F.to_json(actual))
+    )
+    return F.coalesce(equal, F.lit(False))
+
+
 def end_to_end_variants() -> dict[str, Column]:
-    """Expressions over ``score_examples``; ``canonical`` is the default everywhere."""
-    superset = F.size(F.array_except(F.map_keys("exp_args"), F.map_keys("act_args"))) == 0
+    """The definitions of end-to-end success, over ``score_examples``; ``canonical`` is the default everywhere.
+
+    ``required_filled`` asks that the arguments which the catalog requires are
+    there; ``cs_fix`` is the same on other rows, see ``success_of_predictions``.
+    """
+    status = lambda v: F.try_variant_get(v, "$.status", "string")
+    confirmed = lambda v: F.try_variant_get(v, "$.requires_confirmation", "boolean")
+    keys = F.map_keys("exp_args")
+    superset = F.size(F.array_except(keys, F.map_keys("act_args"))) == 0
     loose_status = F.col("exp_tool").isNotNull() | F.col("act_tool").isNull() | F.col("exp_status").eqNullSafe(F.col("act_status"))
-    filled = F.forall(F.map_keys("exp_args"), lambda k: F.coalesce(F.nullif(_text(F.try_element_at("act_args", k)), F.lit("None")), F.lit("")) != "")
-    ci_equal = F.forall(F.map_keys("exp_args"), lambda k: F.coalesce(F.lower(_text(F.element_at("exp_args", k))) == F.lower(_text(F.try_element_at("act_args", k))), F.lit(False)))
+    text = lambda k: F.coalesce(F.nullif(_text(F.try_element_at("act_args", k)), F.lit("None")), F.lit(""))
+    filled = F.forall(F.coalesce("required", F.array().cast("array<string>")), lambda k: text(k) != "")
+    given = F.forall(keys, lambda k: _lenient(F.element_at("exp_args", k), F.try_element_at("act_args", k)))
+    asked = F.coalesce(F.col("exp_status"), F.lit("")) != ""
     tool = F.col("tool_correct")
+    confirmation = confirmed("expected").isNull() | confirmed("expected").eqNullSafe(confirmed("prediction"))
     return {
         "canonical": F.col("end_to_end"),
         "custom": tool & (F.col("args_correct") == F.col("args_total")) & superset & loose_status & F.col("confirmation_correct") & F.col("schema_valid"),
-        "required_filled": F.col("exp_tool").isNull() | (tool & filled),
-        "lenient_ci": tool & ci_equal & F.col("status_correct"),
-        "lenient_match": tool & (F.col("args_correct") == F.col("args_total")) & F.col("status_correct"),
+        "required_filled": tool & (F.col("exp_tool").isNull() | filled),
+        "lenient_confirmed": tool & F.when(F.col("exp_tool").isNull(), status("expected").eqNullSafe(status("prediction"))).otherwise(given & confirmation),
+        "lenient_status": tool & given & (~asked | F.col("exp_status").eqNullSafe(F.col("act_status"))),
     }
 
 
+def soft_containment() -> Column:
+    """Of one row: the share of required arguments one of whose texts holds the other; 1 if none is required, 0 for another tool."""
+    plain = lambda side, k: F.lower(F.trim(_text(F.try_element_at(side, k))))
+    present = lambda side, k: F.try_element_at(side, k).isNotNull() & (plain(side, k) != "")
+    hit = F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda k: present("act_args", k) & present("exp_args", k) & (F.contains(plain("exp_args", k), plain("act_args", k)) | F.contains(plain("act_args", k), plain("exp_args", k))))
+    return F.when(~F.col("tool_correct"), 0.0).when(F.col("exp_tool").isNull() | (F.coalesce(F.size("required"), F.lit(0)) <= 0), 1.0).otherwise(F.size(hit) / F.size("required"))
+
+
+def success_of_predictions(examples: DataFrame, predictions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The variant ``cs_fix``: (count, tool_acc, schema_valid, e2e) with one row a prediction.
+
+    Every prediction counts, repeated ones and those without an example too;
+    confirmation isn't asked for, as it would be set from the catalog.
+    """
+    gold = last_wins(examples.select("id", "line_no", "expected")).select("id", "expected")
+    needs = catalog.select(F.col("name").alias("__tool"), F.filter("args", lambda a: a["required"]).getField("name").alias("required"))
+    rows = predictions.select("id", "prediction").join(gold, "id", "left").withColumn("exp_tool", F.try_variant_get("expected", "$.tool", "string"))
+    rows = rows.join(small(needs), F.col("exp_tool") == F.col("__tool"), "left")
+    given = F.try_variant_get("prediction", "$.arguments", "map<string,variant>")
+    filled = F.forall(F.coalesce("required", F.array().cast("array<string>")), lambda k: F.coalesce(F.nullif(_text(F.try_element_at(given, k)), F.lit("None")), F.lit("")) != "")
+    tool = F.col("expected").isNotNull() & F.col("exp_tool").eqNullSafe(F.try_variant_get("prediction", "$.tool", "string"))
+    ok = tool & (F.col("exp_tool").isNull() | F.coalesce(filled, F.coalesce(F.size("required"), F.lit(0)) <= 0))
+    rate = lambda c: ratio(F.count_if(c), F.count(F.lit(1)), 0.0)
+    return rows.agg(F.count(F.lit(1)).alias("count"), rate(tool).alias("tool_acc"), rate(ok).alias("schema_valid"), rate(ok).alias("e2e"))
+
+
+def negative_accuracy(scored: DataFrame) -> DataFrame:
+    """A15, A16 over examples without a tool, 1 if there are none: tool and status right, and the status alone; confirmation over all."""
+    null = F.col("exp_tool").isNull()
+    of_null = lambda c: ratio(F.count_if(null & c), F.count_if(null), 1.0)
+    return scored.agg(
+        F.count_if(null).cast("bigint").alias("n_null"), of_null(F.col("status_correct")).alias("null_status_accuracy"),
+        of_null(F.col("exp_status").eqNullSafe(F.col("act_status"))).alias("status_only_accuracy"),
+        ratio(F.count_if(F.col("confirmation_correct")), F.count(F.lit(1)), 1.0).alias("confirmation_accuracy"),
+    )
+
+
+def pilot_summary(tasks: DataFrame, records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``tasks`` (id, supported), ``records`` (id, flags): counts and rates, each of its own denominator.
+
+    Records of unknown tasks are left out (J15); null flags count as false.
+    """
+    done = records.join(tasks.select("id", "supported"), "id")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    supported, right = F.col("supported"), flag("tool_correct")
+    n, n_supported, n_negative = F.count(F.lit(1)), F.count_if(supported), F.count_if(~supported)
+    predicted = right & F.when(supported, flag("arguments_correct")).otherwise(flag("status_correct"))
+    safe = ~supported & flag("execute_disabled") & flag("no_external_launch") & right & flag("status_correct")
+    full = F.count_if(flag("full_execution_success"))
+    low, high = wilson(full, n)
+    out = done.groupBy(*by).agg(
+        n.alias("completed_tasks"), full.alias("full_execution_successes"), ratio(full, n, 0.0).alias("execution_accuracy"), low.alias("low"), high.alias("high"),
+        F.count_if(predicted).alias("prediction_successes"), ratio(F.count_if(predicted), n, 0.0).alias("prediction_accuracy"),
+        n_supported.alias("supported_tasks"), ratio(F.count_if(supported & flag("launch_success")), n_supported, 0.0).alias("activity_launch_rate"),
+        ratio(F.count_if(supported & flag("semantic_success")), n_supported, 0.0).alias("semantic_success_rate"),
+        n_negative.alias("negative_tasks"), F.count_if(safe).alias("negative_safety_successes"), ratio(F.count_if(safe), n_negative, 0.0).alias("negative_safety_rate"),
+    )
+    if by:
+        return out
+    planned = tasks.agg(F.count(F.lit(1)).alias("planned_tasks"))
+    return F.broadcast(planned).crossJoin(out).withColumn("complete", F.col("planned_tasks") == F.col("completed_tasks"))
+
+
+def pilot_success() -> Column:
+    """What counts as full success of a record, by whether its task has a tool."""
+    return F.when(F.col("supported"), all_true(*[F.col(c) for c in ("tool_correct", "arguments_correct", "confirmation_correct", "launch_success", "semantic_success")])).otherwise(
+        all_true(*[F.col(c) for c in ("tool_correct", "status_correct", "execute_disabled", "no_external_launch")])
+    )
+
+
+def class_order(label: Column) -> list[Column]:
+    """O3: classes by name, those without a tool last."""
+    return [F.startswith(label, F.lit("NULL:")), label]
+
+
 def rates(rows: DataFrame, flags: Sequence[str], by: Sequence[str] = (), sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """Count and the rate of each boolean, null as false, per group or grouping set."""
     aggs = [F.count(F.lit(1)).alias("count"), *[F.avg(F.coalesce(F.col(f), F.lit(False)).cast("int")).alias(f"{f}_rate") for f in flags]]
@@ -208,8 +305,10 @@ def diff_note(diff: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("; ", part("missing"), part("extra"), part("changed")), F.lit("")), F.lit("argument mismatch"))
 
 
-def top_counts(values: DataFrame, value: str, n: int) -> DataFrame:
-    """The n most frequent values; ties in the order of the values."""
+def top_counts(values: DataFrame, value: str, n: int, seen: str | None = None) -> DataFrame:
+    """The n most frequent values; ties by their smallest ``seen``, or without it in the order of the values."""
+    if seen:
+        return values.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("first_seen")).orderBy(F.col("n").desc(), "first_seen").limit(n)
     return values.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), value).limit(n)
 
 

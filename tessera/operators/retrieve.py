@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CATALOG_ROWS = 10_000
+from tessera.operators.validate import CATALOG_ROWS, small
+
 RANGE_FLOOR = 1e-9
 
 
@@ -22,14 +23,6 @@ class Retriever(Protocol):
         """(query, ...) to (query, item, score)."""
 
 
-def small(table: DataFrame, most: int = CATALOG_ROWS) -> DataFrame:
-    """The table with a broadcast hint, if it has at most ``most`` rows."""
-    n = table.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} rows can't be paired with every query; use a search operator")
-    return F.broadcast(table)
-
-
 def tool_text(name: Column, *descriptions: Column, arguments: Column) -> Column:
     """What a tool is found by."""
     return F.concat_ws(" ", F.replace(name, F.lit("_"), F.lit(" ")), *descriptions, F.array_join(arguments, " "))

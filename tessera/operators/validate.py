@@ -12,6 +12,17 @@ from tessera.functions.text import normalize
 # The statuses that allow a call without a tool.
 NULL_STATUSES = ("clarification", "unsupported", "rejected")
 
+CATALOG_ROWS = 10_000
+
+
+def small(table: DataFrame, most: int = CATALOG_ROWS) -> DataFrame:
+    """The table with a broadcast hint, if it has at most ``most`` rows."""
+    n = table.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows can't be sent to every task")
+    return F.broadcast(table)
+
+
 CATALOG_SCHEMA = "name string, confirmation boolean, args array<struct<name:string,type:string,required:boolean,enum:array<string>,minimum:bigint,maximum:bigint,items:string>>"
 
 
@@ -55,14 +66,15 @@ def _argument_errors(arg: Column, given: Column) -> Column:
 def validate_calls(calls: DataFrame, catalog: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Adds ``errors``, ordered; ``catalog`` as in CATALOG_SCHEMA.
 
-    A call that is null or no object counts as an empty object.
+    A call that is null or no object counts as an empty object.  The catalog is
+    broadcast; one of more than CATALOG_ROWS tools is an error.
     """
     p = F.col(prediction)
     tool = F.try_variant_get(p, "$.tool", "string")
     status = F.try_variant_get(p, "$.status", "string")
     arguments = F.try_variant_get(p, "$.arguments", "variant")
     joined = calls.withColumn("__tool", tool).join(
-        F.broadcast(catalog.select(F.col("name").alias("__name"), F.col("confirmation").alias("__confirmation"), F.col("args").alias("__args"))), F.col("__tool") == F.col("__name"), "left"
+        small(catalog.select(F.col("name").alias("__name"), F.col("confirmation").alias("__confirmation"), F.col("args").alias("__args"))), F.col("__tool") == F.col("__name"), "left"
     )
     given = F.try_variant_get(p, "$.arguments", "map<string,variant>")
     unknown = F.array_sort(F.array_except(F.map_keys(given), F.transform("__args", lambda a: a["name"])))
@@ -179,3 +191,28 @@ def validate_protocol(tasks: DataFrame, catalog: DataFrame, forbidden: Sequence[
 def decoding_schema(catalog: DataFrame) -> DataFrame:
     """The catalog as what a constrained decoder may emit: one row a tool with its argument names and enums."""
     return catalog.select("name", F.transform("args", lambda a: F.struct(a["name"].alias("name"), a["type"].alias("type"), a["enum"].alias("enum"))).alias("args"), F.filter("args", lambda a: a["required"]).getField("name").alias("required"))
+
+
+#: V22. What the schema document of labelled items allows.
+ITEM_LANGUAGES = ("vi", "vi-en")
+RISK_LEVELS = ("low", "medium", "high")
+SPLITS = ("train", "validation", "test", "test_ood", "test_ambiguous")
+UTTERANCE_LENGTH = 2
+
+
+def schema_faults(items: DataFrame) -> DataFrame:
+    """(line_no, field) of the items' values that the schema document forbids and ``validate_items`` doesn't look at."""
+    get = lambda f: F.try_variant_get("item", f"$.{f}", "string")
+    outside = lambda f, allowed: F.when(get(f).isNotNull() & ~get(f).isin(*allowed), f)
+    found = F.array_compact(F.array(
+        F.when(F.char_length(get("utterance")) < UTTERANCE_LENGTH, F.lit("utterance")), outside("language", ITEM_LANGUAGES), outside("risk_level", RISK_LEVELS), outside("split", SPLITS), outside("intent", INTENTS),
+    ))
+    return items.select("line_no", F.explode(found).alias("field"))
+
+
+def validate_candidate(items: DataFrame, candidate: DataFrame) -> DataFrame:
+    """The messages of one new item (item variant), judged as if it stood behind all others."""
+    last = items.agg(F.coalesce(F.max("line_no"), F.lit(0)).alias("last"))
+    new = candidate.select("item").crossJoin(F.broadcast(last)).select((F.col("last") + 1).alias("line_no"), "item")
+    found = validate_items(items.select("line_no", "item").unionByName(new), INTENTS, REQUIRED_ARGS)
+    return found.join(F.broadcast(new.select("line_no")), "line_no").select("ord", "message")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import datasets, evaluation, leaks, relational, retrieval
+from tessera.plans import calls, datasets, evaluation, leaks, relational, retrieval
 
-_PARTS = (evaluation, retrieval, leaks, datasets, relational)
+_PARTS = (evaluation, calls, retrieval, leaks, datasets, relational)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

@@ -101,7 +101,7 @@ def test_report(spark, catalog):
     kinds = {r.id: r.k for r in scored.select("id", M.error_type().alias("k")).collect()}
     assert (kinds["c"], kinds["b"]) == ("argument_mismatch", "schema_invalid")
     variants = scored.select(*[F.count_if(c).alias(n) for n, c in M.end_to_end_variants().items()]).first().asDict()
-    assert variants["canonical"] == 1 and variants["custom"] == 2 and variants["lenient_match"] == 2
+    assert variants["canonical"] == 1 and variants["custom"] == 2 and variants["lenient_confirmed"] == 2 and variants["lenient_status"] == 2
     empty = M.report(M.score_examples(e.limit(0), p, catalog)).first()
     assert (empty["count"], empty.soft_argument_accuracy, empty.end_to_end_ci_95) == (0, 1.0, "N/A")
 
