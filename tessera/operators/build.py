@@ -37,18 +37,31 @@ def stratified_split(rows: DataFrame, group: str, key: str, share: float = 0.2,
 def quotas(sizes: DataFrame, total: int, share: float = 0.2) -> DataFrame:
     """B2: (class, n) to (class, n, quota): max(1, floor(share n)), then one each by largest remainder, size and name until ``total``.
 
-    The table of classes is small; the rounds are a closed form over it: in
-    every round of additions a class's remainder falls by 1, so the additions
-    are the ``total - sum`` first of (class, round) in the order of remainders.
+    In every addition a class's remainder falls by 1.  All remainders lie in one
+    interval of length 1 but those of classes raised to 1, which are below it by
+    whole numbers; so additions come in rounds over the classes whose remainder
+    is still the largest.  Whole rounds are shared out by arithmetic over the
+    distinct whole parts; only the last, partial round needs an order, of the
+    classes alone.
     """
     base = F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n")))
     t = sizes.select("class", "n", base.cast("bigint").alias("base")).withColumn("rest", F.round(F.lit(share) * F.col("n") - F.col("base"), 9))
-    left = t.agg((F.lit(total) - F.sum("base")).alias("left"))
-    many = F.greatest(F.col("left"), F.lit(0))
-    turns = t.crossJoin(F.broadcast(left)).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), many)))
-    w = Window.orderBy((F.col("rest") - F.col("turn")).desc(), F.col("n").desc(), F.col("class").desc())
-    added = turns.withColumn("place", F.row_number().over(w)).filter("place <= left").groupBy("class").agg(F.count(F.lit(1)).alias("added"))
-    return t.join(added, "class", "left").select("class", "n", (F.col("base") + F.coalesce("added", F.lit(0))).alias("quota"))
+    t = t.withColumn("level", F.floor("rest"))
+    left = t.agg(F.greatest(F.lit(total) - F.sum("base"), F.lit(0)).alias("left"))
+    # Rounds run over levels from the top: before a class of level l gets its first, those above have got their rounds down to l.
+    levels = t.groupBy("level").agg(F.count(F.lit(1)).alias("classes"))
+    down = Window.orderBy(F.col("level").desc())
+    levels = levels.withColumn("upto", F.sum("classes").over(down)).withColumn("next", F.lead("level").over(down))
+    levels = levels.withColumn("whole", F.col("upto") * (F.col("level") - F.col("next")))
+    before = F.coalesce(F.sum("whole").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.withColumn("before", before).crossJoin(F.broadcast(left))
+    reached = levels.filter(F.col("before") <= F.col("left")).agg(F.max_by(F.struct("level", "upto", "before"), F.col("before") * 1.0 - F.col("level") * 1e-9).alias("r"), F.max("left").alias("left"))
+    reached = reached.select(F.col("r.level").alias("lowest"), F.floor((F.col("left") - F.col("r.before")) / F.col("r.upto")).alias("rounds"), F.pmod(F.col("left") - F.col("r.before"), F.col("r.upto")).alias("over"))
+    t = t.crossJoin(F.broadcast(reached)).withColumn("taking", F.col("level") >= F.col("lowest"))
+    t = t.withColumn("got", F.when(F.col("taking"), F.col("level") - F.col("lowest") + F.col("rounds")).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("taking").orderBy((F.col("rest") - F.col("got")).desc(), F.col("n").desc(), F.col("class").desc()))
+    extra = (F.col("taking") & (place <= F.col("over"))).cast("bigint")
+    return t.select("class", "n", (F.col("base") + F.col("got") + extra).cast("bigint").alias("quota"))
 
 
 def take_least_similar(rows: DataFrame, group: str, quota: Column, order: Sequence[Column]) -> DataFrame:
@@ -56,6 +69,24 @@ def take_least_similar(rows: DataFrame, group: str, quota: Column, order: Sequen
     return rows.withColumn("held_out", F.row_number().over(Window.partitionBy(group).orderBy(*order)) <= quota)
 
 
+def hold_out_least_similar(rows: DataFrame, augmented: DataFrame, group: str, quota: Column, near: float = 0.9, kind: str = "split", seed: int = 42) -> DataFrame:
+    """Adds ``near_duplicate``, ``aug_similarity``, ``peer_similarity`` and ``held_out`` to a stated set ``rows`` (id, text, ``group``).
+
+    Similarities are sequence ratios of normalised texts: the largest with any
+    of ``augmented`` (id, text), and the largest with any other of ``rows``.
+    Of each group the first ``quota`` rows go: those without a near duplicate
+    first, then the least similar to augmented ones, to peers, then by hash.
+    """
+    from tessera.operators.leakage import audit
+
+    plain = rows.select("id", "text")
+    aug = audit(plain, augmented.select(F.col("id").alias("ref"), "text"), kind).select(F.col("id").alias("__a"), F.col("ratio").alias("aug_similarity"))
+    peers = audit(plain, plain.withColumnRenamed("id", "ref"), kind, own=False).select(F.col("id").alias("__p"), F.col("ratio").alias("peer_similarity"))
+    out = rows.join(aug, F.col("id") == F.col("__a"), "left").join(peers, F.col("id") == F.col("__p"), "left").drop("__a", "__p").fillna(0.0, ["aug_similarity", "peer_similarity"])
+    out = out.withColumn("near_duplicate", F.col("peer_similarity") >= near)
+    return take_least_similar(out, group, quota, [F.col("near_duplicate"), F.col("aug_similarity"), F.col("peer_similarity"), uniform(F.col("id"), F.lit("hold"), seed=seed), F.col("id")])
+
+
 def substitute_words(text: Column, mapping: Mapping[str, str], key: Column, rate: float, seed: int = 42) -> Column:
     """Each word that the map has is replaced with probability ``rate``; a capital first letter stays one."""
     table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])

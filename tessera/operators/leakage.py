@@ -1,10 +1,14 @@
-"""Leakage audits: which rows resemble which reference rows.
+"""Leakage audits: which rows resemble which reference rows.
 
 The reference side is a stated set (a benchmark, a test split).  It is taken in
 blocks of a fixed number of rows; each block's sets become an incidence matrix
 that every task lays over its Arrow batches.  So all pairs are counted exactly,
 none is emitted, and what leaves a task is a best match or a pair above the
-threshold.
+threshold.  Rows are normalised and cut into tokens once, however many blocks
+there are.
+
+``nearest_peers`` compares a corpus with itself; its candidates come from
+shared rare tokens, and nothing is lost above its threshold.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize, seq_ratio, seq_ratio_bound
+from tessera.operators.layout import kept, spread
 
 BLOCK_ROWS = 2048
 BLOCK_ENTRIES = 1 << 22
@@ -75,21 +80,27 @@ def _blocks(refs: DataFrame) -> Iterator[list[tuple[object, list]]]:
         yield block
 
 
+def _once(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows that several blocks read, as a checkpoint in the shared folder."""
+    return rows if blocks < 2 else kept(rows)
+
+
 def _overlaps(rows: DataFrame, refs: DataFrame, per_ref: bool, least: float | None) -> DataFrame:
     spark = rows.sparkSession
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = to_arrow_type(rows.schema["id"].dataType), to_arrow_type(refs.schema["ref"].dataType)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, ref {refs.schema['ref'].dataType.simpleString()}, sim double"
+    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(refs)]
+    rows = _once(rows.select("id", "tokens"), len(blocks))
     out = None
-    for block in _blocks(refs):
-        mine = spark.sparkContext.broadcast(block)
+    for mine in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
             inc = _Incidence(mine.value)
-            best: dict[int, tuple] = {}
+            best, at = np.full(len(inc.ids), -1.0), [None] * len(inc.ids)
             found: list[tuple] = []
             for batch in batches:
                 for row, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -97,9 +108,9 @@ def _overlaps(rows: DataFrame, refs: DataFrame, per_ref: bool, least: float | No
                     if least is not None:
                         found += [(row, inc.ids[j], float(sims[j])) for j in np.flatnonzero(sims >= least)]
                     elif per_ref:
-                        for j, s in enumerate(sims.tolist()):
-                            if j not in best or (-s, row) < best[j][:2]:
-                                best[j] = (-s, row)
+                        for j in np.flatnonzero(sims >= best).tolist():
+                            if sims[j] > best[j] or row < at[j]:  # equal: the smaller id
+                                best[j], at[j] = sims[j], row
                     else:
                         top = sims.max()
                         found.append((row, min(inc.ids[j] for j in np.flatnonzero(sims == top)), float(top)))
@@ -107,9 +118,9 @@ def _overlaps(rows: DataFrame, refs: DataFrame, per_ref: bool, least: float | No
                     yield _batch(found, kinds)
                     found = []
             if per_ref and least is None:
-                yield _batch([(b[1], inc.ids[j], -b[0]) for j, b in best.items()], kinds)
+                yield _batch([(at[j], inc.ids[j], float(best[j])) for j in np.flatnonzero(best >= 0)], kinds)
 
-        part = rows.select("id", "tokens").mapInArrow(run, schema)
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -145,6 +156,100 @@ def threshold_counts(best: DataFrame, thresholds: Sequence[float] = (1.0, 0.9, 0
     return each.groupBy("threshold").agg(F.sum((F.col("sim") >= F.col("threshold")).cast("bigint")).alias("n"))
 
 
+def largest_similarity(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """One row, the largest similarity of all pairs; ties to the smallest ref, then id."""
+    return best_match_of_refs(rows, refs).orderBy(F.col("sim").desc(), "ref", "id").limit(1)
+
+
+def nearest_peers(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """(id, tokens) to (id, peer, sim): each row's most similar other row of at least ``least``, ties to the smallest peer.
+
+    Rows with one and the same set form a class; a member's peer is the
+    smallest other one.  Classes are compared by prefixes: tokens are ordered
+    by how many classes have them, the rarest first, and two sets of Jaccard
+    similarity ``least`` share one of their first n - ceil(least n) + 1 tokens.
+    So a token that everything has pairs no one, and no pair is lost.  Rows
+    without tokens have no peer.
+    """
+    some = rows.filter("id is not null and size(tokens) > 0").select("id", F.array_sort("tokens").alias("tokens")).withColumn("cls", F.md5(F.array_join("tokens", "\x1f")))
+    some = kept(some)
+    two = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
+    lowest = some.select("cls", "id").withColumn("n", two).filter("n <= 2").groupBy("cls").agg(F.min("id").alias("low"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("next"))
+    sets = kept(some.join(lowest.select("cls", F.col("low").alias("id")), ["cls", "id"]).dropDuplicates(["cls"]).select("cls", "id", "tokens", F.size("tokens").alias("n")))
+    placed = sets.select("cls", "n", F.explode("tokens").alias("token"))
+    uses = placed.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = placed.join(uses, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("rarest"))
+    prefix = F.slice("rarest", F.lit(1), (F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1).cast("int"))
+    shown = kept(rarest.select("cls", "n", F.explode(F.filter(prefix, lambda s: s["uses"] > 1)).alias("s")).select("cls", "n", F.col("s.token").alias("token")))
+    x, y = (shown.select(F.col("token").alias(f"t_{c}"), F.col("cls").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    alike = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9)
+    pairs = x.join(y, (F.col("t_a") == F.col("t_b")) & alike).select("a", "b").distinct()
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}"), F.col("tokens").alias(f"tokens_{c}"))
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    sim = F.round(both / (F.size("tokens_a") + F.size("tokens_b") - both), 9)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "id_a", "id_b", sim.alias("sim")).filter(F.col("sim") >= least)
+    each = near.select(F.col("a").alias("cls"), F.col("id_b").alias("peer"), "sim").unionByName(near.select(F.col("b").alias("cls"), F.col("id_a").alias("peer"), "sim"))
+    of_class = each.groupBy("cls").agg(F.min(F.struct((-F.col("sim")).alias("s"), "peer")).alias("m"))
+    out = some.select("id", "cls").join(lowest, "cls").join(of_class, "cls", "left")
+    twin = F.when(F.col("next").isNotNull(), F.when(F.col("id") == F.col("low"), F.col("next")).otherwise(F.col("low")))
+    return out.select("id", F.coalesce(twin, F.col("m.peer")).alias("peer"), F.when(twin.isNotNull(), 1.0).otherwise(-F.col("m.s")).alias("sim")).filter("peer is not null")
+
+
+def labelled_matches(rows: DataFrame, targets: dict[str, DataFrame], least: float = 0.6) -> DataFrame:
+    """L2, L3: for each row (ref, text, tokens) its best match in each target (id, text, tokens) from ``least`` on: (ref, target, id, sim, label).
+
+    ``label`` is EXACT where the texts are equal, else SIM; texts and tokens are normalised by the caller.
+    """
+    out = None
+    for name, target in targets.items():
+        best = best_match_of_refs(target.select("id", "tokens"), rows.select("ref", "tokens")).filter(F.col("sim") >= least)
+        exact = rows.select("ref", "text").join(target.select(F.col("id").alias("__id"), "text"), "text").select("ref", "__id")
+        named = best.join(exact, (best["ref"] == exact["ref"]) & (best["id"] == exact["__id"]), "left").select(best["ref"], F.lit(name).alias("target"), "id", "sim", F.when(F.col("__id").isNotNull(), "EXACT").otherwise("SIM").alias("label")).distinct()
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+def measures_apart(rows: DataFrame, refs: DataFrame, thresholds: Sequence[float] = (1.0, 0.9, 0.8, 0.7), kind: str = "leak") -> DataFrame:
+    """L1: how many of ``rows`` (id, text) reach each threshold with their best token Jaccard and, kept apart, their best sequence ratio among ``refs`` (ref, text)."""
+    from tessera.functions.text import token_set
+
+    tokens = lambda t, c: t.select(F.col(c).alias("ref" if c == "id" else "id"), token_set(normalize(F.col("text"), kind)).alias("tokens"))
+    words = best_match_of_refs(tokens(refs, "ref"), tokens(rows, "id")).select("sim")
+    letters = audit(rows, refs, kind).select(F.col("ratio").alias("sim"))
+    return threshold_counts(words, thresholds).withColumn("measure", F.lit("tokens")).unionByName(threshold_counts(letters, thresholds).withColumn("measure", F.lit("sequence")))
+
+
+def frozen_audit(train: DataFrame, held_out: DataFrame, label: str, least: float = 0.9, kind: str = "split") -> DataFrame:
+    """(check, found, passed) of a frozen split: ids and normalised texts unique and disjoint, classes covered, no pair of texts as alike as ``least``.
+
+    Both sides: id, text and ``label``; the held-out side is the stated set.
+    """
+    sides = {n: t.select(F.col("id").cast("string").alias("id"), normalize(F.col("text"), kind).alias("text"), F.col(label).alias("label")) for n, t in (("train", train), ("held_out", held_out))}
+    repeated = lambda t, c: t.groupBy(c).count().filter("count > 1").agg(F.count(F.lit(1)).cast("double").alias("found"))
+    shared = lambda c: sides["train"].select(c).distinct().join(sides["held_out"].select(c), c, "left_semi").agg(F.count(F.lit(1)).cast("double").alias("found"))
+    lacking = sides["train"].select("label").distinct().join(sides["held_out"].select("label"), "label", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("found"))
+    closest = audit(held_out.select("id", "text"), train.select(F.col("id").alias("ref"), "text"), kind).agg(F.coalesce(F.max("ratio"), F.lit(0.0)).alias("found"))
+    checks = {
+        "repeated ids in train": repeated(sides["train"], "id"), "repeated texts in train": repeated(sides["train"], "text"), "shared ids": shared("id"), "shared texts": shared("text"), "classes that only train has": lacking,
+        "largest sequence ratio": closest,
+    }
+    out = None
+    for name, found in checks.items():
+        bound = F.col("found") < least if name == "largest sequence ratio" else F.col("found") == 0
+        row = found.select(F.lit(name).alias("check"), "found", bound.alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def audit_sources(rows: DataFrame, sources: dict[str, DataFrame], kind: str = "bench", **bounds) -> DataFrame:
+    """``audit`` against each of several sources: (source, id, ref, ratio, gram, leaks)."""
+    out = None
+    for name, refs in sources.items():
+        part = audit(rows, refs, kind, **bounds).select(F.lit(name).alias("source"), "id", "ref", "ratio", "gram", "leaks")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sequence_pairs(pairs: DataFrame, left: Column, right: Column, least: float) -> DataFrame:
     """Candidate pairs whose Ratcliff-Obershelp ratio reaches ``least``.
 
@@ -303,8 +408,8 @@ def sequence_matches(rows: DataFrame, refs: DataFrame, least: float, block: int
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: float = 0.9, gram_least: float = 0.7, block: int = BLOCK_ROWS) -> DataFrame:
-    """For each row (id, text) its best reference (ref, text) by sequence ratio, then trigram Jaccard, then the smallest.
+def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: float = 0.9, gram_least: float = 0.7, block: int = BLOCK_ROWS, own: bool = True) -> DataFrame:
+    """L4, L5, and with ``own`` false J9 of a stated set, in which no row is its own reference: for each row (id, text) its best reference (ref, text) by sequence ratio, then trigram Jaccard, then the smallest.
 
     Only the row's best reference is tested against the n-gram threshold.
     Rows are the fresh set, broadcast block by block; references may be a whole
@@ -339,7 +444,7 @@ def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: floa
                         continue
                     match, theirs = SequenceMatcher(None, "", text), grams(text)
                     for k, most in zip(live, known.common(text, live)):
-                        if text and 2.0 * most / (known.size[k] + len(text)) < least[k]:
+                        if text and 2.0 * most / (known.size[k] + len(text)) < least[k] or not own and held.value[k][0] == ref:
                             continue
                         match.set_seq1(known.texts[k])
                         if (ratio := match.ratio()) >= least[k]:
@@ -350,7 +455,7 @@ def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: floa
             columns = zip(*found) if found else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "ref", "ratio", "gram"])
 
-        part = asked.mapInArrow(run, schema)
+        part = spread(asked).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], schema + ", leaks boolean")

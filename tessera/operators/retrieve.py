@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.validate import CATALOG_ROWS, small
+from tessera.operators.layout import kept, lookup
+from tessera.operators.validate import small
 
 RANGE_FLOOR = 1e-9
 
@@ -38,32 +39,51 @@ def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def term_counts(tokens: Column) -> Column:
+    """R2: array of (term, tf), counted in the row: the sorted tokens' runs."""
+
+    def of_sorted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = lambda at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
+        # Bound to a variable of a lambda, the places are found once.
+        return F.transform(F.array(starts), lambda at: F.zip_with(at, ends(at), lambda i, j: F.struct(F.get(s, i).alias("term"), (j - i).cast("bigint").alias("tf"))))[0]
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, F.transform(F.array(F.array_sort(tokens)), of_sorted)[0]).otherwise(none)
+
+
 def postings(items: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """R2: (item, term, tf, size)."""
-    return items.select("item", F.size(tokens).alias("size"), F.explode(tokens).alias("term")).groupBy("item", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """R2: (item, term, tf, size); an item is one row, so nothing is shuffled."""
+    return items.select("item", F.size(tokens).alias("size"), F.explode(term_counts(F.col(tokens))).alias("t")).select("item", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"), "size")
 
 
 def bm25(items: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(item, tokens) and (query, tokens) to (query, item, score) of pairs that share a term.
 
-    Repeated query terms count each time.  Terms meet by an equi-join of
-    postings, restricted to the queries' terms before anything is counted
-    per term; pairs without a common term have score 0 and are left out.
+    Repeated query terms count each time.  Items are read once: their counts of
+    the queries' terms, and a row with their size, go to a checkpoint.  The
+    queries' terms are broadcast while they are few, so that an item's postings
+    stay together and scores are summed up before they are shuffled.  Pairs
+    without a common term have score 0 and are left out.
     """
-    post = postings(items)
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
     asked = queries.select("query", F.explode("tokens").alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    used = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = kept(asked)
+    terms = lookup(asked.select("term").distinct())
+    whole = F.concat(term_counts(F.col("tokens")), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"))))
+    each = items.select("item", F.size("tokens").alias("size"), F.explode(whole).alias("t")).select("item", "size", "t.term", "t.tf")
+    used = kept(each.join(terms.withColumnRenamed("term", "__asked"), F.col("term") == F.col("__asked"), "left").filter("term is null or __asked is not null").drop("__asked"))
+    size = used.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+    used = used.filter("term is not null")
+    df = lookup(used.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     length = 1 - b + b * F.col("size") / F.nullif(F.col("mean"), F.lit(0.0))
     weight = inverse_frequency(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
     weighed = used.join(df, "term").crossJoin(F.broadcast(size)).select("item", "term", weight.alias("w"))
-    return weighed.join(asked, "term").groupBy("query", "item").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    return weighed.join(lookup(asked), "term").groupBy("query", "item").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
 
 
 def term_frequencies(items: DataFrame) -> DataFrame:
     """(term, df, idf)."""
-    df = postings(items).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = items.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("n")))).select("term", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
 
 

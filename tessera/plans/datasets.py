@@ -13,7 +13,9 @@ from tessera.streaming import resume
 
 
 def dup_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("key", F.md5("text"))
+    """Repeated texts; every tenth conversation is there twice."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = said.unionByName(said.filter("conv_id % 10 = 0").withColumn("conv_id", F.col("conv_id") + 10_000_000)).withColumn("key", F.md5("text"))
     return V.duplicates(rows, ["key"], ["conv_id", "turn"]).filter("is_duplicate").select("conv_id", "turn", "occurrence")
 
 
@@ -250,7 +252,7 @@ _DRAW = "('0x' || substr(md5('42:' || {k}), 1, 13))::BIGINT::DOUBLE / 4503599627
 _PROPS = "props::JSON"
 
 ORACLE = {
-    "dup_ids": "WITH d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS occurrence FROM conversations) SELECT * FROM d WHERE occurrence > 1",
+    "dup_ids": "WITH t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id + 10000000, turn, text FROM conversations WHERE conv_id % 10 = 0), d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS occurrence FROM t) SELECT * FROM d WHERE occurrence > 1",
     "student_summary": f"SELECT 'lang' AS dimension, lang AS value, count(*)::DOUBLE AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*)::DOUBLE FROM documents GROUP BY source UNION ALL SELECT 'all', 'n', count(*)::DOUBLE FROM documents UNION ALL SELECT 'all', 'unique_rate', round(count(DISTINCT {_STUDENT.format(c='text')}) / count(*)::DOUBLE, 3) FROM documents",
     "required_groups": f"SELECT event_type, CASE WHEN event_type = 'click' THEN concat_ws(',', CASE WHEN coalesce({_PROPS}->>'$.x', '') = '' AND coalesce({_PROPS}->>'$.k', '') = '' THEN 'x/k' END, CASE WHEN coalesce({_PROPS}->>'$.z', '') = '' THEN 'z' END) WHEN event_type = 'view' THEN CASE WHEN coalesce({_PROPS}->>'$.k', '') = '' THEN 'k' ELSE '' END ELSE CASE WHEN coalesce({_PROPS}->>'$.q', '') = '' AND coalesce({_PROPS}->>'$.r', '') = '' THEN 'q/r' ELSE '' END END AS missing, count(*) AS n FROM events GROUP BY ALL",
     "error_list": f"WITH e AS (SELECT event_id, event_type, ({_PROPS}->>'$.k')::BIGINT AS k, list_sort(json_keys(props)) AS ks FROM events) SELECT event_id, CASE event_type WHEN 'click' THEN concat_ws('|', CASE WHEN len(list_filter(ks, lambda x: x != 'k')) > 0 THEN 'unknown arguments: ' || array_to_string(list_filter(ks, lambda x: x != 'k'), ', ') END, CASE WHEN k IS NULL THEN 'missing required argument: k' END, CASE WHEN k < 10 THEN 'k is below minimum' END, CASE WHEN k > 60 THEN 'k is above maximum' END) WHEN 'view' THEN concat_ws('|', CASE WHEN len(list_filter(ks, lambda x: x != 'k')) > 0 THEN 'unknown arguments: ' || array_to_string(list_filter(ks, lambda x: x != 'k'), ', ') END, CASE WHEN k IS NOT NULL THEN 'k must be string' END, 'requires_confirmation must be true') WHEN 'error' THEN concat_ws('|', CASE WHEN len(list_filter(ks, lambda x: x NOT IN ('k', 'code'))) > 0 THEN 'unknown arguments: ' || array_to_string(list_filter(ks, lambda x: x NOT IN ('k', 'code')), ', ') END, CASE WHEN k > 50 THEN 'k is above maximum' END, CASE WHEN NOT list_contains(ks, 'code') THEN 'missing required argument: code' END) WHEN 'purchase' THEN CASE WHEN len(ks) > 0 THEN 'unknown arguments: ' || array_to_string(ks, ', ') ELSE '' END ELSE 'unknown tool: ' || event_type END AS errors FROM e",

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
 from tessera.operators import retrieve as R
-from tessera.plans._tables import table
+from tessera.plans._tables import table, texts
 
 ALPHAS = tuple(i / 10 for i in range(11))
 KS = (1, 2, 3, 5)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), tokenize(F.col("text")).alias("tokens"))
+    docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), tokenize(F.col("text")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), tokenize(F.col("text")).alias("tokens"))
     return docs, asked
 

@@ -74,3 +74,73 @@ def test_audit_meets_every_document(spark, tmp_path):
     assert got == want
     assert got[5] == (94, 1.0, 1.0, True) and sum(x[3] for x in got.values()) >= 3
 
+
+
+def _ratio(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def _words(t):
+    return set(t.split())
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_measures_apart_and_sources(spark):
+    """L1, L5, L6, J7 against all pairs."""
+    rng = random.Random(13)
+    items = _texts(14, 14, low=30, high=120)
+    turns = [t for t in _texts(50, 15, low=20, high=140) if t] + [_near(items[2], rng), items[5], items[5] + " qq"]
+    rows = spark.createDataFrame(list(enumerate(items)), "id bigint, text string")
+    refs = spark.createDataFrame(list(enumerate(turns)), "ref bigint, text string").repartition(3)
+    steps = (1.0, 0.9, 0.5, 0.2)
+    got = {(r.measure, r.threshold): r.n for r in L.measures_apart(rows, refs, steps).collect()}
+    best = {"tokens": [max(_jaccard(_words(a), _words(b)) for b in turns) for a in items], "sequence": [max(_ratio(a, b) for b in turns) for a in items]}
+    assert got == {(m, s): sum(x >= s - 1e-9 for x in v) for m, v in best.items() for s in steps}
+    halves = {"one": refs.filter("ref % 2 = 0"), "two": refs.filter("ref % 2 = 1")}
+    for r in L.audit_sources(rows, halves, "bench").collect():
+        mine = [(_ratio(" ".join(items[r.id].split()), " ".join(t.split())), -j) for j, t in enumerate(turns) if (j % 2 == 0) == (r.source == "one")]
+        assert round(max(mine)[0], 9) == round(r.ratio, 9)
+    label = lambda t: t.selectExpr("*", "length(text) < 60 as short")
+    found = {r.check: (r.found, r.passed) for r in L.frozen_audit(label(refs.withColumnRenamed("ref", "id")), label(rows), "short").collect()}
+    assert found["shared texts"] == (1.0, False) and found["shared ids"] == (14.0, False) and found["largest sequence ratio"] == (1.0, False) and found["repeated ids in train"] == (0.0, True)
+    words = lambda t, a, b: t.selectExpr(f"{a} as {b}", "split(text, ' ') as s").selectExpr(b, "array_remove(array_distinct(s), '') as tokens")
+    top = L.largest_similarity(words(refs, "ref", "id"), words(rows, "id", "ref")).first()
+    assert (top.ref, top.sim) == (5, 1.0)
+
+
+def test_nearest_peers(spark):
+    """J9 against all pairs: copies, chains, a token that all have, and rows without tokens."""
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(40)]
+    sets = [["all", *base[:-k]] if k else ["all", *base] for k in (0, 0, 1, 2, 5, 9)] + [["all", *(f"x{rng.randrange(60)}" for _ in range(rng.randint(1, 30)))] for _ in range(60)] + [[], None, ["all"], ["all"]]
+    sets = [None if s is None else sorted(set(s)) for s in sets]
+    rows = spark.createDataFrame(list(enumerate(sets)) + [(None, ["all"])], "id bigint, tokens array<string>").repartition(4)
+    for least in (0.9, 0.5):
+        want = {}
+        for i, a in enumerate(sets):
+            near = [(-round(_jaccard(set(a), set(b)), 9), j) for j, b in enumerate(sets) if i != j and a and b]
+            if near and -min(near)[0] >= least:
+                want[i] = (min(near)[1], -min(near)[0])
+        assert {r.id: (r.peer, r.sim) for r in L.nearest_peers(rows, least).collect()} == want and want
+
+
+def test_hold_out_least_similar(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.build import hold_out_least_similar
+
+    rng = random.Random(17)
+    items = _texts(16, 18, low=30, high=90)
+    items[7] = _near(items[3], rng)
+    augmented = _texts(20, 19, low=30, high=90) + [_near(items[1], rng)]
+    rows = spark.createDataFrame([(i, t, i % 2, "extra") for i, t in enumerate(items)], "id bigint, text string, kind int, ref string")
+    out = hold_out_least_similar(rows, spark.createDataFrame(list(enumerate(augmented)), "id bigint, text string"), "kind", F.lit(3), kind="leak").collect()
+    peer = {i: max(_ratio(a, b) for j, b in enumerate(items) if j != i) for i, a in enumerate(items)}
+    aug = {i: max(_ratio(a, b) for b in augmented) for i, a in enumerate(items)}
+    assert {r.id: (round(r.peer_similarity, 9), round(r.aug_similarity, 9), r.near_duplicate) for r in out} == {i: (round(peer[i], 9), round(aug[i], 9), peer[i] >= 0.9) for i in peer}
+    for kind in (0, 1):
+        order = sorted((peer[i] >= 0.9, aug[i], peer[i], i) for i in peer if i % 2 == kind)
+        assert {r.id for r in out if r.kind == kind and r.held_out} == {o[-1] for o in order[:3]}
