@@ -1,6 +1,7 @@
 """Statistics of proportions and of paired runs (A9, A10, A17, A18), Column to Column."""
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,21 +30,39 @@ def wilson_array(success: Column, total: Column, z: float = Z95) -> Column:
     return F.when(total == 0, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(low, high))
 
 
+#: Beyond so many steps the sum starts at its largest term.
+STEPS = 10_000
+
+
+def _log_factorial(n: Column) -> Column:
+    """By Stirling's series, for large n."""
+    return n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n) + 1 / (12 * n) - 1 / (360 * n * n * n)
+
+
 def mcnemar_exact(b: Column, c: Column) -> Column:
     """Two-sided exact p of b and c discordant pairs: min(1, 2 P(X <= min(b, c))), X binomial(b + c, 1/2).
 
-    Logs of the binomial coefficients are summed step by step, so large counts don't overflow.
+    Logs of the binomial coefficients are summed step by step, so large counts
+    don't overflow.  Where min(b, c) is beyond ``STEPS``, the sum runs from its
+    largest term downwards, over 40 square roots of b + c: what lies below is
+    smaller than a double can tell.
     """
     n, k = (b + c).cast("double"), F.least(b, c).cast("bigint")
-    start = F.struct((-n * F.lit(math.log(2.0))).alias("term"), F.exp(-n * F.lit(math.log(2.0))).alias("total"))
+    power = -n * F.lit(math.log(2.0))
+
+    def total(start: Column, steps: Column, ratio: Callable[[Column], Column]) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            term = state["term"] + F.log(ratio(i))
+            return F.struct(term.alias("term"), (state["total"] + F.exp(term)).alias("total"))
 
-    def step(state: Column, i: Column) -> Column:
-        term = state["term"] + F.log((n - i + 1) / i)
-        return F.struct(term.alias("term"), (state["total"] + F.exp(term)).alias("total"))
+        return F.aggregate(steps, F.struct(start.alias("term"), F.exp(start).alias("total")), step, lambda s: s["total"])
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1).cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
-    below = F.aggregate(steps, start, step, lambda s: s["total"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * below))
+    none = F.array().cast("array<bigint>")
+    upward = total(power, F.when((k >= 1) & (k <= STEPS), F.sequence(F.lit(1).cast("bigint"), F.greatest(F.least(k, F.lit(STEPS).cast("bigint")), F.lit(1).cast("bigint")))).otherwise(none), lambda i: (n - i + 1) / i)
+    first = _log_factorial(n) - _log_factorial(k.cast("double")) - _log_factorial(n - k) + power
+    many = F.least(k, F.ceil(40 * F.sqrt(n)).cast("bigint"))
+    downward = total(first, F.when(k > STEPS, F.sequence(F.lit(0).cast("bigint"), F.greatest(many - 1, F.lit(0).cast("bigint")))).otherwise(none), lambda j: (k - j) / (n - k + j + 1))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(k > STEPS, downward).otherwise(upward)))
 
 
 def mcnemar_z(b: Column, c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: the characters of a token.
 WORD_CHARS = r"[a-z0-9_@.+/*:-]+"
 
 
@@ -55,7 +56,7 @@ NORMALIZERS: dict[str, Callable[[Column], Column]] = {
     "split": lambda c: F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"[^a-z0-9]+", " ")),
     # fold, keep punctuation, squeeze
     "bench": lambda c: _trimmed(squeeze(F.lower(strip_accents(c)))),
-    # fold, keep the characters of addresses and numbers, others to one blank
+    # fold, keep the characters of addresses and numbers (a fixed value), others to one blank
     "fresh": lambda c: F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"[^a-z0-9@.+:/_* -]+", " ")),
     # as common, lower case first
     "t444": lambda c: squeeze(_trimmed(strip_accents(F.lower(c)))),
@@ -158,19 +159,25 @@ def parse_time(text: Column) -> Column:
     return F.when(hour.between(0, 23) & minute.between(0, 59), F.struct(hour.cast("int").alias("hour"), minute.cast("int").alias("minute")))
 
 
+#: T14. What a telephone number, a mail address and a contact URI look like.
+PHONE = r"(?<![\p{L}\p{N}_])0[0-9]{8,10}(?![\p{L}\p{N}_])"
+EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}"
+URI = r"content://\S+"
+
+
 def phones(text: Column) -> Column:
-    """Runs that look like telephone numbers."""
-    return F.regexp_extract_all(text, F.lit(r"(?<![\w.])\+?\d[\d .-]{6,}\d(?![\w])"), F.lit(0))
+    """T14."""
+    return F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
 
 
 def emails(text: Column) -> Column:
     """T14."""
-    return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
 
 
 def uris(text: Column) -> Column:
     """T14."""
-    return F.regexp_extract_all(text, F.lit(r"(?:https?|content|file)://[^\s\"'<>]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(URI), F.lit(0))
 
 
 def parse_duration(text: Column) -> Column:
@@ -228,7 +235,7 @@ def canonical_json(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
-def next_id(ids: Column, prefix: str = "VDC", width: int = 3) -> Column:
+def next_id(ids: Column, prefix: str, width: int = 3) -> Column:
     """Aggregate; one more than the largest number behind the prefix."""
     number = F.regexp_extract(ids, rf"^{prefix}(\d+)$", 1).try_cast("bigint")
     return F.concat(F.lit(prefix), F.lpad((F.coalesce(F.max(number), F.lit(0)) + 1).cast("string"), width, "0"))
@@ -239,9 +246,25 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """A double rounded as its exact binary value is, so 2.675 gives 2.67; ties that are exact go to the even digit."""
+    import pandas as pd
+
+    @F.pandas_udf(T.DoubleType())
+    def rounded(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else round(float(v), digits) for v in x], dtype="float64")
+
+    return rounded(value)
+
+
 def fixed(value: Column, digits: int) -> Column:
-    """A number as text with so many decimals."""
-    return F.format_string(f"%.{digits}f", value)
+    """A number as text with so many decimals, rounded as ``half_even`` does."""
+    return F.format_string(f"%.{digits}f", half_even(value, digits))
+
+
+def pick(*fields: str, **renamed: str) -> Column:
+    """A struct of some fields, those of ``renamed`` by another name."""
+    return F.struct(*[F.col(f) for f in fields], *[F.col(old).alias(new) for new, old in renamed.items()])
 
 
 def route_intent(text: Column, routes: Mapping[str, tuple[str, ...]], default: str = "unknown") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import _BARE, _MARKED, fill_template
+from tessera.operators.layout import kept
 
 
 def uniform(*keys: Column, seed: int = 42) -> Column:
@@ -87,77 +88,171 @@ def hold_out_least_similar(rows: DataFrame, augmented: DataFrame, group: str, qu
     return take_least_similar(out, group, quota, [F.col("near_duplicate"), F.col("aug_similarity"), F.col("peer_similarity"), uniform(F.col("id"), F.lit("hold"), seed=seed), F.col("id")])
 
 
-def substitute_words(text: Column, mapping: Mapping[str, str], key: Column, rate: float, seed: int = 42) -> Column:
-    """Each word that the map has is replaced with probability ``rate``; a capital first letter stays one."""
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def _words(text: Column) -> Column:
+    """The words between white space; none of an empty text."""
+    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+
+
+def _one_of(pool: Column, *keys: Column, seed: int) -> Column:
+    return F.element_at(pool, (F.floor(uniform(*keys, seed=seed) * F.size(pool)) + 1).cast("int"))
+
+
+def substitute_words(text: Column, mapping: Mapping[str, str | Sequence[str]], key: Column, rate: float, seed: int = 42) -> Column:
+    """Each word that the map has is replaced by one of its alternatives with probability ``rate``; a capital first letter stays one.
+
+    Runs of white space become one blank.
+    """
+    lists = [(w, [x] if isinstance(x, str) else list(x)) for w, x in mapping.items()]
+    table = F.create_map(*[x for w, alternatives in lists for x in (F.lit(w), F.array(*[F.lit(a) for a in alternatives]))])
 
     def one(word: Column, i: Column) -> Column:
-        new = F.try_element_at(table, F.lower(word))
+        pool = F.try_element_at(table, F.lower(word))
+        new = _one_of(pool, key, i, F.lit("as"), seed=seed)
         cased = F.when(F.substring(word, 1, 1) == F.upper(F.substring(word, 1, 1)), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
-        return F.when(new.isNotNull() & (uniform(key, i, F.lit("sub"), seed=seed) < rate), cased).otherwise(word)
+        return F.when(pool.isNotNull() & (uniform(key, i, F.lit("sub"), seed=seed) < rate), cased).otherwise(word)
 
-    return F.array_join(F.transform(F.split(text, " "), one), " ")
+    return F.array_join(F.transform(_words(text), one), " ")
 
 
 def drop_tones(text: Column, key: Column, rate: float, seed: int = 42) -> Column:
     """Each word loses its marks with probability ``rate``; the barred d stays."""
-    return F.array_join(F.transform(F.split(text, " "), lambda w, i: F.when(uniform(key, i, F.lit("tone"), seed=seed) < rate, F.translate(w, _MARKED, _BARE)).otherwise(w)), " ")
+    return F.array_join(F.transform(_words(text), lambda w, i: F.when(uniform(key, i, F.lit("tone"), seed=seed) < rate, F.translate(w, _MARKED, _BARE)).otherwise(w)), " ")
 
 
 def merge_words(text: Column, key: Column, rate: float, seed: int = 42) -> Column:
-    """Blanks go with probability ``rate``, and one drawn blank goes anyway if there is one."""
-    words = F.split(text, " ")
-    drawn = (F.floor(uniform(key, F.lit("merge"), seed=seed) * (F.size(words) - 1)) + 1).cast("int")
-    each = F.zip_with(words, F.array_repeat(drawn, F.size(words)), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    glued = F.transform(each, lambda x, i: F.when((i == 0) | (i == x["p"]) | (uniform(key, i, F.lit("merge"), seed=seed) < rate), x["w"]).otherwise(F.concat(F.lit(" "), x["w"])))
-    return F.array_join(glued, "")
+    """max(1, floor(words * rate)) of the gaps between words go, drawn without repeats; a text of one word stays.
+
+    Merging neighbours one after the other closes a uniform choice of gaps.
+    """
+    words = _words(text)
+
+    def merged(w: Column) -> Column:
+        gaps = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(uniform(key, i, F.lit("merge"), seed=seed).alias("u"), i.alias("i"))))
+        many = F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(rate)).cast("int"))
+        closed = F.slice(gaps, F.lit(1), many)["i"]
+        return F.concat(F.get(w, F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.when(F.array_contains(closed, i), "").otherwise(" "), F.get(w, i))), ""))
+
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) < 2, text).otherwise(merged(w)))[0]
 
 
 def insert_fillers(text: Column, fillers: Sequence[str], key: Column, rate: float, seed: int = 42) -> Column:
-    """Before each word a filler with probability ``rate`` / 2."""
+    """max(1, floor(words * rate / 2)) fillers, one after the other, each at a place drawn among all there are then."""
     pool = F.array(*[F.lit(f) for f in fillers])
+    words = _words(text)
 
-    def one(word: Column, i: Column) -> Column:
-        pick = F.element_at(pool, (F.floor(uniform(key, i, F.lit("which"), seed=seed) * len(fillers)) + 1).cast("int"))
-        return F.when(uniform(key, i, F.lit("fill"), seed=seed) < rate / 2, F.concat(pick, F.lit(" "), word)).otherwise(word)
+    def insert(w: Column, turn: Column) -> Column:
+        at = F.floor(uniform(key, turn, F.lit("place"), seed=seed) * (F.size(w) + 1)).cast("int")
+        return F.concat(F.slice(w, F.lit(1), at), F.array(_one_of(pool, key, turn, F.lit("which"), seed=seed)), F.slice(w, at + 1, F.size(w) + 1))
 
-    return F.array_join(F.transform(F.split(text, " "), one), " ")
+    many = F.greatest(F.lit(1), F.floor(F.size(words) * F.lit(rate * 0.5)).cast("int"))
+    return F.array_join(F.aggregate(F.sequence(F.lit(1), many), words, insert), " ")
 
 
-def typos(text: Column, key: Column, rate: float, seed: int = 42) -> Column:
-    """Per word of four letters or more, with probability ``rate``, two neighbours are swapped or one letter is lost."""
+#: Letters of neighbouring keys, for ``typos`` with substitution. Fixed values.
+NEIGHBOURS = {
+    "a": "as", "b": "bn", "c": "cv", "d": "df", "e": "er", "g": "gh", "h": "hj", "i": "io", "k": "kl", "l": "lk", "m": "mn",
+    "n": "nm", "o": "op", "p": "po", "q": "qw", "r": "rt", "s": "sd", "t": "ty", "u": "ui", "v": "vb", "x": "xz", "y": "yu",
+}
 
-    def one(word: Column, i: Column) -> Column:
-        at = (F.floor(uniform(key, i, F.lit("at"), seed=seed) * (F.length(word) - 1)) + 1).cast("int")
-        head, a, b = F.substring(word, F.lit(1), at - 1), F.substring(word, at, F.lit(1)), F.substring(word, at + 1, F.lit(1))
-        tail = F.substring(word, at + 2, F.length(word))
-        swapped, lost = F.concat(head, b, a, tail), F.concat(head, b, tail)
-        hit = (F.length(word) >= 4) & (uniform(key, i, F.lit("typo"), seed=seed) < rate)
-        return F.when(hit & (uniform(key, i, F.lit("how"), seed=seed) < 0.5), swapped).when(hit, lost).otherwise(word)
 
-    return F.array_join(F.transform(F.split(text, " "), one), " ")
+def typos(text: Column, key: Column, rate: float, seed: int = 42, substitute: bool = False) -> Column:
+    """Each place, from left to right, with probability ``rate``: its letter moves behind the next one, or is lost.
 
+    A letter that moves is at the next place then, and may be hit again.  With
+    ``substitute``, a third kind replaces a letter by one of a neighbouring key.
+    Short texts are meant: the text is built letter by letter.
+    """
+    near = F.create_map(*[x for a, b in NEIGHBOURS.items() for x in (F.lit(a), F.lit(b))])
+    kinds = 3 if substitute else 2
+
+    def step(state: Column, i: Column) -> Column:
+        following = F.substring(text, i + 1, F.lit(1))
+        here = state["here"]
+        hit = uniform(key, i, F.lit("typo"), seed=seed) < rate
+        kind = F.floor(uniform(key, i, F.lit("how"), seed=seed) * kinds)
+        moved, lost = hit & (kind == 0) & (i < F.char_length(text)), hit & (kind == 1)
+        keys = F.try_element_at(near, F.lower(here))
+        other = F.substring(keys, (F.floor(uniform(key, i, F.lit("key"), seed=seed) * 2) + 1).cast("int"), F.lit(1))
+        letter = F.when(hit & (kind == 2) & keys.isNotNull(), other).otherwise(here)
+        done = F.when(moved, F.concat(state["done"], following)).when(lost, state["done"]).otherwise(F.concat(state["done"], letter))
+        return F.struct(done.alias("done"), F.when(moved, here).otherwise(following).alias("here"))
+
+    start = F.struct(F.lit("").alias("done"), F.substring(text, 1, 1).alias("here"))
+    return F.when(text.isNull() | (F.char_length(text) == 0), text).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), start, step, lambda s: s["done"]))
+
+
+#: Words that are misheard, what is said between words, and the rates of each step by level.
+MISHEARD = {
+    "gọi": ("gói", "gỏi", "gồi"), "đặt": ("đật", "đất", "đắt"), "báo": ("bào", "bảo", "bão"), "thức": ("thức", "thứ", "thừ"), "sáng": ("sáng", "sắng", "xáng"),
+    "anh": ("anh", "an", "án"), "điện": ("điện", "biến", "diện"), "lúc": ("lúc", "lục", "lức"), "giờ": ("giờ", "dờ", "dơ"), "nhãn": ("nhãn", "nhạn", "nhan"),
+    "tìm": ("tìm", "tím", "tim"), "số": ("số", "sỗ", "xố"), "mở": ("mở", "mỡ", "mơ"), "cài": ("cài", "cái", "cãi"), "gửi": ("gửi", "gỡi", "gưởi"),
+    "chụp": ("chụp", "chúp", "chóp"), "quay": ("quay", "quảy", "quậy"), "tạo": ("tạo", "táo", "tảo"), "chọn": ("chọn", "chộn", "chón"), "thêm": ("thêm", "thềm", "thèm"),
+}
+FILLERS = ("à", "ờ", "thì", "à mà", "ờ thì", "à ờ", "thì là", "à thì")
+LEVELS = {
+    "light": {"substitute": 0.08, "typo": 0.02, "tone": 0.15, "merge": 0.0, "filler": 0.0},
+    "medium": {"substitute": 0.15, "typo": 0.05, "tone": 0.30, "merge": 0.05, "filler": 0.05},
+    "heavy": {"substitute": 0.25, "typo": 0.10, "tone": 0.50, "merge": 0.10, "filler": 0.10},
+}
+#: Rates of the noise for training: tone marks and shapes by letter, gaps.
+MARK_LEVELS = {"light": {"tone": 0.25, "shape": 0.10, "merge": 0.05}, "medium": {"tone": 0.50, "shape": 0.25, "merge": 0.12}}
+
+
+def _fan_out(rows: DataFrame, text: str, key: str, noisy: Mapping[str, Column], suffix: str) -> DataFrame:
+    levels = F.explode(F.array(*[F.lit(n) for n in noisy]))
+    out = rows.withColumn("__level", levels).withColumn(f"clean_{text}", F.col(text)).withColumn("noise_level", F.col("__level"))
+    done = None
+    for name, column in noisy.items():
+        done = F.when(F.col("noise_level") == name, column) if done is None else done.when(F.col("noise_level") == name, column)
+    return out.withColumn(text, done).withColumn(key, F.concat_ws(suffix, F.col(key).cast("string"), F.col("noise_level"))).drop("__level")
 
-#: Rates of the noise levels.
-LEVELS = {"light": 0.1, "medium": 0.25, "heavy": 0.45}
 
+def add_noise(rows: DataFrame, text: str, key: str, levels: Mapping[str, Mapping[str, float]] = LEVELS, words: Mapping[str, str | Sequence[str]] = MISHEARD, fillers: Sequence[str] = FILLERS, seed: int = 42) -> DataFrame:
+    """Each row once for each level: clean_<text>, <text>, noise_level, and ids with the level behind.
 
-def add_noise(rows: DataFrame, text: str, key: str, levels: Mapping[str, float] = LEVELS, words: Mapping[str, str] | None = None, fillers: Sequence[str] = ("ờ", "à", "ừm"), seed: int = 42) -> DataFrame:
-    """Each row once for each level: clean_<text>, <text>, noise_level, and ids with the level behind."""
-    table = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(float(r)).alias("rate")) for n, r in levels.items()]))
-    out = rows.withColumn("__l", table).withColumn(f"clean_{text}", F.col(text)).withColumn("noise_level", F.col("__l.level"))
-    noisy = F.col(text)
-    done = None
+    Steps in order, each with its own rate, those of rate 0 left out: misheard
+    words, typos, lost tones, merged words, fillers.
+    """
+    made = {}
     for name, rate in levels.items():
         k = F.concat_ws("/", F.col(key).cast("string"), F.lit(name))
-        x = substitute_words(noisy, words, k, rate, seed) if words else noisy
-        x = merge_words(insert_fillers(typos(drop_tones(x, k, rate, seed), k, rate, seed), fillers, k, rate, seed), k, rate / 4, seed)
-        done = F.when(F.col("noise_level") == name, x) if done is None else done.when(F.col("noise_level") == name, x)
-    return out.withColumn(text, done).withColumn(key, F.concat_ws("_", F.col(key).cast("string"), F.col("noise_level"))).drop("__l")
+        x = F.col(text)
+        x = substitute_words(x, words, k, rate["substitute"], seed) if rate["substitute"] > 0 else x
+        x = typos(x, k, rate["typo"], seed) if rate["typo"] > 0 else x
+        x = drop_tones(x, k, rate["tone"], seed) if rate["tone"] > 0 else x
+        x = merge_words(x, k, rate["merge"], seed) if rate["merge"] > 0 else x
+        made[name] = insert_fillers(x, fillers, k, rate["filler"], seed) if rate["filler"] > 0 else x
+    return _fan_out(rows, text, key, made, "_")
 
 
-def strip_tones_then_shapes(text: Column) -> tuple[Column, Column]:
-    """Without tone marks only, and without any marks."""
+def drop_marks(text: Column, key: Column, tone: float, shape: float, merge: float, seed: int = 42) -> Column:
+    """Each letter loses its tone with probability ``tone``, then its shape with ``shape``; each blank goes with ``merge``."""
+    tones, shapes = _tone_tables()
+
+    def letter(c: Column, i: Column) -> Column:
+        bare = F.when(uniform(key, i, F.lit("tone"), seed=seed) < tone, F.translate(c, *tones)).otherwise(c)
+        plain = F.translate(bare, *shapes)
+        return F.when((plain != bare) & (uniform(key, i, F.lit("shape"), seed=seed) < shape), plain).otherwise(bare)
+
+    noisy = F.array_join(F.transform(F.split(text, ""), letter), "")
+    parts = F.transform(F.split(noisy, " "), lambda w, i: F.when((i > 0) & (uniform(key, i, F.lit("gap"), seed=seed) >= merge), F.concat(F.lit(" "), w)).otherwise(w))
+    return F.array_join(parts, "") if merge > 0 else noisy
+
+
+def training_noise(rows: DataFrame, text: str, key: str, levels: Mapping[str, Mapping[str, float]] = MARK_LEVELS, seed: int = 42) -> DataFrame:
+    """The rows as they are, and once more for each level, ids with the level behind; ids stay distinct if they were."""
+    k = lambda name: F.concat_ws("/", F.col(key).cast("string"), F.lit(name))
+    noisy = _fan_out(rows, text, key, {n: drop_marks(F.col(text), k(n), r["tone"], r["shape"], r["merge"], seed) for n, r in levels.items()}, "_noisy_")
+    return rows.withColumn(key, F.col(key).cast("string")).unionByName(noisy, allowMissingColumns=True)
+
+
+def training_rows(noisy: DataFrame, levels: Sequence[str] = ("light", "medium"), text: str = "query") -> DataFrame:
+    """Rows of some levels as training rows: id, group (``other`` if there is none), the noisy text as ``text``, expected."""
+    return noisy.filter(F.col("noise_level").isin(*levels)).select("id", F.coalesce("group", F.lit("other")).alias("group"), F.col(f"noisy_{text}").alias(text), "expected")
+
+
+def _tone_tables() -> tuple[tuple[str, str], tuple[str, str]]:
+    """Letters with a tone and without it; letters with a shape, which have no tone, and the plain ones."""
     import unicodedata
 
     tones = {"̀", "́", "̃", "̉", "̣"}
@@ -167,10 +262,30 @@ def strip_tones_then_shapes(text: Column) -> tuple[Column, Column]:
         if plain != c and len(plain) == 1:
             a.append(c)
             b.append(plain)
-    toneless = F.translate(text, "".join(a), "".join(b))
+    shapes = "ăâêôơưđĂÂÊÔƠƯĐ"
+    return ("".join(a), "".join(b)), (shapes, "aaeooudAAEOOUD")
+
+
+def strip_tones_then_shapes(text: Column) -> tuple[Column, Column]:
+    """Without tone marks only, and without any marks."""
+    toneless = F.translate(text, *_tone_tables()[0])
     return toneless, F.translate(toneless, _MARKED + "đĐ", _BARE + "dD")
 
 
+def ordinals(rows: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Row numbers from 1 over a whole table in an order, without bringing it into one task: rows are sorted by ranges, counted per range, and numbered within."""
+    ranged = kept(rows.sort(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    counted = ranged.groupBy("__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.select("__part", (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__add"))
+    return ranged.join(F.broadcast(placed), "__part").withColumn(name, F.col("__at") + F.col("__add")).drop("__part", "__at", "__add")
+
+
+def zipped(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
+    """Rows of equal ordinal, as many as the shorter side has."""
+    return ordinals(a, order_a, "__o").join(ordinals(b, order_b, "__o"), "__o").drop("__o")
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Rows of all, missing columns as null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strict_json
+from tessera.operators.layout import lookup
 
 BOM = "﻿"
 
@@ -20,13 +21,17 @@ BOM = "﻿"
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file, line_no, line): every line of every file, blank ones counted.
 
-    A file is read as one value, so lines keep their places; split data over
-    many files, not one huge one.  Line breaks are \\n, \\r\\n or \\r.
+    Files are read in splits.  The lines of a split are counted first; a line's
+    number is its place in its split and the lines of the file's splits before.
+    Line breaks are \\n, \\r\\n or \\r.
     """
-    files = spark.read.text(paths, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    body = F.regexp_replace(F.regexp_replace("value", f"^{BOM}", ""), r"(?:\r\n|\n|\r)$", "")
-    lines = files.select("file", F.posexplode(F.split(body, r"\r\n|\n|\r", -1)).alias("at", "line"))
-    return lines.select("file", (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
+    split = ["file", "split"]
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    counted = lines.groupBy(*split).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.select(*split, (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("__add"))
+    out = lines.join(lookup(placed), split).select("file", (F.col("at") + F.col("__add")).alias("line_no"), "line")
+    return out.withColumn("line", F.when(F.col("line_no") == 1, F.regexp_replace("line", f"^{BOM}", "")).otherwise(F.col("line")))
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], mode: str = "failfast") -> DataFrame:
@@ -44,7 +49,7 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], mode: str = "fai
         rows = rows.withColumn("row", F.when(F.col("row").isNull(), F.raise_error(F.concat(F.lit("bad JSON at "), where)).cast("variant")).otherwise(F.col("row")))
     elif mode == "resume":
         last = rows.groupBy(F.col("file").alias("f")).agg(F.max("line_no").alias("last"))
-        rows = rows.join(F.broadcast(last), F.col("file") == F.col("f")).filter(F.col("row").isNotNull() | (F.col("line_no") < F.col("last")))
+        rows = rows.join(lookup(last), F.col("file") == F.col("f")).filter(F.col("row").isNotNull() | (F.col("line_no") < F.col("last")))
         rows = rows.withColumn("row", F.when(F.col("row").isNull(), F.raise_error(F.concat(F.lit("bad JSON before the last line, at "), where)).cast("variant")).otherwise(F.col("row")))
     elif mode == "marker":
         bad = rows.filter("row is null").groupBy(F.col("file").alias("f")).agg(F.min("line_no").alias("bad"))
@@ -74,13 +79,32 @@ def read_json_document(spark: SparkSession, path: str, schema: str | None = None
 
 
 def read_glob(spark: SparkSession, pattern: str, without: Sequence[str] = ()) -> list[str]:
-    """The files of a glob in order of name, those named left out."""
+    """The files of a glob in order of depth and name, those named left out."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     names = sorted((s.getPath().toString() for s in found), key=lambda p: (p.count("/"), p))
     return [n for n in names if n.rsplit("/", 1)[-1] not in set(without)]
 
 
+def locate(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The files of that name anywhere below ``root``, the least deep first, then by path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        p = files.next().getPath()
+        if p.getName() == name:
+            found.append(p.toString())
+    return sorted(found, key=lambda p: (p.count("/"), p))
+
+
+def read_union(spark: SparkSession, pattern: str, without: Sequence[str] = (), mode: str = "failfast") -> DataFrame:
+    """The rows of all files of a glob but those named."""
+    names = read_glob(spark, pattern, without)
+    if not names:
+        raise FileNotFoundError(pattern)
+    return read_jsonl(spark, names, mode)
+
+
 #: S12. Fixed formats: the lines a device writes for each run.
 RESULT_LINE = r"BENCH_RESULT run=(\d+) ttft_ms=(-?\d+) tps=(-?[\d.]+) tool=(\S+) ok=(true|false)"
 MEMORY_LINE = r"BENCH_RAM run=(\d+) used_mb=(\d+)"

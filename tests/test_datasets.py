@@ -31,14 +31,73 @@ def test_quotas_against_rounds(spark, total):
     assert {r["class"]: r.quota for r in build.quotas(df, total).collect()} == want
 
 
+def _draw(*keys):
+    import hashlib
+
+    return int(hashlib.md5(":".join(["42", *map(str, keys)]).encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def _typos(text, key, rate, substitute):
+    out, i, kinds = list(text), 0, 3 if substitute else 2
+    for i in range(len(out)):
+        if _draw(key, i + 1, "typo") < rate:
+            kind = int(_draw(key, i + 1, "how") * kinds)
+            if kind == 0 and i + 1 < len(out):
+                out[i], out[i + 1] = out[i + 1], out[i]
+            elif kind == 1:
+                out[i] = ""
+            elif kind == 2 and out[i].lower() in build.NEIGHBOURS:
+                out[i] = build.NEIGHBOURS[out[i].lower()][int(_draw(key, i + 1, "key") * 2)]
+    return "".join(out)
+
+
+def _fillers(text, key, rate):
+    words = text.split()
+    for turn in range(1, max(1, int(len(words) * rate * 0.5)) + 1):
+        at = int(_draw(key, turn, "place") * (len(words) + 1))
+        words.insert(at, build.FILLERS[int(_draw(key, turn, "which") * len(build.FILLERS))])
+    return " ".join(words)
+
+
+def _merged(text, key, rate):
+    words = text.split()
+    if len(words) < 2:
+        return text
+    closed = sorted(range(1, len(words)), key=lambda i: (_draw(key, i, "merge"), i))[: max(1, int(len(words) * rate))]
+    return words[0] + "".join(("" if i in closed else " ") + words[i] for i in range(1, len(words)))
+
+
+NOISY = ["Gọi cho mẹ ngay bây giờ nhé bạn", "một", "", "  hai   từ ", "a bc def ghij klmno pqrstu vwxyz " * 3]
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.4, 1.0])
+def test_noise_steps(spark, rate):
+    """Each step against a plain loop with the same draws."""
+    rows = spark.createDataFrame(list(enumerate(NOISY)) + [(99, None)], "id int, t string")
+    k, t = F.col("id"), F.col("t")
+    got = {r.id: r for r in rows.select("id", build.typos(t, k, rate).alias("a"), build.typos(t, k, rate, substitute=True).alias("b"), build.insert_fillers(t, build.FILLERS, k, rate).alias("c"), build.merge_words(t, k, rate).alias("d")).collect()}
+    for i, text in enumerate(NOISY):
+        assert (got[i].a, got[i].b, got[i].c, got[i].d) == (_typos(text, i, rate, False), _typos(text, i, rate, True), _fillers(text, i, rate), _merged(text, i, rate))
+    assert got[99].a is None and got[99].d is None
+
+
 def test_noise_is_fixed_by_its_key(spark):
     rows = spark.createDataFrame([(str(i), "Gọi cho mẹ ngay bây giờ nhé bạn") for i in range(40)] + [("e", ""), ("n", None)], "id string, query string")
     a = {r.id: r.query for r in build.add_noise(rows, "query", "id").collect()}
     b = {r.id: r.query for r in build.add_noise(rows.repartition(5), "query", "id").collect()}
     assert a == b and len(a) == 42 * 3
     changed = {level: sum(a[f"{i}_{level}"] != "Gọi cho mẹ ngay bây giờ nhé bạn" for i in range(40)) for level in build.LEVELS}
-    assert changed["light"] <= changed["heavy"] and changed["heavy"] > 30
+    assert changed["light"] <= changed["heavy"] == 40 and changed["light"] > 10
     assert a["n_light"] is None and a["e_heavy"] is not None
+    out = build.training_noise(rows, "query", "id").collect()
+    assert len(out) == len({r.id for r in out}) == 42 * 3 and sum(r.noise_level is None for r in out) == 42
+
+
+def test_ordinals(spark):
+    rows = spark.range(0, 1000, numPartitions=7).selectExpr("(id * 37) % 1000 as v", "id as __n")
+    assert {r.v: r.ordinal for r in build.ordinals(rows, ["v"]).collect()} == {v: v + 1 for v in range(1000)}
+    assert build.ordinals(rows.limit(0), ["v"]).count() == 0
+    assert [tuple(r) for r in build.zipped(rows.filter("v < 3").select("v"), spark.range(5, 100), ["v"], ["id"]).orderBy("v").collect()] == [(0, 5), (1, 6), (2, 7)]
 
 
 def test_marks(spark):
@@ -47,9 +106,51 @@ def test_marks(spark):
 
 
 def test_rules(spark):
-    rows = spark.createDataFrame([("Đặt báo thức 6 giờ 30",), ("gọi 0912 345 678",), ("xin chào",), (None,)], "q string")
+    rows = spark.createDataFrame([("Đặt báo thức 6 giờ 30",), ("gọi 0912345678",), ("gọi 0912 345 678",), ("xin chào",), (None,)], "q string")
     got = [(r.tool, r.status, r.requires_confirmation, dict(r.arguments)) for r in baselines.predict_by_rules(rows, "q").collect()]
-    assert got == [("alarm_set", None, False, {"hour": "6", "minute": "30"}), ("call", None, True, {"number": "0912 345 678"}), (None, "unsupported", False, {}), (None, "unsupported", False, {})]
+    assert got == [
+        ("ACTION_SET_ALARM", None, False, {"EXTRA_HOUR": "6", "EXTRA_MINUTES": "30"}), ("dial", None, True, {"phone_number": '"0912345678"'}), (None, "clarification", False, {}),
+        (None, "unsupported", False, {}), (None, "unsupported", False, {}),
+    ]
+    said = baselines.rule_predictor("q")(rows.limit(2)).select(F.to_json("prediction").alias("p")).collect()
+    assert [json.loads(r.p) for r in said] == [{"tool": "ACTION_SET_ALARM", "arguments": {"EXTRA_HOUR": 6, "EXTRA_MINUTES": 30}, "requires_confirmation": False}, {"tool": "dial", "arguments": {"phone_number": "0912345678"}, "requires_confirmation": True}]
+    given = baselines.batch_predictor(lambda texts: [json.dumps({"tool": t[:3]}) for t in texts], "q")(rows).select(F.to_json("prediction").alias("p"), "latency_ms").collect()
+    assert [json.loads(r.p)["tool"] for r in given] == ["Đặt", "gọi", "gọi", "xin", ""] and all(r.latency_ms >= 0 for r in given)
+
+
+def test_readers(spark, tmp_path):
+    """One JSON value, the first text, files by glob and by name; line numbers over several splits."""
+    from tessera.functions import text as X
+
+    (tmp_path / "a").mkdir()
+    lines = [json.dumps({"id": i}) for i in range(3000)]
+    (tmp_path / "b.jsonl").write_text("\ufeff" + "\r\n".join([*lines[:10], "", *lines[10:]]) + "\n", encoding="utf-8")
+    (tmp_path / "c.jsonl").write_text('{"id": -1}\n{"id"', encoding="utf-8")
+    (tmp_path / "a" / "b.jsonl").write_text('{"id": -2}', encoding="utf-8")
+    (tmp_path / "d.json").write_text('{"n": 1,\n "m": [1, 2]}', encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        rows = io.read_jsonl(spark, str(tmp_path / "b.jsonl"))
+        assert rows.select("line_no").rdd.getNumPartitions() > 3
+        got = {r.line_no: r.id for r in rows.select("line_no", F.try_variant_get("row", "$.id", "int").alias("id")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {i + 1 + (i >= 10): i for i in range(3000)}
+    names = io.read_glob(spark, f"{tmp_path}/*.jsonl", without=["c.jsonl"])
+    assert [n.rsplit("/", 1)[-1] for n in names] == ["b.jsonl"]
+    assert io.read_union(spark, f"{tmp_path}/*.jsonl", ["c.jsonl"]).count() == 3000
+    assert [n.split(str(tmp_path))[1] for n in io.locate(spark, str(tmp_path), "b.jsonl")] == ["/b.jsonl", "/a/b.jsonl"]
+    doc = io.read_json_document(spark, str(tmp_path / "d.json"), "n int, m array<int>").first()
+    assert (doc.n, doc.m) == (1, [1, 2])
+    pairs = spark.createDataFrame([(None, "b"), ("", "c"), ("a", "d"), (None, None)], "x string, y string")
+    assert [r.t for r in pairs.select(X.first_text(F.col("x"), F.col("y")).alias("t")).collect()] == ["b", "c", "a", ""]
+    numbers = spark.createDataFrame([(2.675,), (0.5,), (1.5,), (None,)], "v double")
+    assert [r.t for r in numbers.select(X.half_even(F.col("v"), 2).alias("t")).collect()] == [2.67, 0.5, 1.5, None]
+    assert [r.t for r in numbers.select(X.half_even(F.col("v"), 0).alias("t")).collect()] == [3.0, 0.0, 2.0, None]
+    assert pairs.select(X.pick("x", z="y").alias("s")).schema["s"].dataType.names == ["x", "z"]
 
 
 def test_tfidf_baseline(spark):

@@ -111,3 +111,53 @@ def test_protocol(spark, catalog):
     rows = spark.createDataFrame([("1", "a", ok), ("1", "b", ok), ("2", "b", ok), ("3", "", json.dumps({"tool": "call"}))], "id string, query string, j string").withColumn("expected", F.parse_json("j"))
     got = sorted((r.id, r.message) for r in V.validate_protocol(rows, catalog, ["call"]).collect())
     assert got == [("1", "repeated id"), ("2", "repeated query"), ("3", "arguments must be an object"), ("3", "empty query"), ("3", "forbidden tool")]
+
+
+def test_fields_and_schema(spark, catalog):
+    """A12, A16, V21 and the other reports on a few calls."""
+    good = {"tool": "alarm", "arguments": {"hour": 6}, "requires_confirmation": False}
+    null = {"tool": None, "status": "unsupported", "arguments": {}}
+    gold = [("a", good), ("b", good), ("c", null), ("d", null)]
+    guess = [("a", good), ("b", good | {"arguments": {"hour": 7}}), ("c", null), ("d", good | {"status": "unsupported"}), ("z", good)]
+    made = lambda rows, c: spark.createDataFrame([(i, n, "g", json.dumps(x)) for n, (i, x) in enumerate(rows)], "id string, line_no int, group string, j string").withColumn(c, F.parse_json("j"))
+    e, p = made(gold, "expected"), made(guess, "prediction")
+    scored = M.score_examples(e, p, catalog)
+    assert [tuple(r) for r in M.field_accuracy(scored).select("field", "correct", "total").collect()] == [("hour", 1, 2)]
+    r = M.negative_accuracy(scored).first()
+    assert (r.n_null, r.null_status_accuracy, r.status_only_accuracy) == (2, 0.5, 1.0)
+    r = M.success_of_predictions(e, p, catalog).first()
+    assert (r["count"], r.tool_acc, r.e2e) == (5, 0.6, 0.6)
+    tools = {r["name"]: r.required for r in V.decoding_schema(catalog).collect()}
+    assert "hour" in tools["alarm"]
+
+
+def test_candidate_and_schema_document(spark):
+    item = {"id": "v1", "utterance": "mở bản đồ", "language": "vi", "intent": "open_map", "arguments": {"destination": "x"}, "risk_level": "low", "split": "train"}
+    made = lambda rows: spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows, 1)], "line_no bigint, j string").withColumn("item", F.parse_json("j"))
+    known = made([item, item | {"id": "v1"}])
+    new = made([item | {"id": "v1", "split": "test"}])
+    assert [r.message for r in V.validate_candidate(known, new).orderBy("ord").collect()] == ["duplicate id v1", "utterance leaks between splits train and test"]
+    assert V.validate_candidate(known, made([item | {"id": "v9", "utterance": "khác"}])).count() == 0
+    odd = made([item, item | {"utterance": "x", "language": "en", "risk_level": "none", "split": "dev", "intent": "fly"}])
+    assert sorted((r.line_no, r.field) for r in V.schema_faults(odd).collect()) == [(2, f) for f in sorted(("utterance", "language", "risk_level", "split", "intent"))]
+
+
+def test_catalogs_are_bounded(spark, catalog):
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        V.small(catalog, 1)
+
+
+def test_mcnemar_of_large_counts(spark):
+    """Sums from the first term and from the largest agree with exact integers."""
+    from math import comb
+
+    from tessera.functions import stats
+
+    pairs = [(0, 0), (1, 0), (43, 12), (16, 8), (5200, 5300), (10_001, 10_400), (30_000, 30_500), (200_000, 190_000)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, b bigint, c bigint")
+    got = {r.i: r.p for r in rows.select("i", stats.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()}
+    for i, (b, c) in enumerate(pairs[:6]):
+        n, k = b + c, min(b, c)
+        want = min(1.0, 2 * sum(comb(n, j) for j in range(max(0, k - 3000), k + 1)) / (1 << n)) if n else 1.0
+        assert got[i] == pytest.approx(want, rel=1e-7)
+    assert got[6] == pytest.approx(0.0424, abs=2e-3) and got[7] < 1e-50
