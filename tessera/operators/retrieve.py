@@ -6,13 +6,15 @@ returns such a table; ``rank`` and the measures work on all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import tiles
 from tessera.operators.layout import kept, lookup
 from tessera.operators.validate import small
 
@@ -101,59 +103,96 @@ def rank(scores: DataFrame, k: int | None = None, order: Sequence[Column] = (),
     return s if k is None else s.filter(F.col("rank") <= k)
 
 
-def dense(items: DataFrame, queries: DataFrame, k: int, block: int = 4096, digits: int = 6) -> DataFrame:
+class _DenseTile:
+    """A tile's queries against packs of items: for each the k best."""
+
+    def __init__(self, queries: pa.Table, k: int, digits: int):
+        import numpy as np
+
+        self.np, self.k, self.digits = np, k, digits
+        self.queries, self.by_size = queries, {}
+        for q, v in enumerate(queries.column("vector").to_pylist()):
+            if v is not None and None not in v:
+                self.by_size.setdefault(len(v), []).append((q, v))
+        self.by_size = {n: ([q for q, _ in mine], np.array([v for _, v in mine], float)) for n, mine in self.by_size.items()}
+        self.best: list[list] = [[] for _ in range(queries.num_rows)]
+        self.item_type = None
+
+    def offer(self, pack: pa.Table) -> None:
+        np, self.item_type = self.np, pack.schema.field("item").type
+        items, vectors = pack.column("item").to_pylist(), pack.column("vector").to_pylist()
+        for size, (numbers, matrix) in self.by_size.items():
+            sound = [i for i, v in enumerate(vectors) if v is not None and len(v) == size and None not in v]
+            if not sound:
+                continue
+            scores = np.round(matrix @ np.array([vectors[i] for i in sound], float).T, self.digits)
+            few = min(self.k, len(sound))
+            for row, q in enumerate(numbers):
+                least = np.partition(scores[row], len(sound) - few)[len(sound) - few]
+                near = np.flatnonzero(scores[row] >= least)
+                self.best[q] = sorted(self.best[q] + [(-scores[row][i], items[sound[i]]) for i in near])[: self.k]
+
+    def found(self) -> pa.RecordBatch:
+        asked = self.queries.column("query").to_pylist()
+        rows = [(asked[q], item, -s) for q, mine in enumerate(self.best) for s, item in mine]
+        columns = list(zip(*rows)) or [(), (), ()]
+        kinds = self.queries.schema.field("query").type, self.item_type or pa.int64(), pa.float64()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query", "item", "score"])
+
+
+def dense(items: DataFrame, queries: DataFrame, k: int, block: int = 2048, digits: int = 6, broadcast_bytes: int = tiles.BROADCAST_BYTES) -> DataFrame:
     """(item, vector) and (query, vector) to the k best items of each query, by inner product.
 
-    Queries come to the executors in blocks of a fixed number of rows; each task
-    multiplies an Arrow batch of items with the block and keeps k a query.
-    Vectors that are null or of another length take no part.
+    Queries lie in tiles of about ``block`` rows that the executors make; each
+    task multiplies packs of items with a tile and keeps k a query.  Vectors
+    that are null, hold a null or are of another length take no part.
     """
-    import numpy as np
-
-    spark = items.sparkSession
-    total = queries.count()
-    parts = max(1, -(-total // block))
-    asked = queries.select("query", "vector", F.pmod(F.xxhash64("query"), F.lit(parts)).alias("part"))
+    some = queries.select("query", "vector").filter("vector is not null")
+    count = max(1, -(-some.count() // block))
     schema = f"query {queries.schema['query'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, score double"
-    found = None
-    for p in range(parts):
-        rows = [r for r in asked.filter((F.col("part") == p) & F.col("vector").isNotNull()).select("query", "vector").toLocalIterator()]
-        if not rows:
-            continue
-        size = len(rows[0].vector)
-        mine = spark.sparkContext.broadcast(([r.query for r in rows if len(r.vector) == size], np.array([r.vector for r in rows if len(r.vector) == size], float)))
-
-        def run(batches: Iterator[pa.RecordBatch], mine=mine, size=size) -> Iterator[pa.RecordBatch]:
-            names, matrix = mine.value
-            best: list[list] = [[] for _ in names]
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                vectors = batch.column(1).to_pylist()
-                sound = [i for i, v in enumerate(vectors) if v is not None and len(v) == size and None not in v]
-                if not sound:
-                    continue
-                scores = np.round(matrix @ np.array([vectors[i] for i in sound], float).T, digits)
-                for q in range(len(names)):
-                    order = np.argpartition(-scores[q], min(k, len(sound)) - 1)
-                    least = scores[q][order[min(k, len(sound)) - 1]]
-                    near = np.flatnonzero(scores[q] >= least)
-                    best[q] = sorted(best[q] + [(-scores[q][i], ids[sound[i]]) for i in near])[:k]
-            rows = [(names[q], item, -s) for q, b in enumerate(best) for s, item in b]
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch_types[0]), pa.array(columns[1], batch_types[1]), pa.array(columns[2], pa.float64())], names=["query", "item", "score"])
-
-        batch_types = _arrow(queries, "query"), _arrow(items, "item")
-        part = items.select("item", "vector").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    found = tiles.met(tiles.tiled(some, count), count, items.select("item", "vector"), lambda _, t: _DenseTile(t, k, digits), schema, broadcast_bytes)
     return rank(found, k, digits=digits)
 
 
-def _arrow(table: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+def embed(rows: DataFrame, text: str, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """Adds ``vector``, of unit length, as ``encode`` gives it for batches of texts on the executors; null texts count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            made = np.array(encode([t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]), float).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(made, axis=1, keepdims=True)
+            yield batch.append_column("vector", pa.array((made / np.where(norm > 0, norm, 1.0)).tolist(), pa.list_(pa.float64())))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, vector array<double>")
+
+
+@dataclass(frozen=True)
+class Bm25Retriever:
+    """R2 as a retriever over (item, text)."""
+
+    items: DataFrame
+    k1: float = 1.5
+    b: float = 0.75
 
-    return to_arrow_type(table.schema[column].dataType)
+    def scores(self, queries: DataFrame) -> DataFrame:
+        from tessera.functions.text import tokenize
+
+        return bm25(self.items.select("item", tokenize(F.col("text")).alias("tokens")), queries.select("query", tokenize(F.col("text")).alias("tokens")), self.k1, self.b)
+
+
+@dataclass(frozen=True)
+class DenseRetriever:
+    """R7, R8 as a retriever over (item, text), of the k best items of a query."""
+
+    items: DataFrame
+    encode: Callable[[list[str]], list[list[float]]]
+    k: int
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        return dense(embed(self.items, "text", self.encode), embed(queries.select("query", "text"), "text", self.encode), self.k).drop("rank")
 
 
 def min_max(scores: DataFrame, column: str) -> Column:

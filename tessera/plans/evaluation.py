@@ -95,6 +95,16 @@ def mcnemar_normal(spark, sf_dir):
     return out.select(F.round(normal_p(F.col("z")), 6).alias("p_normal"))
 
 
+def eval_wilson_array(spark, sf_dir):
+    """A10; a class of no examples has the interval [0, 0]."""
+    from tessera.functions.stats import wilson_array
+
+    e = _examples(spark, sf_dir).withColumn("asked", F.col("lang") != "en")
+    out = e.groupBy("lang").agg(F.count_if("asked").alias("n"), F.count_if(F.col("asked") & F.col("ok_a")).alias("k"))
+    interval = wilson_array(F.col("k"), F.col("n"))
+    return out.select("lang", F.round(interval[0], 6).alias("low"), F.round(interval[1], 6).alias("high"))
+
+
 def regression_sets(spark, sf_dir):
     e = _examples(spark, sf_dir).filter("quality is not null")
     return e.select("doc_id", M.transitions(F.col("ok_a"), F.col("ok_b")).alias("change"))
@@ -159,7 +169,7 @@ def last_row_wins(spark, sf_dir):
     return M.last_wins(rows).select("id", "line_no", "role", "digest")
 
 
-QUERIES = {f.__name__: f for f in (eval_left_join_rates, eval_wilson, eval_grouping_sets, eval_rollup_overall, eval_confusion, eval_error_taxonomy, eval_field_accuracy, eval_class_f1, eval_soft_accuracy, eval_null_status, mcnemar_counts, mcnemar_exact, mcnemar_normal, regression_sets, discordant_ids, decision_gate, argument_diff, telemetry_summary, rubric_all_true, pilot_rates, top_n_counter, coverage_check, missing_extra_ids, uniqueness, last_row_wins)}
+QUERIES = {f.__name__: f for f in (eval_left_join_rates, eval_wilson, eval_grouping_sets, eval_rollup_overall, eval_confusion, eval_error_taxonomy, eval_field_accuracy, eval_class_f1, eval_soft_accuracy, eval_null_status, mcnemar_counts, mcnemar_exact, mcnemar_normal, eval_wilson_array, regression_sets, discordant_ids, decision_gate, argument_diff, telemetry_summary, rubric_all_true, pilot_rates, top_n_counter, coverage_check, missing_extra_ids, uniqueness, last_row_wins)}
 
 _PAIRS = "p AS (SELECT quality AS e, run_a::INT AS p FROM e WHERE quality IS NOT NULL), c AS (SELECT DISTINCT e AS label FROM p UNION SELECT DISTINCT p FROM p), s AS (SELECT label, (SELECT count(*) FROM p WHERE e = label) AS support, (SELECT count(*) FROM p WHERE p.p = label) AS named, (SELECT count(*) FROM p WHERE e = label AND p.p = label) AS hit FROM c), r AS (SELECT label, support, coalesce(hit / nullif(named, 0)::DOUBLE, 0) AS precision, coalesce(hit / nullif(support, 0)::DOUBLE, 0) AS recall FROM s), f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r)"
 
@@ -176,6 +186,8 @@ ORACLE = {
     "eval_null_status": f"WITH {_E} SELECT lang, count(*) FILTER (quality IS NULL) AS n_null, round(coalesce(avg((NOT run_a)::INT) FILTER (quality IS NULL), 1), 6) AS null_accuracy, round(avg(ok_a::INT) FILTER (quality IS NOT NULL), 6) AS positive_accuracy FROM e GROUP BY lang",
     "mcnemar_counts": f"WITH {_E} SELECT count(*) FILTER (ok_a AND ok_b) AS both, count(*) FILTER (ok_a AND NOT ok_b) AS only_a, count(*) FILTER (NOT ok_a AND ok_b) AS only_b, count(*) FILTER (NOT ok_a AND NOT ok_b) AS neither FROM e WHERE quality IS NOT NULL",
     "mcnemar_exact": f"WITH {_E}, t AS (SELECT count(*) FILTER (ok_a AND toxic != 0) AS b, count(*) FILTER (NOT ok_a AND toxic = 0) AS c FROM e WHERE quality IS NOT NULL), s AS (SELECT b, c, unnest(generate_series(0, least(b, c))) AS i FROM t) SELECT b AS only_a, c AS only_b, round(least(1, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))), 6) AS p_exact, round((b - c) / sqrt(b + c), 6) AS z FROM s GROUP BY b, c",
+    "mcnemar_normal": f"WITH {_E}, t AS (SELECT count(*) FILTER (ok_a AND toxic != 0) AS b, count(*) FILTER (NOT ok_a AND toxic = 0) AS c FROM e WHERE quality IS NOT NULL), z AS (SELECT abs(b - c) / sqrt(2.0::DOUBLE * greatest(b + c, 1)) AS x FROM t), s AS (SELECT x, unnest(generate_series(0, 4000)) AS i FROM z) SELECT round(1 - 2 / sqrt(pi()) * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(x * i / 4000, 2))) * any_value(x) / 12000, 6) + 0.0 AS p_normal FROM s",
+    "eval_wilson_array": f"WITH {_E}, g AS (SELECT lang, count(*) FILTER (lang != 'en') AS n, count(*) FILTER (lang != 'en' AND ok_a) AS k FROM e GROUP BY lang) SELECT lang, CASE WHEN n = 0 THEN 0 ELSE round({_LOW}, 6) END::DOUBLE AS low, CASE WHEN n = 0 THEN 0 ELSE round({_HIGH}, 6) END::DOUBLE AS high FROM g",
     "regression_sets": f"WITH {_E} SELECT doc_id, CASE WHEN NOT ok_a AND ok_b THEN 'fixed' WHEN ok_a AND NOT ok_b THEN 'regressed' WHEN NOT ok_a AND NOT ok_b THEN 'persistent' ELSE 'stable' END AS change FROM e WHERE quality IS NOT NULL",
     "discordant_ids": f"WITH {_E} SELECT doc_id, CASE WHEN ok_a THEN 'only_a' ELSE 'only_b' END AS side FROM e WHERE quality IS NOT NULL AND ok_a != ok_b",
     "decision_gate": f"WITH {_E}, r AS (SELECT avg(ok_a::INT) AS rate FROM e WHERE quality IS NOT NULL) SELECT baseline, base_rate::DOUBLE AS base_rate, round(rate, 6) AS rate, round(rate - base_rate::DOUBLE, 6) AS delta, rate - base_rate::DOUBLE >= 0 AS passed FROM (VALUES ('first', 0.5), ('second', 0.75), ('third', 0.99)) b(baseline, base_rate), r",

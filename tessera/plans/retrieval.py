@@ -129,12 +129,27 @@ def ranking_check(spark, sf_dir):
     return R.ranking_matches(a, b).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def score_listing(spark, sf_dir):
+    """Queries in rising order of their best score, each with the k it would get."""
+    from pyspark.sql import Window
+
+    top = R.rank(R.hybrid(_pairs(spark, sf_dir)), 1).withColumn("score", F.round(F.col("score") - 0.3, 6))
+    rows = top.withColumn("bucket", F.col("query") % 8).select("query", "bucket", "score", R.adaptive_by_score(F.col("score")).alias("k"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("score", "query")).cast("bigint"))
+
+
+def passages(spark, sf_dir):
+    """R6."""
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", R.tool_passage(F.col("n_name"), F.lit("vi"), F.lit("en"), F.array(F.lit("a"), F.col("n_regionkey").cast("string"))).alias("passage"))
+
+
 def prompt_text(spark, sf_dir):
     t = table(spark, sf_dir, "nation")
     return t.select("n_nationkey", R.prompt(F.array(F.col("n_name")), F.concat(F.lit("find "), F.col("n_name"))).alias("prompt"), R.tool_text(F.col("n_name"), arguments=F.array(F.lit("a"), F.lit("b"))).alias("tool_text"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_idf, bm25_catalog, dense_topk, hybrid_topk, recall_mrr_at_k, retriever_comparison, recall_null_counts, alpha_grid, alpha_best, adaptive_k_gap, adaptive_k_score, top3_mean, score_histogram, gold_injection, ranking_check, prompt_text)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_idf, bm25_catalog, dense_topk, hybrid_topk, recall_mrr_at_k, retriever_comparison, recall_null_counts, alpha_grid, alpha_best, adaptive_k_gap, adaptive_k_score, top3_mean, score_histogram, gold_injection, ranking_check, score_listing, passages, prompt_text)}
 
 _FOLD = "lower(strip_accents(replace(replace({c}, 'đ', 'd'), 'Đ', 'D')))"
 _TOKENS = "unnest(regexp_extract_all(" + _FOLD + ", '[a-z0-9_@.+/*:-]+'))"
@@ -177,5 +192,7 @@ ORACLE = {
     "score_histogram": "WITH e AS (SELECT unnest([0, 5, 10, 20, 40, 80, 160]::DOUBLE[]) AS low, unnest([5, 10, 20, 40, 80, 160, 320]::DOUBLE[]) AS high) SELECT low, count(*) AS n FROM events JOIN e ON value >= low AND value < high GROUP BY low",
     "gold_injection": f"WITH {_P}, t AS (SELECT query, any_value(gold)::VARCHAR AS gold, list(item::VARCHAR ORDER BY rank) AS names FROM rk WHERE rank <= 3 GROUP BY query) SELECT query, array_to_string(CASE WHEN list_contains(names, gold) THEN names ELSE list_append(names[1:len(names) - 1], gold) END, '|') AS names FROM t",
     "ranking_check": f"WITH {_P}, s AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY round(semantic, 6) DESC, item) AS rank FROM pairs), x AS (SELECT query, list(item ORDER BY rank) AS x FROM s WHERE rank <= 2 GROUP BY query), y AS (SELECT query, list(item ORDER BY rank) AS y FROM rk WHERE rank <= 2 AND query % 7 != 0 GROUP BY query) SELECT CASE WHEN y IS NULL THEN 'missing' WHEN x IS NULL THEN 'extra' WHEN x = y THEN 'same' ELSE 'different' END AS verdict, count(*) AS n FROM x FULL JOIN y USING (query) GROUP BY 1",
+    "score_listing": f"WITH {_P}, t AS (SELECT query, query % 8 AS bucket, round(score - 0.3::DOUBLE, 6) AS score FROM rk WHERE rank = 1) SELECT query, bucket, score, CASE WHEN score >= 0.7 THEN 1 WHEN score >= 0.4 THEN 2 WHEN score >= 0.2 THEN 3 ELSE 5 END::BIGINT AS k, row_number() OVER (PARTITION BY bucket ORDER BY score, query) AS place FROM t",
+    "passages": "SELECT n_nationkey, 'passage: ' || replace(n_name, '_', ' ') || '. vi. en. Parameters: a, ' || n_regionkey::VARCHAR || '.' AS passage FROM nation",
     "prompt_text": "SELECT n_nationkey, '{\"tools\":[\"' || n_name || '\"],\"user_query\":\"find ' || n_name || '\"}' AS prompt, replace(n_name, '_', ' ') || ' a b' AS tool_text FROM nation",
 }

@@ -51,6 +51,30 @@ def test_dense_is_exact_with_ties_nulls_and_blocks(spark):
     assert R.dense(items, queries.limit(0), 3).count() == 0
 
 
+def test_dense_beyond_the_broadcast(spark):
+    rng = __import__("random").Random(3)
+    made = lambda n: [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(n)]
+    items, queries = spark.createDataFrame(made(60), "item int, vector array<double>").repartition(5), spark.createDataFrame(made(17), "query int, vector array<double>")
+    small, large = (sorted(map(tuple, R.dense(items, queries, 3, block=b, broadcast_bytes=n).collect())) for b, n in ((100, 16 << 20), (3, 0)))
+    assert small == large and len(small) == 51
+
+
+def test_retrievers(spark):
+    """R7, R10 and the protocol: an encoder that is given, and equal scores in the order of the catalog."""
+    encode = lambda texts: [[float(t.count("a")), float(t.count("b")), 1.0] for t in texts]
+    items = spark.createDataFrame([("x", "a a a", 2), ("y", "b b", 0), ("z", None, 1)], "item string, text string, ordinal int")
+    queries = spark.createDataFrame([(1, "aa"), (2, "")], "query int, text string")
+    made = {r["item"]: r.vector for r in R.embed(items, "text", encode).collect()}
+    assert made["z"] == [0.0, 0.0, 1.0] and sum(v * v for v in made["x"]) == pytest.approx(1.0)
+    for retriever in (R.Bm25Retriever(items), R.DenseRetriever(items, encode, 2)):
+        assert set(retriever.scores(queries).columns) == {"query", "item", "score"}
+    best = R.rank(R.DenseRetriever(items, encode, 2).scores(queries), 1)
+    assert {r.query: r["item"] for r in best.collect()} == {1: "x", 2: "z"}
+    scores = items.select(F.lit(1).alias("query"), "item", "ordinal", F.lit(0.1 + 0.2).alias("lexical"), F.lit(0.3).alias("semantic"))
+    ranked = R.rank(R.hybrid(scores, digits=None), order=[F.col("ordinal")], digits=None)
+    assert [r["item"] for r in ranked.orderBy("rank").collect()] == ["y", "z", "x"]
+
+
 def test_hybrid_and_adaptive(spark):
     s = spark.createDataFrame([(1, "a", 0.0, 0.2), (1, "b", 2.0, 0.4), (1, "c", 1.0, None), (2, "a", 1.0, 1.0)], "query int, item string, lexical double, semantic double")
     got = {(r.query, r.item): r.score for r in R.hybrid(s, 0.7).collect()}
