@@ -17,7 +17,7 @@ is the same, and its cost stays below the square of the duration.
 ``decode`` turns the values of a column into samples: 16-bit PCM bytes, WAV
 files, or what the caller passes in.  Recordings with one and the same
 fingerprint are one class in the search, of which the k + 1 smallest keys are
-kept, as no query can have more of them.  Queries lie in tiles (``_tiles``), and
+kept, as no query can have more of them.  Queries lie in tiles (``operators.tiles``), and
 every task returns at most k + 1 classes a query.
 
 Cases.  An integer needs SPAN frames.  Null or empty media, and recordings
@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import _tiles
 from tessera.llm._store import Scratch, bound_batches, spread
+from tessera.operators import tiles as _tiles
 
 RATE, FRAME, HOP = 4000, 512, 256
 CLASSES = 12
@@ -297,7 +297,7 @@ def align(queries: DataFrame, recordings: DataFrame, keys: Sequence[str] = ("id"
     real = asked.filter(some)
     tiles = max(1, -(-(real.agg(F.coalesce(F.sum(F.size("frames")), F.lit(0))).first()[0]) // FRAMES))
     schema = "row bigint, class bigint, shift bigint, votes bigint, bit_error double, clip boolean"
-    tiled = _tiles.tiled(real.select("row", "frames"), tiles, scratch)
+    tiled = _tiles.tiled(real.select("row", "frames"), tiles, scratch.cut)
     # A class of the query alone takes a place without giving a match, hence k + 1.
     found = scratch.cut(_tiles.met(tiled, tiles, heads.select("class", "frames"), lambda _, t: _Tile(t, k + 1, least_votes, most_errors), schema, broadcast_bytes))
     order = ["clip", "bit_error", F.col("votes").desc()]

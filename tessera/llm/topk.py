@@ -11,7 +11,7 @@ score the task has seen for the query, and from the start the k-th best of a
 seed sample, so nothing that belongs to the result is ever dropped.
 
 Queries lie in tiles of at most about ``query_block`` rows, made by the
-executors (``_tiles``); no query passes through the driver's Python, and every
+executors (``operators.tiles``); no query passes through the driver's Python, and every
 task returns at most k rows a query.
 
 Cases.  Vectors that are null or empty, or hold null or non-finite components, take no
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import _tiles
 from tessera.llm._store import Scratch, bound_batches
+from tessera.operators import tiles as _tiles
 
 DIMS_AT_ONCE = 16
 CANDIDATES_AT_ONCE = 8192
@@ -172,7 +172,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     # Rows are numbered in a table, so that they are the same in every attempt of a task.
     queries = scratch.cut(rows.filter("q").select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()).withColumn("floor", F.lit(-(1 << 63))))
     tiles = max(1, -(-queries.count() // query_block))
-    asked = _tiles.shown(_tiles.tiled(queries, tiles, scratch), candidates.limit(SEED_ROWS), lambda n, t: _Seeded(n, t, k), "tile int, data binary")
+    asked = _tiles.shown(_tiles.tiled(queries, tiles, scratch.cut), candidates.limit(SEED_ROWS), lambda n, t: _Seeded(n, t, k), "tile int, data binary")
     found = _tiles.met(scratch.cut(asked), tiles, candidates, lambda _, t: _Tile(t, k), "query_id bigint, row bigint, vec_id bigint, score bigint", broadcast_bytes)
     best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
