@@ -1,11 +1,11 @@
 """Leakage audits: which rows resemble which reference rows.
 
-The reference side is a stated set (a benchmark, a test split).  It is taken in
-blocks of a fixed number of rows; each block's sets become an incidence matrix
-that every task lays over its Arrow batches.  So all pairs are counted exactly,
-none is emitted, and what leaves a task is a best match or a pair above the
-threshold.  Rows are normalised and cut into tokens once, however many blocks
-there are.
+The reference side is a stated set (a benchmark, a test split).  The executors
+deal it out to tiles of a bounded number of rows (``tiles``); a tile's sets
+become an incidence matrix that every task lays over its packs of rows.  So all
+pairs are counted exactly, none is emitted, and what leaves a task is a best
+match or a pair above the threshold.  Rows are normalised and cut into tokens
+once, however many tiles there are.
 
 ``nearest_peers`` compares a corpus with itself; its candidates come from
 shared rare tokens, and nothing is lost above its threshold.
@@ -13,13 +13,15 @@ shared rare tokens, and nothing is lost above its threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import normalize, seq_ratio, seq_ratio_bound
+from tessera.operators import tiles
 from tessera.operators.layout import kept, spread
 
 BLOCK_ROWS = 2048
@@ -67,67 +69,58 @@ class _Incidence:
         return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
-def _blocks(refs: DataFrame) -> Iterator[list[tuple[object, list]]]:
-    block, entries = [], 0
-    for r in refs.select("ref", "tokens").toLocalIterator():
-        tokens = list(r.tokens or [])
-        if block and (len(block) >= BLOCK_ROWS or entries + len(tokens) > BLOCK_ENTRIES):
-            yield block
-            block, entries = [], 0
-        block.append((r.ref, tokens))
-        entries += len(tokens)
-    if block:
-        yield block
+def _tile_count(rows: int, entries: int, block: int) -> int:
+    return max(1, -(-rows // block), -(-entries // BLOCK_ENTRIES))
 
 
-def _once(rows: DataFrame, blocks: int) -> DataFrame:
-    """Rows that several blocks read, as a checkpoint in the shared folder."""
-    return rows if blocks < 2 else kept(rows)
+def _record(columns, kinds: dict) -> pa.RecordBatch:
+    """Rows of values as a batch of the named Arrow types."""
+    columns = list(zip(*columns)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _overlaps(rows: DataFrame, refs: DataFrame, per_ref: bool, least: float | None) -> DataFrame:
-    spark = rows.sparkSession
+class _Overlap:
+    """A tile of references against packs of rows: per reference or per row the best match, or all pairs from ``least`` on."""
+
+    def __init__(self, refs: pa.Table, kinds: dict, per_ref: bool, least: float | None):
+        import numpy as np
+
+        self.np, self.kinds, self.per_ref, self.least = np, kinds, per_ref, least
+        self.inc = _Incidence([(r, t or []) for r, t in zip(refs.column("ref").to_pylist(), refs.column("tokens").to_pylist())])
+        self.best, self.at = np.full(len(self.inc.ids), -1.0), [None] * len(self.inc.ids)
+
+    def offer(self, pack: pa.Table) -> pa.RecordBatch | None:
+        np, ids, found = self.np, self.inc.ids, []
+        for row, tokens in zip(pack.column("id").to_pylist(), pack.column("tokens").to_pylist()):
+            sims = np.round(self.inc.jaccard(tokens or []), 9)
+            if self.least is not None:
+                found += [(row, ids[j], float(sims[j])) for j in np.flatnonzero(sims >= self.least)]
+            elif self.per_ref:
+                for j in np.flatnonzero(sims >= self.best).tolist():
+                    if sims[j] > self.best[j] or row < self.at[j]:  # equal: the smaller id
+                        self.best[j], self.at[j] = sims[j], row
+            else:
+                top = sims.max()
+                found.append((row, min(ids[j] for j in np.flatnonzero(sims == top)), float(top)))
+        return _record(found, self.kinds) if found else None
+
+    def found(self) -> pa.RecordBatch:
+        return _record([(self.at[j], self.inc.ids[j], float(self.best[j])) for j in self.np.flatnonzero(self.best >= 0)], self.kinds)
+
+
+def _kinds(**columns) -> tuple[dict, str]:
+    """Arrow types by name, and the schema for Spark."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = to_arrow_type(rows.schema["id"].dataType), to_arrow_type(refs.schema["ref"].dataType)
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, ref {refs.schema['ref'].dataType.simpleString()}, sim double"
-    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(refs)]
-    rows = _once(rows.select("id", "tokens"), len(blocks))
-    out = None
-    for mine in blocks:
-
-        def run(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-
-            inc = _Incidence(mine.value)
-            best, at = np.full(len(inc.ids), -1.0), [None] * len(inc.ids)
-            found: list[tuple] = []
-            for batch in batches:
-                for row, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    sims = np.round(inc.jaccard(tokens or []), 9)
-                    if least is not None:
-                        found += [(row, inc.ids[j], float(sims[j])) for j in np.flatnonzero(sims >= least)]
-                    elif per_ref:
-                        for j in np.flatnonzero(sims >= best).tolist():
-                            if sims[j] > best[j] or row < at[j]:  # equal: the smaller id
-                                best[j], at[j] = sims[j], row
-                    else:
-                        top = sims.max()
-                        found.append((row, min(inc.ids[j] for j in np.flatnonzero(sims == top)), float(top)))
-                if found:
-                    yield _batch(found, kinds)
-                    found = []
-            if per_ref and least is None:
-                yield _batch([(at[j], inc.ids[j], float(best[j])) for j in np.flatnonzero(best >= 0)], kinds)
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return {n: to_arrow_type(t) for n, t in columns.items()}, ", ".join(f"{n} {t.simpleString()}" for n, t in columns.items())
 
 
-def _batch(rows: list[tuple], kinds) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], kinds[0]), pa.array(columns[1], kinds[1]), pa.array(columns[2], pa.float64())], names=["id", "ref", "sim"])
+def _overlaps(rows: DataFrame, refs: DataFrame, per_ref: bool, least: float | None) -> DataFrame:
+    kinds, schema = _kinds(id=rows.schema["id"].dataType, ref=refs.schema["ref"].dataType, sim=T.DoubleType())
+    stated = kept(refs.select("ref", "tokens"))
+    many = stated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0))).first()
+    count = _tile_count(*many, BLOCK_ROWS)
+    return tiles.met(tiles.tiled(stated, count), count, rows.select("id", "tokens"), lambda _, t: _Overlap(t, kinds, per_ref, least), schema)
 
 
 def best_match_of_refs(rows: DataFrame, refs: DataFrame) -> DataFrame:
@@ -353,112 +346,103 @@ class _Sequences:
         return out
 
 
-def _text_blocks(texts: DataFrame, block: int) -> Iterator[list[tuple]]:
-    mine: list[tuple] = []
-    for r in texts.toLocalIterator():
-        mine.append(tuple(r))
-        if len(mine) >= block:
-            yield mine
-            mine = []
-    if mine:
-        yield mine
+class _Matches:
+    """A tile of references against packs of rows: all pairs with a ratio from ``least`` on."""
+
+    def __init__(self, refs: pa.Table, kinds: dict, least: float):
+        import numpy as np
+
+        self.np, self.kinds, self.least = np, kinds, least
+        self.refs = refs.column("ref").to_pylist()
+        self.known = _Sequences(refs.column("text").to_pylist())
+        self.floor = np.full(len(self.refs), least)
+
+    def offer(self, pack: pa.Table) -> pa.RecordBatch | None:
+        from difflib import SequenceMatcher
+
+        found = []
+        for row, text in zip(pack.column("id").to_pylist(), pack.column("text").to_pylist()):
+            match = None
+            live = self.np.flatnonzero(self.known.bounds(text, self.floor) >= self.least).tolist()
+            for k, most in zip(live, self.known.common(text, live)):
+                other = self.known.texts[k]
+                if other and text and 2.0 * most / (len(other) + len(text)) < self.least:
+                    continue
+                match = match or SequenceMatcher(None, "", text)
+                match.set_seq1(other)
+                if (ratio := match.ratio()) >= self.least:
+                    found.append((self.refs[k], row, ratio))
+        return _record(found, self.kinds) if found else None
+
+    def found(self) -> pa.RecordBatch:
+        return _record([], self.kinds)
 
 
 def sequence_matches(rows: DataFrame, refs: DataFrame, least: float, block: int = BLOCK_ROWS) -> DataFrame:
     """All (ref, id, ratio) with the ratio of ref's text (ref, text) to the row's (id, text) at least ``least``.
 
-    References are a stated set, taken block by block; every row meets every
-    reference.  Only pairs that an upper bound rules out aren't computed.
+    References are a stated set; every row meets every reference.  Only pairs
+    that an upper bound rules out aren't computed.
     """
-    spark = rows.sparkSession
-    from pyspark.sql.pandas.types import to_arrow_type
+    kinds, schema = _kinds(ref=refs.schema["ref"].dataType, id=rows.schema["id"].dataType, ratio=T.DoubleType())
+    stated = kept(refs.filter("text is not null").select("ref", "text"))
+    count = _tile_count(*stated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first(), block)
+    dealt = spread(rows.filter("text is not null").select("id", "text"))
+    return tiles.met(tiles.tiled(stated, count), count, dealt, lambda _, t: _Matches(t, kinds, least), schema)
 
-    kinds = to_arrow_type(refs.schema["ref"].dataType), to_arrow_type(rows.schema["id"].dataType), pa.float64()
-    schema = f"ref {refs.schema['ref'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, ratio double"
-    out = None
-    for mine in _text_blocks(refs.filter("text is not null").select("ref", "text"), block):
-        held = spark.sparkContext.broadcast(mine)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            from difflib import SequenceMatcher
-
-            import numpy as np
-
-            known = _Sequences([t for _, t in held.value])
-            floor = np.full(len(known.texts), least)
-            for batch in batches:
-                found = []
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    match = None
-                    live = np.flatnonzero(known.bounds(text, floor) >= least).tolist()
-                    for k, most in zip(live, known.common(text, live)):
-                        ref, other = held.value[k]
-                        if other and text and 2.0 * most / (len(other) + len(text)) < least:
-                            continue
-                        match = match or SequenceMatcher(None, "", text)
-                        match.set_seq1(other)
-                        if (ratio := match.ratio()) >= least:
-                            found.append((ref, row, ratio))
-                columns = zip(*found) if found else ((),) * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["ref", "id", "ratio"])
-
-        dealt = rows.filter("text is not null").select("id", "text").repartition(4 * spark.sparkContext.defaultParallelism)  # a small file would be one long task
-        part = dealt.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+
+class _Closest:
+    """A tile of fresh rows against packs of references: each row's best one by ratio, then trigrams, then the smallest."""
+
+    def __init__(self, fresh: pa.Table, kinds: dict, own: bool):
+        import numpy as np
+
+        self.np, self.kinds, self.own = np, kinds, own
+        self.ids = fresh.column("id").to_pylist()
+        self.known = _Sequences(fresh.column("t").to_pylist())
+        self.sets = [self._grams(t) for t in self.known.texts]
+        self.least, self.best = np.full(len(self.ids), -0.5), [None] * len(self.ids)
+
+    @staticmethod
+    def _grams(text: str) -> set[str]:
+        return {text[i : i + 3] for i in range(max(1, len(text) - 2))}
+
+    def offer(self, pack: pa.Table) -> None:
+        from difflib import SequenceMatcher
+
+        known, least, best = self.known, self.least, self.best
+        pairs = zip(pack.column("ref").to_pylist(), pack.column("t").to_pylist())
+        for ref, text in sorted(pairs, key=lambda p: len(p[1])):  # short ones are the most alike
+            live = self.np.flatnonzero(known.bounds(text, least) >= least).tolist()
+            if not live:
+                continue
+            match, theirs = SequenceMatcher(None, "", text), self._grams(text)
+            for k, most in zip(live, known.common(text, live)):
+                if text and 2.0 * most / (known.size[k] + len(text)) < least[k] or not self.own and self.ids[k] == ref:
+                    continue
+                match.set_seq1(known.texts[k])
+                if (ratio := match.ratio()) >= least[k]:
+                    now = (-ratio, -len(self.sets[k] & theirs) / len(self.sets[k] | theirs), ref)
+                    if best[k] is None or now < best[k]:
+                        best[k], least[k] = now, ratio
+
+    def found(self) -> pa.RecordBatch:
+        return _record([(i, b[2], -b[0], -b[1]) for i, b in zip(self.ids, self.best) if b], self.kinds)
 
 
 def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: float = 0.9, gram_least: float = 0.7, block: int = BLOCK_ROWS, own: bool = True) -> DataFrame:
     """L4, L5, and with ``own`` false J9 of a stated set, in which no row is its own reference: for each row (id, text) its best reference (ref, text) by sequence ratio, then trigram Jaccard, then the smallest.
 
     Only the row's best reference is tested against the n-gram threshold.
-    Rows are the fresh set, broadcast block by block; references may be a whole
-    corpus.  A reference that an upper bound puts below the row's best so far
-    isn't computed; each task returns one reference a row.
+    Rows are the fresh set, in tiles; references may be a whole corpus.  A
+    reference that an upper bound puts below the row's best so far isn't
+    computed; each task returns one reference a row.
     """
-    spark = rows.sparkSession
-    from pyspark.sql.pandas.types import to_arrow_type
-
     plain = lambda c: F.coalesce(normalize(F.col(c), kind), F.lit(""))
-    fresh, asked = rows.select("id", plain("text").alias("t")), refs.select("ref", plain("text").alias("t"))
-    kinds = to_arrow_type(rows.schema["id"].dataType), to_arrow_type(refs.schema["ref"].dataType), pa.float64(), pa.float64()
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, ref {refs.schema['ref'].dataType.simpleString()}, ratio double, gram double"
-    out = None
-    for mine in _text_blocks(fresh, block):
-        held = spark.sparkContext.broadcast(mine)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            from difflib import SequenceMatcher
-
-            import numpy as np
-
-            grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))}
-            known = _Sequences([t for _, t in held.value])
-            sets = [grams(t) for t in known.texts]
-            least, best = np.full(len(sets), -0.5), [None] * len(sets)
-            for batch in batches:
-                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for ref, text in sorted(pairs, key=lambda p: len(p[1])):  # short ones are the most alike
-                    live = np.flatnonzero(known.bounds(text, least) >= least).tolist()
-                    if not live:
-                        continue
-                    match, theirs = SequenceMatcher(None, "", text), grams(text)
-                    for k, most in zip(live, known.common(text, live)):
-                        if text and 2.0 * most / (known.size[k] + len(text)) < least[k] or not own and held.value[k][0] == ref:
-                            continue
-                        match.set_seq1(known.texts[k])
-                        if (ratio := match.ratio()) >= least[k]:
-                            now = (-ratio, -len(sets[k] & theirs) / len(sets[k] | theirs), ref)
-                            if best[k] is None or now < best[k]:
-                                best[k], least[k] = now, ratio
-            found = [(held.value[k][0], b[2], -b[0], -b[1]) for k, b in enumerate(best) if b]
-            columns = zip(*found) if found else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "ref", "ratio", "gram"])
-
-        part = spread(asked).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema + ", leaks boolean")
+    fresh, asked = kept(rows.select("id", plain("text").alias("t"))), refs.select("ref", plain("text").alias("t"))
+    kinds, schema = _kinds(id=rows.schema["id"].dataType, ref=refs.schema["ref"].dataType, ratio=T.DoubleType(), gram=T.DoubleType())
+    count = _tile_count(*fresh.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first(), block)
+    out = tiles.met(tiles.tiled(fresh, count), count, spread(asked), lambda _, t: _Closest(t, kinds, own), schema)
     first = F.struct((-F.col("ratio")).alias("r"), (-F.col("gram")).alias("g"), "ref")
     best = out.groupBy("id").agg(F.min(first).alias("m")).select("id", "m.ref", (-F.col("m.r")).alias("ratio"), (-F.col("m.g")).alias("gram"))
     return best.withColumn("leaks", (F.col("ratio") >= seq_least) | (F.col("gram") >= gram_least))

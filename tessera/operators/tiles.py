@@ -72,14 +72,15 @@ def _worker(work: Callable):
                         yield from (done.found() for done in held.values())
                         held.clear()
                     held[number] = work(number, unpacked(mine))
-                held[number].offer(unpacked(theirs))
+                if (some := held[number].offer(unpacked(theirs))) is not None:
+                    yield some
         yield from (done.found() for done in held.values())
 
     return run
 
 
 def met(tiles: DataFrame, count: int, candidates: DataFrame, work: Callable, schema: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``work(number, queries)`` makes an object for a tile; its ``offer(table)`` gets packs of candidates, its ``found()`` gives a RecordBatch of ``schema``."""
+    """``work(number, queries)`` makes an object for a tile; its ``offer(table)`` gets packs of candidates, its ``found()`` gives a RecordBatch of ``schema``; ``offer`` may give one, too."""
     packs = candidates.mapInArrow(_packed, "data binary").withColumnRenamed("data", "pack")
     packs = packs.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     if (tiles.agg(F.sum(F.octet_length("data"))).first()[0] or 0) <= broadcast_bytes:
