@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,20 @@ def bound_batches(spark: SparkSession, rows: int = 2048) -> None:
         spark.conf.set(BATCH_KEY, str(rows))
 
 
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes the tables of all operators called inside, at the end, when what they gave has been written."""
+    before = len(_OPEN)
+    try:
+        yield
+    finally:
+        while len(_OPEN) > before:
+            _OPEN.pop().close()
+
+
 class Scratch:
     """Tables of one operator call, each in a folder of its own name."""
 
@@ -52,6 +68,7 @@ class Scratch:
         files = base.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(base)
         files.deleteOnExit(base)
+        _OPEN.append(self)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -88,6 +105,13 @@ class Scratch:
         self._names[id(out)] = name
         return out
 
+    def close(self) -> None:
+        """Delete all tables."""
+        for name in self._names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        base = self._path(self.base)
+        base.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(base, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table of this scratch space that nothing reads any more."""
         if name := self._names.pop(id(df), None):

@@ -492,3 +492,22 @@ def test_align_against_every_offset():
                 tested.append((float(np.bitwise_count(same.view(np.uint32)).sum()) / (32 * (b - a)), -int((same == 0).sum()), d))
         errors, votes, d = min(tested)
         assert got[q] == (d, -votes, errors)
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    """Tables are deleted when their operator's result has been written; a missing shared folder is an error on a cluster."""
+    import os
+    from types import SimpleNamespace
+
+    from tessera.llm._store import KEY, Scratch, released, shared_dir
+    from tessera.llm.line_dedup import dedup_lines
+
+    base = spark.conf.get(KEY).removeprefix("file://")
+    own = Scratch(spark, "own")
+    before, tables = set(os.listdir(base)), len(spark.catalog.listTables())
+    with released():
+        kept = own.cut(dedup_lines(docs(spark, ODD)))
+    assert set(os.listdir(base)) == before and len(spark.catalog.listTables()) == tables and kept.count() == len(ODD)
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
