@@ -62,13 +62,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written to the shared folder and read again by the next."""
-    from tessera.llm._store import Scratch
+    """Each stage's result is written to the shared folder and read again by the next; then what the stage wrote besides goes, and its input, too."""
+    from tessera.llm._store import Scratch, released
 
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = scratch.cut(docs)
+        if number == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with released():
+            made = scratch.cut(stage(spark, docs, sf_dir))
+        if number > 1:
+            scratch.drop(docs)
+        docs = made
     return docs
