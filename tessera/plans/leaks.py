@@ -134,8 +134,10 @@ def held_out_least_similar(spark, sf_dir):
 
 
 def leak_seq_ratio(spark, sf_dir):
-    """Benchmark items against every turn of the conversations by Ratcliff-Obershelp ratio, all pairs that reach 0.8."""
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), normalize(F.col("text"), "leak").alias("text"))
+    """Benchmark items against every turn of the conversations by Ratcliff-Obershelp ratio, all pairs that reach 0.8; some items are planted as turns, with a word behind."""
+    said = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    said = said.unionByName(table(spark, sf_dir, "benchmark").filter("item_id % 7 = 2").select(F.concat_ws("/", F.lit("planted"), "item_id").alias("id"), F.concat("text", F.lit(" zz")).alias("text")))
+    turns = said.select("id", normalize(F.col("text"), "leak").alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref"), normalize(F.col("text"), "leak").alias("text"))
     return L.sequence_matches(turns, items, 0.8).select("ref", "id", F.round("ratio", 6).alias("ratio"))
 

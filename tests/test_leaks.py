@@ -48,7 +48,9 @@ def test_seq_ratio_meets_every_turn(spark, tmp_path):
     )
     got = {(r.ref, r.id): r.ratio for r in leaks.leak_seq_ratio(spark, where).collect()}
     want = {(i, f"{j // 4}/{j % 4}"): round(s, 6) for i, a in enumerate(items) for j, b in enumerate(turns) if (s := SequenceMatcher(None, a, b).ratio()) >= 0.8}
-    assert got == want and len(got) >= 5
+    planted = {f"planted/{i}": items[i] + " zz" for i in (2, 9, 16)}
+    want |= {(i, p): round(s, 6) for i, a in enumerate(items) for p, b in planted.items() if (s := SequenceMatcher(None, a, b).ratio()) >= 0.8}
+    assert got == want and len(got) >= 8
     assert (3, f"{89 // 4}/{89 % 4}") in got  # they differ in the first letter
 
 
