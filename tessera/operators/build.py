@@ -6,8 +6,8 @@ rows are laid out, and reruns agree.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,6 +198,11 @@ LEVELS = {
 MARK_LEVELS = {"light": {"tone": 0.25, "shape": 0.10, "merge": 0.05}, "medium": {"tone": 0.50, "shape": 0.25, "merge": 0.12}}
 
 
+def _bound(value: Column, apply: Callable[[Column], Column]) -> Column:
+    """``apply`` on a variable of a lambda, so that ``value`` is computed once however often it is used."""
+    return F.transform(F.array(value), lambda v: apply(v))[0]
+
+
 def _fan_out(rows: DataFrame, text: str, key: str, noisy: Mapping[str, Column], suffix: str) -> DataFrame:
     levels = F.explode(F.array(*[F.lit(n) for n in noisy]))
     out = rows.withColumn("__level", levels).withColumn(f"clean_{text}", F.col(text)).withColumn("noise_level", F.col("__level"))
@@ -216,12 +221,14 @@ def add_noise(rows: DataFrame, text: str, key: str, levels: Mapping[str, Mapping
     made = {}
     for name, rate in levels.items():
         k = F.concat_ws("/", F.col(key).cast("string"), F.lit(name))
-        x = F.col(text)
-        x = substitute_words(x, words, k, rate["substitute"], seed) if rate["substitute"] > 0 else x
-        x = typos(x, k, rate["typo"], seed) if rate["typo"] > 0 else x
-        x = drop_tones(x, k, rate["tone"], seed) if rate["tone"] > 0 else x
-        x = merge_words(x, k, rate["merge"], seed) if rate["merge"] > 0 else x
-        made[name] = insert_fillers(x, fillers, k, rate["filler"], seed) if rate["filler"] > 0 else x
+        steps = {
+            "substitute": partial(substitute_words, mapping=words, key=k, rate=rate["substitute"], seed=seed), "typo": partial(typos, key=k, rate=rate["typo"], seed=seed), "tone": partial(drop_tones, key=k, rate=rate["tone"], seed=seed),
+            "merge": partial(merge_words, key=k, rate=rate["merge"], seed=seed), "filler": partial(insert_fillers, fillers=fillers, key=k, rate=rate["filler"], seed=seed),
+        }
+        made[name] = F.col(text)
+        for step, apply in steps.items():
+            if rate[step] > 0:
+                made[name] = _bound(made[name], apply)
     return _fan_out(rows, text, key, made, "_")
 
 

@@ -128,12 +128,12 @@ def noise_merge(spark, sf_dir):
 
 
 def noise_marks(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Đặt ở quán phở, "), F.substring("text", 1, 120)).alias("text"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Đặt ở quán phở, "), "text").alias("text"))
     return rows.select("item_id", build.drop_marks(F.col("text"), F.col("item_id"), 0.5, 0.25, 0.12).alias("noisy"))
 
 
 def noise_training(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 200).alias("query"))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
     out = build.training_noise(rows, "query", "id")
     kept = build.training_rows(out.withColumns({"noisy_query": F.col("query"), "group": F.lit(None).cast("string"), "expected": F.lit(1)}), ("light",))
     return out.groupBy("noise_level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("clean_query").isNull()).cast("bigint").alias("clean")).crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("light"))))
@@ -219,8 +219,8 @@ def noise_tone_removal(spark, sf_dir):
 
 
 def noise_levels(spark, sf_dir):
-    """The beginnings of turns, as long as commands are."""
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.substring("text", 1, 160).alias("text"))
+    """Every turn at every level."""
+    rows = texts(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     out = build.add_noise(rows, "text", "id", words=build.MISHEARD | {"the": "teh", "and": ("an", "end")})
     return out.select("id", "noise_level", F.md5("text").alias("noisy"), (F.col("text") != F.col("clean_text")).alias("changed"))
 
@@ -330,7 +330,7 @@ ORACLE = {
     "entity_extract": r"WITH t AS (SELECT doc_id, coalesce(text, '') || ' content://x/' || doc_id::VARCHAR || chr(10) AS t FROM documents), d AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}') AS e, regexp_extract_all(t, 'content://[^ \t\n\x0B\f\r]+') AS u FROM t) SELECT doc_id, array_to_string(e, ',') AS emails, array_to_string(u, ',') AS uris FROM d",
     "phone_extract": r"WITH k AS (SELECT c_custkey, lpad(c_custkey::VARCHAR, 9, '1') AS k FROM customer), t AS (SELECT c_custkey, 'gọi 0' || k || ' hay 0' || k || '77, 0' || k || 'éo số0' || k || '.0' || k[1:8] AS t FROM k), p AS (SELECT c_custkey, regexp_extract_all(regexp_replace(t, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])(0[0-9]{8,10})(?:$|[^\p{L}\p{N}_])', 1) AS p FROM t) SELECT c_custkey, unnest(p) AS digits, (generate_subscripts(p, 1) - 1)::BIGINT AS place FROM p",
     "noise_merge": f"WITH w AS (SELECT item_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x != '') AS w FROM benchmark), g AS (SELECT item_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w WHERE len(w) > 1), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':merge'")}, i) <= greatest(1, floor(len(w) * 0.2::DOUBLE)) AS closed FROM g) SELECT item_id, any_value(w[1]) || string_agg(CASE WHEN closed THEN '' ELSE ' ' END || w[i + 1], '' ORDER BY i) AS noisy FROM r GROUP BY item_id",
-    "noise_marks": f"""WITH t AS (SELECT item_id, 'Đặt ở quán phở, ' || substring(text, 1, 120) AS t FROM benchmark), c AS (SELECT item_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM t),
+    "noise_marks": f"""WITH t AS (SELECT item_id, 'Đặt ở quán phở, ' || text AS t FROM benchmark), c AS (SELECT item_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM t),
       n AS (SELECT item_id, i, CASE WHEN {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':tone'")} < 0.5 THEN nfc_normalize(regexp_replace(translate(c, {_TONED[0]!r}, {_TONED[1]!r}), '', '')) ELSE c END AS c FROM c),
       s AS (SELECT item_id, i, CASE WHEN {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':shape'")} < 0.25 THEN translate(c, 'ăâêôơưđĂÂÊÔƠƯĐ', 'aaeooudAAEOOUD') ELSE c END AS c FROM n), j AS (SELECT item_id, string_agg(c, '' ORDER BY i) AS t FROM s GROUP BY item_id),
       w AS (SELECT item_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) - 1 AS i FROM j) SELECT item_id, string_agg(CASE WHEN i > 0 AND {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':gap'")} >= 0.12 THEN ' ' ELSE '' END || w, '' ORDER BY i) AS noisy FROM w GROUP BY item_id""",
