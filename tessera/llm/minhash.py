@@ -270,15 +270,22 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _share_prefix(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(nid, root) to the pairs (a, b) of other roots that share a shingle among their rarest."""
+    """(nid, root) to the pairs (a, b) of other roots that share a shingle among their rarest, early enough in both.
+
+    The first shared shingle, at places i and j, leaves 1 + min(n_a - i, n_b - j)
+    shared ones at most; a link needs t / (1 + t) (n_a + n_b).
+    """
     placed = scratch.cut(members.join(sets, "nid").select("nid", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
     used = scratch.cut(placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses")))
     ranked = placed.join(used, "shingle").groupBy("nid", "root", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "shingle"))).alias("rarest"))
     prefix = F.slice("rarest", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    shown = scratch.cut(ranked.select("nid", "root", "n", F.explode(F.filter(prefix, lambda s: s["uses"] > 1)).alias("s")).select("nid", "root", "n", F.col("s.shingle").alias("shingle")))
-    x, y = (shown.select(F.col("shingle").alias(f"shingle_{c}"), F.col("nid").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    shown = ranked.select("nid", "root", "n", F.posexplode(prefix).alias("place", "s")).filter("s.uses > 1").select("nid", "root", "n", "place", F.col("s.shingle").alias("shingle"))
+    shown = scratch.cut(shown)
+    x, y = (shown.select(F.col("shingle").alias(f"shingle_{c}"), F.col("nid").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"), F.col("place").alias(f"place_{c}")) for c in "ab")
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # places count from 0
+    enough = left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b"))
-    return x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & alike).select("a", "b").distinct()
+    return x.join(y, (F.col("shingle_a") == F.col("shingle_b")) & alike & enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_bytes: int = BROADCAST_BYTES, compared: int = COMPARED) -> DataFrame:
