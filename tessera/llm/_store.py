@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
-def bound_batches(spark: SparkSession, rows: int = 2048) -> None:
+def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Let Python see fewer texts at a time, unless the session says itself how many."""
     if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, str(rows))
@@ -55,6 +56,15 @@ def released() -> Iterator[None]:
             _OPEN.pop().close()
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches one after the other; what one of them held goes back to the system before the next comes."""
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+
+
 class Scratch:
     """Tables of one operator call, each in a folder of its own name."""
 

@@ -34,17 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import bound_batches, spread
+from tessera.llm._store import bound_batches, lean, spread
 
 # The pretokenizer's pattern and the white space it knows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 32 << 20
 ENTRY_BYTES = 200  # what an entry costs beside its texts
 FEW = 24  # trees; fewer are finished one by one
-DOCS_AT_ONCE = 1024
-PRETOKENS_AT_ONCE = 50_000
+DOCS_AT_ONCE = 512
+PRETOKENS_AT_ONCE = 20_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -346,7 +346,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
         from hashlib import sha256
 
         coder = _coder(definition)
-        for batch in batches:
+        for batch in lean(batches):
             for k in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(k, DOCS_AT_ONCE)
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]

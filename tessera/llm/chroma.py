@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch, bound_batches, spread
+from tessera.llm._store import Scratch, bound_batches, lean, spread
 from tessera.operators import tiles as _tiles
 
 RATE, FRAME, HOP = 4000, 512, 256
@@ -134,7 +134,7 @@ def fingerprints(media: DataFrame, value_col: Column, decode: Callable[[object],
     """The columns ``keys``, and frames array<int>; null for media without a value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = [None if v is None else fingerprint(chroma(decode(v))).view(np.int32) for v in part.column(len(keys)).to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch, bound_batches, planned_bytes, spread
+from tessera.llm._store import Scratch, bound_batches, lean, planned_bytes, spread
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -37,7 +37,7 @@ def _line_keys(min_chars: int):
         import numpy as np
         import xxhash
 
-        for batch in batches:
+        for batch in lean(batches):
             ids, row_keys = batch.column(0), batch.column(1)
             owner: list[int] = []
             index: list[int] = []

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Scratch, bound_batches, spread
+from tessera.llm._store import Scratch, bound_batches, lean, spread
 
 ROWS = 5
 MISS = 1e-6
@@ -166,7 +166,7 @@ def _signatures(words: int, bands: int, rows: int):
             y *= np.uint32(0x2C1B3C6D)
             return y.min(axis=1)
 
-        for batch in batches:
+        for batch in lean(batches):
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for a, b in _slices(texts):
                 sets = shingler.sets(texts[a:b])
@@ -196,7 +196,7 @@ def _full_sets(words: int):
         import numpy as np
 
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in lean(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in _slices(texts):
                 sets = shingler.sets(texts[a:b])
@@ -211,7 +211,7 @@ def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in lean(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)

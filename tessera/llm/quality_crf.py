@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import labelled_sample, logistic, sigmoid
-from tessera.llm._store import Scratch, bound_batches, spread
+from tessera.llm._store import Scratch, bound_batches, lean, spread
 
 SAMPLE = 6_000
 SAMPLE_LINES = 400_000
@@ -207,7 +207,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str =
     sample = _bounded(labelled_sample(docs, labels, label, usable, most), Scratch(docs.sparkSession, "quality"), most_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             made = [line_features(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary()), batch.column(1)], names=["features", "lengths", "y"])
 
@@ -233,7 +233,7 @@ def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.7) -> D
     """doc_id, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
                 scores = model.scores([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import bound_batches, spread
+from tessera.llm._store import bound_batches, lean, spread
 
 CHUNK = 4096
 OVERLAP = 128
@@ -115,10 +115,13 @@ class ChunkedCounter:
         return dict(zip(spans, self._encode([text[a:b] for a, b in spans]), strict=True))
 
     def counts(self, texts: list[str]) -> list[int]:
+        """Offsets are asked for only where there is something to splice."""
         out: list[int] = []
         for k in range(0, len(texts), self.lookahead):
             group = texts[k : k + self.lookahead]
-            out += map(self.count, group, self._encode([t[: self.chunk] for t in group]))
+            whole = iter(self.tokenizer.encode_batch_fast([t for t in group if len(t) <= self.chunk], add_special_tokens=False))
+            first = iter(self._encode([t[: self.chunk] for t in group if len(t) > self.chunk]))
+            out += [len(next(whole)) if len(t) <= self.chunk else self.count(t, next(first)) for t in group]
         return out
 
 
@@ -144,7 +147,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = _counter(definition.value, chunk, overlap)
-        for batch in batches:
+        for batch in lean(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counter.counts(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

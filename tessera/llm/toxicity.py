@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import labelled_sample, logistic, sigmoid
-from tessera.llm._store import Scratch, bound_batches, spread
+from tessera.llm._store import Scratch, bound_batches, lean, spread
 
 # What stands for which letter.
 HOMOGLYPHS = {
@@ -140,7 +140,7 @@ def _features_of(text: str) -> set[str]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, y) to the features' document frequencies in each batch: t in toxic, c in other documents."""
-    for batch in batches:
+    for batch in lean(batches):
         counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[y == 1].update(_features_of(text))
@@ -199,7 +199,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, label: str =
 def _weighed(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
+        for batch in lean(batches):
             rows = [matcher.weigh(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64()), batch.column(1)], names=["weight", "words", "y"])
 
@@ -211,7 +211,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
+        for batch in lean(batches):
             rows = [matcher.score(t or "") for t in batch.column(2).to_pylist()]
             columns = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "row_key", "score", "hits", "n_words"])
@@ -228,7 +228,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
+        for batch in lean(batches):
             yield batch.filter(pa.array([matcher.score(t or "")[0] < least for t in batch.column(at).to_pylist()], pa.bool_()))
 
     bound_batches(docs.sparkSession)
