@@ -82,12 +82,12 @@ def _worker(work: Callable):
 def met(tiles: DataFrame, count: int, candidates: DataFrame, work: Callable, schema: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``work(number, queries)`` makes an object for a tile; its ``offer(table)`` gets packs of candidates, its ``found()`` gives a RecordBatch of ``schema``; ``offer`` may give one, too."""
     packs = candidates.mapInArrow(_packed, "data binary").withColumnRenamed("data", "pack")
-    packs = packs.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     if (tiles.agg(F.sum(F.octet_length("data"))).first()[0] or 0) <= broadcast_bytes:
-        both = packs.join(F.broadcast(tiles), F.col("number") == F.col("tile"))
+        both = packs.withColumn("number", numbers).join(F.broadcast(tiles), F.col("number") == F.col("tile"))
         return both.select("tile", F.lit(False).alias("one_by_one"), "data", "pack").mapInArrow(_worker(work), schema)
     slices = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")) // count)
-    packs = packs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(slices)))
+    packs = packs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(slices))).withColumn("number", numbers)
     tiles = tiles.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
     both = packs.join(tiles.hint("merge"), (F.col("number") == F.col("tile")) & (F.col("part") == F.col("slice")))
     return both.select("tile", F.lit(True).alias("one_by_one"), "data", "pack").sortWithinPartitions("tile").mapInArrow(_worker(work), schema)

@@ -207,6 +207,12 @@ def split_stratified(spark, sf_dir):
     return out.select("doc_id", "lang", "split")
 
 
+def split_forced(spark, sf_dir):
+    """B1 with rows that must not be tested: they count, but only the others are drawn."""
+    out = build.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", forced_train=F.col("doc_id") % 3 == 0)
+    return out.select("doc_id", "lang", "split")
+
+
 def quota_largest_remainder(spark, sf_dir):
     sizes = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("class")).agg(F.count(F.lit(1)).alias("n"))
     total = table(spark, sf_dir, "part").select((F.floor(F.count(F.lit(1)) * 0.2)).alias("t")).first()[0]
@@ -293,7 +299,7 @@ def resume_faults(spark, sf_dir):
     return resume.resume_faults(examples, done)
 
 
-QUERIES = {f.__name__: f for f in (dup_ids, student_summary, required_groups, error_list, json_type_check, json_extract_value, json_from_noise, norm_matrix, norm_digest, tokens_per_lang, entity_extract, phone_extract, time_parse, duration_parse, contact_names, setting_map, label_classes, template_fill, canonical_text, next_ids, sequence_ids, route_intents, rule_predictions, split_stratified, quota_largest_remainder, noise_tone_removal, noise_levels, noise_words, noise_merge, noise_marks, noise_training, rule_commands, union_lineage, blocked_rows, held_out, semi_join, full_outer, group_join_default, positional_join, log_parse, csv_ledger, resume_pending, resume_faults)}
+QUERIES = {f.__name__: f for f in (dup_ids, student_summary, required_groups, error_list, json_type_check, json_extract_value, json_from_noise, norm_matrix, norm_digest, tokens_per_lang, entity_extract, phone_extract, time_parse, duration_parse, contact_names, setting_map, label_classes, template_fill, canonical_text, next_ids, sequence_ids, route_intents, rule_predictions, split_stratified, split_forced, quota_largest_remainder, noise_tone_removal, noise_levels, noise_words, noise_merge, noise_marks, noise_training, rule_commands, union_lineage, blocked_rows, held_out, semi_join, full_outer, group_join_default, positional_join, log_parse, csv_ledger, resume_pending, resume_faults)}
 
 _FOLD = "lower(strip_accents(replace(replace({c}, 'đ', 'd'), 'Đ', 'D')))"
 _COMMON = "regexp_replace(regexp_replace(" + _FOLD + r", '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
@@ -348,6 +354,7 @@ ORACLE = {
     "route_intents": f"WITH t AS (SELECT {_COMMON.format(c='text')} AS t FROM documents) SELECT CASE WHEN contains(t, 'goi') THEN 'call' WHEN contains(t, 'mo ') OR contains(t, 'bat ') THEN 'open' WHEN contains(t, 'license') THEN 'license' WHEN contains(t, ' | ') THEN 'table' ELSE 'unknown' END AS intent, count(*) AS n FROM t GROUP BY 1",
     "rule_predictions": f"WITH t AS (SELECT {_COMMON.format(c='text')} AS t FROM documents), r AS (SELECT CASE WHEN contains(t, 'license') AND NOT contains(t, 'cc by') THEN 0 WHEN contains(t, 'cc by') THEN 1 WHEN contains(t, '@') THEN 2 WHEN contains(t, '!!') THEN 3 ELSE 4 END AS r FROM t) SELECT CASE r WHEN 0 THEN 'licensed' WHEN 1 THEN 'cc' WHEN 2 THEN 'contact' END AS tool, CASE r WHEN 3 THEN 'clarification' WHEN 4 THEN 'unsupported' END AS status, r = 1 AS requires_confirmation, count(*) AS n FROM r GROUP BY ALL",
     "split_stratified": f"WITH d AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY {_DRAW.format(k='doc_id::VARCHAR')}, doc_id) AS r FROM documents) SELECT doc_id, lang, CASE WHEN r <= greatest(4, round_even(0.2::DOUBLE * n, 0)) THEN 'test' ELSE 'train' END AS split FROM d",
+    "split_forced": f"WITH d AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang, doc_id % 3 = 0 ORDER BY {_DRAW.format(k='doc_id::VARCHAR')}, doc_id) AS r FROM documents) SELECT doc_id, lang, CASE WHEN doc_id % 3 != 0 AND r <= greatest(4, round_even(0.2::DOUBLE * n, 0)) THEN 'test' ELSE 'train' END AS split FROM d",
     "quota_largest_remainder": "WITH s AS (SELECT p_type AS class, count(*) AS n FROM part GROUP BY 1), t AS (SELECT *, greatest(1, floor(0.2::DOUBLE * n))::BIGINT AS base FROM s), u AS (SELECT *, round(0.2::DOUBLE * n - base, 9) AS rest FROM t), l AS (SELECT (SELECT floor(count(*) * 0.2::DOUBLE) FROM part) - sum(base) AS left_ FROM u), r AS (SELECT u.*, turn FROM u, l, generate_series(0, greatest(left_, 0)::BIGINT) g(turn)), p AS (SELECT *, row_number() OVER (ORDER BY rest - turn DESC, n DESC, class DESC) AS place FROM r), a AS (SELECT class, count(*) AS added FROM p, l WHERE place <= left_ GROUP BY class) SELECT class, n, base + coalesce(added, 0) AS quota FROM u LEFT JOIN a USING (class)",
     "noise_tone_removal": "SELECT doc_id, md5(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D'))) AS bare, length(text)::BIGINT AS n FROM documents",
     "noise_words": f"WITH t AS (SELECT item_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x != '') AS ws FROM benchmark), w AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM t), s AS (SELECT item_id, i, w, CASE lower(w) WHEN 'the' THEN 'teh' WHEN 'of' THEN 'ov' WHEN 'is' THEN 'iz' END AS new, {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':sub'")} AS u FROM w) SELECT item_id, string_agg(CASE WHEN new IS NOT NULL AND u < 0.5 THEN CASE WHEN w[1] = upper(w[1]) THEN upper(new[1]) || new[2:] ELSE new END ELSE w END, ' ' ORDER BY i) AS noisy FROM s GROUP BY item_id",
