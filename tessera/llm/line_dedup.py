@@ -143,7 +143,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(keyed.filter(F.col("batch") == b))
-    frequent = runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "top_doc")
+    # A table, so that the join broadcasts it, or shuffles both sides and a very common line can be split.
+    frequent = scratch.cut(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "top_doc"))
     lost = keyed.join(frequent, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("top_doc"))).groupBy("doc_id", "row_key").agg(F.collect_set("line").alias("lines"))
     lost = scratch.cut(lost)
     weight = lost.agg(F.coalesce(F.sum(F.size("lines") * 8 + 64), F.lit(0))).first()[0]
