@@ -13,6 +13,12 @@ and are spliced at a word boundary that both show and that is proven stable:
 * Merges never cross pretokens, so the ids before the boundary are the left
   chunk's, and those from it on are the right chunk's.
 
+Where the tokenizer pretokenizes at byte level, a single blank between two
+characters that are no white space always is a boundary.  A chunk all of whose
+blanks are such is encoded piece by piece, and a memo, bounded by bytes, keeps
+the pieces' counts; the pieces' places are its offsets.  Other chunks are
+encoded as a whole.
+
 If an overlap shows no such boundary, it is widened by the factor 4, in the
 worst case until the chunk begins where the left one began and takes its place.
 
@@ -23,6 +29,7 @@ tokens, or of the longest stretch of a text without a boundary.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,40 +38,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._store import bound_batches, lean, spread
+from tessera.llm.bpe import ENTRY_BYTES, SPACE
 
-CHUNK = 4096
-OVERLAP = 128
-AT_ONCE = 1 << 18
+CHUNK = 16_384
+OVERLAP = 512
+AT_ONCE = 1 << 21
+MEMO_BYTES = 96 << 20
 
 
-class ChunkedCounter:
-    """Counts tokens as the encoder does that ``definition``, its JSON text, describes."""
+class _Whole:
+    """A chunk as the library encodes it."""
 
-    def __init__(self, definition: str, chunk: int = CHUNK, overlap: int = OVERLAP):
-        import regex
-        from tokenizers import Tokenizer
+    def __init__(self, encoding):
+        self.encoding, self.total = encoding, len(encoding)
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.chunk, self.overlap = chunk, min(overlap, chunk // 2)
-        self.margin = max([1, *(len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
-        self.solid = regex.compile(r"\S").search
-        self.widened = 0
-        self.lookahead = max(1, AT_ONCE // self.chunk)
-
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
-
-    @staticmethod
-    def _boundaries(encoding, at: int, low: int, high: int) -> dict[int, int]:
+    def boundaries(self, at: int, low: int, high: int) -> dict[int, int]:
         """Position in the text of each word's first token to the token's number, from ``low`` on and before ``high``.
 
         Offsets are trimmed or not alike in both chunks.  The first word of a
         chunk may have lost its beginning, so it is left out.
         """
         out: dict[int, int] = {}
-        words, offsets = encoding.word_ids, encoding.offsets
+        words, offsets = self.encoding.word_ids, self.encoding.offsets
         for i in range(max(1, bisect_left(offsets, (low - at, 0))), len(words)):
             p = at + offsets[i][0]
             if p >= high:
@@ -73,9 +68,81 @@ class ChunkedCounter:
                 out[p] = i
         return out
 
+
+class _Pieces:
+    """A chunk by the counts of its pieces."""
+
+    def __init__(self, parts: list[str], counts: list[int], head: int):
+        self.parts, self.counts, self.head = parts, counts, head
+        self.total = head + sum(counts)
+
+    def boundaries(self, at: int, low: int, high: int) -> dict[int, int]:
+        out: dict[int, int] = {}
+        p, number = at + len(self.parts[0]) + 1, self.head
+        for part, n in zip(self.parts[1:], self.counts):
+            if p >= high:
+                break
+            if p >= low and number:
+                out[p] = number
+            p += len(part) + 1
+            number += n
+        return out
+
+
+class ChunkedCounter:
+    """Counts tokens as the encoder does that ``definition``, its JSON text, describes."""
+
+    def __init__(self, definition: str, chunk: int = CHUNK, overlap: int = OVERLAP, memo_bytes: int = MEMO_BYTES):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.chunk, self.overlap = chunk, min(overlap, chunk // 2)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.margin = max([1, *map(len, self.added)])
+        self.solid = regex.compile(r"\S").search
+        self.widened = 0
+        self.lookahead = max(1, AT_ONCE // self.chunk)
+        form = json.loads(definition)
+        cut = form.get("pre_tokenizer") or {}
+        self.by_piece = form.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        self.memo: dict[str, int | None] = {}
+        self.held, self.memo_bytes = 0, memo_bytes
+
+    def _lengths(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Counts of pieces that follow a blank; None for those next to white space."""
+        sure = [p for p in pieces if p and p[0] not in SPACE and p[-1] not in SPACE]
+        self.memo.update(dict.fromkeys(pieces))
+        self.memo.update(zip(sure, self._lengths([" " + p for p in sure]), strict=True))
+        self.held += sum(map(len, pieces)) + ENTRY_BYTES * len(pieces)
+
+    def _encode(self, chunks: list[str]) -> list[_Whole | _Pieces]:
+        whole, parts, counts = list(range(len(chunks))), [], []
+        if self.by_piece:
+            if self.held > self.memo_bytes:
+                self.memo, self.held = {}, 0
+            parts = [c.split(" ") for c in chunks]
+            tails = [p[1:] for p in parts]
+            self._learn(set().union(*tails).difference(self.memo))
+            counts = [list(map(self.memo.__getitem__, t)) for t in tails]
+            sound = [bool(p[0]) and p[0][-1] not in SPACE and None not in n and not any(a in c for a in self.added) for c, p, n in zip(chunks, parts, counts, strict=True)]
+            whole = [i for i, s in enumerate(sound) if not s]
+        out: list[_Whole | _Pieces] = [None] * len(chunks)  # type: ignore[list-item]
+        for i, e in zip(whole, self.tokenizer.encode_batch([chunks[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = _Whole(e)
+        rest = [i for i, e in enumerate(out) if e is None]
+        for i, n in zip(rest, self._lengths([parts[i][0] for i in rest]), strict=True):
+            out[i] = _Pieces(parts[i], counts[i], n)
+        return out
+
     def _splice(self, text: str, left, left_at: int, left_end: int, right, right_at: int) -> tuple[int, int] | None:
         """Numbers of the first token after the splice, in the left and in the right chunk."""
-        mine, theirs = (self._boundaries(e, at, right_at, left_end) for e, at in ((left, left_at), (right, right_at)))
+        mine, theirs = (e.boundaries(at, right_at, left_end) for e, at in ((left, left_at), (right, right_at)))
         for p in sorted(mine.keys() & theirs.keys(), reverse=True):
             if p + self.margin <= left_end and p > right_at + self.margin and self.solid(text, p, left_end - 1):
                 return mine[p], theirs[p]
@@ -104,7 +171,7 @@ class ChunkedCounter:
                 overlap *= 4
             total += found[0] - begin
             left, begin, at, end = right, found[1], right_at, right_end
-        return total + len(left) - begin
+        return total + left.total - begin
 
     def _chunks(self, text: str, at: int, end: int, most: int) -> dict[tuple[int, int], object]:
         """The chunk from ``at`` to ``end`` and those that follow it if no overlap is widened."""
@@ -115,13 +182,15 @@ class ChunkedCounter:
         return dict(zip(spans, self._encode([text[a:b] for a, b in spans]), strict=True))
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Offsets are asked for only where there is something to splice."""
         out: list[int] = []
-        for k in range(0, len(texts), self.lookahead):
-            group = texts[k : k + self.lookahead]
-            whole = iter(self.tokenizer.encode_batch_fast([t for t in group if len(t) <= self.chunk], add_special_tokens=False))
-            first = iter(self._encode([t[: self.chunk] for t in group if len(t) > self.chunk]))
-            out += [len(next(whole)) if len(t) <= self.chunk else self.count(t, next(first)) for t in group]
+        group: list[str] = []
+        size = 0
+        for i, t in enumerate(texts):
+            group.append(t)
+            size += min(len(t), self.chunk)
+            if size > AT_ONCE or i + 1 == len(texts):
+                out += map(self.count, group, self._encode([x[: self.chunk] for x in group]))
+                group, size = [], 0
         return out
 
 
