@@ -34,12 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BATCH_KEY, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BYTES_KEY, BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Let Python see fewer texts at a time, unless the session says itself how many."""
-    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_KEY, str(rows))
+def bound_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> None:
+    """Let Python see fewer texts and bytes at a time, unless the session says itself how many."""
+    for key, default, mine in ((BATCH_KEY, BATCH_DEFAULT, str(rows)), (BYTES_KEY, BYTES_DEFAULT, size)):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, mine)
 
 
 _OPEN: list[Scratch] = []
