@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.phrases import SQL as PHRASES
+from tessera.llm.spelling import SQL as SPELLING
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -99,6 +102,18 @@ def op10_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(asked, fingerprints(turns, F.col("text"), spoken, keys), keys, k=1, own=True)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, percent=50, top=2000)
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import spelling_groups
+
+    return spelling_groups(_table(spark, sf_dir, "documents"), least_letters=6, least_count=5, ratio=5, every=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -110,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_bpe_coding": op9_bpe_coding,
     "op10_chroma_align": op10_chroma_align,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -164,4 +181,6 @@ ORACLE: dict[str, str] = {
       r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
       SELECT doc_id, size, source_size, target, ((floor(rate) + (draw < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM r""",
     "op8_license_scan": _license_sql(),
+    "op11_phrase_mining": PHRASES,
+    "op13_spelling_groups": SPELLING,
 }
