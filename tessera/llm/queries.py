@@ -108,6 +108,17 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, percent=50, top=2000)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import KINDS, find_personal, fit_tagger, listed
+
+    docs = _table(spark, sf_dir, "documents")
+    found = find_personal(docs, fit_tagger(docs), least=0.9)
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.spelling import spelling_groups
 
@@ -126,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_coding": op9_bpe_coding,
     "op10_chroma_align": op10_chroma_align,
     "op11_phrase_mining": op11_phrase_mining,
+    "op12_personal_data": op12_personal_data,
     "op13_spelling_groups": op13_spelling_groups,
 }
 
