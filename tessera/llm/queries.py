@@ -114,8 +114,7 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = find_personal(docs, fit_tagger(docs), least=0.9)
     base = F.filter("spans", lambda s: s["base"])
-    kinds = F.transform(base, lambda s: s["kind"])
-    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
