@@ -42,7 +42,7 @@ from tessera.operators.layout import lookup
 
 SLICE = 2 << 20  # bytes of text looked at together
 TASK = 200_000
-SALTS = 64
+SALTS = (64, 4, 1)
 UND = "und"
 
 _KIND = np.zeros(256, np.uint8)
@@ -259,9 +259,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     over = found.filter(size >= 3).select("lang", F.explode(F.expr(inner)).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = scratch.cut(scored.join(over, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < percent * F.col("a"), F.lit(True))).select("lang", "phrase", "a", "m.l", "m.r", "m.score"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    best = kept.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top).drop("salt", "rank")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = kept
+    for salts in SALTS:
+        salted = ranked.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
+        ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top).drop("salt")
     return ranked.join(lookup(totals), "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
