@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import argparse
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import canonical_value, contact_name, extract_json
 from tessera.operators import baselines, metrics, retrieve, validate
+from tessera.operators.layout import kept
 from tessera.sources import io
 from tessera.streaming.resume import pending, resume_faults
 
@@ -58,8 +59,8 @@ def evaluate(spark: SparkSession, predictions: str, examples: str, catalog: str,
         odd = metrics.missing_and_extra(gold, guess, "id").groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()
         if odd:
             raise ValueError("incomplete predictions: " + ", ".join(f"{r.n} {r.side}" for r in odd))
-    scored = metrics.score_examples(gold.drop("query"), guess, read_catalog(spark, catalog)).cache()
-    report = metrics.report(scored)
+    scored = kept(metrics.score_examples(gold.drop("query"), guess, read_catalog(spark, catalog)))
+    report = kept(metrics.report(scored))
     io.write_report(report, f"{out}/report")
     tables = [
         io.markdown(report, "Groups"), io.markdown(metrics.field_accuracy(scored).orderBy("field"), "Arguments"), io.markdown(metrics.negative_accuracy(scored), "Examples without a tool"),
@@ -68,9 +69,7 @@ def evaluate(spark: SparkSession, predictions: str, examples: str, catalog: str,
     spark.createDataFrame([("\n".join(tables),)], "value string").coalesce(1).write.text(f"{out}/tables")
     failed = scored.filter("not end_to_end").select("id", "group", F.col("exp_tool").alias("expected_tool"), F.col("act_tool").alias("predicted_tool"), metrics.error_type().alias("error_type"), F.to_json("expected").alias("expected"), F.to_json("prediction").alias("prediction"), F.array_join("errors", "; ").alias("schema_errors"))
     io.write_csv(failed, f"{out}/errors")
-    found = spark.createDataFrame(report.collect(), report.schema)
-    scored.unpersist()
-    return found
+    return report
 
 
 def _with(call: Column, **members: Column) -> Column:
@@ -130,7 +129,8 @@ def route(
         said = said.withColumn("prediction", extract_json(F.col("raw_output")))
     said = post_process(said, tools, fix_confirmation, confirmation_only)
     extra = [c for c in ("raw_output", "latency_ms") if c in said.columns]
-    made = said.select("id", "prediction", "retrieved_tools", *extra, F.lit(protocol_id).cast("string").alias("protocol_id"))
+    # Written first: what is appended and what is returned are one and the same predictions.
+    made = kept(said.select("id", "prediction", "retrieved_tools", *extra, F.lit(protocol_id).cast("string").alias("protocol_id")))
     io.write_jsonl(made, out, append=True)
     return made
 
@@ -140,11 +140,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def check_items(spark: SparkSession, path: str) -> list[str]:
-    """The messages of a file of labelled items, in the order of lines; empty if all are sound."""
+def check_items(spark: SparkSession, path: str) -> Iterator[str]:
+    """All messages of a file of labelled items, in the order of lines; none if all are sound.  The driver holds a partition of them at a time."""
     rows = io.read_jsonl(spark, path).select("line_no", F.col("row").alias("item"))
-    found = validate.validate_items(rows).orderBy("line_no", "ord").limit(1001).collect()
-    return [f"line {r.line_no}: {r.message}" for r in found[:1000]] + (["and more"] if len(found) > 1000 else [])
+    for r in validate.validate_items(rows).orderBy("line_no", "ord").toLocalIterator():
+        yield f"line {r.line_no}: {r.message}"
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -174,11 +174,12 @@ def main(argv: Sequence[str] | None = None) -> int:
         made = route(spark, args.examples, args.catalog, args.out, top_k=args.top_k, resume=args.resume, protocol_id=args.protocol_id, fix_confirmation=args.fix_confirmation, confirmation_only=args.confirmation_only_postprocessing)
         print(json.dumps({"columns": made.columns, "out": args.out}))
         return 0
-    messages = check_items(spark, args.items)
-    for m in messages:
-        print(m)
+    faulty = False
+    for message in check_items(spark, args.items):
+        faulty = True
+        print(message)
     if args.summarize:
         items = io.read_jsonl(spark, args.items).select(*[F.try_variant_get("row", f"$.{c}", "string").alias(c) for c in ("intent", "split", "risk_level", "utterance")])
         for r in validate.summarize_items(items, ["intent", "split", "risk_level"], "utterance").orderBy("dimension", "value").collect():
             print(f"{r.dimension}\t{r.value}\t{r.n:g}")
-    return 1 if messages else 0
+    return 1 if faulty else 0

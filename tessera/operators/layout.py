@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,14 +27,22 @@ def lookup(table: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where Spark runs in one process may it be missing."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="tessera-tables-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def kept(table: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; only where Spark runs in one process may it be missing."""
+    """The table written to the shared folder and read again; it goes when the application ends."""
     spark = table.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-            where = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoints-")
-        spark.sparkContext.setCheckpointDir(where)
-    return table.checkpoint()
+    name = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    table.write.parquet(name)
+    return spark.read.schema(table.schema).parquet(name)

@@ -1,12 +1,15 @@
 """A stated set of queries against all rows, in tiles.
 
 Queries are dealt out to tiles of about one size by the executors; a tile is
-one row that holds its queries as an Arrow stream.  Candidates are packed into
-rows of about ``PACK_BYTES``, without a shuffle.  Every pack of candidates meets
-every tile by an equality join on the tile's number: the tiles are broadcast if
-their measured size is at most ``broadcast_bytes``, else packs and tiles are
-shuffled by that number and a slice of the candidates and sorted, so that a task
-holds one tile at a time.
+one row that holds its queries as an Arrow stream.  Candidates are gathered to
+packs of about ``PACK_BYTES`` without a shuffle.  Every pack meets every tile.
+
+Tiles of at most ``broadcast_bytes`` together, as measured, are broadcast, and
+candidates go to Python once.  Beyond, tiles form groups of about
+``GROUP_BYTES``: a pack is sent once for each group, not for each tile, to a
+task that holds the group's tiles and reads the packs one after the other.  So
+candidates travel (bytes of all tiles / ``GROUP_BYTES``) times, and a task holds
+a group and one pack.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from tessera.operators.layout import kept
 
 BROADCAST_BYTES = 16 << 20
 PACK_BYTES = 4 << 20
+GROUP_BYTES = 64 << 20
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,42 +63,82 @@ def tiled(queries: DataFrame, count: int, keep: Callable[[DataFrame], DataFrame]
     return keep(queries.repartition(count).mapInArrow(_packed_whole, "data binary").withColumn("tile", F.spark_partition_id()).select("tile", "data"))
 
 
-def _worker(work: Callable):
-    """(tile, one_by_one, data, pack): at the end of a tile, or of the task, what was found for it."""
+def _told(held: dict[int, object], pack: pa.Table) -> Iterator[pa.RecordBatch]:
+    for one in held.values():
+        if (some := one.offer(pack)) is not None:
+            yield some
+
+
+def _beside(work: Callable, tiles):
+    """Batches of candidates against tiles that every task has; at the end what was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, object] = {}
+        held = {number: work(number, unpacked(pa.scalar(data))) for number, data in tiles.value}
+        mine: list[pa.RecordBatch] = []
         for batch in batches:
-            for tile, one_by_one, mine, theirs in zip(*(batch.column(i) for i in range(4)), strict=True):
-                number = tile.as_py()
-                if number not in held:
-                    if one_by_one.as_py():
-                        yield from (done.found() for done in held.values())
-                        held.clear()
-                    held[number] = work(number, unpacked(mine))
-                if (some := held[number].offer(unpacked(theirs))) is not None:
-                    yield some
+            mine += [batch] if batch.num_rows else []
+            if sum(b.nbytes for b in mine) >= PACK_BYTES:
+                yield from _told(held, pa.Table.from_batches(mine))
+                mine = []
+        if mine:
+            yield from _told(held, pa.Table.from_batches(mine))
         yield from (done.found() for done in held.values())
 
     return run
 
 
-def met(tiles: DataFrame, count: int, candidates: DataFrame, work: Callable, schema: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _grouped(work: Callable):
+    """(place, tile, data), in order of place: a group's tiles (tile is not null), then its packs; at the end of a group what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, object] = {}
+        now, told = None, False
+        for batch in batches:
+            for place, tile, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if place.as_py() != now:
+                    yield from (done.found() for done in held.values() if told)
+                    held, now, told = {}, place.as_py(), False
+                if tile.is_valid:
+                    held[tile.as_py()] = work(tile.as_py(), unpacked(data))
+                else:
+                    told = True
+                    yield from _told(held, unpacked(data))
+        yield from (done.found() for done in held.values() if told)
+
+    return run
+
+
+def dealt(tiles: DataFrame, count: int, candidates: DataFrame, groups: int) -> DataFrame:
+    """(place, tile, data): each group of tiles, and each pack of candidates once for each group, dealt out to places and in order."""
+    slices = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda part: (F.col("group") * F.lit(slices) + part).cast("int").alias("place")
+    stated = tiles.select(F.pmod("tile", F.lit(groups)).alias("group"), "tile", "data", upto(slices).alias("slice")).select(place(F.col("slice")), "tile", "data")
+    packs = candidates.mapInArrow(_packed, "data binary").select(F.pmod(F.monotonically_increasing_id(), F.lit(slices)).alias("slice"), "data")
+    packs = packs.select("slice", "data", upto(groups).alias("group")).select(place(F.col("slice")), F.lit(None).cast("int").alias("tile"), "data")
+    return stated.unionByName(packs).repartition("place").sortWithinPartitions("place", F.col("tile").asc_nulls_last())
+
+
+def met(tiles: DataFrame, count: int, candidates: DataFrame, work: Callable, schema: str, broadcast_bytes: int = BROADCAST_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``work(number, queries)`` makes an object for a tile; its ``offer(table)`` gets packs of candidates, its ``found()`` gives a RecordBatch of ``schema``; ``offer`` may give one, too."""
-    packs = candidates.mapInArrow(_packed, "data binary").withColumnRenamed("data", "pack")
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    if (tiles.agg(F.sum(F.octet_length("data"))).first()[0] or 0) <= broadcast_bytes:
-        both = packs.withColumn("number", numbers).join(F.broadcast(tiles), F.col("number") == F.col("tile"))
-        return both.select("tile", F.lit(False).alias("one_by_one"), "data", "pack").mapInArrow(_worker(work), schema)
-    slices = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")) // count)
-    packs = packs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(slices))).withColumn("number", numbers)
-    tiles = tiles.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
-    both = packs.join(tiles.hint("merge"), (F.col("number") == F.col("tile")) & (F.col("part") == F.col("slice")))
-    return both.select("tile", F.lit(True).alias("one_by_one"), "data", "pack").sortWithinPartitions("tile").mapInArrow(_worker(work), schema)
+    size = tiles.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        stated = [(r.tile, bytes(r.data)) for r in tiles.filter("data is not null").collect()]
+        return candidates.mapInArrow(_beside(work, tiles.sparkSession.sparkContext.broadcast(stated)), schema)
+    groups = min(count, -(-size // max(1, group_bytes)))
+    return dealt(tiles.filter("data is not null"), count, candidates, groups).mapInArrow(_grouped(work), schema)
 
 
 def shown(tiles: DataFrame, pack: DataFrame, work: Callable, schema: str) -> DataFrame:
     """Every tile against one and the same pack; the rows of ``pack`` must be few."""
     one = pack.coalesce(1).mapInArrow(_packed_whole, "data binary").withColumnRenamed("data", "pack")
-    both = tiles.join(F.broadcast(one)).select("tile", F.lit(True).alias("one_by_one"), "data", "pack")
-    return both.mapInArrow(_worker(work), schema)
+    both = tiles.join(F.broadcast(one)).select("tile", "data", "pack")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, mine, theirs in zip(*(batch.column(i) for i in range(3)), strict=True):
+                held = {tile.as_py(): work(tile.as_py(), unpacked(mine))}
+                yield from _told(held, unpacked(theirs))
+                yield held[tile.as_py()].found()
+
+    return both.mapInArrow(run, schema)

@@ -76,4 +76,7 @@ def test_post_processing(spark, files):
 def test_check_items(spark, tmp_path):
     item = {"id": "v1", "utterance": "mở bản đồ", "language": "vi", "intent": "open_map", "arguments": {"destination": "x"}, "risk_level": "low", "split": "train"}
     (tmp_path / "items.jsonl").write_text("\n".join(json.dumps(x) for x in (item, item | {"utterance": "khác"})), encoding="utf-8")
-    assert jobs.check_items(spark, str(tmp_path / "items.jsonl")) == ["line 2: duplicate id v1"]
+    assert list(jobs.check_items(spark, str(tmp_path / "items.jsonl"))) == ["line 2: duplicate id v1"]
+    (tmp_path / "many.jsonl").write_text("[]\n" * 3000)
+    messages = list(jobs.check_items(spark, str(tmp_path / "many.jsonl")))  # none is left out
+    assert [int(m.split()[1].rstrip(":")) for m in messages if m.startswith("line ")] == sorted(int(m.split()[1].rstrip(":")) for m in messages) and len({m.split()[1] for m in messages}) == 3000
