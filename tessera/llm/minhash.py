@@ -33,12 +33,15 @@ that repeat a doc_id are texts of their own: each gets the component of its
 text, and equal rows are kept or not alike; a component's id is its smallest
 non-null doc_id.
 A row with null doc_id gets its component's id and is never kept unless it has
-no other.  An empty table gives an empty result.
+no other.  A very long text is read piece by piece and has its whole set, at
+about eight bytes a word several times over.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +59,7 @@ CELLS = 1024
 SLICE_BYTES = 1 << 20
 MINIMA_AT_ONCE = 2048
 COMPARED = 1 << 14
+_BLANK = re.compile(rb"[ \t-\r]")
 BROADCAST_BYTES = 48 << 20
 ID_BYTES = 40  # of a row with two hashes, beside its id
 
@@ -73,17 +77,14 @@ def least_estimate(percent: int) -> float:
 class Shingler:
     """Distinct hashed word shingles of texts, many texts at a time.
 
-    A word's hash is a polynomial of its bytes modulo 2**64, read off a running
-    sum over the whole slice; a shingle's hash mixes those of its words.
+    A word's hash is XXH3 of its bytes, taken once for each different word of a
+    slice; a shingle's hash mixes those of its words.
     """
 
     def __init__(self, words: int):
         import numpy as np
 
         self.np, self.words = np, words
-        self.base = 0x9E3779B97F4A7C15 | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
         rng = np.random.default_rng(20240229)
         self.place = rng.integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.blank = np.zeros(256, bool)
@@ -91,32 +92,45 @@ class Shingler:
         self.low = np.arange(256, dtype=np.uint8)
         self.low[65:91] += 32
 
-    def _powers(self, n: int) -> None:
-        np = self.np
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
-
     def mixed(self, x):
         np = self.np
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
+    def hashed(self, data: bytes):
+        """(first, hash) of each word: where it starts, and its hash."""
+        import xxhash
+
+        np = self.np
+        data = self.low[np.frombuffer(data, np.uint8)]
+        blank = self.blank[data]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))  # word starts and ends in turn
+        first, last = edge[::2], edge[1::2]
+        offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
+        spelt = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])]).dictionary_encode()
+        known = np.array([xxhash.xxh3_64_intdigest(w) for w in spelt.dictionary.to_pylist()], np.uint64)
+        return first, known[spelt.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64)
+
+    def _long(self, text: bytes):
+        """Hashes of a long text's words, read piece by piece, cut at blanks."""
+        parts, start = [], 0
+        while start < len(text):
+            found = _BLANK.search(text, start + SLICE_BYTES)
+            end = found.start() if found else len(text)
+            parts.append(self.hashed(text[start:end])[1])
+            start = end
+        return self.np.concatenate(parts)
+
     def sets(self, texts: list[bytes]) -> list:
         """A sorted array of distinct hashes for each text."""
         np, k = self.np, self.words
-        data = self.low[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-        self._powers(len(data) + 1)
-        blank = self.blank[data]
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=run[1:])
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank])))  # word starts and ends in turn
-        first, last = edge[::2], edge[1::2]
-        word = self.mixed((run[last] - run[first]) * self.down[first] + (last - first).astype(np.uint64))
-        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        at = np.searchsorted(first, begin)  # words of text i: at[i] to at[i + 1]
+        if len(texts) == 1 and len(texts[0]) > 2 * SLICE_BYTES:
+            word = self._long(texts[0])
+            at = np.array([0, len(word)])
+        else:
+            first, word = self.hashed(b"\n".join(texts))
+            at = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)]))  # words of text i: at[i] to at[i + 1]
         n = len(word)
         rolled = np.zeros(max(0, n - k + 1), np.uint64)
         for j in range(k):
@@ -184,7 +198,7 @@ def _signatures(words: int, bands: int, rows: int):
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.view(np.int64).ravel()))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()), lists(keys), lists(packed), lists(parity)],
+                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) if len(x) else None for x in sets], pa.binary()), lists(keys), lists(packed), lists(parity)],
                     names=["doc_id", "row_key", "n_shingles", "cls", "bands", "sig", "parity"],
                 )
 

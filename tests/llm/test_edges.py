@@ -511,3 +511,58 @@ def test_scratch_tables_go(spark, tmp_path):
     conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(ValueError, match="share"):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_minhash_of_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64, whatever its base."""
+    from tessera.llm.minhash import near_duplicates
+
+    for n in (1024, 4096):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        rows = [(1, f"one two three four {word}"), (2, f"one two three four {other}"), (3, word), (4, other), (5, word.upper())]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=50).collect()}
+        assert got == {1: (3, 1), 2: (3, 1), 3: (1, 3), 4: (1, 4), 5: (1, 3)}
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=85).collect()}
+        assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_shingles_of_long_texts():
+    """Texts read piece by piece have the sets of texts read at once; little is held beside them."""
+    import resource
+
+    from tessera.llm import minhash
+
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["of", "thé", "Word", "x" * 40]) + str(rng.randrange(300)) for _ in range(700_000)).encode()
+    assert len(text) > 2 * minhash.SLICE_BYTES
+    shingler = minhash.Shingler(3)
+    first, words = shingler.hashed(text)
+    assert (shingler._long(text) == words).all() and len(first) == 700_000
+    whole = shingler.sets([text, b"", b"one"])
+    assert (shingler.sets([text])[0] == whole[0]).all() and [len(x) for x in whole[1:]] == [0, 1]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    shingler.sets([b"abcd efg " * 11_000_000])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB, for a text of 99 MB
+
+
+def test_bpe_memo_is_bounded(path):
+    from tessera.llm.bpe import ENTRY_BYTES, PieceCoder, SegmentTreeBpe
+
+    with open(path, encoding="utf-8") as file:
+        coder = PieceCoder(SegmentTreeBpe(file.read()), most=100_000)
+    for i in range(60):
+        list(coder.code([b" ".join(b"w%d\n" % (1000 * i + j) for j in range(200))]))
+        assert sum(len(k) + ENTRY_BYTES for k in coder.ids) <= coder.held <= 100_000 + 200 * (ENTRY_BYTES + 20)
+
+
+def test_license_rows_repeat(spark):
+    """Rows are told apart by id and text, so that no attempt of a task numbers them otherwise; equal rows come back as often as they are there."""
+    from tessera.llm.license_scan import scan_licenses
+
+    text = "the MIT License, or under the mit license. " * 3
+    rows = [(1, text)] * 3 + [(1, "apache license"), (1, None), (1, ""), (None, text), (None, text), (2, ("word " * 200_000) + text)]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_base, r.base_labels) for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == {(1, 24, 6, "mit"): 3, (1, 2, 1, "apache"): 1, (1, 0, 0, ""): 2, (None, 24, 6, "mit"): 2, (2, 200_024, 6, "mit"): 1}
+    plan = scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"))._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" not in plan
