@@ -246,6 +246,7 @@ class PieceCoder:
             text = piece.decode("utf-8", "surrogatepass")
             if not text or text[0] in SPACE or text[-1] in SPACE:
                 self.ids[piece] = None
+                self.held += len(piece) + ENTRY_BYTES
                 continue
             plain.append(piece)
             if text.isalpha():
