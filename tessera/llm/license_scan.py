@@ -13,8 +13,11 @@ The templates are a parameter of fixed size; they are broadcast only while
 they have at most ``MAX_PAIRS`` pairs.  They are folded as texts are; one of
 less than two words has no pair and is an error.
 
-Cases.  Null text has no words.  Repeated rows get equal results.  Columns
-other than doc_id and text are not read.
+Cases.  Null and empty text has no words.  Rows are told apart by doc_id and a
+hash of the text, and equal rows come back as often as they are there.  A very
+long text has all its pairs, one row each; those that meet no template end at
+the join.  An empty table gives no rows.  Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -91,7 +94,7 @@ def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Ma
     """
     pairs = _pair_table(docs.sparkSession, base, templates, least)
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    words = spread(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    words = spread(docs).select("doc_id", F.xxhash64("text").alias("row"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     # Word i with its successor; the last pair lacks one and can't match. The text's own row comes last.
     rolled = F.transform("words", lambda w, i: F.concat(w, F.lit(" "), F.coalesce(F.try_element_at(F.col("words"), i + 2), F.lit(""))))
     placed = words.select("doc_id", "row", F.posexplode(F.concat(rolled, F.array(F.lit(OWN)))).alias("pos", "pair"))
@@ -100,6 +103,7 @@ def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Ma
     votes = hit.groupBy("doc_id", "row", "template", diagonal.alias("diagonal")).agg(
         F.collect_set("t_pos").alias("seen"), F.min("pos").alias("low"), F.max("pos").alias("high"),
         F.max("n_pairs").alias("n_pairs"), F.max("needed").alias("needed"), F.max("label").alias("label"), F.max("is_base").alias("is_base"),
+        F.count_if(F.col("template") < 0).alias("copies"),
     )
     along = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
     opens = F.col("is_base") | F.lag("diagonal").over(along).isNull() | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)
@@ -108,7 +112,7 @@ def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Ma
         .groupBy("doc_id", "row", "template", "span")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("start"),
-            F.max("n_pairs").alias("n_pairs"), F.max("needed").alias("needed"), F.max("label").alias("label"), F.max("is_base").alias("is_base"),
+            F.max("n_pairs").alias("n_pairs"), F.max("needed").alias("needed"), F.max("label").alias("label"), F.max("is_base").alias("is_base"), F.max("copies").alias("copies"),
         )
         .withColumn("coverage", F.when(F.col("template") < 0, 0.0).otherwise(F.size("seen") / F.greatest("n_pairs", F.lit(1))))
     )
@@ -116,7 +120,7 @@ def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Ma
     found = (F.col("template") >= 0) & (F.size("seen") >= F.col("needed")) & ends
     is_place = found & F.col("is_base")
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(F.collect_set(c)), ","), F.lit(""))
-    return merged.groupBy("doc_id", "row").agg(
+    texts = merged.groupBy("doc_id", "row").agg(
         F.max(F.when(F.col("template") < 0, F.col("start"))).cast("long").alias("n_words"),
         F.count_if(is_place).cast("long").alias("n_base"),
         F.min(F.when(is_place, F.col("start"))).cast("long").alias("first_word"),
@@ -125,4 +129,6 @@ def scan_licenses(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Ma
         joined(F.when(found, F.col("label"))).alias("labels"),
         F.coalesce(F.max(F.when(found, F.col("coverage"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(found, F.struct("label", F.col("low").alias("first"), (F.col("high") + 1).alias("last"), "coverage")))).alias("spans"),
-    ).drop("row")
+        F.max("copies").cast("int").alias("copies"),
+    )
+    return texts.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("row", "copies")
