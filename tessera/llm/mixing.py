@@ -58,9 +58,10 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, rate, copies, taken."""
-    sized = Scratch(docs.sparkSession, "mix").cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized = scratch.cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    targets = targets.withColumnRenamed("source", "of_source")
+    targets = scratch.cut(targets.withColumnRenamed("source", "of_source"))  # one row a source
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor("rate") + (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return (
