@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import char_ngrams, normalize, token_set
 from tessera.operators import leakage as L
+from tessera.operators import sequences as S
 from tessera.operators import validate as V
 from tessera.plans._tables import table, texts
 
@@ -139,7 +140,15 @@ def leak_seq_ratio(spark, sf_dir):
     said = said.unionByName(table(spark, sf_dir, "benchmark").filter("item_id % 7 = 2").select(F.concat_ws("/", F.lit("planted"), "item_id").alias("id"), F.concat("text", F.lit(" zz")).alias("text")))
     turns = said.select("id", normalize(F.col("text"), "leak").alias("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref"), normalize(F.col("text"), "leak").alias("text"))
-    return L.sequence_matches(turns, items, 0.8).select("ref", "id", F.round("ratio", 6).alias("ratio"))
+    return S.matches_between(turns, items, 0.8).select("ref", "id", F.round("ratio", 6).alias("ratio"))
+
+
+def leak_seq_peers(spark, sf_dir):
+    """J9 by sequence ratio: each turn's nearest other turn from 0.9 on; of every fifth conversation the turns are there twice, the second time with a word before."""
+    said = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("conv_id").alias("c"), "text")
+    said = said.unionByName(said.filter("c % 5 = 0").select(F.concat(F.lit("planted/"), "id").alias("id"), "c", F.concat(F.lit("ok "), "text").alias("text")))
+    rows = said.select("id", normalize(F.col("text"), "leak").alias("text"))
+    return S.nearest_by_sequence(rows, 0.9).select("id", "peer", F.round("ratio", 6).alias("ratio"))
 
 
 def leak_audit(spark, sf_dir):
@@ -162,7 +171,7 @@ def split_disjoint(spark, sf_dir):
     return rows.filter("doc_id % 2 = 0").select("key").intersect(rows.filter("doc_id % 2 = 1").select("key"))
 
 
-QUERIES = {f.__name__: f for f in (leak_exact, leak_sentences, leak_trigram_best, leak_token_best, leak_token_thresholds, leak_pairs, leak_peer_self, leak_max, leak_peers, leak_labelled, leak_measures_apart, leak_sources, frozen_audit, held_out_least_similar, leak_seq_ratio, leak_audit, split_lag_leak, split_disjoint)}
+QUERIES = {f.__name__: f for f in (leak_exact, leak_sentences, leak_trigram_best, leak_token_best, leak_token_thresholds, leak_pairs, leak_peer_self, leak_max, leak_peers, leak_labelled, leak_measures_apart, leak_sources, frozen_audit, held_out_least_similar, leak_seq_ratio, leak_seq_peers, leak_audit, split_lag_leak, split_disjoint)}
 
 _FOLD = "lower(strip_accents(replace(replace({c}, 'đ', 'd'), 'Đ', 'D')))"
 _COMMON = "regexp_replace(regexp_replace(" + _FOLD + r", '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
