@@ -41,7 +41,7 @@ from tessera.llm._store import Scratch, bound_batches, lean, spread
 from tessera.operators.layout import lookup
 
 SLICE = 2 << 20  # bytes of text looked at together
-TASK = 200_000
+TASK = 8192
 SALTS = (64, 4, 1)
 UND = "und"
 
