@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.streaming.versions import VersionedTable
+
 
 def pending(examples: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """The examples that aren't completed; an empty result means that nothing is left."""
@@ -26,16 +28,27 @@ def resume_faults(examples: DataFrame, done: DataFrame, key: str = "id", protoco
     return out
 
 
-def append_predictions(spark: SparkSession, source: str, schema: str, predict: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id"):
+def append_predictions(spark: SparkSession, source: str, schema: str, predict: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id", result: str | None = None, protocol: str = ""):
     """Predict what lies in ``source`` and isn't done yet, once; called again it goes on from the checkpoint.
 
     Files that come later are predicted by a later call; an id is predicted once.
+    Each batch becomes a version of ``out``, named by the batch, so that a batch
+    that fails or is repeated leaves nothing behind.  Ids that are done are found
+    by an anti-join with the versions, so the stream keeps no state at all.
+    ``result`` is the schema of the predictions, by default what ``predict`` gives.
     """
-    rows = spark.readStream.schema(schema).json(source).dropDuplicates([key])
-    query = predict(rows).writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
+    asked = spark.createDataFrame([], schema)
+    table = VersionedTable(spark, out, result or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in predict(asked).schema))
+
+    def add(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates([key]).join(table.read().select(key), key, "left_anti")
+        table.commit(predict(new.select(*batch.columns)), f"batch-{number:09d}", protocol)
+
+    query = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
 def read_appended(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(out)
+    """The predictions of whole batches."""
+    return VersionedTable(spark, out, schema).read()
