@@ -261,6 +261,21 @@ def tfidf_model(rows: DataFrame, terms: str, label: str, features: int = 15_000,
     return predict
 
 
+def tfidf_weights(rows: DataFrame, key: str, terms: str, features: int = 15_000) -> DataFrame:
+    """M1, M2: (key, term, weight) of sublinear tf and smooth idf, of unit length for each row, over the ``features`` most frequent terms (ties: the smaller).
+
+    The vocabulary and its frequencies stay a table.
+    """
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.col("total").desc(), "term").limit(features)
+    known = known.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    weighed = counts.join(F.broadcast(known) if features <= 200_000 else known, "term").select(key, "term", weight.alias("w"))
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return weighed.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))
+
+
 def soft_vote(a: Column, b: Column) -> Column:
     """M3: the label of the largest mean of two maps of class to probability; the first alone if the classes differ."""
     same = F.array_sort(F.map_keys(a)) == F.array_sort(F.map_keys(b))

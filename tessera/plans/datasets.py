@@ -322,6 +322,15 @@ def _commands_sql() -> str:
     return f"SELECT s_suppkey, tool, status, requires_confirmation, arguments FROM supplier JOIN (VALUES {rows}) c(number, tool, status, requires_confirmation, arguments) ON s_suppkey % {len(COMMANDS)} = number"
 
 
+def noisy_sql(key: str, rows: str, tone: float, shape: float, merge: float) -> str:
+    """(item_id, noisy) of rows (item_id, t); ``key`` is an expression on item_id, called id where it is given by name."""
+    draw = lambda kind: _DRAW.format(k=f"{key.replace('id ||', 'item_id ||')} || ':' || i::VARCHAR || ':{kind}'")
+    return f"""WITH t AS ({rows}), c AS (SELECT item_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM t),
+      n AS (SELECT item_id, i, CASE WHEN {draw("tone")} < {tone} THEN nfc_normalize(regexp_replace(translate(c, {_TONED[0]!r}, {_TONED[1]!r}), '', '')) ELSE c END AS c FROM c),
+      s AS (SELECT item_id, i, CASE WHEN {draw("shape")} < {shape} THEN translate(c, 'ăâêôơưđĂÂÊÔƠƯĐ', 'aaeooudAAEOOUD') ELSE c END AS c FROM n), j AS (SELECT item_id, string_agg(c, '' ORDER BY i) AS t FROM s GROUP BY item_id),
+      w AS (SELECT item_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) - 1 AS i FROM j) SELECT item_id, string_agg(CASE WHEN i > 0 AND {draw("gap")} >= {merge} THEN ' ' ELSE '' END || w, '' ORDER BY i) AS noisy FROM w GROUP BY item_id"""
+
+
 ORACLE = {
     "dup_ids": "WITH t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id + 10000000, turn, text FROM conversations WHERE conv_id % 10 = 0), d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS occurrence FROM t) SELECT * FROM d WHERE occurrence > 1",
     "student_summary": f"SELECT 'lang' AS dimension, lang AS value, count(*)::DOUBLE AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*)::DOUBLE FROM documents GROUP BY source UNION ALL SELECT 'all', 'n', count(*)::DOUBLE FROM documents UNION ALL SELECT 'all', 'unique_rate', round(count(DISTINCT {_STUDENT.format(c='text')}) / count(*)::DOUBLE, 3) FROM documents",
@@ -336,10 +345,7 @@ ORACLE = {
     "entity_extract": r"WITH t AS (SELECT doc_id, coalesce(text, '') || ' content://x/' || doc_id::VARCHAR || chr(10) AS t FROM documents), d AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}') AS e, regexp_extract_all(t, 'content://[^ \t\n\x0B\f\r]+') AS u FROM t) SELECT doc_id, array_to_string(e, ',') AS emails, array_to_string(u, ',') AS uris FROM d",
     "phone_extract": r"WITH k AS (SELECT c_custkey, lpad(c_custkey::VARCHAR, 9, '1') AS k FROM customer), t AS (SELECT c_custkey, 'gọi 0' || k || ' hay 0' || k || '77, 0' || k || 'éo số0' || k || '.0' || k[1:8] AS t FROM k), p AS (SELECT c_custkey, regexp_extract_all(regexp_replace(t, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])(0[0-9]{8,10})(?:$|[^\p{L}\p{N}_])', 1) AS p FROM t) SELECT c_custkey, unnest(p) AS digits, (generate_subscripts(p, 1) - 1)::BIGINT AS place FROM p",
     "noise_merge": f"WITH w AS (SELECT item_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x != '') AS w FROM benchmark), g AS (SELECT item_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w WHERE len(w) > 1), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':merge'")}, i) <= greatest(1, floor(len(w) * 0.2::DOUBLE)) AS closed FROM g) SELECT item_id, any_value(w[1]) || string_agg(CASE WHEN closed THEN '' ELSE ' ' END || w[i + 1], '' ORDER BY i) AS noisy FROM r GROUP BY item_id",
-    "noise_marks": f"""WITH t AS (SELECT item_id, 'Đặt ở quán phở, ' || text AS t FROM benchmark), c AS (SELECT item_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM t),
-      n AS (SELECT item_id, i, CASE WHEN {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':tone'")} < 0.5 THEN nfc_normalize(regexp_replace(translate(c, {_TONED[0]!r}, {_TONED[1]!r}), '', '')) ELSE c END AS c FROM c),
-      s AS (SELECT item_id, i, CASE WHEN {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':shape'")} < 0.25 THEN translate(c, 'ăâêôơưđĂÂÊÔƠƯĐ', 'aaeooudAAEOOUD') ELSE c END AS c FROM n), j AS (SELECT item_id, string_agg(c, '' ORDER BY i) AS t FROM s GROUP BY item_id),
-      w AS (SELECT item_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) - 1 AS i FROM j) SELECT item_id, string_agg(CASE WHEN i > 0 AND {_DRAW.format(k="item_id::VARCHAR || ':' || i::VARCHAR || ':gap'")} >= 0.12 THEN ' ' ELSE '' END || w, '' ORDER BY i) AS noisy FROM w GROUP BY item_id""",
+    "noise_marks": noisy_sql("item_id::VARCHAR", "SELECT item_id, 'Đặt ở quán phở, ' || text AS t FROM benchmark", 0.5, 0.25, 0.12),
     "noise_training": "SELECT l AS noise_level, count(*) AS n, count(DISTINCT item_id) AS ids, count(*) FILTER (l IS NULL) AS clean, (SELECT count(*) FROM benchmark) AS light FROM benchmark, (VALUES (NULL), ('light'), ('medium')) v(l) GROUP BY l",
     "rule_commands": _commands_sql(),
     "time_parse": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if h is None else h}::BIGINT, {'NULL' if m is None else m}::BIGINT)" for i, (h, m) in enumerate(TIMES)) + ") t(id, hour, minute)",
