@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import calls, datasets, evaluation, files, leaks, relational, retrieval
+from tessera.plans import calls, datasets, evaluation, files, leaks, relational, retrieval, sketches
 
-_PARTS = (evaluation, calls, retrieval, leaks, datasets, files, relational)
+_PARTS = (evaluation, calls, retrieval, leaks, datasets, files, relational, sketches)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
