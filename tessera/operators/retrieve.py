@@ -258,22 +258,59 @@ def recall_with_nulls(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
 
 
 def alpha_grid(scores: DataFrame, gold: DataFrame, alphas: Sequence[float], ks: Sequence[int]) -> DataFrame:
-    """Recall of every alpha and k; scaled once, ranked once for each alpha.
+    """Recall of every alpha and k.
 
-    The gold item's rank is all that matters, so rows shrink to one per query
-    and alpha before the ks are looked at.
+    The gold item's rank at an alpha is one more than the number of rivals that
+    stand before it there, so each pair of a rival and the gold item is looked at
+    once and counted for all alphas together; nothing is ranked.
     """
     scaled = scores.select("query", "item", min_max(scores, "lexical").alias("l"), min_max(scores, "semantic").alias("s"))
-    each = scaled.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    score = F.round(F.col("alpha") * F.col("s") + (1.0 - F.col("alpha")) * F.col("l"), 6)
-    w = Window.partitionBy("query", "alpha").orderBy(score.desc(), "item")
-    ranked = each.withColumn("rank", F.row_number().over(w))
-    of_gold = ranked.join(gold, ["query", "item"]).select("query", "alpha", "rank")
+    pairs = scaled.join(scaled.join(gold, ["query", "item"]).select("query", F.col("item").alias("g"), F.col("l").alias("gl"), F.col("s").alias("gs")), "query")
+
+    def before(a: float) -> Column:
+        score = lambda s, l: F.round(F.lit(a) * F.col(s) + (F.lit(1.0) - F.lit(a)) * F.col(l), 6)  # noqa: E741, E731
+        return (score("s", "l") > score("gs", "gl")) | ((score("s", "l") == score("gs", "gl")) & (F.col("item") < F.col("g")))
+
+    ranks = pairs.groupBy("query", "g").agg(*[F.count_if(before(float(a))).alias(f"r{i}") for i, a in enumerate(alphas)])
+    each = ranks.select(F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), (F.col(f"r{i}") + 1).alias("rank")) for i, a in enumerate(alphas)])).alias("x")).select("x.alpha", "x.rank")
     n = gold.select("query").distinct().agg(F.count(F.lit(1)).alias("n"))
-    counted = of_gold.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).groupBy("alpha", "k").agg(F.sum((F.col("rank") <= F.col("k")).cast("bigint")).alias("hits"))
+    counted = each.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).groupBy("alpha", "k").agg(F.sum((F.col("rank") <= F.col("k")).cast("bigint")).alias("hits"))
     return counted.crossJoin(F.broadcast(n)).select("alpha", F.col("k").cast("bigint").alias("k"), (F.col("hits") / F.col("n")).alias("recall"))
 
 
+def alpha_sweep(scores: DataFrame, gold: DataFrame, k: int, steps: int = 1_000_000) -> DataFrame:
+    """(low, high, recall): the recall at k for every alpha that is a multiple of 1 / ``steps``, as intervals.
+
+    A rival's lead over the gold item is linear in alpha, so it changes sides once
+    at most, at a crossing.  A query's crossings in order say where its gold item
+    enters or leaves the first k; these steps of all queries, summed by alpha, are
+    at most ``steps`` + 1 rows, and their running sum is the recall everywhere.
+    """
+    scaled = scores.select("query", "item", min_max(scores, "lexical").alias("l"), min_max(scores, "semantic").alias("s"))
+    pairs = scaled.join(scaled.join(gold, ["query", "item"]).select("query", F.col("item").alias("g"), F.col("l").alias("gl"), F.col("s").alias("gs")), "query").filter("item != g")
+    lead = lambda i: F.round(i / F.lit(float(steps)) * (F.col("s") - F.col("gs")) + (F.lit(1.0) - i / F.lit(float(steps))) * (F.col("l") - F.col("gl")), 12)
+    ahead = lambda i: (lead(i) > 0) | ((lead(i) == 0) & (F.col("item") < F.col("g")))
+    first, last = F.lit(0), F.lit(steps)
+    from_l, from_s = F.col("gl") - F.col("l"), F.col("s") - F.col("gs")
+    guess = F.floor(from_l / F.nullif(from_l + from_s, F.lit(0.0)) * steps)
+    # The crossing lies between the steps beside the computed one, whatever the rounding.
+    near = F.array(*[F.least(F.greatest(guess + d, F.lit(1).cast("bigint")), F.lit(steps).cast("bigint")) for d in (-1, 0, 1, 2)])
+    pairs = pairs.withColumns({"at_first": ahead(first), "at_last": ahead(last), "near": near})
+    turn = F.array_min(F.filter("near", lambda i: ahead(i) == F.col("at_last")))
+    events = F.when(F.col("at_first"), F.array(F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(1).alias("d")))).otherwise(F.array().cast("array<struct<at:bigint,d:int>>"))
+    events = F.concat(events, F.when(F.col("at_first") != F.col("at_last"), F.array(F.struct(turn.alias("at"), F.when(F.col("at_last"), 1).otherwise(-1).alias("d")))).otherwise(F.array().cast("array<struct<at:bigint,d:int>>")))
+    moved = pairs.select("query", F.explode(events).alias("e")).groupBy("query", "e.at").agg(F.sum("e.d").alias("d"))
+    begun = gold.select("query").distinct().join(scaled.join(gold, ["query", "item"]).select("query").distinct(), "query").select("query", F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("d"))
+    moved = moved.unionByName(begun).groupBy("query", "at").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy("query").orderBy("at")
+    inside = moved.withColumn("in", (F.sum("d").over(w) < k).cast("int")).withColumn("step", F.col("in") - F.coalesce(F.lag("in").over(w), F.lit(0)))
+    steps_at = inside.filter("step != 0").groupBy("at").agg(F.sum("step").alias("step")).filter("step != 0 or at = 0")
+    n = gold.select("query").distinct().agg(F.count(F.lit(1)).alias("n"))
+    along = Window.orderBy("at")  # of ``steps`` + 1 rows at most
+    out = steps_at.crossJoin(F.broadcast(n)).select("at", (F.sum("step").over(along) / F.col("n")).alias("recall"), F.lead("at").over(along).alias("next"))
+    return out.select((F.col("at") / steps).alias("low"), ((F.coalesce("next", F.lit(steps + 1)) - 1) / steps).alias("high"), "recall")
+
+
 def best_alpha(grid: DataFrame, k: int = 2) -> DataFrame:
     """The smallest alpha of the highest recall at k."""
     return grid.filter(F.col("k") == k).orderBy(F.col("recall").desc(), "alpha").limit(1)

@@ -102,6 +102,14 @@ def alpha_best(spark, sf_dir):
     return R.best_alpha(alpha_grid(spark, sf_dir), 2).select("alpha", "recall")
 
 
+def alpha_intervals(spark, sf_dir):
+    """The sweep's recall at 2, read at every hundredth of alpha."""
+    pairs = _pairs(spark, sf_dir)
+    found = R.alpha_sweep(pairs, _gold(pairs), 2, steps=100)
+    each = found.select(F.explode(F.sequence(F.round(F.col("low") * 100).cast("int"), F.round(F.col("high") * 100).cast("int"))).alias("hundredth"), "recall")
+    return each.select("hundredth", F.round("recall", 6).alias("recall"))
+
+
 def adaptive_k_gap(spark, sf_dir):
     return R.adaptive_by_gap(R.rank(R.hybrid(_pairs(spark, sf_dir)))).select("query", "item", "rank", "k")
 
@@ -156,7 +164,7 @@ def prompt_text(spark, sf_dir):
     return t.select("n_nationkey", R.prompt(F.array(F.col("n_name")), F.concat(F.lit("find "), F.col("n_name"))).alias("prompt"), R.tool_text(F.col("n_name"), arguments=F.array(F.lit("a"), F.lit("b"))).alias("tool_text"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_blockmax, bm25_idf, bm25_catalog, dense_topk, hybrid_topk, recall_mrr_at_k, retriever_comparison, recall_null_counts, alpha_grid, alpha_best, adaptive_k_gap, adaptive_k_score, top3_mean, score_histogram, gold_injection, ranking_check, score_listing, passages, prompt_text)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_blockmax, bm25_idf, bm25_catalog, dense_topk, hybrid_topk, recall_mrr_at_k, retriever_comparison, recall_null_counts, alpha_grid, alpha_best, alpha_intervals, adaptive_k_gap, adaptive_k_score, top3_mean, score_histogram, gold_injection, ranking_check, score_listing, passages, prompt_text)}
 
 _FOLD = "lower(strip_accents(replace(replace({c}, 'đ', 'd'), 'Đ', 'D')))"
 _TOKENS = "unnest(regexp_extract_all(" + _FOLD + ", '[a-z0-9_@.+/*:-]+'))"
@@ -196,6 +204,9 @@ ORACLE = {
     "recall_null_counts": f"WITH {_P} SELECT count(*) AS n, round(avg((gold = 0 OR rank <= 2)::INT), 6) AS recall FROM rk WHERE item = gold",
     "alpha_grid": f"WITH {_P}, {_AL} SELECT alpha, k, recall FROM gr",
     "alpha_best": f"WITH {_P}, {_AL} SELECT alpha, recall FROM gr WHERE k = 2 ORDER BY recall DESC, alpha LIMIT 1",
+    "alpha_intervals": f"""WITH {_P}, a AS (SELECT i::INT AS hundredth, i / 100.0::DOUBLE AS alpha FROM range(101) t(i)), g AS (SELECT query, item AS g, l AS gl, s AS gs FROM mm WHERE item = gold),
+      x AS (SELECT hundredth, mm.query, mm.item, g, round(alpha * (s - gs) + (1.0::DOUBLE - alpha) * (l - gl), 12) AS lead FROM mm JOIN g ON g.query = mm.query, a),
+      r AS (SELECT hundredth, query, count(*) FILTER (item != g AND (lead > 0 OR (lead = 0 AND item < g))) AS ahead FROM x GROUP BY ALL) SELECT hundredth, round(avg((ahead < 2)::INT), 6) AS recall FROM r GROUP BY hundredth""",
     "adaptive_k_gap": f"WITH {_P}, g AS (SELECT a.query, round(a.score - b.score, 9) AS gap FROM rk a JOIN rk b ON a.query = b.query AND a.rank = 1 AND b.rank = 2), k AS (SELECT query, CASE WHEN gap >= 0.25 THEN 2 WHEN gap >= 0.1 THEN 3 ELSE 5 END::BIGINT AS k FROM g) SELECT query, item, rank, k FROM rk JOIN k USING (query) WHERE rank <= k",
     "adaptive_k_score": f"WITH {_P}, k AS (SELECT CASE WHEN score - 0.3::DOUBLE >= 0.7 THEN 1 WHEN score - 0.3::DOUBLE >= 0.4 THEN 2 WHEN score - 0.3::DOUBLE >= 0.2 THEN 3 ELSE 5 END::BIGINT AS k FROM rk WHERE rank = 1) SELECT k, count(*) AS n, sum((5 - k) * 120)::BIGINT AS saved FROM k GROUP BY k",
     "top3_mean": f"WITH {_P} SELECT query, round(sum(round(score * 1000000)::BIGINT)::DOUBLE / count(*), 3) AS mean3 FROM rk WHERE rank <= 3 GROUP BY query",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tessera.operators import hitters, merkle
+from tessera.operators import hitters, merkle, prefilter
 
 
 def test_changed_rows(spark):
@@ -41,3 +41,17 @@ def test_heavy_hitters(spark, width):
     assert hitters.heavy_hitters(rows, "x", 9, width=width, used=used).count() == 9 and used[-1] >= 100  # ties of ones need every value
     assert hitters.heavy_hitters(rows.limit(0), "x", 3).count() == 0
     assert hitters.heavy_hitters(rows.filter("x in ('a', 'c')"), "x", 5).count() == 2
+
+
+@pytest.mark.parametrize("most_bits", [24, 6])
+def test_filter_before_an_anti_join(spark, most_bits):
+    rows = spark.range(20_000).selectExpr("nullif(id, 3) as k", "id as x").unionByName(spark.range(5).selectExpr("id as k", "-1 as x"))
+    known = spark.range(0, 20_000, 10).selectExpr("id as k", "1 as x").unionByName(spark.createDataFrame([(None, 1)], "k bigint, x int"))
+    got = prefilter.without_known(rows, known, "k", most_bits)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(known.select("k"), "k", "left_anti").select("k", "x").collect()))
+    assert prefilter.without_known(rows, known.limit(0), "k", most_bits).count() == rows.count()
+    words, bits = prefilter.bloom(known, "k", most_bits)
+    maybe, new = prefilter.split(rows, words, bits, "k")
+    assert maybe.count() + new.count() == rows.count()
+    if most_bits == 24:  # what is shuffled: the known tenth, and few more
+        assert maybe.count() < 0.13 * rows.count()
