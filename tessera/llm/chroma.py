@@ -26,8 +26,8 @@ nothing, copies neither.  Recordings of fewer integers than ``least_votes``, or
 pairs with one such, must agree in all integers of the shorter one.  Ties go to
 the smaller key.  Rows with a null in their key are queries, but match no one
 and are matched by no one.  Rows of a repeated key are queries of their own.
-Long recordings are transformed a block of frames at a time.  Only the named
-columns are read.
+Long recordings are transformed a block of frames at a time.  An empty table
+gives no rows.  Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ together.
 Cases.  Null or empty text is one empty line.  Repeated rows with one doc_id
 count as one document, and each of them keeps or loses a line alike.  Null
 doc_id counts as one document smaller than all others.  Columns of the input
-are kept, apart from ``n_lines`` and ``n_dropped``, which are replaced.
+are kept, apart from ``n_lines`` and ``n_dropped``, which are replaced.  A very
+long text is split whole, its lines are rows of their own and never meet in one
+group.  An empty table gives no rows.
 """
 
 from __future__ import annotations

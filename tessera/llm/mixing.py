@@ -8,7 +8,8 @@ of sources, which is as small as there are sources.
 
 Cases.  Null text has size 0.  Null sources form one source, last in order.
 A source of size 0 has target 0 and rate 0.  Documents with equal ids draw
-alike.  An empty table gives an empty mix.
+alike.  A very long text is one document of its size; texts are only counted
+and never grouped.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations

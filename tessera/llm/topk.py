@@ -19,7 +19,7 @@ part.  Vectors of another length than the query's take no part for it.  Ties go
 to the smaller id.  A query sees every row but those with its own id.  Rows of
 a repeated id are queries and candidates of their own, each query with ranks
 from 1; equal rows of candidates take a rank each.  Scores are exact while they and their
-parts stay below 2**63.
+parts stay below 2**63.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ test is the lexicon, however much that is.
 
 Cases.  Null, empty and blank texts have no match and get the curve's lowest
 value.  Repeated rows are scored alike; equal texts with different labels count
-as toxic once.  Without labels a seed lexicon of fixed values is used.  Only
-doc_id and text are read.
+as toxic once.  Without labels a seed lexicon of fixed values is used.  A very
+long text is matched whole, in one pass over its characters.  An empty table
+gives no rows.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
