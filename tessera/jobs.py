@@ -99,14 +99,14 @@ def post_process(rows: DataFrame, catalog: DataFrame, fix_confirmation: bool = F
 
 def route(
     spark: SparkSession, examples: str, catalog: str, out: str, predictor: baselines.Predictor | None = None, retriever: retrieve.Retriever | None = None, top_k: int = 5,
-    resume: bool = False, protocol_id: str | None = None, fix_confirmation: bool = False, confirmation_only: bool = False,
+    resume: bool = False, protocol_id: str | None = None, fix_confirmation: bool = False, confirmation_only: bool = False, task_ids: Sequence[str] = (),
 ) -> DataFrame:
     """Queries to calls: rank tools, build prompts, predict, mend, append JSON lines to ``out``; returns what this call appended.
 
     ``predictor`` gets id, query, retrieved_tools and prompt, and adds
     ``prediction`` or ``raw_output``; by default the rules.  With ``resume`` the
     ids that ``out`` has are skipped; repeated or unknown ids there, or another
-    protocol, are an error.
+    protocol, are an error.  With ``task_ids`` only these are routed.
     """
     tools = read_catalog(spark, catalog)
     asked = metrics.last_wins(_examples(spark, examples).select("id", "line_no", "query")).select("id", "query")
@@ -117,6 +117,8 @@ def route(
         if faults or other:
             raise ValueError(f"can't resume: {[tuple(f) for f in faults[:5]]} {other[:5]}")
         asked = pending(asked, done)
+    if task_ids:
+        asked = asked.filter(F.col("id").isin(*task_ids))
     items = tools.select(F.col("name").alias("item"), retrieve.tool_text(F.col("name"), F.col("description_vi"), F.col("description_en"), arguments=F.map_keys("arguments")).alias("text"))
     retriever = retriever or retrieve.Bm25Retriever(items)
     queries = asked.select(F.col("id").alias("query"), F.col("query").alias("text"))
@@ -159,6 +161,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         two.add_argument(f"--{name}", required=True)
     two.add_argument("--top-k", type=int, default=5)
     two.add_argument("--protocol-id")
+    two.add_argument("--task-id", action="append", default=[], help="route these examples only; may be given several times")
     for name in ("resume", "fix-confirmation", "confirmation-only-postprocessing"):
         two.add_argument(f"--{name}", action="store_true")
     three = sub.add_parser("validate", help="check labelled items")
@@ -171,7 +174,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         print(json.dumps(found.first().asDict(), ensure_ascii=False))
         return 0
     if args.job == "route":
-        made = route(spark, args.examples, args.catalog, args.out, top_k=args.top_k, resume=args.resume, protocol_id=args.protocol_id, fix_confirmation=args.fix_confirmation, confirmation_only=args.confirmation_only_postprocessing)
+        made = route(spark, args.examples, args.catalog, args.out, top_k=args.top_k, resume=args.resume, protocol_id=args.protocol_id, fix_confirmation=args.fix_confirmation, confirmation_only=args.confirmation_only_postprocessing, task_ids=args.task_id)
         print(json.dumps({"columns": made.columns, "out": args.out}))
         return 0
     faulty = False

@@ -29,7 +29,8 @@ def files(tmp_path_factory):
 def test_route_and_evaluate(spark, files):
     out = str(files / "said")
     run = lambda **more: jobs.route(spark, str(files / "gold.jsonl"), str(files / "tools.json"), out, top_k=2, protocol_id="p1", **more)
-    run()
+    assert [r.id for r in run(task_ids=["b"]).collect()] == ["b"]
+    assert sorted(r.id for r in run(resume=True).collect()) == list("acd")
     rows = [json.loads(x) for f in sorted((files / "said").glob("part-*")) for x in f.read_text(encoding="utf-8").splitlines()]
     assert sorted(r["id"] for r in rows) == list("abcd") and all(len(r["retrieved_tools"]) == 2 and r["protocol_id"] == "p1" for r in rows)
     assert next(r["prediction"] for r in rows if r["id"] == "b") == {"tool": "dial", "arguments": {"phone_number": "0912345678"}, "requires_confirmation": True}
