@@ -267,7 +267,7 @@ class _Sequences:
 
         self.np, self.texts = np, texts
         self.size = np.array([len(t) for t in texts], np.int64)
-        self.counts = np.array([self._counts(self._codes(t)) for t in texts]).reshape(len(texts), 64)
+        self.counts = np.array([self._counts(self._codes(t)) for t in texts]).reshape(len(texts), 64).astype(np.int32)
         edge = np.array([0xFFFFFFFE], np.uint32)  # no letter; on both sides of each text
         self.all = np.concatenate([edge, *(x for t in texts for x in (self._codes(t), edge))])
         self.start = 1 + np.concatenate([[0], np.cumsum(self.size + 1)[:-1]]).astype(np.int64)
@@ -277,11 +277,13 @@ class _Sequences:
 
         self.wide = [n // 8 + 1 for n in self.size.tolist()]  # bytes; a bit at least is left for the carry
         self.masks: list[dict[str, bytes]] = []
+        self.bits: list[dict[str, int]] = []
         for t, w in zip(texts, self.wide):
             at: dict[str, int] = {}
             for i, c in enumerate(t):
                 at[c] = at.get(c, 0) | 1 << i
             self.masks.append({c: m.to_bytes(w, "little") for c, m in at.items()})
+            self.bits.append(at)
 
     def _codes(self, text: str):
         return self.np.frombuffer(text.encode("utf-32-le"), self.np.uint32)
@@ -297,7 +299,7 @@ class _Sequences:
         live = scale(np.minimum(self.size, len(codes))) >= least
         if not live.any():
             return np.where(live, 1.0, -1.0)
-        most = np.where(live, np.minimum(self.counts, self._counts(codes)).sum(1), -1)
+        most = np.where(live, np.minimum(self.counts, self._counts(codes).astype(np.int32)).sum(1), -1)
         live &= scale(most) >= least
         if len(codes) >= 200 and live.any():
             most = np.where(live, np.minimum(most, self._anchored(codes, live)), -1)
@@ -330,6 +332,9 @@ class _Sequences:
             most[k] += len(p) if p.all() else int(p.argmin())
         return most
 
+    def codes(self, k: int):
+        return self.all[self.start[k] : self.start[k] + self.size[k]]
+
     def common(self, text: str, which: list[int]) -> list[int]:
         """Lengths of the longest common subsequences with some texts, by bits side by side; matching blocks have no more letters."""
         lay = lambda parts: int.from_bytes(b"".join(parts), "little")
@@ -346,6 +351,85 @@ class _Sequences:
         return out
 
 
+class _Ratio:
+    """Ratcliff-Obershelp ratios to one and the same second text, as difflib gives them, or nothing where they can't reach a bound.
+
+    The longest block of a region is found in the matrix of equal letters; what
+    is left and right of it has no more matched letters than its longest common
+    subsequence.  So most pairs are dropped after a few blocks; after
+    ``BLOCKS`` difflib computes it.
+    """
+
+    BLOCKS = 40
+    AUTOJUNK = 200  # letters from which difflib leaves popular ones out
+
+    def __init__(self, text: str, codes):
+        import numpy as np
+
+        self.np, self.text, self.codes, self.match, self.rare = np, text, codes, None, None
+        if len(text) >= self.AUTOJUNK:
+            _, back, n = np.unique(codes, return_inverse=True, return_counts=True)
+            self.rare = (n <= len(text) // 100 + 1)[back]
+
+    def exact(self, other: str) -> float:
+        from difflib import SequenceMatcher
+
+        self.match = self.match or SequenceMatcher(None, "", self.text)
+        self.match.set_seq1(other)
+        return self.match.ratio()
+
+    def _block(self, other: str, equal, a: int, b: int, c: int, d: int) -> tuple[int, int, int]:
+        """The longest block of letters a to b of ``other`` and c to d of the text, the earliest of several."""
+        text, all_ = self.text, equal[a:b, c:d]
+        if not all_.any():
+            i, j, size = a, c, 0
+        else:
+            size, runs = 1, all_
+            while (longer := runs[:-1, :-1] & all_[size:, size:]).any():
+                runs, size = longer, size + 1
+            i, j = divmod(int(runs.argmax()), runs.shape[1])
+            i, j = a + i, c + j
+        while i > a and j > c and other[i - 1] == text[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < b and j + size < d and other[i + size] == text[j + size]:
+            size += 1
+        return i, j, size
+
+    def _most(self, masks: dict[str, int], a: int, b: int, c: int, d: int) -> int:
+        """The longest common subsequence of a region."""
+        free = full = (1 << b - a) - 1
+        for x in self.text[c:d]:
+            m = (masks.get(x, 0) >> a) & free
+            free = ((free + m) | (free - m)) & full
+        return b - a - free.bit_count()
+
+    def reaching(self, other: str, codes, masks: dict[str, int], most: int, least: float) -> float | None:
+        """The ratio of ``other``, if it is ``least`` or more; ``most`` letters are matched at most."""
+        total = len(other) + len(self.text)
+        if total == 0 or not other or not self.text:
+            return self.exact(other)
+        equal = codes[:, None] == self.codes[None, :]
+        if self.rare is not None:
+            equal &= self.rare
+        regions, found = [(most, 0, len(other), 0, len(self.text))], 0
+        for _ in range(self.BLOCKS):
+            if not regions:
+                return 2.0 * found / total
+            regions.sort()
+            bound, a, b, c, d = regions.pop()
+            i, j, size = self._block(other, equal, a, b, c, d)
+            most -= bound
+            if size:
+                found, most = found + size, most + size
+                for region in ((a, i, c, j), (i + size, b, j + size, d)):
+                    if region[0] < region[1] and region[2] < region[3] and (n := self._most(masks, *region)):
+                        regions.append((n, *region))
+                        most += n
+            if 2.0 * most / total < least:
+                return None
+        return self.exact(other)
+
+
 class _Matches:
     """A tile of references against packs of rows: all pairs with a ratio from ``least`` on."""
 
@@ -358,19 +442,16 @@ class _Matches:
         self.floor = np.full(len(self.refs), least)
 
     def offer(self, pack: pa.Table) -> pa.RecordBatch | None:
-        from difflib import SequenceMatcher
-
         found = []
         for row, text in zip(pack.column("id").to_pylist(), pack.column("text").to_pylist()):
-            match = None
+            match = _Ratio(text, self.known._codes(text))
             live = self.np.flatnonzero(self.known.bounds(text, self.floor) >= self.least).tolist()
             for k, most in zip(live, self.known.common(text, live)):
                 other = self.known.texts[k]
                 if other and text and 2.0 * most / (len(other) + len(text)) < self.least:
                     continue
-                match = match or SequenceMatcher(None, "", text)
-                match.set_seq1(other)
-                if (ratio := match.ratio()) >= self.least:
+                ratio = match.reaching(other, self.known.codes(k), self.known.bits[k], most, self.least)
+                if ratio is not None and ratio >= self.least:
                     found.append((self.refs[k], row, ratio))
         return _record(found, self.kinds) if found else None
 
@@ -392,12 +473,16 @@ def sequence_matches(rows: DataFrame, refs: DataFrame, least: float, block: int
 
 
 class _Closest:
-    """A tile of fresh rows against packs of references: each row's best one by ratio, then trigrams, then the smallest."""
+    """A tile of fresh rows against packs of references: each row's best one by ratio, then trigrams, then the smallest.
 
-    def __init__(self, fresh: pa.Table, kinds: dict, own: bool):
+    With ``steps``, of each row one of those references that reach the highest
+    step; with ``largest``, one of largest ratio of all pairs among the rows.
+    """
+
+    def __init__(self, fresh: pa.Table, kinds: dict, own: bool, steps: Sequence[float] | None = None, largest: bool = False):
         import numpy as np
 
-        self.np, self.kinds, self.own = np, kinds, own
+        self.np, self.kinds, self.own, self.steps, self.largest = np, kinds, own, sorted(steps or ()), largest
         self.ids = fresh.column("id").to_pylist()
         self.known = _Sequences(fresh.column("t").to_pylist())
         self.sets = [self._grams(t) for t in self.known.texts]
@@ -407,42 +492,51 @@ class _Closest:
     def _grams(text: str) -> set[str]:
         return {text[i : i + 3] for i in range(max(1, len(text) - 2))}
 
-    def offer(self, pack: pa.Table) -> None:
-        from difflib import SequenceMatcher
+    def _floor(self, ratio: float) -> float:
+        """What a row must reach next."""
+        return next((s for s in self.steps if s > ratio), float("inf")) if self.steps else ratio
 
+    def offer(self, pack: pa.Table) -> None:
         known, least, best = self.known, self.least, self.best
         pairs = zip(pack.column("ref").to_pylist(), pack.column("t").to_pylist())
         for ref, text in sorted(pairs, key=lambda p: len(p[1])):  # short ones are the most alike
             live = self.np.flatnonzero(known.bounds(text, least) >= least).tolist()
             if not live:
                 continue
-            match, theirs = SequenceMatcher(None, "", text), self._grams(text)
+            match, theirs = _Ratio(text, known._codes(text)), None
             for k, most in zip(live, known.common(text, live)):
                 if text and 2.0 * most / (known.size[k] + len(text)) < least[k] or not self.own and self.ids[k] == ref:
                     continue
-                match.set_seq1(known.texts[k])
-                if (ratio := match.ratio()) >= least[k]:
+                ratio = match.reaching(known.texts[k], known.codes(k), known.bits[k], most, least[k])
+                if ratio is not None and ratio >= least[k]:
+                    theirs = self._grams(text) if theirs is None else theirs
                     now = (-ratio, -len(self.sets[k] & theirs) / len(self.sets[k] | theirs), ref)
                     if best[k] is None or now < best[k]:
-                        best[k], least[k] = now, ratio
+                        best[k], least[k] = now, self._floor(ratio)
+                        if self.largest and ratio > least.max(initial=-1.0, where=self.np.arange(len(least)) != k):
+                            least[:] = ratio
 
     def found(self) -> pa.RecordBatch:
         return _record([(i, b[2], -b[0], -b[1]) for i, b in zip(self.ids, self.best) if b], self.kinds)
 
 
-def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: float = 0.9, gram_least: float = 0.7, block: int = BLOCK_ROWS, own: bool = True) -> DataFrame:
+def audit(rows: DataFrame, refs: DataFrame, kind: str = "fresh", seq_least: float = 0.9, gram_least: float = 0.7, block: int = BLOCK_ROWS, own: bool = True, steps: Sequence[float] | None = None, largest: bool = False) -> DataFrame:
     """L4, L5, and with ``own`` false J9 of a stated set, in which no row is its own reference: for each row (id, text) its best reference (ref, text) by sequence ratio, then trigram Jaccard, then the smallest.
 
     Only the row's best reference is tested against the n-gram threshold.
     Rows are the fresh set, in tiles; references may be a whole corpus.  A
     reference that an upper bound puts below the row's best so far isn't
     computed; each task returns one reference a row.
+
+    Where only the steps matter that a row's best ratio reaches, or the largest
+    ratio of all, ``steps`` or ``largest`` says so: then the reference is one
+    that reaches the row's highest step, or only that largest ratio is meant.
     """
     plain = lambda c: F.coalesce(normalize(F.col(c), kind), F.lit(""))
     fresh, asked = kept(rows.select("id", plain("text").alias("t"))), refs.select("ref", plain("text").alias("t"))
     kinds, schema = _kinds(id=rows.schema["id"].dataType, ref=refs.schema["ref"].dataType, ratio=T.DoubleType(), gram=T.DoubleType())
     count = _tile_count(*fresh.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first(), block)
-    out = tiles.met(tiles.tiled(fresh, count), count, spread(asked), lambda _, t: _Closest(t, kinds, own), schema)
+    out = tiles.met(tiles.tiled(fresh, count), count, spread(asked), lambda _, t: _Closest(t, kinds, own, steps, largest), schema)
     first = F.struct((-F.col("ratio")).alias("r"), (-F.col("gram")).alias("g"), "ref")
     best = out.groupBy("id").agg(F.min(first).alias("m")).select("id", "m.ref", (-F.col("m.r")).alias("ratio"), (-F.col("m.g")).alias("gram"))
     return best.withColumn("leaks", (F.col("ratio") >= seq_least) | (F.col("gram") >= gram_least))
