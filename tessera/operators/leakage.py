@@ -221,7 +221,7 @@ def frozen_audit(train: DataFrame, held_out: DataFrame, label: str, least: float
     repeated = lambda t, c: t.groupBy(c).count().filter("count > 1").agg(F.count(F.lit(1)).cast("double").alias("found"))
     shared = lambda c: sides["train"].select(c).distinct().join(sides["held_out"].select(c), c, "left_semi").agg(F.count(F.lit(1)).cast("double").alias("found"))
     lacking = sides["train"].select("label").distinct().join(sides["held_out"].select("label"), "label", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("found"))
-    closest = audit(held_out.select("id", "text"), train.select(F.col("id").alias("ref"), "text"), kind).agg(F.coalesce(F.max("ratio"), F.lit(0.0)).alias("found"))
+    closest = audit(held_out.select("id", "text"), train.select(F.col("id").alias("ref"), "text"), kind, largest=True).agg(F.coalesce(F.max("ratio"), F.lit(0.0)).alias("found"))
     checks = {
         "repeated ids in train": repeated(sides["train"], "id"), "repeated texts in train": repeated(sides["train"], "text"), "shared ids": shared("id"), "shared texts": shared("text"), "classes that only train has": lacking,
         "largest sequence ratio": closest,
