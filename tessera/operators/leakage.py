@@ -208,7 +208,7 @@ def measures_apart(rows: DataFrame, refs: DataFrame, thresholds: Sequence[float]
 
     tokens = lambda t, c: t.select(F.col(c).alias("ref" if c == "id" else "id"), token_set(normalize(F.col("text"), kind)).alias("tokens"))
     words = best_match_of_refs(tokens(refs, "ref"), tokens(rows, "id")).select("sim")
-    letters = audit(rows, refs, kind).select(F.col("ratio").alias("sim"))
+    letters = audit(rows, refs, kind, steps=thresholds).select(F.col("ratio").alias("sim"))
     return threshold_counts(words, thresholds).withColumn("measure", F.lit("tokens")).unionByName(threshold_counts(letters, thresholds).withColumn("measure", F.lit("sequence")))
 
 
