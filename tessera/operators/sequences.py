@@ -17,6 +17,11 @@ match.  All pivots and the lengths then filter, the texts' own counts again, and
 what is left is computed.  Equal texts are one row.  Nothing is lost at any step;
 tests compare with all pairs.
 
+That is ``matches_between``, for two large sets.  The turns of one language are
+so near each other that cells part few of them; so within one corpus
+(``similar_texts``) texts meet in tiles, by counts of letters and of runs of two
+and four letters, then by the longest common subsequence.
+
 Cases.  Null texts match nothing; empty ones match empty ones, with ratio 1.
 Repeated texts are members of one class.  The ratio depends on the order of its
 texts; it is that of a row's text, first, and the other's, second.
@@ -34,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import tiles
 from tessera.operators.layout import kept, spread
 
 LETTERS, PAIRS = 64, 1024  # bins
@@ -137,12 +143,100 @@ def classes(rows: DataFrame) -> DataFrame:
     return kept(rows.filter("text is not null").select("text").distinct().select(F.monotonically_increasing_id().alias("key"), "text"))
 
 
-def similar_texts(texts: DataFrame, least: float, seed: int = 3) -> DataFrame:
-    """(a, b, there, back): keys of different texts of (key, text), and the ratios of a to b and of b to a, one of which reaches ``least``."""
-    index = kept(_indexed(texts, _pivots(texts, seed)))
-    pairs = candidates(index, index, least, itself=True)
-    left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(least), "a bigint, b bigint, there double, back double")
+GRAMS = ((1, LETTERS), (2, 512), (4, 2048))  # lengths and bins of the runs of letters that tiles count
+TILE_ROWS = 2048
+TILES_BYTES = 8 << 20  # of texts whose counts a task holds, about three times as much
+
+
+def _gram_counts(codes: np.ndarray, q: int, bins: int) -> np.ndarray:
+    """Of hashed runs of ``q`` letters, 255 at most."""
+    n = max(0, len(codes) - q + 1)
+    at = np.zeros(n, np.int64)
+    for i in range(q):
+        at = at * 1_000_003 + codes[i : i + n]
+    return np.minimum(np.bincount((at ^ at >> 17) & (bins - 1), minlength=bins), 255).astype(np.uint8)
+
+
+def _starts(codes: np.ndarray) -> int:
+    """In how many places of a second text difflib can start a block; letters that it calls popular start none in texts of 200 letters or more."""
+    if len(codes) < 200:
+        return len(codes)
+    n = np.unique(codes, return_counts=True)[1]
+    return int(n[n <= len(codes) // 100 + 1].sum())
+
+
+class _Alike:
+    """A tile of texts, by length, against packs of texts of smaller keys: pairs of which one ratio reaches ``least``.
+
+    Of U unmatched letters and K blocks, counts of runs of q letters lie at most
+    U + 2 (q - 1) (K - 1) apart; K - 1 is U at most, and no more than the places
+    where a block can start beside the first letters.
+    """
+
+    def __init__(self, tile: pa.Table, least: float):
+        tile = tile.append_column("n", pa.array([len(t) for t in tile.column("text").to_pylist()], pa.int64())).sort_by("n")
+        self.least, self.keys, self.texts, self.size = least, tile.column("key").to_numpy(), tile.column("text").to_pylist(), tile.column("n").to_numpy()
+        codes = [self._codes(t) for t in self.texts]
+        self.starts = np.array([_starts(c) for c in codes], np.int64)
+        self.counts = [np.array([_gram_counts(c, q, bins) for c in codes]) for q, bins in GRAMS]
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+    def _near(self, key: int, codes: np.ndarray) -> np.ndarray:
+        """Places of texts that no bound rules out."""
+        n, least = len(codes), self.least
+        factor = (2 - least) / least  # lengths of a match differ by this factor at most
+        at = np.arange(np.searchsorted(self.size, n / factor - SLACK, "left"), np.searchsorted(self.size, n * factor + SLACK, "right"))
+        at = at[self.keys[at] > key]
+        most = (1 - least) * (self.size[at] + n) + SLACK
+        gaps = np.minimum(most, np.maximum(self.starts[at], _starts(codes)))
+        for (q, bins), known in zip(GRAMS, self.counts, strict=True):
+            mine = _gram_counts(codes, q, bins)
+            apart = np.concatenate([(np.maximum(x, mine) - np.minimum(x, mine)).sum(1, dtype=np.int64) for x in (known[at[i : i + 256]] for i in range(0, len(at), 256))] or [np.zeros(0, np.int64)])
+            stay = apart <= most + 2 * (q - 1) * gaps
+            at, most, gaps = at[stay], most[stay], gaps[stay]
+        return at
+
+    def offer(self, pack: pa.Table) -> pa.RecordBatch | None:
+        from difflib import SequenceMatcher
+
+        rows = []
+        for key, text in zip(pack.column("key").to_pylist(), pack.column("text").to_pylist()):
+            masks: dict[str, int] = {}
+            for k in self._near(key, self._codes(text)).tolist():
+                if not masks:
+                    for i, c in enumerate(text):
+                        masks[c] = masks.get(c, 0) | 1 << i
+                other = self.texts[k]
+                free = full = (1 << len(text)) - 1
+                for c in other:  # the longest common subsequence, bit by bit
+                    m = masks.get(c, 0) & free
+                    free = ((free + m) | (free - m)) & full
+                if 2.0 * (len(text) - free.bit_count()) / (len(text) + len(other)) >= self.least:
+                    there, back = (SequenceMatcher(None, p, q).ratio() for p, q in ((text, other), (other, text)))
+                    if max(there, back) >= self.least:
+                        rows.append((key, int(self.keys[k]), there, back))
+        return self._batch(rows) if rows else None
+
+    @staticmethod
+    def _batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.float64()) for i in range(4)], names=["a", "b", "there", "back"])
+
+    def found(self) -> pa.RecordBatch:
+        return self._batch([])
+
+
+def similar_texts(texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, there, back): keys of different texts of (key, text), and the ratios of a to b and of b to a, one of which reaches ``least``.
+
+    Every text meets every tile; of a tile it meets those of like length.
+    """
+    some = texts.filter("text != ''").select("key", "text")
+    rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    count = max(1, -(-rows // TILE_ROWS), -(-size // TILES_BYTES))
+    return tiles.met(tiles.tiled(some, count), count, spread(some), lambda _, t: _Alike(t, least), "a bigint, b bigint, there double, back double", TILES_BYTES, TILES_BYTES)
 
 
 def matches_between(rows: DataFrame, refs: DataFrame, least: float, seed: int = 3) -> DataFrame:
@@ -164,13 +258,13 @@ def matches_between(rows: DataFrame, refs: DataFrame, least: float, seed: int =
     return out.unionByName(empty)
 
 
-def nearest_by_sequence(rows: DataFrame, least: float, seed: int = 3) -> DataFrame:
+def nearest_by_sequence(rows: DataFrame, least: float) -> DataFrame:
     """(id, peer, ratio) for each row of (id, text) that has another row with a ratio of ``least``: the one of largest ratio, then of smallest id.
 
     Of equal texts every row's peer is the smallest other id, with ratio 1.
     """
     texts = classes(rows)
-    links = similar_texts(texts, least, seed)
+    links = similar_texts(texts, least)
     both = links.select("a", "b", F.col("there").alias("ratio")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("ratio"))).filter(F.col("ratio") >= least)
     members = rows.filter("text is not null").groupBy("text").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
     firsts = texts.join(members, "text").select("key", "first", "size")
