@@ -446,6 +446,8 @@ class _Matches:
         for row, text in zip(pack.column("id").to_pylist(), pack.column("text").to_pylist()):
             match = _Ratio(text, self.known._codes(text))
             live = self.np.flatnonzero(self.known.bounds(text, self.floor) >= self.least).tolist()
+            if not live:
+                continue
             for k, most in zip(live, self.known.common(text, live)):
                 other = self.known.texts[k]
                 if other and text and 2.0 * most / (len(other) + len(text)) < self.least:
