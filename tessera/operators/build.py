@@ -129,8 +129,8 @@ def merge_words(text: Column, key: Column, rate: float, seed: int = 42) -> Colum
     def merged(w: Column) -> Column:
         gaps = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(uniform(key, i, F.lit("merge"), seed=seed).alias("u"), i.alias("i"))))
         many = F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(rate)).cast("int"))
-        closed = F.slice(gaps, F.lit(1), many)["i"]
-        return F.concat(F.get(w, F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.when(F.array_contains(closed, i), "").otherwise(" "), F.get(w, i))), ""))
+        joined = lambda closed: F.array_join(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.when(F.array_contains(closed, i), "").otherwise(" "), F.get(w, i))), "")
+        return F.concat(F.get(w, F.lit(0)), _bound(F.slice(gaps, F.lit(1), many)["i"], joined))
 
     return F.transform(F.array(words), lambda w: F.when(F.size(w) < 2, text).otherwise(merged(w)))[0]
 
@@ -166,9 +166,11 @@ def typos(text: Column, key: Column, rate: float, seed: int = 42, substitute: bo
     kinds = 3 if substitute else 2
 
     def step(state: Column, i: Column) -> Column:
+        return _bound(uniform(key, i, F.lit("typo"), seed=seed) < rate, lambda hit: changed(state, i, hit))
+
+    def changed(state: Column, i: Column, hit: Column) -> Column:
         following = F.substring(text, i + 1, F.lit(1))
         here = state["here"]
-        hit = uniform(key, i, F.lit("typo"), seed=seed) < rate
         kind = F.floor(uniform(key, i, F.lit("how"), seed=seed) * kinds)
         moved, lost = hit & (kind == 0) & (i < F.char_length(text)), hit & (kind == 1)
         keys = F.try_element_at(near, F.lower(here))
