@@ -13,7 +13,7 @@ shared rare tokens, and nothing is lost above its threshold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tessera.functions.text import normalize, seq_ratio, seq_ratio_bound
 from tessera.operators import tiles
 from tessera.operators.layout import kept, spread
+from tessera.operators.prefilter import bloom, split
 
 BLOCK_ROWS = 2048
 BLOCK_ENTRIES = 1 << 22
@@ -154,34 +155,114 @@ def largest_similarity(rows: DataFrame, refs: DataFrame) -> DataFrame:
     return best_match_of_refs(rows, refs).orderBy(F.col("sim").desc(), "ref", "id").limit(1)
 
 
+PLACES = 24  # bits of a token's place among the counts
+BLOCK = 16  # bits of a place within its block
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of tokens to (block, places, uses): how often a task's sets have the tokens of each place, 255 at most."""
+    import numpy as np
+
+    def merged(parts):
+        at, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        return at[first], np.add.reduceat(n, first) if len(first) else n
+
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for batch in batches:
+        at, n = np.unique((batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - PLACES)).astype(np.int64), return_counts=True)
+        parts.append((at, n))
+        if sum(len(x) for x, _ in parts[1:]) > max(1 << 20, len(parts[0][0])):
+            parts = [merged(parts)]
+    at, n = merged(parts)
+    ends = np.searchsorted(at >> BLOCK, np.arange((1 << PLACES - BLOCK) + 1))
+    rows = [(i, (at[x:y] & (1 << BLOCK) - 1).astype("<u2").tobytes(), np.minimum(n[x:y], 255).astype("u1").tobytes()) for i, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
+    yield _record(rows, {"block": pa.int32(), "places": pa.binary(), "uses": pa.binary()})
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """A block's counts of all tasks, one byte a place."""
+    import numpy as np
+
+    total = np.zeros(1 << BLOCK, np.int64)
+    for places, uses in zip(rows.column("places"), rows.column("uses")):
+        total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(uses.as_buffer(), "u1")
+    return pa.table({"block": rows.column("block")[:1], "uses": pa.array([np.minimum(total, 255).astype("u1").tobytes()], pa.binary())})
+
+
+def _rarest(uses, least: float):
+    """(cls, hashes) to (cls, n, rarest): the size and the hashes that a set has to show, without those that no other row can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known = np.zeros(1 << PLACES, np.uint8)
+        for block, counts in uses.value:
+            known[block << BLOCK : block + 1 << BLOCK] = np.frombuffer(counts, "u1")
+        for batch in batches:
+            hashes = batch.column(1)
+            n = hashes.value_lengths().to_numpy().astype(np.int64)
+            flat = hashes.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(n)), n)
+            count = known[(flat >> np.uint64(64 - PLACES)).astype(np.int64)]
+            order = np.lexsort((flat, count, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            take = (place < _shown(n, least, np)[row]) & (count[order] > 1)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[take], minlength=len(n)))])
+            rarest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[order][take].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), rarest], names=["cls", "n", "rarest"])
+
+    return run
+
+
+def _shown(n, least: float, np):
+    """How many of its rarest tokens a set of ``n`` has to show."""
+    return n - np.ceil(np.round(n * least, 9)).astype(np.int64) + 1
+
+
 def nearest_peers(rows: DataFrame, least: float = 0.9) -> DataFrame:
     """(id, tokens) to (id, peer, sim): each row's most similar other row of at least ``least``, ties to the smallest peer.
 
     Rows with one and the same set form a class; a member's peer is the
     smallest other one.  Classes are compared by prefixes: tokens are ordered
-    by how many classes have them, the rarest first, and two sets of Jaccard
+    by how many rows have them, the rarest first, and two sets of Jaccard
     similarity ``least`` share one of their first n - ceil(least n) + 1 tokens.
     So a token that everything has pairs no one, and no pair is lost.  Rows
     without tokens have no peer.
+
+    Any order does that all sets keep: uses are counted by the places of hashes
+    in a table of ``1 << PLACES`` bytes that every task gets, and equal ones go
+    by hash.  So occurrences aren't shuffled, a set shows its prefix where it
+    is read, and tokens of one hash only make more candidates.  Of a pair that
+    shares k shown tokens, the one whose prefix ends first shares no more than k
+    and its rest; where that is too little, the pair goes before sets are sent
+    for, and what is left is compared by its tokens.
     """
-    some = rows.filter("id is not null and size(tokens) > 0").select("id", F.array_sort("tokens").alias("tokens")).withColumn("cls", F.md5(F.array_join("tokens", "\x1f")))
-    some = kept(some)
+    some = rows.filter("id is not null").select("id", F.array_sort("tokens").alias("tokens")).withColumn("cls", F.unhex(F.md5(F.array_join("tokens", "\x1f"))))
+    some = kept(some).filter("size(tokens) > 0")  # a filter ahead would make the tokens twice
     two = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
-    lowest = some.select("cls", "id").withColumn("n", two).filter("n <= 2").groupBy("cls").agg(F.min("id").alias("low"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("next"))
-    sets = kept(some.join(lowest.select("cls", F.col("low").alias("id")), ["cls", "id"]).dropDuplicates(["cls"]).select("cls", "id", "tokens", F.size("tokens").alias("n")))
-    placed = sets.select("cls", "n", F.explode("tokens").alias("token"))
-    uses = placed.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    rarest = placed.join(uses, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("rarest"))
-    prefix = F.slice("rarest", F.lit(1), (F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1).cast("int"))
-    shown = kept(rarest.select("cls", "n", F.explode(F.filter(prefix, lambda s: s["uses"] > 1)).alias("s")).select("cls", "n", F.col("s.token").alias("token")))
+    lowest = kept(some.select("cls", "id").withColumn("n", two).filter("n <= 2").groupBy("cls").agg(F.min("id").alias("low"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("next")))
+    hashes = F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")
+    uses = some.select(hashes).mapInArrow(_tallied, "block int, places binary, uses binary").groupBy("block").applyInArrow(_summed, "block int, uses binary")
+    uses = some.sparkSession.sparkContext.broadcast([(r.block, bytes(r.uses)) for r in uses.collect()])
+    rarest = some.select("cls", hashes).mapInArrow(_rarest(uses, least), "cls binary, n int, rarest array<bigint>").filter("size(rarest) > 0")
+    shown = kept(rarest.groupBy("cls").agg(F.first("n").alias("n"), F.first("rarest").alias("rarest")).select("cls", "n", F.explode("rarest").alias("token")))
     x, y = (shown.select(F.col("token").alias(f"t_{c}"), F.col("cls").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     alike = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9)
-    pairs = x.join(y, (F.col("t_a") == F.col("t_b")) & alike).select("a", "b").distinct()
-    side = lambda c: sets.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}"), F.col("tokens").alias(f"tokens_{c}"))
+    rest = lambda c: F.ceil(F.round(F.col(c) * least, 9)) - 1
+    most = F.col("k") + F.greatest(rest("n_a"), rest("n_b"))
+    pairs = x.join(y, (F.col("t_a") == F.col("t_b")) & alike).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("k"))
+    pairs = kept(pairs.filter(most >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6).select("a", "b"))
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = kept(split(some, *bloom(asked, "cls"), "cls")[0].select("cls", "tokens").dropDuplicates(["cls"]))
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     sim = F.round(both / (F.size("tokens_a") + F.size("tokens_b") - both), 9)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "id_a", "id_b", sim.alias("sim")).filter(F.col("sim") >= least)
-    each = near.select(F.col("a").alias("cls"), F.col("id_b").alias("peer"), "sim").unionByName(near.select(F.col("b").alias("cls"), F.col("id_a").alias("peer"), "sim"))
+    near = kept(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", sim.alias("sim")).filter(F.col("sim") >= least))
+    each = near.select(F.col("a").alias("cls"), F.col("b").alias("other"), "sim").unionByName(near.select(F.col("b").alias("cls"), F.col("a").alias("other"), "sim"))
+    each = each.join(lowest.select(F.col("cls").alias("other"), F.col("low").alias("peer")), "other")
     of_class = each.groupBy("cls").agg(F.min(F.struct((-F.col("sim")).alias("s"), "peer")).alias("m"))
     out = some.select("id", "cls").join(lowest, "cls").join(of_class, "cls", "left")
     twin = F.when(F.col("next").isNotNull(), F.when(F.col("id") == F.col("low"), F.col("next")).otherwise(F.col("low")))
