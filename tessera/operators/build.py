@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import _BARE, _MARKED, fill_template
-from tessera.operators.layout import kept
+from tessera.operators.layout import evenly, kept
 
 
 def uniform(*keys: Column, seed: int = 42) -> Column:
@@ -81,7 +81,7 @@ def hold_out_least_similar(rows: DataFrame, augmented: DataFrame, group: str, qu
     from tessera.operators.leakage import audit
 
     plain = rows.select("id", "text")
-    aug = audit(plain, augmented.select(F.col("id").alias("ref"), "text"), kind).select(F.col("id").alias("__a"), F.col("ratio").alias("aug_similarity"))
+    aug = audit(plain, evenly(augmented.select(F.col("id").alias("ref"), "text")), kind).select(F.col("id").alias("__a"), F.col("ratio").alias("aug_similarity"))
     peers = audit(plain, plain.withColumnRenamed("id", "ref"), kind, own=False).select(F.col("id").alias("__p"), F.col("ratio").alias("peer_similarity"))
     out = rows.join(aug, F.col("id") == F.col("__a"), "left").join(peers, F.col("id") == F.col("__p"), "left").drop("__a", "__p").fillna(0.0, ["aug_similarity", "peer_similarity"])
     out = out.withColumn("near_duplicate", F.col("peer_similarity") >= near)

@@ -22,6 +22,17 @@ def spread(rows: DataFrame, split_bytes: int = 128 << 20) -> DataFrame:
     return rows
 
 
+def evenly(rows: DataFrame, split_bytes: int = 128 << 20) -> DataFrame:
+    """``rows`` in two partitions for each core, unless they fill four splits for each.
+
+    For a stage that computes so much for each row that one split more than
+    there are cores would take as long as all others: there a shuffle is little.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(2 * cores) if size < 4 * cores * split_bytes else rows
+
+
 def lookup(table: DataFrame, most: int = 200_000) -> DataFrame:
     """The table with a broadcast hint, if it has at most ``most`` rows; else as it is, for a shuffled join."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table

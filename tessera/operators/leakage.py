@@ -432,6 +432,120 @@ class _Sequences:
         return out
 
 
+    ROUNDS, FEW = 12, 2  # after so many rounds, and of so few texts, ratios are computed one by one
+
+    def reaching(self, text: str, which: Sequence[int], least) -> list[tuple[int, float]]:
+        """(k, ratio) of the texts ``which`` whose Ratcliff-Obershelp ratio to ``text`` is ``least[k]`` or more.
+
+        As ``_Ratio.reaching``, but side by side: after the longest common
+        subsequences of whole texts, a round finds the longest block of every
+        open region of every text, and the longest common subsequences left
+        and right of them.  Most texts go in the first rounds.
+        """
+        np, codes = self.np, self._codes(text)
+        ratio, out = _Ratio(text, codes), []
+        rare = ratio.rare.tolist() if ratio.rare is not None else None
+        total: dict[int, int] = {}
+        regions: list[tuple[int, int, int, int, int]] = []  # text, its letters from and to, letters of ``text`` from and to
+        for k in which:
+            total[k] = len(self.texts[k]) + len(text)
+            if text and self.texts[k]:
+                regions.append((k, 0, len(self.texts[k]), 0, len(text)))
+            else:
+                out.append((k, ratio.exact(self.texts[k])))
+        most = self._subsequences(text, codes, regions) if regions else []
+        upto = {r[0]: m for r, m in zip(regions, most)}
+        regions = [r for r, m in zip(regions, most) if 2.0 * m / total[r[0]] >= least[r[0]]]
+        found = {r[0]: 0 for r in regions}
+        for _ in range(self.ROUNDS):
+            if not regions or len(found) <= self.FEW:
+                break
+            parts = []
+            for (k, a, b, c, d), block in zip(regions, self._blocks(text, codes, rare, regions)):
+                i, j, size = ratio.widened(self.texts[k], a, b, c, d, *block)
+                if size:
+                    found[k] += size
+                    parts += [(k, *r) for r in ((a, i, c, j), (i + size, b, j + size, d)) if r[0] < r[1] and r[2] < r[3]]
+            bound = dict(found)
+            lengths = self._subsequences(text, codes, parts) if parts else []
+            for part, n in zip(parts, lengths):
+                bound[part[0]] += n
+            found = {k: n for k, n in found.items() if 2.0 * bound[k] / total[k] >= least[k]}
+            regions = [part for part, n in zip(parts, lengths) if n and part[0] in found]
+        left = {r[0] for r in regions}
+        out += [(k, ratio.reaching(self.texts[k], self.codes(k), self.bits[k], upto[k], least[k]) if k in left else 2.0 * n / total[k]) for k, n in found.items()]
+        return [(k, r) for k, r in out if r is not None and r >= least[k]]
+
+    def _laid(self, codes, regions):
+        """Where each region's letters begin, one more between any two; the letters of ``text`` as numbers; for each, where the regions have it."""
+        np, edge = self.np, self.all[:1]
+        starts = np.concatenate([[0], np.cumsum([b - a + 1 for _, a, b, _, _ in regions])])
+        letters, at = np.unique(codes, return_inverse=True)
+        laid = np.concatenate([x for k, a, b, _, _ in regions for x in (self.codes(k)[a:b], edge)])
+        return starts, at.tolist(), letters[:, None] == laid[None, :]
+
+    def _blocks(self, text: str, codes, rare, regions) -> list[tuple[int, int, int]]:
+        """Each region's longest block (i, j, size), the earliest of several, of letters that aren't popular."""
+        np = self.np
+        starts, at, equal = self._laid(codes, regions)
+        longest = max(min(b - a, d - c) for _, a, b, c, d in regions)
+        kind = np.uint8 if longest < 255 else np.uint16 if longest < 65535 else np.int64
+        masks = list(equal.astype(kind))
+        whole = all(c == 0 and d == len(text) for *_, c, d in regions)
+        events: dict[int, list[tuple[int, int, int]]] = {}
+        if not whole:
+            for r, (_, _, _, c, d) in enumerate(regions):
+                events.setdefault(c, []).append((starts[r], starts[r + 1], 1))
+                events.setdefault(d, []).append((starts[r], starts[r + 1], 0))
+        size = int(starts[-1])
+        active, run, best = np.zeros(size, kind), np.zeros(size + 1, kind), np.zeros(size, kind)
+        before, now, step, some = run[:-1], run[1:], np.zeros(size, kind), False
+        for p, x in enumerate(at):
+            for u, v, on in events.get(p, ()):
+                active[u:v] = on
+            if rare is not None and not rare[p]:
+                if some:
+                    run.fill(0)
+                    some = False
+                continue
+            np.add(before, 1, out=step)
+            np.multiply(step, masks[x], out=now)
+            if not whole:
+                np.multiply(now, active, out=now)
+            np.maximum(best, now, out=best)
+            some = True
+        sizes = np.maximum.reduceat(best, starts[:-1]).astype(np.int64)
+        hits = np.flatnonzero(best == np.repeat(sizes.astype(kind), np.diff(starts)))
+        ends = hits[np.searchsorted(hits, starts[:-1])] - starts[:-1]
+        out = []
+        for (k, a, _, c, d), n, e in zip(regions, sizes.tolist(), ends.tolist()):
+            i = a + e - n + 1
+            out.append((i, text.find(self.texts[k][i : i + n], c, d), n) if n else (a, c, 0))
+        return out
+
+    def _subsequences(self, text: str, codes, regions) -> list[int]:
+        """Lengths of the regions' longest common subsequences."""
+        np = self.np
+        starts, at, equal = self._laid(codes, regions)
+        masks = [int.from_bytes(m.tobytes(), "little") for m in np.packbits(equal, axis=1, bitorder="little")]
+        events: dict[int, int] = {}
+        full = 0
+        for u, (_, a, b, c, d) in zip(starts.tolist(), regions):
+            mine = ((1 << b - a) - 1) << u
+            full |= mine
+            events[c], events[d] = events.get(c, 0) ^ mine, events.get(d, 0) ^ mine
+        free, active = full, 0
+        for p, x in enumerate(at):
+            if p in events:
+                active ^= events[p]
+            if active:
+                m = masks[x] & free & active
+                free = ((free + m) | (free - m)) & full
+        left = np.unpackbits(np.frombuffer(free.to_bytes(int(starts[-1]) // 8 + 1, "little"), np.uint8), bitorder="little")
+        rest = np.add.reduceat(left[: starts[-1]].astype(np.int64), starts[:-1]).tolist()
+        return [b - a - n for (_, a, b, _, _), n in zip(regions, rest)]
+
+
 class _Ratio:
     """Ratcliff-Obershelp ratios to one and the same second text, as difflib gives them, or nothing where they can't reach a bound.
 
@@ -461,7 +575,7 @@ class _Ratio:
 
     def _block(self, other: str, equal, a: int, b: int, c: int, d: int) -> tuple[int, int, int]:
         """The longest block of letters a to b of ``other`` and c to d of the text, the earliest of several."""
-        text, all_ = self.text, equal[a:b, c:d]
+        all_ = equal[a:b, c:d]
         if not all_.any():
             i, j, size = a, c, 0
         else:
@@ -470,6 +584,11 @@ class _Ratio:
                 runs, size = longer, size + 1
             i, j = divmod(int(runs.argmax()), runs.shape[1])
             i, j = a + i, c + j
+        return self.widened(other, a, b, c, d, i, j, size)
+
+    def widened(self, other: str, a: int, b: int, c: int, d: int, i: int, j: int, size: int) -> tuple[int, int, int]:
+        """A block with the equal letters on both sides of it, popular ones as well."""
+        text = self.text
         while i > a and j > c and other[i - 1] == text[j - 1]:
             i, j, size = i - 1, j - 1, size + 1
         while i + size < b and j + size < d and other[i + size] == text[j + size]:
@@ -586,12 +705,9 @@ class _Closest:
             live = self.np.flatnonzero(known.bounds(text, least) >= least).tolist()
             if not live:
                 continue
-            match, theirs = _Ratio(text, known._codes(text)), None
-            for k, most in zip(live, known.common(text, live)):
-                if text and 2.0 * most / (known.size[k] + len(text)) < least[k] or not self.own and self.ids[k] == ref:
-                    continue
-                ratio = match.reaching(known.texts[k], known.codes(k), known.bits[k], most, least[k])
-                if ratio is not None and ratio >= least[k]:
+            live, theirs = [k for k in live if self.own or self.ids[k] != ref], None
+            for k, ratio in known.reaching(text, live, least) if live else ():
+                if ratio >= least[k]:
                     theirs = self._grams(text) if theirs is None else theirs
                     now = (-ratio, -len(self.sets[k] & theirs) / len(self.sets[k] | theirs), ref)
                     if best[k] is None or now < best[k]:
