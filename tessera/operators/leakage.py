@@ -248,13 +248,15 @@ def nearest_peers(rows: DataFrame, least: float = 0.9) -> DataFrame:
     uses = some.select(hashes).mapInArrow(_tallied, "block int, places binary, uses binary").groupBy("block").applyInArrow(_summed, "block int, uses binary")
     uses = some.sparkSession.sparkContext.broadcast([(r.block, bytes(r.uses)) for r in uses.collect()])
     rarest = some.select("cls", hashes).mapInArrow(_rarest(uses, least), "cls binary, n int, rarest array<bigint>").filter("size(rarest) > 0")
-    shown = kept(rarest.groupBy("cls").agg(F.first("n").alias("n"), F.first("rarest").alias("rarest")).select("cls", "n", F.explode("rarest").alias("token")))
-    x, y = (shown.select(F.col("token").alias(f"t_{c}"), F.col("cls").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    named = kept(rarest.groupBy("cls").agg(F.first("n").alias("n"), F.first("rarest").alias("rarest")).withColumn("key", F.monotonically_increasing_id()))
+    shown = named.select("key", "n", F.explode("rarest").alias("token"))
+    x, y = (shown.select(F.col("token").alias(f"t_{c}"), F.col("key").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     alike = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-9)
     rest = lambda c: F.ceil(F.round(F.col(c) * least, 9)) - 1
-    most = F.col("k") + F.greatest(rest("n_a"), rest("n_b"))
-    pairs = x.join(y, (F.col("t_a") == F.col("t_b")) & alike).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("k"))
-    pairs = kept(pairs.filter(most >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6).select("a", "b"))
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6) - F.greatest(rest("n_a"), rest("n_b"))
+    pairs = x.join(y, (F.col("t_a") == F.col("t_b")) & alike).groupBy("a", "b", needed.alias("needed")).agg(F.count(F.lit(1)).alias("k")).filter("k >= needed").select("a", "b")
+    name = lambda c: named.select(F.col("key").alias(c), F.col("cls").alias(f"cls_{c}"))
+    pairs = kept(pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     sets = kept(split(some, *bloom(asked, "cls"), "cls")[0].select("cls", "tokens").dropDuplicates(["cls"]))
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
