@@ -19,8 +19,8 @@ tests compare with all pairs.
 
 That is ``matches_between``, for two large sets.  The turns of one language are
 so near each other that cells part few of them; so within one corpus
-(``similar_texts``) texts meet in tiles, by counts of letters and of runs of two
-and four letters, then by the longest common subsequence.
+(``similar_texts``) texts meet in tiles of like length, by marks of letters and of
+runs of four letters, then by the longest common subsequence.
 
 Cases.  Null texts match nothing; empty ones match empty ones, with ratio 1.
 Repeated texts are members of one class.  The ratio depends on the order of its
@@ -39,7 +39,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import tiles
 from tessera.operators.layout import kept, spread
 
 LETTERS, PAIRS = 64, 1024  # bins
@@ -143,100 +142,281 @@ def classes(rows: DataFrame) -> DataFrame:
     return kept(rows.filter("text is not null").select("text").distinct().select(F.monotonically_increasing_id().alias("key"), "text"))
 
 
-GRAMS = ((1, LETTERS), (2, 512), (4, 2048))  # lengths and bins of the runs of letters that tiles count
-TILE_ROWS = 2048
-TILES_BYTES = 8 << 20  # of texts whose counts a task holds, about three times as much
+GRAM, BITS = 4, 4096  # length of the runs of letters whose presence is marked, and bins
+COUNTED, COUNTS = 3, 1024  # length of the runs that are counted, and bins
+SHORT = 200  # from so many letters on difflib calls some popular
+WIDTHS = ((300, 8), (550, 16), (1200, 32))  # texts of fewer letters, and into how many words of 64 bins their marks are folded first
+LETTER_WORDS = 8  # of marks "this letter so often"
+CELLS_AT_ONCE = 1 << 14  # pairs whose marks are compared in one step
+PART_ROWS, PART_BYTES = 16_384, 16 << 20  # texts of a part of a level, about five times as much in a task
+MARKS = {"n": pa.int64(), "starts": pa.int64(), "letters": pa.binary(LETTERS), "bits": pa.binary(BITS // 8)}
 
 
-def _gram_counts(codes: np.ndarray, q: int, bins: int) -> np.ndarray:
-    """Of hashed runs of ``q`` letters, 255 at most."""
+def _runs(codes: np.ndarray, q: int, bins: int) -> np.ndarray:
+    """Bins of the runs of ``q`` letters."""
     n = max(0, len(codes) - q + 1)
     at = np.zeros(n, np.int64)
     for i in range(q):
         at = at * 1_000_003 + codes[i : i + n]
-    return np.minimum(np.bincount((at ^ at >> 17) & (bins - 1), minlength=bins), 255).astype(np.uint8)
+    return (at ^ at >> 17) & (bins - 1)
 
 
-def _starts(codes: np.ndarray) -> int:
-    """In how many places of a second text difflib can start a block; letters that it calls popular start none in texts of 200 letters or more."""
-    if len(codes) < 200:
-        return len(codes)
-    n = np.unique(codes, return_counts=True)[1]
-    return int(n[n <= len(codes) // 100 + 1].sum())
+def _marks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the length, ``starts``, counts of hashed letters (255 at most) and marks of the hashed runs it has.
+
+    ``starts``: in how many places of a second text difflib can start a block; letters that it calls popular start none in texts of ``SHORT`` letters or more.
+    """
+    n = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), n)
+    letters = np.minimum(np.bincount(row * LETTERS + (codes & (LETTERS - 1)), minlength=len(texts) * LETTERS), 255).astype(np.uint8).reshape(-1, LETTERS)
+    known = np.flatnonzero(np.bincount(codes))  # letters there are
+    each = np.bincount(row * len(known) + np.searchsorted(known, codes), minlength=len(texts) * len(known)).reshape(len(texts), -1)
+    starts = np.where(n < SHORT, n, (each * (each <= (n // 100 + 1)[:, None])).sum(1))
+    at = _runs(codes, GRAM, BITS)
+    inside = row[: len(at)] == row[GRAM - 1 : GRAM - 1 + len(at)]
+    bits = np.zeros((len(texts), BITS), bool)
+    bits[row[: len(at)][inside], at[inside]] = True
+    return n, starts, letters, np.packbits(bits, axis=1, bitorder="little")
+
+
+def _with_marks(texts: pa.Table, rows: int = 256) -> pa.Table:
+    if "bits" in texts.column_names:
+        return texts
+    values = texts.column("text").to_pylist()
+    parts = [_marks(values[i : i + rows]) for i in range(0, len(values), rows)]
+    flat = [np.concatenate(x) for x in zip(*parts)] if parts else [[], [], [], []]
+    columns = [pa.array([bytes(v) for v in x] if k >= 2 else x, t) for k, (x, t) in enumerate(zip(flat, MARKS.values()))]
+    for name, column in zip(MARKS, columns):
+        texts = texts.append_column(name, column)
+    return texts
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Marks in ``width`` words: bins are merged."""
+    while words.shape[1] > width:
+        words = words[:, : words.shape[1] // 2] | words[:, words.shape[1] // 2 :]
+    return words
+
+
+class _Side:
+    """Texts and marks in order of length, then key."""
+
+    def __init__(self, table: pa.Table):
+        table = _with_marks(table).combine_chunks().sort_by([("n", "ascending"), ("key", "ascending")])
+        wide = lambda c, kind, width: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(-1, width)
+        self.keys, self.texts = table.column("key").to_numpy(), table.column("text").to_pylist()
+        self.size, self.starts = table.column("n").to_numpy(), table.column("starts").to_numpy()
+        self.letters, self.words = wide("letters", np.uint8, LETTERS), wide("bits", np.uint64, BITS // 64)
+        self.counts: dict[int, np.ndarray] = {}
+
+    def counted(self, places: np.ndarray) -> np.ndarray:
+        """Counts of the texts' runs of ``COUNTED`` letters, 255 at most."""
+        for i in np.unique(places).tolist():
+            if i not in self.counts:
+                codes = np.frombuffer(self.texts[i].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                self.counts[i] = np.minimum(np.bincount(_runs(codes, COUNTED, COUNTS), minlength=COUNTS), 255).astype(np.uint8)
+        return np.array([self.counts[i] for i in places.tolist()])
 
 
 class _Alike:
-    """A tile of texts, by length, against packs of texts of smaller keys: pairs of which one ratio reaches ``least``.
+    """A tile of texts against packs of texts that are shorter, or as long and of smaller keys: pairs of which one ratio reaches ``least``.
 
     Of U unmatched letters and K blocks, counts of runs of q letters lie at most
     U + 2 (q - 1) (K - 1) apart; K - 1 is U at most, and no more than the places
-    where a block can start beside the first letters.
+    where a block can start beside the first letters.  Bits in which two marks
+    differ are no more than that, however bins are merged and whichever bits are
+    left out.  So many pairs at once meet a few words of marks: of letters if
+    texts are short, else of runs, as many words as the length wants.  The few
+    that are left meet all marks, and the counts of letters and of runs of three.
     """
 
     def __init__(self, tile: pa.Table, least: float):
-        tile = tile.append_column("n", pa.array([len(t) for t in tile.column("text").to_pylist()], pa.int64())).sort_by("n")
-        self.least, self.keys, self.texts, self.size = least, tile.column("key").to_numpy(), tile.column("text").to_pylist(), tile.column("n").to_numpy()
-        codes = [self._codes(t) for t in self.texts]
-        self.starts = np.array([_starts(c) for c in codes], np.int64)
-        self.counts = [np.array([_gram_counts(c, q, bins) for c in codes]) for q, bins in GRAMS]
+        self.least, self.factor = least, (2 - least) / least  # lengths of a match differ by this factor at most
+        self.tile = _Side(tile)
+        self.keys, self.texts, self.size = self.tile.keys, self.tile.texts, self.tile.size
+        self.runs = {w: np.ascontiguousarray(_folded(self.tile.words, w).T) for w in {BITS // 64, *(w for _, w in WIDTHS)} if len(self.size)}
+        short = self.tile.letters[: np.searchsorted(self.size, SHORT * self.factor)]
+        share = np.array([(short >= k).mean(0) for k in range(1, int(short.max(initial=0)) + 1)]).reshape(-1, LETTERS)
+        use = np.argsort(-(share * (1 - share)).ravel(), kind="stable")[: 64 * LETTER_WORDS]
+        self.steps = use // LETTERS + 1, use % LETTERS  # the counts and letters whose marks part texts best
+        self.often = np.ascontiguousarray(self._often(self.tile.letters).T)
 
     @staticmethod
     def _codes(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
+    def _often(self, letters: np.ndarray) -> np.ndarray:
+        marks = np.zeros((len(letters), 64 * LETTER_WORDS), bool)
+        marks[:, : len(self.steps[0])] = letters[:, self.steps[1]] >= self.steps[0]
+        return np.packbits(marks, axis=1, bitorder="little").view(np.uint64)
+
     def _near(self, key: int, codes: np.ndarray) -> np.ndarray:
         """Places of texts that no bound rules out."""
-        n, least = len(codes), self.least
-        factor = (2 - least) / least  # lengths of a match differ by this factor at most
-        at = np.arange(np.searchsorted(self.size, n / factor - SLACK, "left"), np.searchsorted(self.size, n * factor + SLACK, "right"))
-        at = at[self.keys[at] > key]
-        most = (1 - least) * (self.size[at] + n) + SLACK
-        gaps = np.minimum(most, np.maximum(self.starts[at], _starts(codes)))
-        for (q, bins), known in zip(GRAMS, self.counts, strict=True):
-            mine = _gram_counts(codes, q, bins)
-            apart = np.concatenate([(np.maximum(x, mine) - np.minimum(x, mine)).sum(1, dtype=np.int64) for x in (known[at[i : i + 256]] for i in range(0, len(at), 256))] or [np.zeros(0, np.int64)])
-            stay = apart <= most + 2 * (q - 1) * gaps
-            at, most, gaps = at[stay], most[stay], gaps[stay]
-        return at
+        text = codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        return np.concatenate([np.zeros(0, np.int64), *(j for _, j in self._left(_Side(pa.table({"key": [key], "text": [text]}))))])
+
+    def _left(self, pack: _Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the pack and the tile of pairs that no bound rules out."""
+        often = self._often(pack.letters)
+        x = 0
+        while x < len(pack.size):
+            n = int(pack.size[x])
+            y = min(x + 16, int(np.searchsorted(pack.size, n + n // 20, "right")))
+            if n < SHORT:
+                y = min(y, int(np.searchsorted(pack.size, SHORT)))
+                mine, theirs, q = often[x:y], self.often, 1
+            else:
+                width = next((w for most, w in WIDTHS if n < most), BITS // 64)
+                mine, theirs, q = _folded(pack.words[x:y], width), self.runs.get(width), GRAM
+            low, high = np.searchsorted(self.size, n), np.searchsorted(self.size, pack.size[y - 1] * self.factor + SLACK, "right")
+            step = CELLS_AT_ONCE // (y - x)
+            for at in range(low, high, step):
+                to = min(at + step, high)
+                i, j = self._first(pack, slice(x, y), slice(at, to), mine, theirs, q)
+                if len(i):
+                    i, j = self._second(pack, i + x, j + at)
+                    if len(i):
+                        yield i, j
+            x = y
+
+    def _most(self, n, m, s, t, q: int) -> np.ndarray:
+        """How far counts of runs of ``q`` letters of texts of ``n`` and ``m`` letters with ``s`` and ``t`` starts may lie apart."""
+        most = (1 - self.least) * (n + m) + SLACK
+        return most + 2 * (q - 1) * np.minimum(most, np.maximum(s, t)) if q > 1 else most
+
+    def _first(self, pack: _Side, mine: slice, theirs: slice, x: np.ndarray, y: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        shape = (mine.stop - mine.start, theirs.stop - theirs.start)
+        differ, bits, some, apart = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint8), np.zeros(shape, np.uint16)
+        words = x.shape[1]
+        for w in range(words):
+            np.bitwise_xor(x[:, w, None], y[w, None, theirs], out=differ)
+            if w % 3:  # three words have 192 bits
+                some += np.bitwise_count(differ, out=bits)
+            else:
+                np.bitwise_count(differ, out=some)
+            if w % 3 == 2 or w + 1 == words:
+                apart += some
+        share = lambda n: ((1 - self.least) * n * (1 + SLACK) + 0.01).astype(np.float32)  # noqa: E731  for it has seven digits only
+        most = share(pack.size[mine])[:, None] + share(self.size[theirs])
+        if q > 1:
+            gaps = np.maximum(pack.starts[mine].astype(np.float32)[:, None], self.tile.starts[theirs].astype(np.float32))
+            most += np.float32(2 * (q - 1)) * np.minimum(gaps, most, out=gaps)
+        return np.nonzero(apart <= most)
+
+    def _second(self, pack: _Side, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, m = pack.size[i], self.size[j]
+        stay = ((m > n) | (m == n) & (self.keys[j] > pack.keys[i])) & (m <= n * self.factor + SLACK)
+        i, j = i[stay], j[stay]
+        l1 = lambda x, y: np.maximum(x, y) - np.minimum(x, y)
+        for q, apart in (
+            (GRAM, lambda i, j: np.bitwise_count(pack.words[i] ^ self.tile.words[j])),
+            (1, lambda i, j: l1(pack.letters[i], self.tile.letters[j])),
+            (COUNTED, lambda i, j: l1(pack.counted(i), self.tile.counted(j))),
+        ):
+            parts = [apart(i[k : k + 1024], j[k : k + 1024]).sum(1, dtype=np.int64) for k in range(0, len(i), 1024)]
+            stay = np.concatenate(parts or [np.zeros(0, np.int64)]) <= self._most(pack.size[i], self.size[j], pack.starts[i], self.tile.starts[j], q)
+            i, j = i[stay], j[stay]
+        return i, j
 
     def offer(self, pack: pa.Table) -> pa.RecordBatch | None:
         from difflib import SequenceMatcher
 
-        rows = []
-        for key, text in zip(pack.column("key").to_pylist(), pack.column("text").to_pylist()):
+        rows, mine = [], _Side(pack)
+        for i, j in self._left(mine):
+            order = np.argsort(i, kind="stable")
             masks: dict[str, int] = {}
-            for k in self._near(key, self._codes(text)).tolist():
-                if not masks:
-                    for i, c in enumerate(text):
-                        masks[c] = masks.get(c, 0) | 1 << i
-                other = self.texts[k]
+            now = -1
+            for p, k in zip(i[order].tolist(), j[order].tolist()):
+                text, other = mine.texts[p], self.texts[k]
+                if p != now:
+                    masks, now = {}, p
+                    for at, c in enumerate(text):
+                        masks[c] = masks.get(c, 0) | 1 << at
                 free = full = (1 << len(text)) - 1
                 for c in other:  # the longest common subsequence, bit by bit
                     m = masks.get(c, 0) & free
                     free = ((free + m) | (free - m)) & full
                 if 2.0 * (len(text) - free.bit_count()) / (len(text) + len(other)) >= self.least:
-                    there, back = (SequenceMatcher(None, p, q).ratio() for p, q in ((text, other), (other, text)))
+                    (a, first), (b, second) = sorted(((int(mine.keys[p]), text), (int(self.keys[k]), other)))
+                    there, back = (SequenceMatcher(None, u, v).ratio() for u, v in ((first, second), (second, first)))
                     if max(there, back) >= self.least:
-                        rows.append((key, int(self.keys[k]), there, back))
+                        rows.append((a, b, there, back))
         return self._batch(rows) if rows else None
 
     @staticmethod
     def _batch(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.float64()) for i in range(4)], names=["a", "b", "there", "back"])
 
-    def found(self) -> pa.RecordBatch:
-        return self._batch([])
+
+def _marked(step: float):
+    """(key, text) with its marks and level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _with_marks(pa.Table.from_batches([batch]))
+            level = np.floor(np.log(out.column("n").to_numpy()) / step).astype(np.int32)
+            yield from out.set_column(4, "letters", out.column("letters").cast(pa.binary())).set_column(5, "bits", out.column("bits").cast(pa.binary())).append_column("level", pa.array(level)).combine_chunks().to_batches()
+
+    return run
+
+
+def _placed(least: float):
+    """(place, side, ...), in order: a place's tile (side 0), then its packs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tile, held = None, [], None
+        for batch in batches:
+            place, side = (batch.column(i).to_numpy() for i in range(2))
+            ends = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(place)]
+            for x, y in zip(ends, ends[1:]):
+                if x == y:
+                    continue
+                if place[x] != now:
+                    now, tile, held = place[x], [], None
+                part = pa.Table.from_batches([batch.slice(x, y - x)])
+                if side[x] == 0:
+                    tile.append(part)
+                elif tile:
+                    held = held or _Alike(pa.concat_tables(tile), least)
+                    if (some := held.offer(part)) is not None:
+                        yield some
+
+    return run
 
 
 def similar_texts(texts: DataFrame, least: float) -> DataFrame:
     """(a, b, there, back): keys of different texts of (key, text), and the ratios of a to b and of b to a, one of which reaches ``least``.
 
-    Every text meets every tile; of a tile it meets those of like length.
+    Texts get a level by length, so that those of a pair lie in one level or in
+    two neighbouring ones; levels are dealt out to parts of bounded size.  A
+    place has a part of a level as its tile, and a part of that level or the one
+    below as its pack.
     """
-    some = texts.filter("text != ''").select("key", "text")
-    rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    count = max(1, -(-rows // TILE_ROWS), -(-size // TILES_BYTES))
-    return tiles.met(tiles.tiled(some, count), count, spread(some), lambda _, t: _Alike(t, least), "a bigint, b bigint, there double, back double", TILES_BYTES, TILES_BYTES)
+    schema = "a bigint, b bigint, there double, back double"
+    step = math.log((2 - least) / least) + 1e-9
+    some = spread(texts.filter("text != ''").select("key", "text"))
+    marked = kept(some.mapInArrow(_marked(step), "key bigint, text string, n bigint, starts bigint, letters binary, bits binary, level int"))
+    levels = marked.groupBy("level").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("level").collect()
+    if not levels:
+        return texts.sparkSession.createDataFrame([], schema)
+    parts = {r.level: max(-(-r.rows // PART_ROWS), -(-r.bytes // PART_BYTES)) for r in levels}
+    packs = {k: n + parts.get(k - 1, 0) for k, n in parts.items()}
+    first, total = {}, 0
+    for k in parts:
+        first[k], total = total, total + parts[k] * packs[k]
+    of = lambda values, above=0: F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), F.col("level") + F.lit(above))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = marked.withColumn("part", F.pmod(F.xxhash64("key"), of(parts)).cast("int"))
+    tile = rows.withColumn("other", upto(of(packs))).withColumn("place", of(first) + F.col("part") * of(packs) + F.col("other")).withColumn("side", F.lit(0))
+    own = rows.withColumn("other", upto(of(parts))).withColumn("place", of(first) + F.col("other") * of(packs) + F.col("part")).withColumn("side", F.lit(1))
+    above = rows.filter(F.col("level").isin([k for k in parts if k + 1 in parts])).withColumn("other", upto(of(parts, 1)))
+    above = above.withColumn("place", of(first, 1) + F.col("other") * of(packs, 1) + of(parts, 1) + F.col("part")).withColumn("side", F.lit(1))
+    sent = ["place", "side", "key", "text", *MARKS]
+    spark = texts.sparkSession
+    tasks = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    both = tile.select(sent).unionByName(own.select(sent)).unionByName(above.select(sent))
+    return both.repartition(tasks, "place").sortWithinPartitions("place", "side").mapInArrow(_placed(least), schema)
 
 
 def matches_between(rows: DataFrame, refs: DataFrame, least: float, seed: int = 3) -> DataFrame:
@@ -263,10 +443,11 @@ def nearest_by_sequence(rows: DataFrame, least: float) -> DataFrame:
 
     Of equal texts every row's peer is the smallest other id, with ratio 1.
     """
+    rows = kept(rows.filter("text is not null").select("id", "text"))  # else the texts are made again by each use
     texts = classes(rows)
-    links = similar_texts(texts, least)
+    links = kept(similar_texts(texts, least))
     both = links.select("a", "b", F.col("there").alias("ratio")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("ratio"))).filter(F.col("ratio") >= least)
-    members = rows.filter("text is not null").groupBy("text").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    members = rows.groupBy("text").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
     firsts = texts.join(members, "text").select("key", "first", "size")
     second = rows.join(members.filter("size > 1"), "text").filter(F.col("id") != F.col("first")).groupBy("text").agg(F.min("id").alias("second"))
     best = both.join(firsts.select(F.col("key").alias("b"), F.col("first").alias("peer")), "b")
