@@ -160,7 +160,7 @@ BLOCK = 16  # bits of a place within its block
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of tokens to (block, places, uses): how often a task's sets have the tokens of each place, 255 at most."""
+    """Hashes of tokens to (block, places, uses): how often a task's sets have the tokens of each place."""
     import numpy as np
 
     def merged(parts):
@@ -178,18 +178,25 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [merged(parts)]
     at, n = merged(parts)
     ends = np.searchsorted(at >> BLOCK, np.arange((1 << PLACES - BLOCK) + 1))
-    rows = [(i, (at[x:y] & (1 << BLOCK) - 1).astype("<u2").tobytes(), np.minimum(n[x:y], 255).astype("u1").tobytes()) for i, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
+    rows = [(i, (at[x:y] & (1 << BLOCK) - 1).astype("<u2").tobytes(), n[x:y].astype("<u4").tobytes()) for i, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
     yield _record(rows, {"block": pa.int32(), "places": pa.binary(), "uses": pa.binary()})
 
 
+def _steps(n):
+    """Counts as bytes that keep their order: to 64 as they are, beyond seven steps for each doubling."""
+    import numpy as np
+
+    return np.minimum(np.where(n <= 64, n, 64 + np.floor(7 * np.log2(np.maximum(n, 64) / 64))), 255).astype("u1")
+
+
 def _summed(rows: pa.Table) -> pa.Table:
     """A block's counts of all tasks, one byte a place."""
     import numpy as np
 
     total = np.zeros(1 << BLOCK, np.int64)
     for places, uses in zip(rows.column("places"), rows.column("uses")):
-        total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(uses.as_buffer(), "u1")
-    return pa.table({"block": rows.column("block")[:1], "uses": pa.array([np.minimum(total, 255).astype("u1").tobytes()], pa.binary())})
+        total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(uses.as_buffer(), "<u4")
+    return pa.table({"block": rows.column("block")[:1], "uses": pa.array([_steps(total).tobytes()], pa.binary())})
 
 
 def _rarest(uses, least: float):
@@ -233,8 +240,8 @@ def nearest_peers(rows: DataFrame, least: float = 0.9) -> DataFrame:
     without tokens have no peer.
 
     Any order does that all sets keep: uses are counted by the places of hashes
-    in a table of ``1 << PLACES`` bytes that every task gets, and equal ones go
-    by hash.  So occurrences aren't shuffled, a set shows its prefix where it
+    in a table of ``1 << PLACES`` bytes that every task gets, coarser the more
+    uses there are but without an end, and equal ones go by hash.  So occurrences aren't shuffled, a set shows its prefix where it
     is read, and tokens of one hash only make more candidates.  Of a pair that
     shares k shown tokens, the one whose prefix ends first shares no more than k
     and its rest; where that is too little, the pair goes before sets are sent
